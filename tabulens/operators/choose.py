@@ -1,69 +1,51 @@
-"""Which columns are worth showing; works on the profile, never on the data."""
+"""Which columns are worth showing; works on the profile rows, never on the data."""
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Iterable, Mapping
+from typing import Any
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-from tabulens.functions.scalars import exact_round, looks_like_id, variation
+from tabulens.functions.scalars import ID_FRAGMENTS
 
 # A column to compare by has this many distinct values.
 MIN_GROUPS = 2
 MAX_GROUPS = 20
 
+Rows = Iterable[Mapping[str, Any]]
 
-def rank_numeric(profile: DataFrame, exclude: Collection[str] = ()) -> DataFrame:
-    """Numeric columns, best first: ``column, score``.
-
-    The score is std / mean (signed, on the rounded statistics); columns named
-    like identifiers have none.  The first column counts at least -1, so it
-    wins when no other beats that.
-    """
-    numeric = profile.where(F.col("type").isin("integer", "float"))
-    if exclude:
-        numeric = numeric.where(~F.col("column").isin(*exclude))
-    cv = F.when(
-        ~looks_like_id(F.col("column")),
-        variation(exact_round(F.col("std"), 4), exact_round(F.col("mean"), 4)),
-    )
-    # One row per column of the schema goes through this window.
-    first = F.min("position").over(W.partitionBy(F.lit(0)))
-    return (
-        numeric.withColumn("cv", cv)
-        .withColumn("first", first)
-        .withColumn(
-            "score",
-            F.when(
-                F.col("position") == F.col("first"),
-                F.greatest(F.coalesce("cv", F.lit(-1.0)), F.lit(-1.0)),
-            ).otherwise(F.col("cv")),
-        )
-        .where(F.col("score").isNotNull())
-        .orderBy(F.desc("score"), "position")
-        .select("column", "score")
-    )
-
-
-def rank_categorical(profile: DataFrame) -> DataFrame:
-    """Columns to compare by, best first: categorical before text, then table order."""
-    is_category = F.col("type") == "categorical"
-    other = F.col("type").isin("text", "boolean")
-    return (
-        profile.where(is_category | other)
-        .where(F.col("unique_count").between(MIN_GROUPS, MAX_GROUPS))
-        .orderBy(F.when(is_category, 0).otherwise(1), "position")
-        .select("column", "unique_count")
-    )
 
+def variation_of(row: Mapping[str, Any]) -> float:
+    """Signed std / mean of the displayed statistics; 0 without a mean."""
+    mean, std = (round(row.get(s) or 0.0, 4) for s in ("mean", "std"))
+    return std / mean if mean else 0.0
 
-def best_numeric(profile: DataFrame, exclude: Collection[str] = ()) -> str | None:
-    row = rank_numeric(profile, exclude).first()
-    return row and row["column"]
 
+def best_numeric(profile: Rows, exclude: Collection[str] = ()) -> str | None:
+    """Number that varies most relative to its mean, the first one on ties.
 
-def best_categorical(profile: DataFrame) -> str | None:
-    row = rank_categorical(profile).first()
-    return row and row["column"]
+    Columns named like identifiers do not take part.  The first column wins
+    unless another beats both it and -1.
+    """
+    numbers = [
+        r for r in profile if r["type"] in ("integer", "float") and r["column"] not in exclude
+    ]
+    if not numbers:
+        return None
+    open_to_choice = [
+        r for r in numbers if not any(f in r["column"].lower() for f in ID_FRAGMENTS)
+    ]
+    best = max(open_to_choice, key=variation_of, default=numbers[0])
+    return best["column"] if variation_of(best) > -1 else numbers[0]["column"]
+
+
+def best_categorical(profile: Rows) -> str | None:
+    """First categorical, then first other column with a handful of values."""
+    fitting = [
+        r
+        for r in profile
+        if r["type"] in ("categorical", "text", "boolean")
+        and MIN_GROUPS <= (r.get("unique_count") or 0) <= MAX_GROUPS
+    ]
+    # The sort is stable, so table order decides within a kind.
+    ranked = sorted(fitting, key=lambda r: r["type"] != "categorical")
+    return ranked[0]["column"] if ranked else None

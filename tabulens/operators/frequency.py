@@ -9,13 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tabulens.functions.columns import (
-    col,
-    field_type,
-    is_integral,
-    is_numeric,
-    is_text,
-)
+from tabulens.functions.columns import col, field_type, is_text
 from tabulens.functions.scalars import label_text, nan_to_null
 
 
@@ -31,8 +25,8 @@ def _long_form(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return wide.unpivot([], names, "column", "value").where(F.col("value").isNotNull())
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    """``column, value, n``; ``kind`` is the value type: bigint, double or string.
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, value, n`` over printed values, which are distinct when the values are.
 
     Map-side counting comes before the one shuffle, on column and value, so a
     value that fills most rows costs one row per task.
@@ -41,11 +35,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     for name in columns:
         dtype = field_type(df, name)
         value = nan_to_null(col(name), dtype)
-        if kind == "string":
-            # Grouping happens on printed values, which are distinct when the values are.
-            values[name] = value if is_text(dtype) else label_text(value, dtype)
-        else:
-            values[name] = value.cast(kind)
+        values[name] = value if is_text(dtype) else label_text(value, dtype)
     return _long_form(df, values).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -59,24 +49,6 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def numeric_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
-    """``column, mode``: most frequent number, the smallest one on ties."""
-    integers = [c for c in columns if is_integral(field_type(df, c))]
-    fractions = [c for c in columns if is_numeric(field_type(df, c)) and c not in integers]
-    parts = []
-    for names, kind in ((integers, "bigint"), (fractions, "double")):
-        if names:
-            best = top_values(value_counts(df, names, kind), 1)
-            parts.append(best.select("column", F.col("value").cast("double").alias("mode")))
-    if not parts:
-        return None
-    return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
-
-
-def text_kinds(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    return [c for c in columns if countable(field_type(df, c))]
-
-
 def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int | None]:
     """Exact distinct counts where they do not exceed ``limit``, else None.
 
@@ -85,7 +57,7 @@ def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[st
     than 53, so an estimate above ``limit * 1.2`` proves there are more.  Only
     the remaining narrow columns are counted exactly.
     """
-    names = text_kinds(df, columns)
+    names = [c for c in columns if countable(field_type(df, c))]
     found: dict[str, int | None] = {c: None for c in columns}
     if not names:
         return found
@@ -95,6 +67,6 @@ def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[st
     ).first()
     narrow = [n for i, n in enumerate(names) if sketch[f"c{i}"] <= limit * 1.2]
     if narrow:
-        exact = value_counts(df, narrow, "string").groupBy("column").count().collect()
+        exact = value_counts(df, narrow).groupBy("column").count().collect()
         found |= {n: 0 for n in narrow} | {r["column"]: r["count"] for r in exact}
     return {n: c if c is not None and c <= limit else None for n, c in found.items()}

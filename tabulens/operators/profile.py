@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.columns import chunks, col, data_fields, field_type, is_temporal
+from tabulens.functions.columns import chunks, col, data_fields, field_type, is_numeric, is_temporal
 from tabulens.functions.scalars import (
     exact_round,
     iso_text,
@@ -19,8 +19,8 @@ from tabulens.functions.scalars import (
     percent,
     total,
 )
-from tabulens.operators.frequency import countable, numeric_modes, top_values, value_counts
-from tabulens.operators.quantiles import approximate_quantiles, exact_quantiles
+from tabulens.operators.frequency import countable, top_values, value_counts
+from tabulens.operators.quantiles import ACCURACY, QUARTILES, first_brackets, pick, settle, sketch
 from tabulens.operators.types import ColumnType, by_kind
 
 TOP_VALUES = 10
@@ -58,201 +58,201 @@ PROFILE_SCHEMA = T.StructType(
 )
 
 
-def _per_column(df: DataFrame, columns: Sequence[str], stats) -> DataFrame:
-    """Aggregate a table once per group of columns and turn it into one row per column.
-
-    ``stats(name)`` gives the named aggregates of a column.  Each group reads
-    only its own columns.
-    """
-    parts = []
-    for group in chunks(columns, _COLUMNS_PER_PASS):
-        aggregates, rows = [], []
-        for i, name in enumerate(group):
-            named = stats(name)
-            aggregates += [a.alias(f"{s}_{i}") for s, a in named.items()]
-            rows.append(
-                F.struct(F.lit(name).alias("column"), *[F.col(f"{s}_{i}").alias(s) for s in named])
-            )
-        parts.append(df.agg(*aggregates).select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionAll, parts)
+def profile_frame(spark: SparkSession, rows: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """Rows of statistics, one per column, as a table; absent statistics are NULL."""
+    return spark.createDataFrame([tuple(r.get(n) for n in PROFILE_SCHEMA.names) for r in rows], PROFILE_SCHEMA)
 
 
-def _counts(df: DataFrame, name: str) -> dict[str, Column]:
-    missing = is_missing(col(name), field_type(df, name))
-    return {"count": F.count_if(~missing), "null_count": F.count_if(missing)}
+def _moment(df: DataFrame, name: str, fmt: str | None) -> Column:
+    return parse_timestamp(col(name), fmt) if fmt else col(name).cast("timestamp_ntz")
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """``column, count, null_count`` and the ten numeric statistics, unrounded.
-
-    ``approx=True`` takes quantiles from a sketch and leaves the mode out,
-    which saves the shuffle of distinct values.
-    """
-
-    def stats(name: str) -> dict[str, Column]:
-        dtype = field_type(df, name)
+def _aggregates(df: DataFrame, name: str, fmt: str | None, numeric: bool) -> dict[str, Column]:
+    """What a single scan can tell about a column."""
+    dtype = field_type(df, name)
+    missing = is_missing(col(name), dtype)
+    found = {"count": F.count_if(~missing), "null_count": F.count_if(missing)}
+    if numeric:
         value = nan_to_null(col(name), dtype)
         number = value.cast("double")
-        return _counts(df, name) | {
+        found |= {
             "mean": F.avg(number),
             "std": F.stddev_samp(number),
             "min": F.min(value).cast("double"),
             "max": F.max(value).cast("double"),
             "sum": total(value, dtype),
+            "edges": sketch(number, QUARTILES),
+            "approx": F.percentile_approx(number, list(QUARTILES), ACCURACY),
         }
+    elif fmt or is_temporal(dtype):
+        ntz = T.TimestampNTZType()
+        first, last = (f(_moment(df, name, fmt)) for f in (F.min, F.max))
+        found |= {
+            "min_date": iso_text(first, ntz),
+            "max_date": iso_text(last, ntz),
+            "range_days": F.extract(F.lit("DAY"), last - first).cast("bigint"),
+        }
+    return found
 
-    moments = _per_column(df, columns, stats)
-    quantiles = (approximate_quantiles if approx else exact_quantiles)(df, columns)
-    modes = None if approx else numeric_modes(df, columns)
-    # Every side has one row per column of the schema, which bounds the broadcasts.
-    joined = moments.join(F.broadcast(quantiles), "column", "left")
-    joined = (
-        joined.withColumn("mode", F.lit(None).cast("double"))
-        if modes is None
-        else joined.join(F.broadcast(modes), "column", "left")
-    )
-    return joined.select(
-        "column",
-        "count",
-        "null_count",
-        "mean",
-        F.col("q1").alias("median"),
-        "mode",
-        "std",
-        "min",
-        "max",
-        "sum",
-        F.col("q0").alias("q25"),
-        F.col("q2").alias("q75"),
-        (F.col("q2") - F.col("q0")).alias("iqr"),
-    )
 
+def scan_columns(
+    df: DataFrame, columns: Sequence[str], formats: Mapping[str, str], approx: bool = False
+) -> dict[str, dict[str, Any]]:
+    """Counts, moments, quantile sketches and date ranges of all columns from one scan.
 
-def round_stats(profile: DataFrame, digits: int = 4) -> DataFrame:
-    """Display rounding of the numeric statistics."""
-    return profile.select(
-        *[
-            (exact_round(col(n), digits) if n in NUMERIC_STATS else col(n)).alias(n)
-            for n in profile.columns
+    ``formats`` has the layouts of string dates.  Very wide tables are scanned
+    once per group of columns, each time reading that group only.
+    """
+    found: dict[str, dict[str, Any]] = {}
+    for group in chunks(columns, _COLUMNS_PER_PASS):
+        named = []
+        for name in group:
+            numeric = is_numeric(field_type(df, name))
+            stats = _aggregates(df, name, formats.get(name), numeric)
+            stats.pop("edges" if approx else "approx", None)
+            named += [(name, s, a) for s, a in stats.items()]
+        row = df.agg(*[a.alias(f"a{i}") for i, (_, _, a) in enumerate(named)]).first()
+        for (name, stat, _), value in zip(named, row):
+            found.setdefault(name, {"column": name})[stat] = value
+    return found
+
+
+def add_quantiles(
+    df: DataFrame, columns: Sequence[str], scanned: Mapping[str, dict[str, Any]], approx: bool = False
+) -> None:
+    """Complete the scanned statistics of numeric columns with quartiles, iqr and mode.
+
+    Exact quartiles and modes take one more scan and one shuffle of the
+    distinct values.  ``approx=True`` takes the sketched quartiles and no mode.
+    """
+    columns = list(columns)
+    if approx:
+        quartiles = {n: scanned[n].pop("approx") or [None] * 3 for n in columns}
+        modes = {}
+    else:
+        brackets = [
+            b
+            for i, n in enumerate(columns)
+            for b in first_brackets(
+                i, *(scanned[n][s] for s in ("count", "min", "max")), scanned[n].pop("edges"), QUARTILES
+            )
         ]
-    )
+        if any(not b.settled for b in brackets):
+            numbers = [nan_to_null(col(n), field_type(df, n)).cast("double") for n in columns]
+            settle(df.select(*[v.alias(f"v{i}") for i, v in enumerate(numbers)]), brackets)
+        found, modes = pick(df, columns, brackets, modes=True)
+        quartiles = {n: [found.get((i, j)) for j in range(3)] for i, n in enumerate(columns)}
+    for i, name in enumerate(columns):
+        q25, median, q75 = quartiles[name]
+        iqr = None if q25 is None else q75 - q25
+        scanned[name] |= {"q25": q25, "median": median, "q75": q75, "iqr": iqr, "mode": modes.get(i)}
 
 
-def date_profile(df: DataFrame, formats: dict[str, str | None]) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """``column, count, null_count`` and the ten numeric statistics, unrounded."""
+    scanned = scan_columns(df, columns, {}, approx)
+    add_quantiles(df, columns, scanned, approx)
+    profile = profile_frame(df.sparkSession, [scanned[n] for n in columns])
+    return profile.select("column", "count", "null_count", *NUMERIC_STATS)
+
+
+def date_profile(df: DataFrame, formats: Mapping[str, str | None]) -> DataFrame:
     """``column, count, null_count, min_date, max_date, range_days``.
 
     ``formats`` maps each column to the layout of its texts, or to None for
     real dates and timestamps.  Range is elapsed whole days, not calendar days.
     """
+    names = list(formats)
+    rows = []
+    aggregates = []
+    for i, name in enumerate(names):
+        stats = _aggregates(df, name, formats[name], numeric=False)
+        aggregates += [a.alias(f"{s}_{i}") for s, a in stats.items()]
+        rows.append(F.struct(F.lit(name).alias("column"), *[F.col(f"{s}_{i}").alias(s) for s in stats]))
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
-    def moment(name: str) -> Column:
-        fmt = formats[name]
-        return parse_timestamp(col(name), fmt) if fmt else col(name).cast("timestamp_ntz")
-
-    def stats(name: str) -> dict[str, Column]:
-        return _counts(df, name) | {"first": F.min(moment(name)), "last": F.max(moment(name))}
 
-    bounds = _per_column(df, list(formats), stats)
-    ntz = T.TimestampNTZType()
-    return bounds.select(
-        "column",
-        "count",
-        "null_count",
-        iso_text(F.col("first"), ntz).alias("min_date"),
-        iso_text(F.col("last"), ntz).alias("max_date"),
-        F.extract(F.lit("DAY"), F.col("last") - F.col("first")).cast("bigint").alias("range_days"),
+def round_stats(profile: DataFrame, digits: int = 4) -> DataFrame:
+    """Display rounding of the numeric statistics."""
+    return profile.select(
+        *[
+            (exact_round(col(n), digits) if n in NUMERIC_STATS else col(n)).alias(n)
+            for n in profile.columns
+        ]
     )
 
 
-def text_profile(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """``column, count, null_count, unique_count, mode_value, top_values``.
+def text_values(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """``column, count, unique_count, mode_value, top_values`` of columns with values.
 
     Values are ordered by count, then by value; the mode is the first of them.
-    ``approx=True`` estimates the distinct count and lists no values.  Nested
-    columns get counts only.
+    Distinct count and top values both come from one shuffled frequency table.
+    ``approx=True`` estimates the distinct count and lists no values.
     """
-    counts = _per_column(df, columns, lambda name: _counts(df, name))
-    plain = [c for c in columns if countable(field_type(df, c))]
-    if not plain or approx:
-        distinct = (
-            _per_column(df, plain, lambda n: {"unique_count": F.approx_count_distinct(col(n))})
-            if plain
-            else df.sparkSession.createDataFrame([], "column string, unique_count bigint")
-        )
-        return counts.join(F.broadcast(distinct), "column", "left").select(
-            "column",
-            "count",
-            "null_count",
-            "unique_count",
-            F.lit(None).cast("string").alias("mode_value"),
-            F.lit(None).cast(PROFILE_SCHEMA["top_values"].dataType).alias("top_values"),
-        )
-    frequencies = value_counts(df, plain, "string")
-    distinct = frequencies.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    top_type = PROFILE_SCHEMA["top_values"].dataType
+    if approx:
+        rows = [
+            F.struct(
+                F.lit(n).alias("column"),
+                F.col(f"count{i}").alias("count"),
+                F.col(f"unique{i}").alias("unique_count"),
+                F.lit(None).cast("string").alias("mode_value"),
+                F.lit(None).cast(top_type).alias("top_values"),
+            )
+            for i, n in enumerate(columns)
+        ]
+        counts = [F.count(col(n)).alias(f"count{i}") for i, n in enumerate(columns)]
+        unique = [F.approx_count_distinct(col(n)).alias(f"unique{i}") for i, n in enumerate(columns)]
+        return df.agg(*counts, *unique).select(F.inline(F.array(*rows)))
+    frequencies = value_counts(df, columns)
+    sizes = frequencies.groupBy("column").agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique_count")
+    )
     # At most TOP_VALUES rows per column reach this list.
     top = (
         top_values(frequencies, TOP_VALUES)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
     )
-    joined = counts.join(F.broadcast(distinct), "column", "left").join(
-        F.broadcast(top), "column", "left"
-    )
     listed = F.transform(
-        F.coalesce("top", F.array().cast("array<struct<rank int, value string, n bigint>>")),
+        "top",
         lambda t: F.struct(
             t["value"].alias("value"),
             t["n"].alias("count"),
             exact_round(percent(t["n"], F.col("count")), 1).alias("pct"),
         ),
     )
-    nested = [c for c in columns if c not in plain]
-    is_nested = F.col("column").isin(nested) if nested else F.lit(False)
-    return joined.select(
+    # One row per column of the schema on both sides.
+    return sizes.join(F.broadcast(top), "column").select(
         "column",
         "count",
-        "null_count",
-        F.when(~is_nested, F.coalesce("unique_count", F.lit(0))).alias("unique_count"),
-        F.when(F.size("top") > 0, F.col("top")[0]["value"]).alias("mode_value"),
-        F.when(~is_nested, listed).alias("top_values"),
+        "unique_count",
+        F.col("top")[0]["value"].alias("mode_value"),
+        listed.alias("top_values"),
     )
 
 
-def profile_table(df: DataFrame, types: list[ColumnType], approx: bool = False) -> DataFrame:
-    """All columns in table order; see ``PROFILE_SCHEMA``."""
-    kinds = by_kind(types)
-    parts = []
-    if kinds["numeric"]:
-        parts.append(numeric_profile(df, kinds["numeric"], approx))
-    if kinds["date"]:
-        formats = {
-            t.column: None if is_temporal(field_type(df, t.column)) else t.date_format
-            for t in types
-            if t.is_date
-        }
-        parts.append(date_profile(df, formats))
-    values = kinds["categorical"] + kinds["text"]
-    if values:
-        parts.append(text_profile(df, values, approx))
-
-    spark = df.sparkSession
-    known = spark.createDataFrame(
-        [(t.position, t.column, t.semantic_type) for t in types],
-        "position int, column string, type string",
-    )
-    padded = [
-        p.select(
-            *[
-                (F.col(f.name) if f.name in p.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-                for f in PROFILE_SCHEMA.fields[3:]
-            ],
-            "column",
-        )
-        for p in parts
-    ]
-    stats = reduce(DataFrame.unionAll, padded)
-    # One row per column of the schema.
-    return stats.join(F.broadcast(known), "column").select(PROFILE_SCHEMA.names).orderBy("position")
+def add_values(
+    df: DataFrame, columns: Sequence[str], scanned: Mapping[str, dict[str, Any]], approx: bool = False
+) -> None:
+    """Complete the scanned statistics of non-numeric columns with their values."""
+    plain = [n for n in columns if countable(field_type(df, n))]
+    for name in plain:
+        scanned[name] |= {"unique_count": 0, "top_values": []}
+    if plain:
+        for row in text_values(df, plain, approx).collect():
+            scanned[row["column"]] |= row.asDict(recursive=True)
+
+
+def text_profile(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """``column, count, null_count, unique_count, mode_value, top_values``.
+
+    Nested columns get counts only.
+    """
+    scanned = scan_columns(df, columns, {}, approx)
+    add_values(df, columns, scanned, approx)
+    profile = profile_frame(df.sparkSession, [scanned[n] for n in columns])
+    return profile.select("column", "count", "null_count", "unique_count", "mode_value", "top_values")
 
 
 def dataset_summary(types: list[ColumnType], profile: DataFrame, rows: int) -> DataFrame:

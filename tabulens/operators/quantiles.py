@@ -1,46 +1,50 @@
-"""Exact interpolated quantiles without sorting or collecting a column.
+"""Exact interpolated quantiles, and modes, without sorting or collecting a column.
 
-A quantile sketch brackets each wanted rank between two values, one aggregate
-counts what lies below and inside the bracket, and the bracket shrinks until
-few rows are left strictly inside.  Only those are grouped by value.  No scan
-but the last one shuffles more than a row per task.
+A quantile sketch, part of an aggregate that shuffles one row per task,
+brackets each wanted rank between two values.  Values outside the brackets are
+then only counted, per zone between brackets; values inside are grouped, and
+there are few of them.  On very large tables the brackets first shrink.  The
+final ranks are exact and show whether a sketch missed, so the sketch decides
+about speed, never about the result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulens.functions.columns import col, field_type
+from tabulens.functions.columns import col, field_type, is_integral
 from tabulens.functions.scalars import nan_to_null
 
+QUARTILES = (0.25, 0.5, 0.75)
+
 #: Sketch accuracy; a sketched rank is off by at most rows / ACCURACY.
 ACCURACY = 10_000
 #: Half width of a bracket, as a share of the rows it is drawn from.
 _MARGIN = 3 / ACCURACY
 #: Up to this many rows a column is its own bracket.
 SMALL = 20_000
-#: Rows that may remain strictly inside a bracket when its values are grouped.
+#: Rows strictly inside a bracket that may be grouped by value.
 INSIDE_LIMIT = 1_000_000
 
 
 @dataclass
-class _Bracket:
-    """The values of ranks ``rank`` and ``rank + 1`` lie in ``[low, high]``."""
+class Bracket:
+    """The wanted rank of column ``source`` lies among the values in ``[low, high]``."""
 
     source: int
     probability: int
     rank: float
-    last: int
+    rows: int
     low: float
     high: float
     below: int = 0
-    inside: int = 0
     settled: bool = False
 
     @property
@@ -49,63 +53,51 @@ class _Bracket:
 
     @property
     def ceil(self) -> int:
-        return min(math.ceil(self.rank), self.last)
+        return math.ceil(self.rank)
 
+    def widen(self) -> None:
+        self.low, self.high, self.settled = -math.inf, math.inf, True
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.25, 0.5, 0.75)
-) -> DataFrame:
-    """``column, q0, q1, ...``: linear interpolation between neighbouring ranks.
 
-    Columns without values are absent.  ``columns`` must be numeric.
-    """
-    values = df.select(
-        *[
-            nan_to_null(col(c), field_type(df, c)).cast("double").alias(f"v{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    brackets = _first_brackets(values, len(columns), probabilities)
-    while any(not b.settled for b in brackets):
-        _shrink(values, [b for b in brackets if not b.settled])
-    return _pick(values, brackets, columns, len(probabilities))
+def sketch(value: Column, probabilities: Sequence[float]) -> Column:
+    """Aggregate with the bracket edges of every probability."""
+    edges = [e for p in probabilities for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
+    return F.percentile_approx(value, edges, ACCURACY)
 
 
-def _first_brackets(values: DataFrame, width: int, probabilities: Sequence[float]) -> list[_Bracket]:
-    edges = [e for p in probabilities for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
-    aggregates = []
-    for i in range(width):
-        v = F.col(f"v{i}")
-        aggregates += [
-            F.count(v).alias(f"n{i}"),
-            F.min(v).alias(f"low{i}"),
-            F.max(v).alias(f"high{i}"),
-            F.percentile_approx(v, edges, ACCURACY).alias(f"edges{i}"),
-        ]
-    row = values.agg(*aggregates).first()
+def first_brackets(
+    source: int, rows: int, low: float, high: float, edges: Sequence[float], probabilities: Sequence[float]
+) -> list[Bracket]:
+    """Brackets of one column from its aggregates; none for a column without values."""
     brackets = []
-    for i in range(width):
-        n = row[f"n{i}"]
-        for j, p in enumerate(probabilities):
-            if n == 0:
-                continue
-            bracket = _Bracket(i, j, p * (n - 1), n - 1, row[f"low{i}"], row[f"high{i}"], inside=n)
-            if n <= SMALL:
-                bracket.settled = True
-            else:
-                _narrow(bracket, row[f"edges{i}"][2 * j : 2 * j + 2], p - _MARGIN, p + _MARGIN)
-            brackets.append(bracket)
+    for j, p in enumerate(probabilities):
+        if rows == 0:
+            break
+        bracket = Bracket(source, j, p * (rows - 1), rows, low, high)
+        bracket.settled = rows * 2 * _MARGIN <= INSIDE_LIMIT
+        if rows > SMALL:
+            _narrow(bracket, edges[2 * j : 2 * j + 2], p - _MARGIN, p + _MARGIN)
+        brackets.append(bracket)
     return brackets
 
 
-def _narrow(bracket: _Bracket, edges: Sequence[float], start: float, end: float) -> None:
+def _narrow(bracket: Bracket, edges: Sequence[float], start: float, end: float) -> None:
     """Move to the sketched edges, except beyond either end of the data."""
     bracket.low = edges[0] if start > 0 else bracket.low
     bracket.high = edges[1] if end < 1 else bracket.high
 
 
-def _shrink(values: DataFrame, brackets: list[_Bracket]) -> None:
-    """Count around each bracket, then accept, undo or tighten it."""
+def settle(values: DataFrame, brackets: Iterable[Bracket]) -> None:
+    """Shrink the brackets of very large columns; ``values`` has the columns ``v0, v1, ...``."""
+    while wide := [b for b in brackets if not b.settled]:
+        _count_inside(values, wide)
+        wide = [b for b in wide if not b.settled]
+        if wide:
+            _tighten(values, wide)
+
+
+def _count_inside(values: DataFrame, brackets: list[Bracket]) -> None:
+    """Accept brackets with few rows strictly inside; give up on those that do not shrink."""
     counts = []
     for k, b in enumerate(brackets):
         v = F.col(f"v{b.source}")
@@ -115,93 +107,166 @@ def _shrink(values: DataFrame, brackets: list[_Bracket]) -> None:
             F.count_if(v <= b.high).alias(f"upto{k}"),
         ]
     row = values.agg(*counts).first()
-    wide = []
     for k, b in enumerate(brackets):
         below, strictly, upto = row[f"below{k}"], row[f"strictly{k}"], row[f"upto{k}"]
         if not below <= b.floor <= b.ceil < upto:
-            # The sketch missed: the whole column is still an exact bracket.
-            b.low, b.high, b.below, b.settled = -math.inf, math.inf, 0, True
-        else:
-            rows = upto - below
-            b.settled = strictly <= INSIDE_LIMIT or rows >= b.inside
-            b.below, b.inside = below, rows
-            if not b.settled:
-                wide.append(b)
-    if wide:
-        _tighten(values, wide)
+            b.widen()
+            continue
+        b.settled = strictly <= INSIDE_LIMIT or upto - below >= b.rows
+        b.below, b.rows = below, upto - below
 
 
-def _tighten(values: DataFrame, brackets: list[_Bracket]) -> None:
+def _tighten(values: DataFrame, brackets: list[Bracket]) -> None:
     """Sketch again, on the rows of each bracket only."""
     sketches, ranges = [], []
     for k, b in enumerate(brackets):
         v = F.col(f"v{b.source}")
-        p = (b.rank - b.below) / (b.inside - 1)
-        start, end = p - _MARGIN, p + _MARGIN
-        ranges.append((start, end))
-        edges = [max(start, 0.0), min(end, 1.0)]
-        within = F.when(v.between(b.low, b.high), v)
-        sketches.append(F.percentile_approx(within, edges, ACCURACY).alias(f"edges{k}"))
+        p = (b.rank - b.below) / (b.rows - 1)
+        ranges.append((p - _MARGIN, p + _MARGIN))
+        sketches.append(sketch(F.when(v.between(b.low, b.high), v), [p]).alias(f"edges{k}"))
     row = values.agg(*sketches).first()
     for k, b in enumerate(brackets):
         _narrow(b, row[f"edges{k}"], *ranges[k])
 
 
-def _pick(
-    values: DataFrame, brackets: list[_Bracket], columns: Sequence[str], width: int
-) -> DataFrame:
-    """Group the bracketed values, rank them and interpolate."""
-    spark = values.sparkSession
-    hits = [
-        F.when(
-            F.col(f"v{b.source}").between(b.low, b.high),
-            F.struct(F.lit(k).alias("k"), F.col(f"v{b.source}").alias("v")),
-        )
-        for k, b in enumerate(brackets)
-    ]
+def _intervals(brackets: Iterable[Bracket]) -> list[tuple[float, float]]:
+    """Brackets of one column as disjoint intervals in order."""
+    merged: list[tuple[float, float]] = []
+    for low, high in sorted((b.low, b.high) for b in brackets):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], high))
+        else:
+            merged.append((low, high))
+    return merged
+
+
+def _zone(value: Column, intervals: list[tuple[float, float]]) -> Column:
+    """Odd inside an interval, even between them, rising with the value."""
+    passed = [c.cast("int") for low, high in intervals for c in (value >= low, value > high)]
+    return reduce(Column.__add__, passed)
+
+
+def _long_form(df: DataFrame, columns: Sequence[str], sources: Sequence[int], kind: str) -> DataFrame:
+    """``source, value`` without missing values."""
+    wide = df.select(
+        *[
+            nan_to_null(col(columns[i]), field_type(df, columns[i])).cast(kind).alias(str(i))
+            for i in sources
+        ]
+    )
+    long = wide.unpivot([], [col(str(i)) for i in sources], "source", "value")
+    return long.where(F.col("value").isNotNull())
+
+
+def pick(
+    df: DataFrame, columns: Sequence[str], brackets: list[Bracket], modes: bool = False
+) -> tuple[dict[tuple[int, int], float], dict[int, float]]:
+    """Values by (column index, probability index), and modes by column index.
+
+    With ``modes`` the values are counted per distinct value first, which
+    takes one shuffle on column and value; without, only bracketed values are.
+    """
+    used = sorted({b.source for b in brackets})
+    parts = []
+    for kind in ("bigint", "double"):
+        sources = [i for i in used if is_integral(field_type(df, columns[i])) == (kind == "bigint")]
+        if sources:
+            long = _long_form(df, columns, sources, kind)
+            parts.append(_zone_counts(long, brackets, sources, modes))
+    if not parts:
+        return {}, {}
+    spark = df.sparkSession
     params = spark.createDataFrame(
-        [
-            (k, columns[b.source], b.probability, b.below, b.floor, b.ceil, b.rank - b.floor)
-            for k, b in enumerate(brackets)
-        ],
-        "k int, column string, j int, below bigint, floor bigint, ceil bigint, part double",
+        [(str(b.source), b.probability, b.floor, b.ceil) for b in brackets],
+        "source string, j int, floor bigint, ceil bigint",
     )
-    counted = (
-        values.select(F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-        .groupBy("hit.k", "hit.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        if hits
-        else spark.createDataFrame([], "k int, v double, n bigint")
+    in_order = W.partitionBy("source").orderBy("zone", "key")
+    ranked = reduce(DataFrame.unionAll, parts).withColumn(
+        "upto", F.sum("n").over(in_order.rowsBetween(W.unboundedPreceding, 0))
     )
-    ranks = W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    reached = counted.withColumn("upto", F.sum("n").over(ranks))
     # One parameter row per column and probability, so its size is that of the schema.
-    placed = reached.join(F.broadcast(params), "k")
-    lower = F.min(F.when(F.col("below") + F.col("upto") > F.col("floor"), F.col("v")))
-    upper = F.min(F.when(F.col("below") + F.col("upto") > F.col("ceil"), F.col("v")))
-    quantiles = placed.groupBy("column", "j").agg(
-        (lower + (upper - lower) * F.max("part")).alias("q")
+    rows = (
+        ranked.join(F.broadcast(params), "source")
+        .groupBy("source", "j")
+        .agg(
+            F.min_by("key", F.when(F.col("upto") > F.col("floor"), F.col("upto"))).alias("lower"),
+            F.min_by("key", F.when(F.col("upto") > F.col("ceil"), F.col("upto"))).alias("upper"),
+            F.min_by("mode", F.struct(-F.col("mode_n"), "mode")).alias("mode"),
+        )
+        .collect()
     )
-    return quantiles.groupBy("column").agg(
-        *[F.max(F.when(F.col("j") == j, F.col("q"))).alias(f"q{j}") for j in range(width)]
+    found, missed = {}, []
+    by_key = {(b.source, b.probability): b for b in brackets}
+    for row in rows:
+        b = by_key[int(row["source"]), row["j"]]
+        if row["lower"] is None or row["upper"] is None:
+            b.widen()
+            missed.append(b)
+        else:
+            found[b.source, b.probability] = row["lower"] + (row["upper"] - row["lower"]) * (
+                b.rank - b.floor
+            )
+    if missed:
+        found |= pick(df, columns, missed)[0]
+    return found, {int(r["source"]): r["mode"] for r in rows} if modes else {}
+
+
+def _zone_counts(
+    long: DataFrame, brackets: list[Bracket], sources: Sequence[int], modes: bool
+) -> DataFrame:
+    """``source, zone, key, n, mode_n, mode``: one row per zone outside the brackets,
+    one per value inside."""
+    if modes:
+        long = long.groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
+    number = F.col("value").cast("double")
+    zones = [
+        F.when(F.col("source") == str(i), _zone(number, _intervals(b for b in brackets if b.source == i)))
+        for i in sources
+    ]
+    zoned = long.withColumn("zone", F.coalesce(*zones)).withColumn(
+        "key", F.when(F.col("zone") % 2 == 1, number)
+    )
+    groups = zoned.groupBy("source", "zone", "key")
+    if not modes:
+        none = F.lit(None)
+        return groups.agg(F.count(F.lit(1)).alias("n")).select(
+            "*", none.cast("bigint").alias("mode_n"), none.cast("double").alias("mode")
+        )
+    return groups.agg(
+        F.sum("n").alias("n"),
+        F.max("n").alias("mode_n"),
+        F.min_by("value", F.struct(-F.col("n"), "value")).cast("double").alias("mode"),
     )
 
 
-def approximate_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.25, 0.5, 0.75)
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUARTILES
 ) -> DataFrame:
-    """Same shape from one sketch per column: actual values, no interpolation."""
-    sketches = [
-        F.percentile_approx(
-            nan_to_null(col(c), field_type(df, c)).cast("double"), list(probabilities), ACCURACY
-        ).alias(f"s{i}")
-        for i, c in enumerate(columns)
+    """``column, q0, q1, ...``: linear interpolation between neighbouring ranks.
+
+    ``columns`` must be numeric; quantiles of a column without values are NULL.
+    """
+    values = df.select(
+        *[
+            nan_to_null(col(c), field_type(df, c)).cast("double").alias(f"v{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    aggregates = []
+    for i in range(len(columns)):
+        v = F.col(f"v{i}")
+        aggregates += [F.count(v), F.min(v), F.max(v), sketch(v, probabilities)]
+    row = values.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)]).first()
+    brackets = [
+        b
+        for i in range(len(columns))
+        for b in first_brackets(i, *row[4 * i : 4 * i + 4], probabilities)
     ]
+    settle(values, brackets)
+    found, _ = pick(df, columns, brackets)
     rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            *[F.col(f"s{i}")[j].alias(f"q{j}") for j in range(len(probabilities))],
-        )
-        for i, c in enumerate(columns)
+        (name, *[found.get((i, j)) for j in range(len(probabilities))])
+        for i, name in enumerate(columns)
     ]
-    return df.agg(*sketches).select(F.inline(F.array(*rows)))
+    schema = "column string, " + ", ".join(f"q{j} double" for j in range(len(probabilities)))
+    return df.sparkSession.createDataFrame(rows, schema)

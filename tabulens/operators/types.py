@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import astuple, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulens.functions.columns import (
     chunks,
@@ -55,39 +56,52 @@ def types_frame(spark: SparkSession, types: list[ColumnType]) -> DataFrame:
 def detect_types(
     df: DataFrame, infer_strings: bool = True, had_gaps: Collection[str] = ()
 ) -> list[ColumnType]:
-    """Semantic type of every column, in table order.
+    """Semantic type of every column, in table order; see ``classify``."""
+    fields = data_fields(df)
+    present = _present(df, [f.name for f in fields])
+    dates = date_formats(df, fields) if infer_strings else {}
+    gaps = {n for n, (filled, rows) in present.items() if filled < rows} | set(had_gaps)
+    undecided = [f.name for f in fields if f.name not in dates and may_be_category(f, gaps)]
+    distinct = distinct_up_to(df, undecided, MAX_CATEGORIES) if undecided and infer_strings else {}
+    return classify(fields, present, dates, distinct, infer_strings, had_gaps)
+
+
+def may_be_category(field: T.StructField, gaps: Collection[str]) -> bool:
+    """Texts, and booleans with gaps, which are no booleans any more."""
+    return is_text(field.dataType) or (is_boolean(field.dataType) and field.name in gaps)
+
+
+def classify(
+    fields: Sequence[T.StructField],
+    present: Mapping[str, tuple[int, int]],
+    dates: Mapping[str, str],
+    distinct: Mapping[str, int | None],
+    infer_strings: bool = True,
+    had_gaps: Collection[str] = (),
+) -> list[ColumnType]:
+    """Types from filled cells and rows, date formats and distinct counts per column.
 
     ``had_gaps`` names columns that lacked values before cleaning: integers
     with gaps count as floats, booleans with gaps as plain values.  With
     ``infer_strings=False`` strings and such booleans are always text.
     """
-    fields = data_fields(df)
-    present = _present(df, [f.name for f in fields])
-    gaps = {f.name for f in fields if present[f.name][0] < present[f.name][1]} | set(had_gaps)
-    open_columns = [
-        f.name
-        for f in fields
-        if infer_strings
-        and present[f.name][0] > 0
-        and (is_text(f.dataType) or (is_boolean(f.dataType) and f.name in gaps))
-    ]
-    dates = date_formats(df, [f.name for f in fields if f.name in open_columns and is_text(f.dataType)])
-    undecided = [n for n in open_columns if n not in dates]
-    distinct = distinct_up_to(df, undecided, MAX_CATEGORIES) if undecided else {}
-
+    gaps = {n for n, (filled, rows) in present.items() if filled < rows} | set(had_gaps)
     types = []
     for i, f in enumerate(fields):
         name, dtype, kind = f.name, f.dataType, "text"
+        filled = present[name][0]
         if is_boolean(dtype) and name not in gaps:
             kind = "boolean"
         elif is_fractional(dtype) or (is_integral(dtype) and name in gaps):
             kind = "float"
         elif is_integral(dtype):
             kind = "integer"
-        elif is_temporal(dtype) or name in dates:
+        elif is_temporal(dtype) or (infer_strings and name in dates and filled):
             kind = "date"
-        elif distinct.get(name) is not None and distinct[name] / present[name][0] < MAX_CATEGORY_SHARE:
-            kind = "categorical"
+        elif infer_strings and filled and may_be_category(f, gaps):
+            values = distinct.get(name)
+            if values is not None and values <= MAX_CATEGORIES and values / filled < MAX_CATEGORY_SHARE:
+                kind = "categorical"
         types.append(
             ColumnType(
                 i,
@@ -97,7 +111,7 @@ def detect_types(
                 kind in ("integer", "float"),
                 kind == "date",
                 kind == "categorical",
-                dates.get(name),
+                dates.get(name) if kind == "date" else None,
             )
         )
     return types
@@ -113,13 +127,13 @@ def _present(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
     return found
 
 
-def date_formats(df: DataFrame, columns: Collection[str]) -> dict[str, str]:
-    """First format of the list that fits every value, for columns that have one.
+def date_formats(df: DataFrame, fields: Sequence[T.StructField]) -> dict[str, str]:
+    """First format of the list that fits every value, for string columns that have one.
 
     One value that does not parse rules a format out, so a small preview
     discards nearly all candidates; only the rest see the whole column.
     """
-    columns = list(columns)
+    columns = [f.name for f in fields if is_text(f.dataType)]
     if not columns:
         return {}
     candidates = [(n, fmt) for n in columns for fmt in DATE_FORMATS]

@@ -6,10 +6,10 @@ from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.functions.columns import POSITION, col
+from tabulens.functions.columns import POSITION, col, data_fields, is_numeric, is_temporal
 from tabulens.operators import charts as C
 from tabulens.operators.choose import best_categorical, best_numeric
 from tabulens.operators.insights import (
@@ -20,30 +20,37 @@ from tabulens.operators.insights import (
     top_up,
 )
 from tabulens.operators.profile import (
-    PROFILE_SCHEMA,
+    add_quantiles,
+    add_values,
     dataset_summary,
     describe_dataset,
-    profile_table,
+    profile_frame,
+    scan_columns,
 )
-from tabulens.operators.types import ColumnType, by_kind, detect_types, types_frame
+from tabulens.operators.types import ColumnType, by_kind, classify, date_formats, types_frame
 from tabulens.plans.suggest import suggest_instructions
 
 
 @dataclass
 class Described:
-    """Types and profile of a table.  The profile has one row per column, already collected."""
+    """Types and profile of a table; ``rows`` has one dictionary per column."""
 
+    spark: SparkSession
     types: list[ColumnType]
-    profile: DataFrame
+    rows: list[dict[str, Any]]
     row_count: int
 
     @property
     def kinds(self) -> dict[str, list[str]]:
         return by_kind(self.types)
 
+    @property
+    def profile(self) -> DataFrame:
+        return profile_frame(self.spark, self.rows)
+
     def stats(self, column: str) -> dict[str, Any]:
         """Statistics of one column with display rounding."""
-        row = self.profile.where(F.col("column") == column).first().asDict(recursive=True)
+        row = next(r for r in self.rows if r["column"] == column)
         return {k: round(v, 4) if isinstance(v, float) else v for k, v in row.items()}
 
     def summary(self) -> DataFrame:
@@ -51,16 +58,7 @@ class Described:
 
     def metadata(self) -> dict[str, Any]:
         """Plain dictionary of sizes, types, column groups and statistics."""
-        kinds = self.kinds
-        rows = {r["column"]: r.asDict(recursive=True) for r in self.profile.collect()}
-        statistics = {
-            name: {
-                k: round(v, 4) if isinstance(v, float) else v
-                for k, v in row.items()
-                if v is not None and k not in ("position", "column")
-            }
-            for name, row in rows.items()
-        }
+        hidden = ("position", "column")
         return {
             "row_count": self.row_count,
             "column_count": len(self.types),
@@ -75,9 +73,16 @@ class Described:
                 }
                 for t in self.types
             },
-            **{f"{k}_columns": v for k, v in kinds.items()},
-            "statistics": statistics,
-            "missing_values": sum(r["null_count"] for r in rows.values()),
+            **{f"{k}_columns": v for k, v in self.kinds.items()},
+            "statistics": {
+                r["column"]: {
+                    k: v
+                    for k, v in self.stats(r["column"]).items()
+                    if v is not None and k not in hidden
+                }
+                for r in self.rows
+            },
+            "missing_values": sum(r["null_count"] for r in self.rows),
         }
 
 
@@ -87,12 +92,33 @@ def describe(
     had_gaps: Collection[str] = (),
     approx: bool = False,
 ) -> Described:
-    """Detect types and compute the profile; only the profile's few rows are collected."""
-    types = detect_types(df, infer_strings, had_gaps)
-    rows = profile_table(df, types, approx).collect()
-    profile = df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
-    row_count = rows[0]["count"] + rows[0]["null_count"] if rows else df.count()
-    return Described(types, profile, row_count)
+    """Detect types and compute the profile in few scans.
+
+    One scan covers counts, moments, sketches and date ranges of every column;
+    one more, with a shuffle of distinct values, covers quartiles and modes of
+    the numbers, and another the values of the texts, whose distinct counts
+    also decide which texts are categories.  String dates cost a scan of their
+    own columns only if a preview leaves candidates.
+    """
+    fields = data_fields(df)
+    names = [f.name for f in fields]
+    formats = date_formats(df, fields) if infer_strings else {}
+    scanned = scan_columns(df, names, formats, approx)
+    present = {n: (s["count"], s["count"] + s["null_count"]) for n, s in scanned.items()}
+    row_count = max((rows for _, rows in present.values()), default=0)
+
+    numeric = [f.name for f in fields if is_numeric(f.dataType)]
+    dates = [
+        f.name
+        for f in fields
+        if is_temporal(f.dataType) or (f.name in formats and scanned[f.name]["count"])
+    ]
+    add_quantiles(df, numeric, scanned, approx)
+    add_values(df, [n for n in names if n not in numeric and n not in dates], scanned, approx)
+    distinct = {n: s.get("unique_count") for n, s in scanned.items()}
+    types = classify(fields, present, formats, distinct, infer_strings, had_gaps)
+    rows = [{**scanned[t.column], "position": t.position, "type": t.semantic_type} for t in types]
+    return Described(df.sparkSession, types, rows, row_count)
 
 
 def position_of(df: DataFrame, order_by: Sequence[str] | None) -> Column:
@@ -106,10 +132,10 @@ def position_of(df: DataFrame, order_by: Sequence[str] | None) -> Column:
 
 def auto_charts(df: DataFrame, described: Described, order: Column) -> list[C.Chart]:
     """Up to four charts: over time, by category, distribution, relation."""
-    kinds, profile = described.kinds, described.profile
+    kinds, rows = described.kinds, described.rows
     numbers = kinds["numeric"]
-    number = best_numeric(profile)
-    category = best_categorical(profile)
+    number = best_numeric(rows)
+    category = best_categorical(rows)
     found: list[C.Chart] = []
 
     def add(kind: str, title: str, x: str, y: str | None, data: DataFrame) -> None:
@@ -125,7 +151,7 @@ def auto_charts(df: DataFrame, described: Described, order: Column) -> list[C.Ch
         if bins is not None:
             add("bar", f"Distribution of {number}", number, "rows", bins.select("label", "y"))
     if len(numbers) >= 2:
-        other = best_numeric(profile, exclude=[number])
+        other = best_numeric(rows, exclude=[number])
         if other != number:
             points = C.scatter_points(df, number, other, order)
             add("scatter", f"{number} vs {other}", number, other, points)
@@ -136,24 +162,24 @@ def auto_charts(df: DataFrame, described: Described, order: Column) -> list[C.Ch
 
 def basic_insights(described: Described) -> list[Insight]:
     """Summary of the best number, the best category and the next best number."""
-    profile, kinds = described.profile, described.kinds
+    rows, kinds = described.rows, described.kinds
     found: list[Insight] = []
 
     def summary(column: str, names: Sequence[str]) -> None:
         stats = described.stats(column)
         found.append(Insight("stats", column, f"Summary of {column}", {n: stats[n] for n in names}))
 
-    number = best_numeric(profile)
+    number = best_numeric(rows)
     if number:
         summary(number, ("mean", "median", "min", "max", "sum"))
-    category = best_categorical(profile)
+    category = best_categorical(rows)
     if category:
         top = described.stats(category)["top_values"]
         if top:
             shown = {t["value"]: t["count"] for t in top[:TOP_SHOWN]}
             found.append(Insight("top_values", category, f"Values of {category}", shown))
     if len(kinds["numeric"]) >= 2:
-        summary(best_numeric(profile, exclude=[number]), ("mean", "min", "max"))
+        summary(best_numeric(rows, exclude=[number]), ("mean", "min", "max"))
     return found
 
 
@@ -177,7 +203,7 @@ class Report:
 
     def tables(self) -> dict[str, DataFrame]:
         """Result tables, ready for ``sources.documents.save_results``."""
-        spark = self.described.profile.sparkSession
+        spark = self.described.spark
         tables = {
             "profile": self.described.profile,
             "types": types_frame(spark, self.described.types),

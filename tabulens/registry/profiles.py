@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tabulens.functions import scalars as S
 from tabulens.functions.columns import field_type
-from tabulens.operators.choose import rank_categorical, rank_numeric
+from tabulens.operators.choose import best_categorical as choose_categorical
+from tabulens.operators.choose import best_numeric as choose_numeric
 from tabulens.operators.frequency import value_counts
 from tabulens.operators.profile import (
     date_profile,
+    describe_dataset,
     numeric_profile,
     round_stats,
     sample_rows,
@@ -133,7 +135,7 @@ def profile_top_values_documents(spark, folder):
        UNION ALL SELECT 'p_name', p_name, COUNT(*) FROM part GROUP BY 2""",
 )
 def value_frequencies(spark, folder):
-    return value_counts(table(spark, folder, "part"), ["p_brand", "p_type", "p_name"], "string")
+    return value_counts(table(spark, folder, "part"), ["p_brand", "p_type", "p_name"])
 
 
 def _date_sql(column: str, expression: str, source: str) -> str:
@@ -244,15 +246,9 @@ def dataset_summary(spark, folder):
                - COUNT(priority) - COUNT(o_orderdate) AS m FROM ({GAPPY_ORDERS}))""",
 )
 def dataset_description(spark, folder):
-    described = auto_description(spark, folder)
+    numbers = describe_dataset(describe(gappy_orders(spark, folder)).summary())
     counts = ("column_count", "numeric_count", "categorical_count")
-    return described.withColumns({n: F.col(n).cast("int") for n in counts})
-
-
-def auto_description(spark, folder):
-    from tabulens.operators.profile import describe_dataset
-
-    return describe_dataset(describe(gappy_orders(spark, folder)).summary())
+    return numbers.withColumns({n: F.col(n).cast("int") for n in counts})
 
 
 @query(
@@ -298,7 +294,9 @@ def best_numeric(spark, folder):
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_quantity", "l_linenumber", "l_extendedprice", "l_returnflag"
     )
-    return rounded(rank_numeric(describe(lines).profile).limit(1), score=4)
+    described = describe(lines)
+    chosen = described.profile.where(F.col("column") == choose_numeric(described.rows))
+    return rounded(chosen.select("column", S.variation(F.col("std"), F.col("mean")).alias("score")), score=4)
 
 
 @query(
@@ -309,7 +307,9 @@ def best_numeric(spark, folder):
         WHERE unique_count BETWEEN 2 AND 20 ORDER BY p LIMIT 1""",
 )
 def best_categorical(spark, folder):
-    return rank_categorical(describe(table(spark, folder, "orders")).profile).limit(1)
+    described = describe(table(spark, folder, "orders"))
+    chosen = described.profile.where(F.col("column") == choose_categorical(described.rows))
+    return chosen.select("column", "unique_count")
 
 
 @query(
