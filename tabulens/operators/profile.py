@@ -20,7 +20,7 @@ from tabulens.functions.scalars import (
     total,
 )
 from tabulens.operators.frequency import countable, top_values, value_counts
-from tabulens.operators.quantiles import ACCURACY, QUARTILES, first_brackets, pick, settle, sketch
+from tabulens.operators.quantiles import ACCURACY, QUARTILES, first_brackets, pick, settle
 from tabulens.operators.types import ColumnType, by_kind
 
 TOP_VALUES = 10
@@ -67,12 +67,12 @@ def _moment(df: DataFrame, name: str, fmt: str | None) -> Column:
     return parse_timestamp(col(name), fmt) if fmt else col(name).cast("timestamp_ntz")
 
 
-def _aggregates(df: DataFrame, name: str, fmt: str | None, numeric: bool) -> dict[str, Column]:
+def _aggregates(df: DataFrame, name: str, fmt: str | None = None, approx: bool = False) -> dict[str, Column]:
     """What a single scan can tell about a column."""
     dtype = field_type(df, name)
     missing = is_missing(col(name), dtype)
     found = {"count": F.count_if(~missing), "null_count": F.count_if(missing)}
-    if numeric:
+    if is_numeric(dtype):
         value = nan_to_null(col(name), dtype)
         number = value.cast("double")
         found |= {
@@ -81,9 +81,9 @@ def _aggregates(df: DataFrame, name: str, fmt: str | None, numeric: bool) -> dic
             "min": F.min(value).cast("double"),
             "max": F.max(value).cast("double"),
             "sum": total(value, dtype),
-            "edges": sketch(number, QUARTILES),
-            "approx": F.percentile_approx(number, list(QUARTILES), ACCURACY),
         }
+        if approx:
+            found["quartiles"] = F.percentile_approx(number, list(QUARTILES), ACCURACY)
     elif fmt or is_temporal(dtype):
         ntz = T.TimestampNTZType()
         first, last = (f(_moment(df, name, fmt)) for f in (F.min, F.max))
@@ -98,7 +98,7 @@ def _aggregates(df: DataFrame, name: str, fmt: str | None, numeric: bool) -> dic
 def scan_columns(
     df: DataFrame, columns: Sequence[str], formats: Mapping[str, str], approx: bool = False
 ) -> dict[str, dict[str, Any]]:
-    """Counts, moments, quantile sketches and date ranges of all columns from one scan.
+    """Counts, moments and date ranges of all columns from one scan.
 
     ``formats`` has the layouts of string dates.  Very wide tables are scanned
     once per group of columns, each time reading that group only.
@@ -107,9 +107,7 @@ def scan_columns(
     for group in chunks(columns, _COLUMNS_PER_PASS):
         named = []
         for name in group:
-            numeric = is_numeric(field_type(df, name))
-            stats = _aggregates(df, name, formats.get(name), numeric)
-            stats.pop("edges" if approx else "approx", None)
+            stats = _aggregates(df, name, formats.get(name), approx)
             named += [(name, s, a) for s, a in stats.items()]
         row = df.agg(*[a.alias(f"a{i}") for i, (_, _, a) in enumerate(named)]).first()
         for (name, stat, _), value in zip(named, row):
@@ -122,24 +120,22 @@ def add_quantiles(
 ) -> None:
     """Complete the scanned statistics of numeric columns with quartiles, iqr and mode.
 
-    Exact quartiles and modes take one more scan and one shuffle of the
-    distinct values.  ``approx=True`` takes the sketched quartiles and no mode.
+    Exact quartiles and modes take a scan that shuffles the distinct values,
+    after one that draws a sample.  ``approx=True`` takes the sketched quartiles and no mode.
     """
     columns = list(columns)
     if approx:
-        quartiles = {n: scanned[n].pop("approx") or [None] * 3 for n in columns}
+        quartiles = {n: scanned[n].pop("quartiles") or [None] * 3 for n in columns}
         modes = {}
     else:
         brackets = [
             b
             for i, n in enumerate(columns)
             for b in first_brackets(
-                i, *(scanned[n][s] for s in ("count", "min", "max")), scanned[n].pop("edges"), QUARTILES
+                i, *(scanned[n][s] for s in ("count", "min", "max")), QUARTILES
             )
         ]
-        if any(not b.settled for b in brackets):
-            numbers = [nan_to_null(col(n), field_type(df, n)).cast("double") for n in columns]
-            settle(df.select(*[v.alias(f"v{i}") for i, v in enumerate(numbers)]), brackets)
+        settle(df, columns, brackets)
         found, modes = pick(df, columns, brackets, modes=True)
         quartiles = {n: [found.get((i, j)) for j in range(3)] for i, n in enumerate(columns)}
     for i, name in enumerate(columns):
@@ -166,7 +162,7 @@ def date_profile(df: DataFrame, formats: Mapping[str, str | None]) -> DataFrame:
     rows = []
     aggregates = []
     for i, name in enumerate(names):
-        stats = _aggregates(df, name, formats[name], numeric=False)
+        stats = _aggregates(df, name, formats[name])
         aggregates += [a.alias(f"{s}_{i}") for s, a in stats.items()]
         rows.append(F.struct(F.lit(name).alias("column"), *[F.col(f"{s}_{i}").alias(s) for s in stats]))
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))

@@ -1,11 +1,10 @@
 """Exact interpolated quantiles, and modes, without sorting or collecting a column.
 
-A quantile sketch, part of an aggregate that shuffles one row per task,
-brackets each wanted rank between two values.  Values outside the brackets are
-then only counted, per zone between brackets; values inside are grouped, and
-there are few of them.  On very large tables the brackets first shrink.  The
-final ranks are exact and show whether a sketch missed, so the sketch decides
-about speed, never about the result.
+A sample brackets each wanted rank between two values.  Values outside the
+brackets are then only counted, per zone between brackets; values inside are
+grouped, and there are few of them.  On very large tables the brackets first
+shrink.  All counts cover the whole table, so the ranks are exact and show
+whether a sample missed: it decides about speed, never about the result.
 """
 
 from __future__ import annotations
@@ -24,10 +23,12 @@ from tabulens.functions.scalars import nan_to_null
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-#: Sketch accuracy; a sketched rank is off by at most rows / ACCURACY.
+#: Accuracy of ``percentile_approx``; ranks are off by at most rows / ACCURACY.
 ACCURACY = 10_000
-#: Half width of a bracket, as a share of the rows it is drawn from.
-_MARGIN = 3 / ACCURACY
+#: Rows from which brackets are drawn.
+SAMPLE = 200_000
+#: Half width of a bracket as a share of its rows: six standard errors of a sampled rank.
+_MARGIN = 3 / math.sqrt(SAMPLE) + 2 / ACCURACY
 #: Up to this many rows a column is its own bracket.
 SMALL = 20_000
 #: Rows strictly inside a bracket that may be grouped by value.
@@ -59,43 +60,64 @@ class Bracket:
         self.low, self.high, self.settled = -math.inf, math.inf, True
 
 
-def sketch(value: Column, probabilities: Sequence[float]) -> Column:
-    """Aggregate with the bracket edges of every probability."""
-    edges = [e for p in probabilities for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
-    return F.percentile_approx(value, edges, ACCURACY)
-
-
 def first_brackets(
-    source: int, rows: int, low: float, high: float, edges: Sequence[float], probabilities: Sequence[float]
+    source: int, rows: int, low: float, high: float, probabilities: Sequence[float]
 ) -> list[Bracket]:
-    """Brackets of one column from its aggregates; none for a column without values."""
-    brackets = []
-    for j, p in enumerate(probabilities):
-        if rows == 0:
-            break
-        bracket = Bracket(source, j, p * (rows - 1), rows, low, high)
-        bracket.settled = rows * 2 * _MARGIN <= INSIDE_LIMIT
-        if rows > SMALL:
-            _narrow(bracket, edges[2 * j : 2 * j + 2], p - _MARGIN, p + _MARGIN)
-        brackets.append(bracket)
-    return brackets
-
-
-def _narrow(bracket: Bracket, edges: Sequence[float], start: float, end: float) -> None:
-    """Move to the sketched edges, except beyond either end of the data."""
-    bracket.low = edges[0] if start > 0 else bracket.low
-    bracket.high = edges[1] if end < 1 else bracket.high
-
-
-def settle(values: DataFrame, brackets: Iterable[Bracket]) -> None:
-    """Shrink the brackets of very large columns; ``values`` has the columns ``v0, v1, ...``."""
-    while wide := [b for b in brackets if not b.settled]:
+    """The whole of a column, once per probability; nothing for a column without values."""
+    if rows == 0:
+        return []
+    return [
+        Bracket(source, j, p * (rows - 1), rows, low, high, settled=rows <= SMALL)
+        for j, p in enumerate(probabilities)
+    ]
+
+
+def settle(df: DataFrame, columns: Sequence[str], brackets: Iterable[Bracket]) -> None:
+    """Shrink the brackets of columns that are not small."""
+    wide = [b for b in brackets if not b.settled]
+    if not wide:
+        return
+    values = _numbers(df, columns)
+    _tighten(values, wide)
+    while wide := [b for b in wide if b.rows * 2 * _MARGIN > INSIDE_LIMIT and not b.settled]:
         _count_inside(values, wide)
         wide = [b for b in wide if not b.settled]
         if wide:
             _tighten(values, wide)
 
 
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(
+        *[
+            nan_to_null(col(c), field_type(df, c)).cast("double").alias(f"v{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+
+
+def _tighten(values: DataFrame, brackets: list[Bracket]) -> None:
+    """Move to the edges found in a sample of each bracket's rows."""
+    shared: dict[tuple, list[Bracket]] = {}
+    for b in brackets:
+        shared.setdefault((b.source, b.low, b.high, b.below, b.rows), []).append(b)
+    edges = []
+    for source, low, high, below, rows in shared:
+        v = F.col(f"v{source}")
+        taken = F.when(v.between(low, high) & (F.col("draw") < SAMPLE / rows), v)
+        places = [(b.rank - below) / (rows - 1) for b in shared[source, low, high, below, rows]]
+        wanted = [min(max(p + m, 0.0), 1.0) for p in places for m in (-_MARGIN, _MARGIN)]
+        edges.append(F.percentile_approx(taken, wanted, ACCURACY))
+    most = max(SAMPLE / rows for *_, rows in shared)
+    drawn = values.withColumn("draw", F.rand(seed=1)).where(F.col("draw") < most)
+    row = drawn.agg(*[e.alias(f"edges{i}") for i, e in enumerate(edges)]).first()
+    for found, (group, together) in zip(row, shared.items()):
+        below, rows = group[3:]
+        for j, b in enumerate(together if found else []):
+            place = (b.rank - below) / (rows - 1)
+            b.low = found[2 * j] if place > _MARGIN else b.low
+            b.high = found[2 * j + 1] if place + _MARGIN < 1 else b.high
+
+
 def _count_inside(values: DataFrame, brackets: list[Bracket]) -> None:
     """Accept brackets with few rows strictly inside; give up on those that do not shrink."""
     counts = []
@@ -116,19 +138,6 @@ def _count_inside(values: DataFrame, brackets: list[Bracket]) -> None:
         b.below, b.rows = below, upto - below
 
 
-def _tighten(values: DataFrame, brackets: list[Bracket]) -> None:
-    """Sketch again, on the rows of each bracket only."""
-    sketches, ranges = [], []
-    for k, b in enumerate(brackets):
-        v = F.col(f"v{b.source}")
-        p = (b.rank - b.below) / (b.rows - 1)
-        ranges.append((p - _MARGIN, p + _MARGIN))
-        sketches.append(sketch(F.when(v.between(b.low, b.high), v), [p]).alias(f"edges{k}"))
-    row = values.agg(*sketches).first()
-    for k, b in enumerate(brackets):
-        _narrow(b, row[f"edges{k}"], *ranges[k])
-
-
 def _intervals(brackets: Iterable[Bracket]) -> list[tuple[float, float]]:
     """Brackets of one column as disjoint intervals in order."""
     merged: list[tuple[float, float]] = []
@@ -155,7 +164,7 @@ def _long_form(df: DataFrame, columns: Sequence[str], sources: Sequence[int], ki
         ]
     )
     long = wide.unpivot([], [col(str(i)) for i in sources], "source", "value")
-    return long.where(F.col("value").isNotNull())
+    return long.where(F.col("value").isNotNull()).withColumn("source", F.col("source").cast("int"))
 
 
 def pick(
@@ -177,8 +186,8 @@ def pick(
         return {}, {}
     spark = df.sparkSession
     params = spark.createDataFrame(
-        [(str(b.source), b.probability, b.floor, b.ceil) for b in brackets],
-        "source string, j int, floor bigint, ceil bigint",
+        [(b.source, b.probability, b.floor, b.ceil) for b in brackets],
+        "source int, j int, floor bigint, ceil bigint",
     )
     in_order = W.partitionBy("source").orderBy("zone", "key")
     ranked = reduce(DataFrame.unionAll, parts).withColumn(
@@ -198,7 +207,7 @@ def pick(
     found, missed = {}, []
     by_key = {(b.source, b.probability): b for b in brackets}
     for row in rows:
-        b = by_key[int(row["source"]), row["j"]]
+        b = by_key[row["source"], row["j"]]
         if row["lower"] is None or row["upper"] is None:
             b.widen()
             missed.append(b)
@@ -208,7 +217,7 @@ def pick(
             )
     if missed:
         found |= pick(df, columns, missed)[0]
-    return found, {int(r["source"]): r["mode"] for r in rows} if modes else {}
+    return found, {r["source"]: r["mode"] for r in rows} if modes else {}
 
 
 def _zone_counts(
@@ -220,7 +229,7 @@ def _zone_counts(
         long = long.groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
     number = F.col("value").cast("double")
     zones = [
-        F.when(F.col("source") == str(i), _zone(number, _intervals(b for b in brackets if b.source == i)))
+        F.when(F.col("source") == i, _zone(number, _intervals(b for b in brackets if b.source == i)))
         for i in sources
     ]
     zoned = long.withColumn("zone", F.coalesce(*zones)).withColumn(
@@ -246,23 +255,15 @@ def exact_quantiles(
 
     ``columns`` must be numeric; quantiles of a column without values are NULL.
     """
-    values = df.select(
-        *[
-            nan_to_null(col(c), field_type(df, c)).cast("double").alias(f"v{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    aggregates = []
-    for i in range(len(columns)):
-        v = F.col(f"v{i}")
-        aggregates += [F.count(v), F.min(v), F.max(v), sketch(v, probabilities)]
-    row = values.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)]).first()
+    values = [F.col(f"v{i}") for i in range(len(columns))]
+    aggregates = [f(v) for v in values for f in (F.count, F.min, F.max)]
+    row = _numbers(df, columns).agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)]).first()
     brackets = [
         b
         for i in range(len(columns))
-        for b in first_brackets(i, *row[4 * i : 4 * i + 4], probabilities)
+        for b in first_brackets(i, *row[3 * i : 3 * i + 3], probabilities)
     ]
-    settle(values, brackets)
+    settle(df, columns, brackets)
     found, _ = pick(df, columns, brackets)
     rows = [
         (name, *[found.get((i, j)) for j in range(len(probabilities))])

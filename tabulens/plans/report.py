@@ -94,9 +94,9 @@ def describe(
 ) -> Described:
     """Detect types and compute the profile in few scans.
 
-    One scan covers counts, moments, sketches and date ranges of every column;
-    one more, with a shuffle of distinct values, covers quartiles and modes of
-    the numbers, and another the values of the texts, whose distinct counts
+    One scan covers counts, moments and date ranges of every column.  The
+    numbers are scanned again for a sample and then, with a shuffle of distinct
+    values, for quartiles and modes; the texts once for their values, whose distinct counts
     also decide which texts are categories.  String dates cost a scan of their
     own columns only if a preview leaves candidates.
     """
