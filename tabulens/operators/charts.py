@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from tabulens.functions.columns import col, data_columns, field_type, is_summabl
 from tabulens.functions.scalars import (
     as_number,
     average,
+    is_missing,
     label_text,
     nan_to_null,
     safe_corr,
@@ -75,13 +77,18 @@ class Chart:
         }
 
 
-def present_value(df: DataFrame, name: str) -> Column:
-    return nan_to_null(col(name), field_type(df, name))
+def filled(df: DataFrame, *names: str) -> DataFrame:
+    """Rows that have a value in every named column; NULL tests reach the scan."""
+    return df.where(reduce(and_, [~is_missing(col(n), field_type(df, n)) for n in names]))
+
+
+def number(df: DataFrame, name: str) -> Column:
+    return as_number(col(name), field_type(df, name))
 
 
 def _keyed(df: DataFrame, x: str, *others: Column) -> DataFrame:
     """Rows with a key, narrowed to the columns a chart needs."""
-    return df.select(present_value(df, x).alias("key"), *others).where(F.col("key").isNotNull())
+    return filled(df, x).select(col(x).alias("key"), *others)
 
 
 def _aggregate(df: DataFrame, y: str, how: str) -> Column:
@@ -99,7 +106,7 @@ def group_values(df: DataFrame, x: str, y: str, how: str = "sum") -> DataFrame:
     Rows without a key do not count; an all-missing group sums to 0, has no
     mean, and counts 0.
     """
-    rows = _keyed(df, x, present_value(df, y).alias("value"))
+    rows = _keyed(df, x, nan_to_null(col(y), field_type(df, y)).alias("value"))
     return rows.groupBy("key").agg(_aggregate(df, y, how).alias("y"))
 
 
@@ -138,8 +145,7 @@ def histogram(df: DataFrame, column: str) -> DataFrame | None:
     second counts values at or above each inner edge, so the comparison is
     with the edges themselves and no bin is missing.
     """
-    value = as_number(present_value(df, column), field_type(df, column))
-    values = df.select(value.alias("v")).where(F.col("v").isNotNull())
+    values = filled(df, column).select(number(df, column).alias("v"))
     row = values.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
     if row["n"] < MIN_HISTOGRAM_VALUES:
         return None
@@ -168,13 +174,8 @@ def histogram(df: DataFrame, column: str) -> DataFrame | None:
 
 def scatter_points(df: DataFrame, x: str, y: str, order: Column) -> DataFrame:
     """``x, y`` of the first complete pairs in ingestion order."""
-    pairs = df.select(
-        as_number(present_value(df, x), field_type(df, x)).alias("x"),
-        as_number(present_value(df, y), field_type(df, y)).alias("y"),
-        order.alias("at"),
-    )
-    complete = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return complete.orderBy("at").limit(SCATTER_POINTS).select("x", "y")
+    pairs = filled(df, x, y).select(number(df, x).alias("x"), number(df, y).alias("y"), order.alias("at"))
+    return pairs.orderBy("at").limit(SCATTER_POINTS).select("x", "y")
 
 
 def points_correlation(points: DataFrame) -> DataFrame:

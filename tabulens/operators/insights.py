@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import data_columns, field_type, is_numeric, is_summable
-from tabulens.functions.scalars import as_number, exact_round, percent, safe_corr
-from tabulens.operators.charts import Skipped, group_values, labelled, present_value
+from tabulens.functions.scalars import exact_round, percent, safe_corr
+from tabulens.operators.charts import Skipped, filled, group_values, labelled, number
 
 # Sizes and thresholds of the findings.
 TOP_GROUPS = 5
@@ -60,10 +60,7 @@ def top_groups(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """``correlation, strength, direction`` over all complete pairs."""
-    pairs = df.select(
-        as_number(present_value(df, x), field_type(df, x)).alias("x"),
-        as_number(present_value(df, y), field_type(df, y)).alias("y"),
-    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    pairs = filled(df, x, y).select(number(df, x).alias("x"), number(df, y).alias("y"))
     r = F.col("correlation")
     return (
         pairs.agg(exact_round(safe_corr(F.col("x"), F.col("y")), 3).alias("correlation"))
@@ -132,9 +129,9 @@ def insights_frame(spark: SparkSession, insights: list[Insight]) -> DataFrame:
     rows = []
     for position, insight in enumerate(insights, 1):
         for key, value in insight.data.items():
-            number = float(value) if isinstance(value, (int, float)) else None
+            figure = float(value) if isinstance(value, (int, float)) else None
             text = value if isinstance(value, str) else None
-            rows.append((position, insight.type, insight.column, insight.title, key, number, text))
+            rows.append((position, insight.type, insight.column, insight.title, key, figure, text))
     return spark.createDataFrame(
         rows,
         "position int, type string, column string, title string, key string, number double, text string",

@@ -1,0 +1,217 @@
+import pytest
+
+from tabulens.operators.choose import best_categorical, best_numeric
+from tabulens.operators.insights import (
+    Insight,
+    correlation,
+    insights_frame,
+    run_analyses,
+    top_groups,
+    top_up,
+    trend,
+)
+from tabulens.operators.types import ColumnType
+from tabulens.plans.report import Described, analyze, basic_insights, describe
+from tabulens.plans.suggest import suggest_instructions
+
+
+def frame(spark, rows, schema="x string, y double"):
+    return spark.createDataFrame(rows, schema)
+
+
+def change(spark, *totals):
+    rows = trend(frame(spark, [(chr(97 + i), t) for i, t in enumerate(totals)]), "x", "y").collect()
+    return [(r["change_percent"], r["direction"]) for r in rows]
+
+
+def test_trend(spark):
+    assert change(spark, 200.0, 5.0, 250.5) == [(25.2, "increased")]
+    assert change(spark, 200.0, 150.0) == [(-25.0, "decreased")]
+    assert change(spark, -100.0, -150.0) == [(50.0, "increased")]
+    assert change(spark, 0.0, 10.0) == [(0.0, "decreased")]
+    assert change(spark, 4.0, 4.0) == [(0.0, "decreased")]
+    assert change(spark, 4.0) == []
+
+
+def test_trend_sums_before_comparing(spark):
+    df = frame(spark, [("a", 1.0), ("a", 3.0), ("b", 6.0), (None, 100.0), ("c", None)])
+    assert trend(df, "x", "y").first()["change_percent"] == -100.0
+
+
+def test_top_groups(spark):
+    df = frame(spark, [(k, v) for k, v in zip("abcdefg", [1.0, 7.0, 3.0, 3.0, None, 9.0, -1.0])])
+    assert [tuple(r) for r in top_groups(df, "x", "y").collect()] == [
+        ("f", 9.0), ("b", 7.0), ("c", 3.0), ("d", 3.0), ("a", 1.0),
+    ]
+
+
+def test_correlation_uses_complete_pairs(spark):
+    rows = [(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (100.0, None), (None, 5.0), (float("nan"), -9.0)]
+    assert tuple(correlation(frame(spark, rows, "x double, y double"), "x", "y").first()) == (1.0, "strong", "positive")
+
+
+def test_constant_column_has_no_correlation(spark):
+    rows = [(1.0, 2.0), (1.0, 4.0)]
+    assert tuple(correlation(frame(spark, rows, "x double, y double"), "x", "y").first()) == (None, "weak", "negative")
+
+
+@pytest.mark.parametrize(
+    "analysis, outcome",
+    [
+        ({"type": "trend", "columns": ["x"]}, "none"),
+        ({"type": "trend", "columns": ["gone", "x"]}, "none"),
+        ({"type": "trend", "columns": ["y", "x"]}, "skipped"),
+        ({"type": "groupby", "columns": ["y", "x"]}, "skipped"),
+        ({"type": "correlation", "columns": ["x", "y"]}, "none"),
+        ({"type": "correlation", "columns": ["b", "y"]}, "none"),
+        ({"type": "top_n", "columns": ["x", "y"]}, "none"),
+        ({"columns": ["x", "y"]}, "none"),
+        ({"type": "trend"}, "none"),
+        ({"type": "trend", "columns": ["gone", "x", "y"]}, "found"),
+        ({"type": "groupby", "columns": ["x", "b"]}, "found"),
+        ({"type": "correlation", "columns": ["y", "y"]}, "found"),
+    ],
+)
+def test_dispatch(spark, analysis, outcome):
+    df = frame(spark, [("a", 1.0, True), ("b", 2.0, False)], "x string, y double, b boolean")
+    found, skipped = run_analyses(df, [analysis])
+    assert (len(found), len(skipped)) == {"none": (0, 0), "skipped": (0, 1), "found": (1, 0)}[outcome]
+
+
+def test_top_up():
+    stats, other = Insight("stats", "a", ""), Insight("stats", "b", "")
+    trend_of = Insight("trend", None, "")
+    assert top_up([trend_of], [stats, other]) == [trend_of, stats, other]
+    assert top_up([stats], [stats, other]) == [stats, other]
+    assert top_up([trend_of, trend_of], [stats]) == [trend_of, trend_of]
+
+
+def test_insights_frame(spark):
+    rows = insights_frame(spark, [Insight("trend", None, "t", {"change_percent": 2.5, "direction": "increased"})]).collect()
+    assert [(r["key"], r["number"], r["text"]) for r in rows] == [("change_percent", 2.5, None), ("direction", None, "increased")]
+
+
+# Fixed values: (mean, std) and distinct counts recorded for three datasets.
+SALES = {
+    "Sales": (4406.9117, 3384.0017), "Quantity": (5.5533, 2.9067), "Price": (813.3464, 391.1788),
+    "Customer_Age": (42.8867, 13.1694), "Discount": (0.1484, 0.0831), "Profit": (217.4019, 498.8193),
+}
+SCHOOL = {
+    "Age": (14.5167, 2.276), "Math_Score": (69.2267, 17.8778), "English_Score": (70.3633, 17.7517),
+    "Science_Score": (68.15, 18.4377), "Attendance": (84.3267, 8.9983), "Parent_Income": (1050.1033, 508.6678),
+    "Average_Score": (69.2465, 10.1603),
+}
+WIDE = {
+    "Col_1": (21816.1287, 140475.3815), "Col_2": (20538.7575, 134347.4264), "Col_3": (23816.2837, 133979.1943),
+    "Col_4": (24958.5625, 132743.9935), "Col_5": (21076.725, 132978.1234), "Col_6": (26914.0725, 134657.9935),
+    "Col_7": (25314.3425, 131722.3876), "Col_8": (18086.6387, 128180.5363), "Col_9": (22336.4525, 124391.664),
+    "Col_10": (26109.0125, 130216.8284), "Col_11": (25637.495, 127385.4955), "Col_12": (18669.77, 122180.2915),
+    "Col_13": (18135.665, 121983.0534), "Col_14": (24974.0713, 132699.3286), "Col_15": (23854.3787, 138912.2406),
+    "Col_16": (22905.495, 131892.1502), "Col_17": (21855.7612, 126185.1157), "Col_18": (26032.1662, 140450.0463),
+    "Col_19": (22600.4325, 129850.1444), "Col_20": (24676.7388, 124319.6045),
+}
+SALES_VALUES = {"Date": 204, "Region": 4, "Product": 5, "Category": 2, "Order_ID": 300}
+SCHOOL_VALUES = {"Student_ID": 300, "Name": 10, "Gender": 2, "Class": 5}
+
+
+def numeric_rows(stats):
+    return [{"column": n, "type": "float", "mean": m, "std": s} for n, (m, s) in stats.items()]
+
+
+@pytest.mark.parametrize(
+    "stats, first, second",
+    [(SALES, "Profit", "Sales"), (SCHOOL, "Parent_Income", "Science_Score"), (WIDE, "Col_8", "Col_13")],
+)
+def test_recorded_choices_of_numbers(stats, first, second):
+    rows = numeric_rows(stats)
+    assert best_numeric(rows) == first
+    assert best_numeric(rows, exclude=[first]) == second
+
+
+@pytest.mark.parametrize("values, chosen", [(SALES_VALUES, "Region"), (SCHOOL_VALUES, "Name")])
+def test_recorded_choices_of_categories(values, chosen):
+    assert best_categorical([{"column": n, "type": "text", "unique_count": u} for n, u in values.items()]) == chosen
+
+
+def test_recorded_mean_is_rounded_on_its_exact_value(spark):
+    """The recorded mean of 17452903 / 800 is 21816.1287, although its shortest text ends in 75."""
+    df = spark.range(800).selectExpr("bigint(if(id = 0, 17452903, 0)) as v")
+    assert describe(df).stats("v")["mean"] == 21816.1287
+
+
+def test_best_numeric_rules():
+    assert best_numeric([]) is None
+    assert best_numeric(numeric_rows({"id": (1, 9), "num": (1, 99)})) == "id"
+    assert best_numeric(numeric_rows({"width": (1, 9), "price": (1, 0.1)})) == "price"
+    assert best_numeric(numeric_rows({"a": (2, 1), "b": (4, 2)})) == "a"
+    assert best_numeric(numeric_rows({"a": (-1, 5), "b": (-2, 4)})) == "a"
+    assert best_numeric(numeric_rows({"a": (-1, 5), "b": (0, 4)})) == "b"
+    assert best_numeric(numeric_rows({"a": (0.00004, 5), "b": (None, None)})) == "a"
+    assert best_numeric(numeric_rows({"ID": (1, 9), "b": (-1, 3)})) == "ID"
+
+
+def test_best_categorical_rules():
+    def rows(*columns):
+        return [{"column": c, "type": t, "unique_count": u} for c, t, u in columns]
+
+    assert best_categorical(rows(("t", "text", 5), ("c", "categorical", 4))) == "c"
+    assert best_categorical(rows(("t", "text", 20), ("c", "categorical", 21))) == "t"
+    assert best_categorical(rows(("t", "text", 1), ("d", "date", 5), ("n", "text", None))) is None
+    assert best_categorical(rows(("b", "boolean", 2), ("t", "text", 5))) == "b"
+
+
+def column(i, name, kind):
+    return ColumnType(i, name, "x", kind, kind in ("integer", "float"), kind == "date", kind == "categorical")
+
+
+def test_suggestions_cover_each_kind():
+    types = [column(i, n, k) for i, (n, k) in enumerate([("d", "date"), ("c", "categorical"), ("a", "float"), ("b", "integer")])]
+    wanted = suggest_instructions(types, 10)
+    assert [(c["id"], c["type"], c["x"], c["y"], c["aggregation"]) for c in wanted["charts"]] == [
+        ("chart_1", "line", "d", "a", "sum"), ("chart_2", "bar", "c", "a", "sum"), ("chart_3", "scatter", "a", "b", "none"),
+    ]
+    assert [(a["type"], a["columns"]) for a in wanted["analyses"]] == [("trend", ["d", "a"]), ("groupby", ["c", "a"])]
+    assert [i["id"] for i in wanted["insights"]] == [f"insight_{i}" for i in (1, 2, 3, 4)]
+
+
+def test_texts_and_numbers_give_one_scatter():
+    """The shape recorded for datasets whose strings were all text."""
+    types = [column(0, "Name", "text"), column(1, "Age", "integer"), column(2, "Score", "float")]
+    wanted = suggest_instructions(types)
+    assert [c["type"] for c in wanted["charts"]] == ["scatter"] and wanted["analyses"] == []
+    assert [i["id"] for i in wanted["insights"]] == ["insight_3", "insight_4"]
+    assert suggest_instructions([column(0, "t", "text")])["charts"] == []
+
+
+def test_basic_insights_of_recorded_profile(spark):
+    rows = [
+        {"column": "Region", "type": "text", "unique_count": 4, "null_count": 0, "count": 300,
+         "top_values": [{"value": v, "count": c, "pct": p} for v, c, p in
+                        [("West", 87, 29.0), ("East", 79, 26.3), ("North", 73, 24.3), ("South", 61, 20.3)]]},
+        {"column": "Sales", "type": "float", "mean": 4406.9117, "std": 3384.0017, "median": 1.0, "min": 162.39, "max": 13475.7, "sum": 2.0},
+        {"column": "Profit", "type": "float", "mean": 217.4019, "std": 498.8193, "median": 123.485, "min": -1034.29, "max": 2542.04, "sum": 65220.58},
+    ]
+    types = [column(0, "Region", "text"), column(1, "Sales", "float"), column(2, "Profit", "float")]
+    found = basic_insights(Described(spark, types, rows, 300))
+    assert [(i.type, i.column, i.data) for i in found] == [
+        ("stats", "Profit", {"mean": 217.4019, "median": 123.485, "min": -1034.29, "max": 2542.04, "sum": 65220.58}),
+        ("top_values", "Region", {"West": 87, "East": 79, "North": 73, "South": 61}),
+        ("stats", "Sales", {"mean": 4406.9117, "min": 162.39, "max": 13475.7}),
+    ]
+
+
+def test_analysis_follows_instructions(spark):
+    df = spark.range(100).selectExpr("concat('m', id % 4) as month", "double(id) as sales", "id % 2 as kind")
+    report = analyze(
+        df,
+        {
+            "charts": [{"type": "bar", "x": "month", "y": "sales"}],
+            "analyses": [{"type": "groupby", "description": "top", "columns": ["month", "sales"]}, {"type": "trend", "columns": ["month", "kind"]}],
+        },
+        dataset_id="d",
+    )
+    assert [i.type for i in report.insights] == ["groupby", "trend"]
+    document = report.document()
+    assert document["dataset_id"] == "d"
+    assert document["insights"][0]["data"] == {"m3": 1275.0, "m2": 1250.0, "m1": 1225.0, "m0": 1200.0}
+    assert document["explanations"][0]["row_count"] == 100 and len(document["explanations"]) == 2
