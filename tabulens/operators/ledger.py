@@ -69,27 +69,36 @@ def _openings(placed: DataFrame, user: str, amount: str, start: int) -> DataFram
         .select(col(user))
     )
     shared = placed.select(_PART, col(user), col(amount)).join(F.broadcast(spread), user)
-    # No balance of the user can exceed the start plus all credits.
-    highest = shared.groupBy(col(user)).agg(
+    # No balance of the user can exceed the start plus all credits, and from the
+    # sum of a stretch's debits upwards all its moves apply.
+    highest = shared.groupBy(col(user).alias("user")).agg(
         (F.sum(F.greatest(col(amount), F.lit(0))) + start).cast("bigint").alias("highest")
     )
-    stretches = shared.join(F.broadcast(highest), user).select(
-        F.col(_PART).alias("part"), col(user).alias("user"), col(amount).alias("amount"), "highest"
+    totals = shared.groupBy(F.col(_PART).alias("part"), col(user).alias("user")).agg(
+        F.sum(F.greatest(-col(amount), F.lit(0))).alias("debits"), F.sum(col(amount)).alias("net")
     )
+    # Fewer users than partitions, and at most two stretches per partition.
+    limits = totals.join(F.broadcast(highest), "user").select(
+        "part", "user", "net", F.least("highest", "debits").cast("bigint").alias("top")
+    )
+    stretches = shared.select(
+        F.col(_PART).alias("part"), col(user).alias("user"), col(amount).alias("amount")
+    ).join(F.broadcast(limits), ["part", "user"])
     user_type = placed.schema[user].dataType
-    tables = stretches.mapInArrow(
+    tables = stretches.select("part", "user", "amount", "net", "top").mapInArrow(
         _summarise(),
         T.StructType(
             [
                 T.StructField("part", T.IntegerType()),
                 T.StructField("user", user_type),
+                T.StructField("net", T.LongType()),
                 T.StructField("closing", T.ArrayType(T.LongType())),
             ]
         ),
     )
     # One table per partition and user.
     chained = tables.groupBy("user").agg(
-        F.array_sort(F.collect_list(F.struct("part", "closing"))).alias("stretches")
+        F.array_sort(F.collect_list(F.struct("part", "net", "closing"))).alias("stretches")
     )
     opening = F.aggregate(
         "stretches",
@@ -98,7 +107,11 @@ def _openings(placed: DataFrame, user: str, amount: str, start: int) -> DataFram
             F.array().cast("array<struct<part:int,opening:bigint>>").alias("seen"),
         ),
         lambda state, s: F.struct(
-            F.get(s["closing"], state["balance"].cast("int")).alias("balance"),
+            F.when(
+                state["balance"] < F.size(s["closing"]), F.get(s["closing"], state["balance"].cast("int"))
+            )
+            .otherwise(state["balance"] + s["net"])
+            .alias("balance"),
             F.concat(
                 state["seen"],
                 F.array(F.struct(s["part"].alias("part"), state["balance"].alias("opening"))),
@@ -112,30 +125,33 @@ def _openings(placed: DataFrame, user: str, amount: str, start: int) -> DataFram
 
 
 def _summarise():
-    """Closing balance for every possible opening balance, per run of one user's rows."""
+    """Closing balance for opening balances 0 to ``top``, per run of one user's rows."""
 
     def summarise(batches):
         import numpy as np
         import pyarrow as pa
 
-        stretch = None  # (part, user)
+        stretch = None  # (part, user, net)
         balances = place = None  # distinct balances, and which one each opening leads to
 
         def closed():
-            table = pa.array([balances[place].tolist()], pa.list_(pa.int64()))
-            part, user = pa.array([stretch[0]], pa.int32()), pa.array([stretch[1]], user_type)
-            return pa.RecordBatch.from_arrays([part, user, table], ["part", "user", "closing"])
+            part, user, net = stretch
+            columns = {
+                "part": pa.array([part], pa.int32()),
+                "user": pa.array([user], user_type),
+                "net": pa.array([net], pa.int64()),
+                "closing": pa.array([balances[place].tolist()], pa.list_(pa.int64())),
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
             user_type = batch.column("user").type
-            rows = zip(*(batch.column(c).to_pylist() for c in ("part", "user", "amount", "highest")))
-            for part, user, amount, highest in rows:
-                if (part, user) != stretch:
+            for part, user, amount, net, top in zip(*(c.to_pylist() for c in batch.columns)):
+                if (part, user, net) != stretch:
                     if stretch is not None:
                         yield closed()
-                    stretch, steps = (part, user), 0
-                    balances = np.arange(highest + 1)
-                    place = np.arange(highest + 1)
+                    stretch, steps = (part, user, net), 0
+                    balances = place = np.arange(top + 1)
                 balances = np.where(balances + amount >= 0, balances + amount, balances)
                 steps += 1
                 if steps % 64 == 0 and len(balances) > 1:

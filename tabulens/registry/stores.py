@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabulens.functions.storage import new_folder
 from tabulens.operators.charts import bar_chart, line_chart
 from tabulens.operators.clean import clean_table
+from tabulens.plans.check import validate_file
 from tabulens.plans.report import describe
 from tabulens.registry.base import CLEAN_ORDERS, gappy_orders, query, sql_iso, sql_round, table
 from tabulens.sources.csv import read_csv
@@ -38,6 +39,36 @@ def csv_scan(spark, folder):
     return read_csv(spark, path, position=False)
 
 
+_BLANKED = """SELECT ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) AS place,
+    CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey END AS k,
+    NULLIF(o_orderpriority, '5-LOW') AS priority FROM orders"""
+
+
+@query(
+    "validate_csv",
+    f"""WITH s AS ({_BLANKED}), f AS (SELECT MIN(place) AS first FROM s WHERE k IS NULL),
+        a AS (SELECT COUNT(*) AS n FROM s, f WHERE place > first AND k IS NOT NULL),
+        m AS (SELECT {sql_round('(3 * COUNT(*) - 2 * COUNT(k)) * 1.0 / (3 * COUNT(*))', 4)} AS pct FROM s)
+        SELECT 'stacked_tables' AS "check", 'error' AS severity, CAST(n AS DOUBLE) AS metric FROM a WHERE n > 1
+        UNION ALL SELECT 'side_by_side_tables', 'error', 1.0
+        UNION ALL SELECT 'missing_cells', 'error', pct FROM m WHERE pct > 0.05
+        UNION ALL SELECT 'unnamed_columns', 'warning', 1.0
+        UNION ALL SELECT 'duplicate_columns', 'error', 1.0""",
+)
+def validate_csv(spark, folder):
+    """Orders as a file with blank rows, a blank column and a repeated name."""
+    orders = table(spark, folder, "orders")
+    filled = F.col("o_orderpriority") != "5-LOW"
+    path = new_folder(spark, "blanked") + ".csv"
+    lines = orders.orderBy("o_orderdate", "o_orderkey").select(
+        F.when(filled, F.col("o_orderkey").cast("string")).alias("k"),
+        F.lit(None).cast("string").alias(" "),
+        F.when(filled, F.col("o_orderpriority")).alias("K"),
+    )
+    lines.toDF("k", " ", "k").write.csv(path, header=True, ignoreTrailingWhiteSpace=True)
+    return validate_file(spark, path).checks_frame(spark).drop("detail")
+
+
 @query(
     "dataset_store",
     f"""SELECT o_orderkey, {sql_round('price', 2)} AS price, status, priority, {sql_iso('o_orderdate')} AS o_orderdate

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tabulens.functions.columns import col, data_columns, data_fields, is_temporal
@@ -26,7 +27,8 @@ def save_dataset(
 ) -> str:
     """Write ``<path>/data`` and a one-line ``<path>/meta``; rows stay on the executors.
 
-    The JSON form holds timestamps as ISO text, the Parquet form keeps types.
+    An earlier dataset at the path is replaced.  The JSON form holds timestamps
+    as ISO text, the Parquet form keeps types.
     """
     rows = normalise_missing(df.select(*[col(n) for n in data_columns(df)]))
     if fmt == "json":
@@ -36,12 +38,12 @@ def save_dataset(
                 for f in data_fields(rows)
             ]
         )
-    rows.write.mode("errorifexists").option("ignoreNullFields", "false").format(fmt).save(f"{path}/data")
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").format(fmt).save(f"{path}/data")
     created = datetime.now(timezone.utc).replace(tzinfo=None).isoformat() + "Z"
     meta = {**metadata, "cleaning_report": cleaning, "format": fmt, "created_at": created}
     spark = df.sparkSession
     line = spark.createDataFrame([(json.dumps(meta, ensure_ascii=False, default=str),)], "value string")
-    line.coalesce(1).write.mode("errorifexists").text(f"{path}/meta")
+    line.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return path
 
 
@@ -82,13 +84,17 @@ def _in_order(rows: DataFrame, meta: dict[str, Any]) -> DataFrame:
 
 
 def save_results(tables: dict[str, DataFrame], dataset_id: str, path: str) -> str:
-    """Append result tables below ``path``, one folder each, partitioned by dataset."""
+    """Write result tables below ``path``, one folder each, replacing the dataset's partition."""
     for name, table in tables.items():
         tagged = table.withColumn("dataset_id", F.lit(dataset_id))
-        tagged.write.mode("append").partitionBy("dataset_id").parquet(f"{path}/{name}")
+        writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("dataset_id").parquet(f"{path}/{name}")
     return path
 
 
 def load_results(spark: SparkSession, path: str, name: str, dataset_id: str) -> DataFrame:
-    table = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
-    return table.where(F.col("dataset_id").cast("string") == dataset_id)
+    """Result rows of one dataset; only its partition is read."""
+    found = spark.read.parquet(f"{path}/{name}").drop("dataset_id").schema
+    # Without a schema an identifier such as 007 would be read as a number.
+    schema = T.StructType([*found.fields, T.StructField("dataset_id", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{path}/{name}").where(F.col("dataset_id") == dataset_id)

@@ -38,6 +38,21 @@ def normal_form(columns: list[str], rows) -> list[tuple[str, ...]]:
     return sorted(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+def _family(name: str) -> str:
+    """Type family of a Spark or DuckDB type name."""
+    name = str(name).lower()
+    for family, parts in {
+        "number": ("tinyint", "smallint", "bigint", "hugeint", "integer", "int", "number"),
+        "real": ("double", "float", "decimal"),
+        "text": ("string", "varchar"),
+        "bool": ("bool",),
+        "time": ("timestamp", "date"),
+    }.items():
+        if name.startswith(parts):
+            return family
+    return name
+
+
 def differences(spark, connection, query, sql: str, folder: str) -> list[str]:
     """Empty when columns, row count and every value agree."""
     frame = query(spark, folder)
@@ -47,6 +62,10 @@ def differences(spark, connection, query, sql: str, folder: str) -> list[str]:
     expected = normal_form(columns, cursor.fetchall())
     if sorted(frame.columns) != sorted(columns):
         return [f"columns {sorted(frame.columns)} != {sorted(columns)}"]
+    kinds = {d[0]: _family(d[1]) for d in cursor.description}
+    wrong = [f"{n}: {t} != {kinds[n]}" for n, t in frame.dtypes if _family(t) != kinds[n]]
+    if wrong:
+        return wrong
     if len(actual) != len(expected):
         return [f"{len(actual)} rows != {len(expected)}"]
     return [f"{a} != {e}" for a, e in zip(actual, expected) if a != e][:3]

@@ -7,6 +7,7 @@ import pytest
 from tabulens.functions.columns import POSITION
 from tabulens.functions.storage import cut_lineage, shared_folder
 from tabulens.operators.clean import clean_table
+from tabulens.plans.check import validate_file
 from tabulens.plans.ingest import ingest
 from tabulens.plans.report import analyze
 from tabulens.sources.csv import read_csv, read_header, read_table
@@ -152,3 +153,42 @@ def test_cut_lineage_keeps_rows_and_partitions(spark):
 def test_clean_after_scan_keeps_position(spark, tmp_path):
     frame = clean_table(read_csv(spark, write(tmp_path, "a,b\n1,x\n2,\n3,z\n"))).frame
     assert [r["a"] for r in frame.orderBy(POSITION).collect()] == [1, 3]
+
+
+def test_results_are_replaced_not_repeated(spark, tmp_path):
+    path = str(tmp_path / "results")
+    for value in (1, 2):
+        for name in ("007", "8"):
+            save_results({"numbers": spark.createDataFrame([(value,)], "v int")}, name, path)
+    assert [r["v"] for r in load_results(spark, path, "numbers", "007").collect()] == [2]
+    assert load_results(spark, path, "numbers", "7").count() == 0
+
+
+def test_dataset_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "d")
+    for value in (1, 2):
+        save_dataset(spark.createDataFrame([(value,)], "v int"), {"columns": ["v"]}, {}, path)
+    assert [r["v"] for r in load_dataset(spark, path)[0].collect()] == [2]
+
+
+@pytest.mark.parametrize(
+    "text, errors, warnings",
+    [
+        ("a,b\n1,2\n3,4\n", [], []),
+        ("a,b\n", ["empty_table"], []),
+        ("a,a\n1,2\n", ["duplicate_columns"], []),
+        ("a,,b\n1,2,3\n", [], ["unnamed_columns"]),
+        ("a,b\n1,2\n,\n3,4\n5,6\n", ["stacked_tables", "missing_cells"], []),
+        ("a,b\n1,2\n3,4\nNA,null\n", [], ["empty_rows"]),
+        ("a,b,c\n1,,2\n3,,4\n", ["side_by_side_tables", "missing_cells"], []),
+    ],
+)
+def test_file_validation(spark, tmp_path, text, errors, warnings):
+    found = validate_file(spark, write(tmp_path, text))
+    assert (found.errors, found.warnings) == (errors, warnings)
+
+
+def test_files_that_cannot_be_validated(spark, tmp_path):
+    assert validate_file(spark, str(tmp_path / "absent.csv")).errors == ["unreadable"]
+    assert validate_file(spark, write(tmp_path, "", "blank.csv")).errors == ["unreadable"]
+    assert validate_file(spark, "book.xlsx").errors == ["unsupported_format"]
