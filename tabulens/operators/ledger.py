@@ -4,9 +4,9 @@ Because a refused debit leaves the balance as it was, a balance is not a
 running sum.  Yet the effect of a stretch of moves is a function of the
 balance before it, and such functions can be chained.  Rows are therefore
 range-partitioned by user and time, which spreads a user with very many moves
-over several partitions; each stretch of such a user is summarised as a table
-from opening to closing balance, the tables are chained, and every partition
-is replayed from its opening balance.
+over several partitions; each stretch of such a user is summarised as a function
+from opening to closing balance, the functions are chained, and every
+partition is replayed from its opening balance.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def balance_ledger(
     """
     valid = moves.where(col(user).isNotNull() & col(amount).isNotNull())
     keys = [col(user), *[col(c) for c in order_by]]
-    # Two passes must see the same partitions, hence the checkpoint.
+    # All passes must see the same partitions, hence the checkpoint.
     placed = cut_lineage(valid.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn(
         _PART, F.spark_partition_id()
     )
@@ -69,100 +69,170 @@ def _openings(placed: DataFrame, user: str, amount: str, start: int) -> DataFram
         .select(col(user))
     )
     shared = placed.select(_PART, col(user), col(amount)).join(F.broadcast(spread), user)
-    # No balance of the user can exceed the start plus all credits, and from the
-    # sum of a stretch's debits upwards all its moves apply.
-    highest = shared.groupBy(col(user).alias("user")).agg(
+    # No balance of the user can exceed the start plus all credits.
+    highest = shared.groupBy(col(user)).agg(
         (F.sum(F.greatest(col(amount), F.lit(0))) + start).cast("bigint").alias("highest")
     )
-    totals = shared.groupBy(F.col(_PART).alias("part"), col(user).alias("user")).agg(
-        F.sum(F.greatest(-col(amount), F.lit(0))).alias("debits"), F.sum(col(amount)).alias("net")
+    stretches = shared.join(F.broadcast(highest), user).select(
+        F.col(_PART).alias("part"), col(user).alias("user"), col(amount).alias("amount"), "highest"
     )
-    # Fewer users than partitions, and at most two stretches per partition.
-    limits = totals.join(F.broadcast(highest), "user").select(
-        "part", "user", "net", F.least("highest", "debits").cast("bigint").alias("top")
-    )
-    stretches = shared.select(
-        F.col(_PART).alias("part"), col(user).alias("user"), col(amount).alias("amount")
-    ).join(F.broadcast(limits), ["part", "user"])
-    user_type = placed.schema[user].dataType
-    tables = stretches.select("part", "user", "amount", "net", "top").mapInArrow(
+    who = T.StructField("user", placed.schema[user].dataType)
+    runs = T.ArrayType(T.LongType())
+    summaries = stretches.mapInArrow(
         _summarise(),
         T.StructType(
             [
                 T.StructField("part", T.IntegerType()),
-                T.StructField("user", user_type),
+                who,
                 T.StructField("net", T.LongType()),
-                T.StructField("closing", T.ArrayType(T.LongType())),
+                T.StructField("below", T.LongType()),
+                T.StructField("unit", T.LongType()),
+                *[T.StructField(n, runs) for n in ("starts", "values", "slopes")],
             ]
         ),
     )
-    # One table per partition and user.
-    chained = tables.groupBy("user").agg(
-        F.array_sort(F.collect_list(F.struct("part", "net", "closing"))).alias("stretches")
-    )
-    opening = F.aggregate(
-        "stretches",
-        F.struct(
-            F.lit(start).cast("bigint").alias("balance"),
-            F.array().cast("array<struct<part:int,opening:bigint>>").alias("seen"),
-        ),
-        lambda state, s: F.struct(
-            F.when(
-                state["balance"] < F.size(s["closing"]), F.get(s["closing"], state["balance"].cast("int"))
-            )
-            .otherwise(state["balance"] + s["net"])
-            .alias("balance"),
-            F.concat(
-                state["seen"],
-                F.array(F.struct(s["part"].alias("part"), state["balance"].alias("opening"))),
-            ).alias("seen"),
-        ),
-        lambda state: state["seen"],
+    # A group has one row per partition of the user.
+    openings = summaries.groupBy("user").applyInArrow(
+        _chain(start),
+        T.StructType([T.StructField("part", T.IntegerType()), who, T.StructField("opening", T.LongType())]),
     )
-    return chained.select("user", F.explode(opening).alias("o")).select(
-        F.col("o.part").alias(_PART), F.col("user").alias(user), F.col("o.opening").alias(_OPENING)
+    return openings.select(
+        F.col("part").alias(_PART), F.col("user").alias(user), F.col("opening").alias(_OPENING)
     )
 
 
 def _summarise():
-    """Closing balance for opening balances 0 to ``top``, per run of one user's rows."""
+    """Closing balance as a function of the opening one, per run of one user's rows.
+
+    From ``below`` upwards every move applies, so the balance changes by
+    ``net``.  Lower openings that reach the same balance stay together from
+    then on, so only the distinct balances are moved, and openings point to
+    them.  If all amounts are multiples of ``unit``, so are the differences
+    that matter, and the function is kept per unit, as runs of slope 0 or 1.
+    """
 
     def summarise(batches):
+        import math
+
         import numpy as np
         import pyarrow as pa
 
-        stretch = None  # (part, user, net)
-        balances = place = None  # distinct balances, and which one each opening leads to
+        class Stretch:
+            def __init__(self, part, user, highest):
+                self.key, self.highest = (part, user), highest
+                self.net = self.below = self.unit = 0
+                self.parent = np.arange(1024)  # opening -> an opening it has met
+                self.members = np.empty(0, np.int64)  # openings that stand for the rest
+                self.balances = np.empty(0, np.int64)
+                self.merge_at = 128
 
-        def closed():
-            part, user, net = stretch
-            columns = {
-                "part": pa.array([part], pa.int32()),
-                "user": pa.array([user], user_type),
-                "net": pa.array([net], pa.int64()),
-                "closing": pa.array([balances[place].tolist()], pa.list_(pa.int64())),
-            }
-            return pa.RecordBatch.from_pydict(columns)
+            def move(self, amount):
+                self.unit = math.gcd(self.unit, amount)
+                if amount >= 0:
+                    self.balances = self.balances + amount
+                    self.net += amount
+                    return
+                self.balances = np.where(self.balances + amount >= 0, self.balances + amount, self.balances)
+                below = min(-amount - self.net, self.highest + 1)
+                if below > self.below:  # openings that are refused for the first time
+                    refused = np.arange(self.below, below)
+                    self.members = np.concatenate([self.members, refused])
+                    self.balances = np.concatenate([self.balances, refused + self.net])
+                    self.below = below
+                    if below > len(self.parent):
+                        more = np.arange(len(self.parent), 2 * below)
+                        self.parent = np.concatenate([self.parent, more])
+                self.net += amount
+                if len(self.members) > self.merge_at:
+                    self.merge()
+
+            def merge(self):
+                self.balances, first, group = np.unique(
+                    self.balances, return_index=True, return_inverse=True
+                )
+                self.parent[self.members] = self.members[first][group]
+                self.members = self.members[first]
+                self.merge_at = 2 * len(self.members) + 128
 
+            def closings(self):
+                root = self.parent[: self.below]
+                while not np.array_equal(root, self.parent[root]):
+                    root = self.parent[root]
+                balance = np.zeros(self.below, np.int64)
+                balance[self.members] = self.balances
+                return balance[root]
+
+            def summary(self, user_type):
+                unit = self.unit or 1
+                values = self.closings()[::unit] // unit
+                steps = np.diff(values)
+                straight = (steps == 0) | (steps == 1)
+                breaks = ~straight
+                breaks[1:] |= steps[1:] != steps[:-1]
+                starts = np.concatenate([[0], np.flatnonzero(breaks) + 1])[: len(values)].astype(np.int64)
+                ends = np.append(starts[1:], len(values))
+                slopes = np.zeros(len(starts), np.int64)
+                longer = ends - starts > 1
+                slopes[longer] = steps[starts[longer]]
+                (part, user), lists = self.key, pa.list_(pa.int64())
+                return pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array([part], pa.int32()),
+                        "user": pa.array([user], user_type),
+                        "net": pa.array([self.net], pa.int64()),
+                        "below": pa.array([self.below], pa.int64()),
+                        "unit": pa.array([unit], pa.int64()),
+                        "starts": pa.array([starts.tolist()], lists),
+                        "values": pa.array([values[starts].tolist()], lists),
+                        "slopes": pa.array([slopes.tolist()], lists),
+                    }
+                )
+
+        stretch = None
         for batch in batches:
             user_type = batch.column("user").type
-            for part, user, amount, net, top in zip(*(c.to_pylist() for c in batch.columns)):
-                if (part, user, net) != stretch:
+            for part, user, amount, highest in zip(*(c.to_pylist() for c in batch.columns)):
+                if stretch is None or stretch.key != (part, user):
                     if stretch is not None:
-                        yield closed()
-                    stretch, steps = (part, user, net), 0
-                    balances = place = np.arange(top + 1)
-                balances = np.where(balances + amount >= 0, balances + amount, balances)
-                steps += 1
-                if steps % 64 == 0 and len(balances) > 1:
-                    balances, merged = np.unique(balances, return_inverse=True)
-                    place = merged[place]
+                        yield stretch.summary(user_type)
+                    stretch = Stretch(part, user, highest)
+                stretch.move(amount)
         if stretch is not None:
-            yield closed()
+            yield stretch.summary(user_type)
 
     return summarise
 
 
+def _chain(start: int):
+    """Opening balance of each stretch of one user, from the closing of the one before."""
+
+    def chain(stretches):
+        from bisect import bisect_right
+
+        import pyarrow as pa
+
+        ordered = stretches.sort_by("part")
+        balance, openings = start, []
+        for row in ordered.to_pylist():
+            openings.append(balance)
+            if balance >= row["below"]:
+                balance += row["net"]
+                continue
+            place, rest = divmod(balance, row["unit"])
+            run = bisect_right(row["starts"], place) - 1
+            value = row["values"][run] + row["slopes"][run] * (place - row["starts"][run])
+            balance = value * row["unit"] + rest
+        return pa.table(
+            {
+                "part": ordered.column("part"),
+                "user": ordered.column("user"),
+                "opening": pa.array(openings, pa.int64()),
+            }
+        )
+
+    return chain
+
+
 def _replay(user: str, amount: str, start: int):
     """Walk each partition in order; a new user starts at its opening balance."""
 

@@ -22,6 +22,14 @@ def simulate(moves, start):
     return found
 
 
+@pytest.fixture(autouse=True)
+def many_partitions(spark):
+    """Keep all range partitions, so that users lie in several of them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def run_ledger(spark, moves, start):
     df = spark.createDataFrame(moves, "user int, place int, amount bigint").repartition(5)
     rows = balance_ledger(df, "user", ["place"], "amount", start).collect()
@@ -45,6 +53,31 @@ def test_ledger_of_a_single_user(spark):
     assert run_ledger(spark, moves, 5) == simulate(moves, 5)
 
 
+def test_hot_user_is_spread_over_partitions(spark):
+    moves = [(7 if i % 3 else i, i, -1) for i in range(3000)]
+    df = spark.createDataFrame(moves, "user int, place int, amount bigint")
+    parts = balance_ledger(df, "user", ["place"], "amount").withColumn("part", F.spark_partition_id())
+    hot = parts.groupBy("part").agg(F.count_if(F.col("user") == 7).alias("n")).where("n > 0").collect()
+    assert len(hot) >= 4 and max(r["n"] for r in hot) < 1000
+
+
+@pytest.mark.parametrize("unit", [1, 2, 10])
+@pytest.mark.parametrize("credit", [15, 900, 30000])
+def test_ledger_with_high_balances(spark, unit, credit):
+    """Balances that run up and drain over several partitions."""
+    rng = random.Random(unit * credit)
+    moves = []
+    for i in range(4000):
+        amount = credit if rng.random() < 0.02 else -rng.choice([1, 3, 7, 50])
+        moves.append((rng.choice([1, 1, 2]), i, amount * unit))
+    assert run_ledger(spark, moves, 5) == simulate(moves, 5)
+
+
+def test_ledger_of_credits_only(spark):
+    moves = [(1, i, i % 5) for i in range(500)]
+    assert run_ledger(spark, moves, 0) == simulate(moves, 0)
+
+
 def test_refused_debit_leaves_the_balance(spark):
     found = run_ledger(spark, [(1, 1, -3), (1, 2, -9), (1, 3, -2), (1, 4, -1), (2, 1, -5), (2, 2, 6)], 5)
     assert found == {
