@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulens.functions.storage import stage
 from tabulens.operators.clean import Cleaned, clean_table
 from tabulens.operators.profile import sample_rows, sample_stats
 from tabulens.plans.report import Described, describe, position_of
-from tabulens.sources.csv import read_table
+from tabulens.sources.csv import format_of, read_table
 from tabulens.sources.documents import save_dataset
 
 
@@ -31,14 +32,24 @@ def ingest(
     source: str | DataFrame,
     path: str | None = None,
     fmt: str | None = None,
+    store_format: str = "parquet",
     infer_strings: bool = True,
     approx: bool = False,
 ) -> Ingested:
-    """Scan, clean, describe and, with ``path``, store a table."""
-    raw = read_table(spark, source, fmt) if isinstance(source, str) else source
+    """Scan, clean, describe and, with ``path``, store a table.
+
+    Text files are parsed once into a Parquet copy in the shared folder; all
+    later scans read single columns of that copy.
+    """
+    if isinstance(source, str):
+        raw = read_table(spark, source, fmt)
+        if format_of(source, fmt) != "parquet":
+            raw = stage(raw, "staged")
+    else:
+        raw = source
     cleaned = clean_table(raw)
     described = describe(cleaned.frame, infer_strings, cleaned.had_gaps, approx)
     if path:
-        save_dataset(cleaned.frame, described.metadata(), cleaned.as_dict(), path)
+        save_dataset(cleaned.frame, described.metadata(), cleaned.as_dict(), path, store_format)
     sample = sample_rows(cleaned.frame, position_of(cleaned.frame, None))
     return Ingested(path, cleaned, described, sample, sample_stats(described.profile))

@@ -8,8 +8,17 @@ from tabulens.functions.storage import new_folder
 from tabulens.operators.charts import bar_chart, line_chart
 from tabulens.operators.clean import clean_table
 from tabulens.plans.check import validate_file
+from tabulens.plans.ingest import ingest
 from tabulens.plans.report import describe
-from tabulens.registry.base import CLEAN_ORDERS, gappy_orders, query, sql_iso, sql_round, table
+from tabulens.registry.base import (
+    CLEAN_ORDERS,
+    gappy_orders,
+    query,
+    rounded,
+    sql_iso,
+    sql_round,
+    table,
+)
 from tabulens.sources.csv import read_csv
 from tabulens.sources.documents import load_dataset, load_results, save_dataset, save_results
 from tabulens.sources.files import audit_files
@@ -79,11 +88,41 @@ def dataset_store(spark, folder):
     cleaned = clean_table(gappy_orders(spark, folder))
     path = new_folder(spark, "dataset")
     metadata = describe(cleaned.frame, had_gaps=cleaned.had_gaps).metadata()
-    save_dataset(cleaned.frame, metadata, cleaned.as_dict(), path)
+    save_dataset(cleaned.frame, metadata, cleaned.as_dict(), path, "json")
     frame, _ = load_dataset(spark, path)
     return frame.withColumn("price", F.round("price", 2))
 
 
+@query(
+    "ingested_csv",
+    f"""WITH s AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN p_size END AS size, p_type,
+                  NULLIF(p_brand, 'Brand#7') AS brand, p_retailprice FROM part),
+        c AS (SELECT * REPLACE (COALESCE(size, (SELECT AVG(size) FROM s)) AS size) FROM s WHERE brand IS NOT NULL)
+        SELECT 'p_partkey' AS "column", 'integer' AS type, COUNT(*) AS count, {sql_round('AVG(p_partkey)', 4)} AS mean,
+               {sql_round('MEDIAN(p_partkey)', 4)} AS median, CAST(NULL AS BIGINT) AS unique_count FROM c
+        UNION ALL SELECT 'size', 'float', COUNT(*), {sql_round('AVG(size)', 4)}, {sql_round('MEDIAN(size)', 4)}, NULL FROM c
+        UNION ALL SELECT 'p_type', 'categorical', COUNT(*), NULL, NULL, COUNT(DISTINCT p_type) FROM c
+        UNION ALL SELECT 'brand', CASE WHEN COUNT(DISTINCT brand) < 0.2 * COUNT(*) THEN 'categorical' ELSE 'text' END,
+               COUNT(*), NULL, NULL, COUNT(DISTINCT brand) FROM c
+        UNION ALL SELECT 'p_retailprice', 'float', COUNT(*), {sql_round('AVG(p_retailprice)', 4)},
+               {sql_round('MEDIAN(p_retailprice)', 4)}, NULL FROM c""",
+)
+def ingested_csv(spark, folder):
+    """Parts as a file with gaps: scanned, typed, cleaned, described and stored."""
+    part = table(spark, folder, "part")
+    source = new_folder(spark, "parts") + ".csv"
+    part.select(
+        "p_partkey",
+        F.when(F.col("p_size") > 5, F.col("p_size").cast("string")).otherwise("NA").alias("size"),
+        "p_type",
+        F.when(F.col("p_brand") != "Brand#7", F.col("p_brand")).alias("brand"),
+        "p_retailprice",
+    ).write.csv(source, header=True, sep="|")
+    done = ingest(spark, source, new_folder(spark, "parts"))
+    profile = done.described.profile.select("column", "type", "count", "mean", "median", "unique_count")
+    return rounded(profile, mean=4, median=4)
+
+
 @query(
     "result_store",
     f"""SELECT label, {sql_round('y', 4)} AS y FROM (SELECT o_orderpriority AS label, AVG(o_totalprice) AS y

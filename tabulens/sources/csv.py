@@ -15,7 +15,8 @@ from pyspark.sql.utils import AnalysisException
 from tabulens.functions.columns import POSITION, chunks, col, data_columns, data_fields
 from tabulens.functions.scalars import NA_TOKENS, normalise_missing
 
-# Texts read as booleans and as numbers.
+# Separators, and texts read as booleans and as numbers.
+USUAL_SEPARATORS = (",", ";", "\t", "|")
 TRUE_TEXTS = ("True", "TRUE", "true")
 FALSE_TEXTS = ("False", "FALSE", "false")
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
@@ -40,17 +41,24 @@ def read_header(spark: SparkSession, path: str, separator: str | None = None) ->
     if first is None:
         raise ValueError(f"no data in {path}")
     line = first["value"].lstrip("﻿")
-    if separator is None:
-        try:
-            separator = csvlib.Sniffer().sniff(line).delimiter
-        except csvlib.Error:
-            separator = ","
-        if separator.isalnum() or separator in "_\"'":
-            separator = ","
+    separator = separator or _sniff(line)
     raw = tuple(next(csvlib.reader([line], delimiter=separator)))
     return Header(separator, raw, _unique_names(raw))
 
 
+def _sniff(line: str) -> str:
+    """The usual separator that makes most fields, else any other the line suggests."""
+    fields = {c: len(next(csvlib.reader([line], delimiter=c))) for c in USUAL_SEPARATORS}
+    best = max(USUAL_SEPARATORS, key=fields.get)
+    if fields[best] > 1:
+        return best
+    try:
+        other = csvlib.Sniffer().sniff(line).delimiter
+    except csvlib.Error:
+        return ","
+    return "," if other.isalnum() or other in "_\"'" else other
+
+
 def _unique_names(raw: tuple[str, ...]) -> tuple[str, ...]:
     """Blank names become ``Unnamed: i``; the n-th repeat of ``a`` becomes ``a.n``."""
     taken: set[str] = set(raw)
@@ -212,12 +220,17 @@ def read_csv(
     return _drop_empty_rows(typed.select(*[col(n) for n in typed.columns if n not in empty]))
 
 
+def format_of(path: str, fmt: str | None = None) -> str:
+    """The given format, or the one the extension names."""
+    return fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, position: bool = True) -> DataFrame:
-    """Scan by extension: ``.csv``, ``.parquet`` or line-wise ``.json``."""
-    fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if fmt == "csv":
+    """Scan ``.csv``, ``.parquet`` or line-wise ``.json`` without empty rows and columns."""
+    kind = format_of(path, fmt)
+    if kind == "csv":
         return read_csv(spark, path, position=position)
-    if fmt not in ("parquet", "json"):
-        raise ValueError(f"unsupported format: {fmt}")
-    scan = spark.read.format(fmt).load(path)
+    if kind not in ("parquet", "json"):
+        raise ValueError(f"unsupported format: {kind}")
+    scan = spark.read.format(kind).load(path)
     return drop_empty(with_position(scan) if position else scan)

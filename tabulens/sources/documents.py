@@ -13,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tabulens.functions.columns import col, data_columns, data_fields, is_temporal
 from tabulens.functions.scalars import iso_text, normalise_missing
+from tabulens.sources.csv import with_position
 
 #: A single JSON document is parsed by one task, so its size is checked first.
 MAX_DOCUMENT_BYTES = 256 * 1024 * 1024
@@ -23,7 +24,7 @@ def save_dataset(
     metadata: dict[str, Any],
     cleaning: dict[str, Any],
     path: str,
-    fmt: str = "json",
+    fmt: str = "parquet",
 ) -> str:
     """Write ``<path>/data`` and a one-line ``<path>/meta``; rows stay on the executors.
 
@@ -47,13 +48,19 @@ def save_dataset(
     return path
 
 
-def load_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any]]:
-    """Read back a stored dataset, or a JSON document ``{_meta, data[]}`` or ``[...]``."""
+def load_dataset(
+    spark: SparkSession, path: str, position: bool = False
+) -> tuple[DataFrame, dict[str, Any]]:
+    """Read back a stored dataset, or a JSON document ``{_meta, data[]}`` or ``[...]``.
+
+    ``position`` attaches the place of each row in the stored files.
+    """
     if path.rstrip("/").endswith(".json"):
         return load_document(spark, path)
     try:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         rows = spark.read.format(meta["format"]).load(f"{path}/data")
+        rows = with_position(rows) if position else rows
     except AnalysisException as error:
         raise FileNotFoundError(f"no dataset at {path}") from error
     return _in_order(rows, meta), meta

@@ -35,7 +35,7 @@ def audit_files(
     name = F.element_at(F.split("path", "/"), -1)
     return (
         files.withColumn("file_name", name)
-        .withColumn("extension", F.lower(F.regexp_extract("file_name", r"[^.](\.[^.]*)$", 1)))
+        .withColumn("extension", F.lower(F.regexp_extract("file_name", r"[^.].*(\.[^.]+)$", 1)))
         .withColumn("known_extension", F.col("extension").isin([e.lower() for e in extensions]))
         .withColumn("within_size", F.lit(True) if max_bytes is None else F.col("size") <= max_bytes)
         .withColumn("admitted", F.col("known_extension") & F.col("within_size"))

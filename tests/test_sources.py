@@ -60,6 +60,14 @@ def test_header_is_not_renamed_in_raw(spark, tmp_path):
     assert header.names == ("x", "x.1", "Unnamed: 2")
 
 
+@pytest.mark.parametrize(
+    "line, separator",
+    [("p_key|size|p_type|brand|price", "|"), ("a b c", " "), ("a:b:c", ":"), ("single", ","), ('"a;b",c', ","), ("a\tb", "\t")],
+)
+def test_separator(spark, tmp_path, line, separator):
+    assert read_header(spark, write(tmp_path, line + "\n1\n")).separator == separator
+
+
 def test_position_follows_the_file(spark, tmp_path):
     lines = "n,t\n" + "".join(f"{i},v{i}\n" for i in range(5000))
     path = write(tmp_path, lines)
@@ -83,10 +91,10 @@ def test_empty_file_is_refused(spark, tmp_path):
 
 
 def test_audit_boundaries(spark, tmp_path):
-    for name, size in (("a.CSV", 10), ("b.csv", 11), ("c.txt", 1), ("noext", 1)):
+    for name, size in (("a.CSV", 10), ("b.csv", 11), ("c.txt", 1), ("noext", 1), ("d.x.csv", 2)):
         (tmp_path / name).write_bytes(b"x" * size)
     rows = {r["file_name"]: r for r in audit_files(spark, str(tmp_path), UPLOAD_EXTENSIONS, 10).collect()}
-    assert {n: r["admitted"] for n, r in rows.items()} == {"a.CSV": True, "b.csv": False, "c.txt": False, "noext": False}
+    assert {n: r["admitted"] for n, r in rows.items()} == {"a.CSV": True, "b.csv": False, "c.txt": False, "noext": False, "d.x.csv": True}
     assert rows["b.csv"]["known_extension"] and not rows["b.csv"]["within_size"]
     assert rows["a.CSV"]["extension"] == ".csv"
 
@@ -104,6 +112,8 @@ def test_dataset_round_trip(spark, tmp_path, fmt):
     path = save_dataset(done.frame, done.described.metadata(), done.cleaned.as_dict(), str(tmp_path / "out"), fmt)
     frame, meta = load_dataset(spark, path)
     assert frame.columns == ["day", "b", "a", "flag"]
+    placed, _ = load_dataset(spark, path, position=True)
+    assert [r["b"] for r in placed.orderBy(POSITION).collect()] == ["x", "y"]
     assert sorted(map(tuple, frame.collect())) == [("2024-01-02", "x", 1.5, True), ("2024-02-03", "y", 1.5, False)]
     assert meta["row_count"] == 2 and meta["created_at"].endswith("Z")
     assert meta["cleaning_report"]["numeric_filled"] == {"a": {"count": 1, "fill_value": 1.5}}
