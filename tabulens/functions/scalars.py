@@ -81,9 +81,10 @@ def exact_round(value: Column, digits: int) -> Column:
 
     ``F.round`` and ``F.bround`` work on the shortest decimal text instead, so
     21816.12875 would become .1288 rather than .1287.  The value goes through
-    text, so use this on small results only.
+    text, so use this on small results only.  Infinities stay as they are.
     """
-    return F.regexp_replace(F.format_number(value, digits), ",", "").cast("double")
+    text = F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+    return F.coalesce(text.try_cast("double"), value)
 
 
 def total(value: Column, dtype: T.DataType) -> Column:

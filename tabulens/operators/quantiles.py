@@ -18,21 +18,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulens.functions.columns import col, field_type, is_integral
+from tabulens.functions.columns import chunks, col, field_type, is_integral
 from tabulens.functions.scalars import nan_to_null
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 #: Accuracy of ``percentile_approx``; ranks are off by at most rows / ACCURACY.
 ACCURACY = 10_000
-#: Rows from which brackets are drawn.
-SAMPLE = 200_000
-#: Half width of a bracket as a share of its rows: six standard errors of a sampled rank.
-_MARGIN = 3 / math.sqrt(SAMPLE) + 2 / ACCURACY
+#: Least and most rows from which brackets are drawn.
+MIN_SAMPLE, MAX_SAMPLE = 50_000, 10_000_000
 #: Up to this many rows a column is its own bracket.
 SMALL = 20_000
 #: Rows strictly inside a bracket that may be grouped by value.
 INSIDE_LIMIT = 1_000_000
+_COLUMNS_PER_PASS = 32
+
+
+def _sample(rows: int) -> int:
+    """Rows to draw: more from large tables, where narrow brackets save scans."""
+    return max(MIN_SAMPLE, min(rows // 5_000, MAX_SAMPLE))
+
+
+def _margin(rows: int) -> float:
+    """Half width of a bracket as a share of its rows: six standard errors of a sampled rank."""
+    return 3 / math.sqrt(_sample(rows)) + 2 / ACCURACY
 
 
 @dataclass
@@ -79,7 +88,7 @@ def settle(df: DataFrame, columns: Sequence[str], brackets: Iterable[Bracket]) -
         return
     values = _numbers(df, columns)
     _tighten(values, wide)
-    while wide := [b for b in wide if b.rows * 2 * _MARGIN > INSIDE_LIMIT and not b.settled]:
+    while wide := [b for b in wide if b.rows * 2 * _margin(b.rows) > INSIDE_LIMIT and not b.settled]:
         _count_inside(values, wide)
         wide = [b for b in wide if not b.settled]
         if wide:
@@ -103,19 +112,21 @@ def _tighten(values: DataFrame, brackets: list[Bracket]) -> None:
     edges = []
     for source, low, high, below, rows in shared:
         v = F.col(f"v{source}")
-        taken = F.when(v.between(low, high) & (F.col("draw") < SAMPLE / rows), v)
+        taken = F.when(v.between(low, high) & (F.col("draw") < _sample(rows) / rows), v)
         places = [(b.rank - below) / (rows - 1) for b in shared[source, low, high, below, rows]]
-        wanted = [min(max(p + m, 0.0), 1.0) for p in places for m in (-_MARGIN, _MARGIN)]
+        margin = _margin(rows)
+        wanted = [min(max(p + m, 0.0), 1.0) for p in places for m in (-margin, margin)]
         edges.append(F.percentile_approx(taken, wanted, ACCURACY))
-    most = max(SAMPLE / rows for *_, rows in shared)
+    most = max(_sample(rows) / rows for *_, rows in shared)
     drawn = values.withColumn("draw", F.rand(seed=1)).where(F.col("draw") < most)
     row = drawn.agg(*[e.alias(f"edges{i}") for i, e in enumerate(edges)]).first()
     for found, (group, together) in zip(row, shared.items()):
         below, rows = group[3:]
+        margin = _margin(rows)
         for j, b in enumerate(together if found else []):
             place = (b.rank - below) / (rows - 1)
-            b.low = found[2 * j] if place > _MARGIN else b.low
-            b.high = found[2 * j + 1] if place + _MARGIN < 1 else b.high
+            b.low = found[2 * j] if place > margin else b.low
+            b.high = found[2 * j + 1] if place + margin < 1 else b.high
 
 
 def _count_inside(values: DataFrame, brackets: list[Bracket]) -> None:
@@ -179,9 +190,9 @@ def pick(
     parts = []
     for kind in ("bigint", "double"):
         sources = [i for i in used if is_integral(field_type(df, columns[i])) == (kind == "bigint")]
-        if sources:
-            long = _long_form(df, columns, sources, kind)
-            parts.append(_zone_counts(long, brackets, sources, modes))
+        for group in chunks(sources, _COLUMNS_PER_PASS):
+            long = _long_form(df, columns, group, kind)
+            parts.append(_zone_counts(long, brackets, group, modes))
     if not parts:
         return {}, {}
     spark = df.sparkSession

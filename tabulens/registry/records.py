@@ -81,8 +81,8 @@ def run_dataset_ids(spark, folder):
     return runs(spark, folder).select("id", dataset_id(F.col("file_path")).alias("dataset_id"))
 
 
-@query("run_costs", f"SELECT doc_id, n_chars, {_COST.format(size='n_chars')} AS cost FROM documents")
-def run_costs(spark, folder):
+@query("run_cost", f"SELECT doc_id, n_chars, {_COST.format(size='n_chars')} AS cost FROM documents")
+def run_cost_of_documents(spark, folder):
     return table(spark, folder, "documents").select("doc_id", "n_chars", run_cost(F.col("n_chars")).alias("cost"))
 
 

@@ -19,7 +19,7 @@ from tabulens.operators.profile import (
 )
 from tabulens.operators.quantiles import exact_quantiles
 from tabulens.operators.types import by_kind, detect_types
-from tabulens.plans.report import describe
+from tabulens.plans.report import auto_report, describe
 
 
 def numbers(spark, values, dtype="double"):
@@ -76,9 +76,8 @@ def test_large_integers_are_not_merged(spark):
 def tight(monkeypatch):
     """Make every step of the quantile search happen on small tables."""
     monkeypatch.setattr(quantiles, "SMALL", 10)
-    monkeypatch.setattr(quantiles, "SAMPLE", 400)
+    monkeypatch.setattr(quantiles, "MIN_SAMPLE", 400)
     monkeypatch.setattr(quantiles, "INSIDE_LIMIT", 20)
-    monkeypatch.setattr(quantiles, "_MARGIN", 0.1)
 
 
 def skewed(kind, n=5000):
@@ -275,3 +274,30 @@ def test_samples(spark):
     assert set(stats) == {"k", "c", "n"}
     assert (stats["k"]["mean"], stats["k"]["median"], stats["k"]["top_values"]) == (49.5, 49.5, None)
     assert (stats["c"]["unique_count"], stats["c"]["top_values"]) == (3, ["c0", "c1", "c2"])
+
+
+def test_unusual_column_names(spark):
+    names = ["a.1", "b c", "Unnamed: 2", "back`tick", "été", "count", "value", "key", "n", "at"]
+    df = spark.range(60).select(
+        *[
+            (F.concat(F.lit("v"), F.col("id") % 3) if i % 2 else F.col("id") * (i + 1.0)).alias(n)
+            for i, n in enumerate(names)
+        ]
+    )
+    report = auto_report(df, order_by=["a.1"])
+    rows = {r["column"]: r for r in report.described.rows}
+    assert list(rows) == names
+    assert [rows[n]["unique_count"] for n in names[1::2]] == [3] * 5
+    assert rows["a.1"]["median"] == 29.5 and rows["value"]["max"] == 59 * 7.0
+    assert [c.data.count() for c in report.charts] == [3, 10, 60]
+    assert sample_rows(df, F.col("`a.1`")).columns == names
+    counts = value_counts(df, ["b c", "back`tick"]).collect()
+    assert {r["column"] for r in counts} == {"b c", "back`tick"}
+    assert len(exact_quantiles(df, ["a.1", "Unnamed: 2"]).collect()) == 2
+
+
+def test_wide_tables_are_scanned_in_groups(spark):
+    df = spark.range(50).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(70)])
+    described = describe(df)
+    assert [r["min"] for r in described.rows] == [float(i) for i in range(70)]
+    assert all(r["median"] == 24.5 + i for i, r in enumerate(described.rows))

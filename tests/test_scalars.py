@@ -23,6 +23,12 @@ def test_exact_round_is_python_round(spark, digits):
     assert [r["r"] for r in rows] == [round(r["v"], digits) for r in rows]
 
 
+def test_exact_round_of_special_values(spark):
+    values = [float("inf"), float("-inf"), None, 1e300]
+    rows = column(spark, values, "double").select(S.exact_round(F.col("v"), 2)).collect()
+    assert [r[0] for r in rows] == values
+
+
 def test_float_text_is_python_text(spark):
     rng = random.Random(3)
     values = [0.0, 1.0, -2.5, 1e7, 12345678.9, 1e15, 9.5e15, 1e16, 1.5e300, 0.001, 0.0001, 0.00012, 1e-5, -1.5e-7]
