@@ -40,18 +40,56 @@ NA_TOKENS = (
 # Name fragments of columns that look like identifiers.
 ID_FRAGMENTS = ("id", "index", "num", "numero")
 
-# Timestamp layouts tried, in this order, on string columns.
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "dd/MM/yyyy",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd",
-    "yyyy",
-)
+# Date layouts by the shape of a text, where 9 stands for digits
+# and a for letters.  The first layout that fits a whole column counts, so
+# month-first comes before day-first.
+DATE_SHAPES = {
+    "9-9-9": ("yyyy-M-d", "M-d-yyyy", "d-M-yyyy"),
+    "9/9/9": ("M/d/yyyy", "d/M/yyyy", "yyyy/M/d"),
+    "9.9.9": ("M.d.yyyy", "d.M.yyyy", "yyyy.M.d"),
+    "a 9, 9": ("MMM d, yyyy", "MMMM d, yyyy"),
+    "9 a 9": ("d MMM yyyy", "d MMMM yyyy"),
+    "9-a-9": ("d-MMM-yyyy",),
+    "9-9": ("yyyy-M",),
+    "9/9": ("M/yyyy",),
+    "9": ("yyyyMMdd", "yyyy"),
+}
+# Times that may follow a date.
+TIME_SHAPES = {
+    "9:9": "H:mm",
+    "9:9:9": "H:mm:ss",
+    "9:9:9.9": "H:mm:ss.SSSSSS",
+    "9:9 a": "h:mm a",
+    "9:9:9 a": "h:mm:ss a",
+    "9:9:9a": "H:mm:ssXXX",
+    "9:9:9+9:9": "H:mm:ssXXX",
+    "9:9:9-9:9": "H:mm:ssXXX",
+    "9:9:9.9a": "H:mm:ss.SSSSSSXXX",
+}
+# First and last second that count as a date in a text.
+EARLIEST, LATEST = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
+_LONGEST_DATE = 40
+
+
+def date_shape(value: Column) -> Column:
+    """Shape of a text, empty for one too long to be a date."""
+    digits = F.regexp_replace(value, "[0-9]+", "9")
+    return F.when(F.length(value) <= _LONGEST_DATE, F.regexp_replace(digits, "[A-Za-z]+", "a")).when(
+        value.isNotNull(), ""
+    )
+
+
+def layouts_of(shape: str | None) -> tuple[str, ...]:
+    """Layouts that a text of this shape may follow."""
+    for date, days in DATE_SHAPES.items():
+        if shape == date:
+            return days
+        for time, clock in TIME_SHAPES.items():
+            if shape == f"{date} {time}":
+                return tuple(f"{day} {clock}" for day in days)
+            if shape == f"{date}a{time}":
+                return tuple(f"{day}'T'{clock}" for day in days)
+    return ()
 
 
 def _may_be_nan(dtype: T.DataType) -> bool:
@@ -177,5 +215,10 @@ def looks_like_id(name: Column) -> Column:
 
 
 def parse_timestamp(value: Column, fmt: str) -> Column:
-    """Timestamp for texts that follow ``fmt`` completely, NULL otherwise."""
-    return F.try_to_timestamp(value, F.lit(fmt)).cast("timestamp_ntz")
+    """Timestamp for texts that follow ``fmt`` completely, NULL otherwise.
+
+    Texts with an offset are converted to the session time zone.
+    """
+    moment = F.try_to_timestamp(value, F.lit(fmt)).cast("timestamp_ntz")
+    bounds = [F.lit(edge).cast("timestamp_ntz") for edge in (EARLIEST, LATEST)]
+    return F.when(moment.between(*bounds), moment)

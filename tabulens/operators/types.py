@@ -19,7 +19,7 @@ from tabulens.functions.columns import (
     is_temporal,
     is_text,
 )
-from tabulens.functions.scalars import DATE_FORMATS, parse_timestamp
+from tabulens.functions.scalars import date_shape, layouts_of, parse_timestamp
 from tabulens.operators.frequency import distinct_up_to
 
 # A string column is categorical below both limits.
@@ -128,23 +128,39 @@ def _present(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
 
 
 def date_formats(df: DataFrame, fields: Sequence[T.StructField]) -> dict[str, str]:
-    """First format of the list that fits every value, for string columns that have one.
+    """First layout that fits every value, for string columns that have one.
 
-    One value that does not parse rules a format out, so a small preview
-    discards nearly all candidates; only the rest see the whole column.
+    Values of one column must share a shape, such as digits between two
+    slashes.  A preview of the rows discards nearly all columns; only the rest
+    are scanned, for the few layouts of their shape.
     """
     columns = [f.name for f in fields if is_text(f.dataType)]
     if not columns:
         return {}
-    candidates = [(n, fmt) for n in columns for fmt in DATE_FORMATS]
     preview = df.select(*[col(n) for n in columns]).limit(_PREVIEW_ROWS)
-    candidates = _fitting(preview, candidates)
-    if candidates:
-        candidates = _fitting(df, candidates)
-    return {n: fmt for n, fmt in reversed(candidates)}
+    shapes = _common_shapes(preview, columns)
+    unseen = [n for n, shape in shapes.items() if shape is None]
+    if unseen:
+        shapes |= _common_shapes(df, unseen)
+    candidates = [(n, fmt) for n, shape in shapes.items() for fmt in layouts_of(shape)]
+    return {n: fmt for n, fmt in reversed(_fitting(df, candidates))}
+
+
+def _common_shapes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
+    """The one shape of all values; empty if there are several, None without values."""
+    found: dict[str, str | None] = {}
+    for group in chunks(columns, _COLUMNS_PER_PASS):
+        edges = [f(date_shape(col(n))) for n in group for f in (F.min, F.max)]
+        row = df.agg(*[e.alias(f"c{i}") for i, e in enumerate(edges)]).first()
+        for i, name in enumerate(group):
+            low, high = row[2 * i], row[2 * i + 1]
+            found[name] = low if low == high else ""
+    return found
 
 
 def _fitting(df: DataFrame, candidates: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    if not candidates:
+        return []
     misfits = [
         F.count_if(col(n).isNotNull() & parse_timestamp(col(n), fmt).isNull()).alias(f"c{i}")
         for i, (n, fmt) in enumerate(candidates)

@@ -229,6 +229,42 @@ def test_booleans_with_gaps_are_values(spark):
     assert kinds(spark, [True, False] * 6, "boolean", had_gaps={"v"}) == "categorical"
 
 
+DATES = [
+    ["2024-01-05", "2024-12-31"], ["2024-1-5", "2024-12-31"], ["1/5/2024", "12/31/2024"], ["5/1/2024", "31/12/2024"],
+    ["31/12/2024", "5/1/2024"], ["05-01-2024", "06-02-2024"], ["31-12-2024", "05-01-2024"], ["31.12.2024", "05.01.2024"],
+    ["05.01.2024", "06.02.2024"], ["2024/01/05", "2024/12/31"], ["20240105", "20241231"], ["2024-01", "2024-12"],
+    ["01/2024", "12/2024"], ["Jan 5, 2024", "Dec 31, 2024"], ["5 Jan 2024", "31 Dec 2024"],
+    ["January 5, 2024", "December 31, 2024"], ["5 January 2024", "31 December 2024"], ["05-Jan-2024", "31-Dec-2024"],
+    ["2024-01-05 10:20", "2024-12-31 23:59"], ["2024-01-05T10:20:30", "2024-12-31T10:20:30"],
+    ["2024-01-05 10:20:30.5", "2024-01-05 10:20:30.25"], ["2024-01-05 10:20:30.123", "2024-01-05 10:20:30.456789"],
+    ["01/05/2024 10:20", "12/31/2024 23:59"], ["31/12/2024 10:20:30", "01/05/2024 23:59:59"],
+    ["01/05/2024 10:20 PM", "12/31/2024 11:59 AM"], ["2024", "1999"], ["1234", "5678"], ["12345", "67890"],
+    ["5", "12"], ["a1", "b2"], ["2024-01-05", "2024-01-06 10:00:00"], ["2024-13-05", "2024-01-05"], ["Monday", "Tuesday"],
+    ["2024-01-05T10:20:30Z", "2024-12-31T10:20:30Z"], ["1600-01-01", "2024-01-01"], ["2024-02-30", "2024-01-01"],
+]
+
+
+@pytest.mark.parametrize("values", DATES, ids=lambda v: v[0])
+def test_texts_are_dates_where_pandas_reads_them(spark, values):
+    try:
+        expected = pd.to_datetime(pd.Series(values, dtype=object)).dt.tz_localize(None)
+    except ValueError:
+        expected = None
+    found = detect_types(numbers(spark, values, "string"))[0]
+    if values == ["5/1/2024", "31/12/2024"]:
+        # The first value alone would suggest month-first and spoil the column.
+        assert found.date_format == "d/M/yyyy" and expected is None
+    elif expected is None:
+        assert found.semantic_type == "text"
+    else:
+        row = date_profile(numbers(spark, values, "string"), {"v": found.date_format}).first()
+        assert (row["min_date"], row["max_date"]) == (expected.min().isoformat(), expected.max().isoformat())
+
+
+def test_dates_after_many_gaps(spark):
+    assert kinds(spark, [None] * 3000 + ["2024-01-01"]) == "date"
+
+
 def test_late_misfit_rules_a_format_out(spark):
     values = ["2024-01-01"] * 5000 + ["never"]
     assert kinds(spark, values) == "categorical"
