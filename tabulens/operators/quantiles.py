@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,8 @@ MIN_SAMPLE, MAX_SAMPLE = 50_000, 10_000_000
 SMALL = 20_000
 #: Rows strictly inside a bracket that may be grouped by value.
 INSIDE_LIMIT = 1_000_000
+#: Misses after which a column is its own bracket again.
+MAX_MISSES = 6
 _COLUMNS_PER_PASS = 32
 
 
@@ -39,9 +41,10 @@ def _sample(rows: int) -> int:
     return max(MIN_SAMPLE, min(rows // 5_000, MAX_SAMPLE))
 
 
-def _margin(rows: int) -> float:
-    """Half width of a bracket as a share of its rows: six standard errors of a sampled rank."""
-    return 3 / math.sqrt(_sample(rows)) + 2 / ACCURACY
+def _margin(rows: int, misses: int = 0) -> float:
+    """Half width of a bracket as a share of its rows: six standard errors of a sampled rank,
+    twice as many after each miss."""
+    return (3 / math.sqrt(_sample(rows)) + 2 / ACCURACY) * 2**misses
 
 
 @dataclass
@@ -56,6 +59,11 @@ class Bracket:
     high: float
     below: int = 0
     settled: bool = False
+    misses: int = 0
+    total: int = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.total = self.rows
 
     @property
     def floor(self) -> int:
@@ -65,8 +73,11 @@ class Bracket:
     def ceil(self) -> int:
         return math.ceil(self.rank)
 
-    def widen(self) -> None:
-        self.low, self.high, self.settled = -math.inf, math.inf, True
+    def miss(self) -> None:
+        """Start again from the whole column, with more room."""
+        self.misses += 1
+        self.low, self.high, self.below, self.rows = -math.inf, math.inf, 0, self.total
+        self.settled = self.misses >= MAX_MISSES
 
 
 def first_brackets(
@@ -83,16 +94,15 @@ def first_brackets(
 
 def settle(df: DataFrame, columns: Sequence[str], brackets: Iterable[Bracket]) -> None:
     """Shrink the brackets of columns that are not small."""
-    wide = [b for b in brackets if not b.settled]
-    if not wide:
-        return
     values = _numbers(df, columns)
-    _tighten(values, wide)
-    while wide := [b for b in wide if b.rows * 2 * _margin(b.rows) > INSIDE_LIMIT and not b.settled]:
-        _count_inside(values, wide)
-        wide = [b for b in wide if not b.settled]
-        if wide:
-            _tighten(values, wide)
+    while wide := [b for b in brackets if not b.settled]:
+        expected = {id(b): b.rows * 2 * _margin(b.rows, b.misses) for b in wide}
+        _tighten(values, wide)
+        large = [b for b in wide if expected[id(b)] > INSIDE_LIMIT]
+        for b in wide:
+            b.settled = b not in large
+        if large:
+            _count_inside(values, large)
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -108,21 +118,21 @@ def _tighten(values: DataFrame, brackets: list[Bracket]) -> None:
     """Move to the edges found in a sample of each bracket's rows."""
     shared: dict[tuple, list[Bracket]] = {}
     for b in brackets:
-        shared.setdefault((b.source, b.low, b.high, b.below, b.rows), []).append(b)
+        shared.setdefault((b.source, b.low, b.high, b.below, b.rows, b.misses), []).append(b)
     edges = []
-    for source, low, high, below, rows in shared:
+    for (source, low, high, below, rows, misses), together in shared.items():
         v = F.col(f"v{source}")
         taken = F.when(v.between(low, high) & (F.col("draw") < _sample(rows) / rows), v)
-        places = [(b.rank - below) / (rows - 1) for b in shared[source, low, high, below, rows]]
-        margin = _margin(rows)
+        places = [(b.rank - below) / (rows - 1) for b in together]
+        margin = _margin(rows, misses)
         wanted = [min(max(p + m, 0.0), 1.0) for p in places for m in (-margin, margin)]
         edges.append(F.percentile_approx(taken, wanted, ACCURACY))
-    most = max(_sample(rows) / rows for *_, rows in shared)
-    drawn = values.withColumn("draw", F.rand(seed=1)).where(F.col("draw") < most)
+    most = max(_sample(b.rows) / b.rows for b in brackets)
+    seed = 1 + max(b.misses for b in brackets)
+    drawn = values.withColumn("draw", F.rand(seed)).where(F.col("draw") < most)
     row = drawn.agg(*[e.alias(f"edges{i}") for i, e in enumerate(edges)]).first()
-    for found, (group, together) in zip(row, shared.items()):
-        below, rows = group[3:]
-        margin = _margin(rows)
+    for found, ((*_, below, rows, misses), together) in zip(row, shared.items()):
+        margin = _margin(rows, misses)
         for j, b in enumerate(together if found else []):
             place = (b.rank - below) / (rows - 1)
             b.low = found[2 * j] if place > margin else b.low
@@ -143,7 +153,7 @@ def _count_inside(values: DataFrame, brackets: list[Bracket]) -> None:
     for k, b in enumerate(brackets):
         below, strictly, upto = row[f"below{k}"], row[f"strictly{k}"], row[f"upto{k}"]
         if not below <= b.floor <= b.ceil < upto:
-            b.widen()
+            b.miss()
             continue
         b.settled = strictly <= INSIDE_LIMIT or upto - below >= b.rows
         b.below, b.rows = below, upto - below
@@ -220,13 +230,14 @@ def pick(
     for row in rows:
         b = by_key[row["source"], row["j"]]
         if row["lower"] is None or row["upper"] is None:
-            b.widen()
+            b.miss()
             missed.append(b)
         else:
             found[b.source, b.probability] = row["lower"] + (row["upper"] - row["lower"]) * (
                 b.rank - b.floor
             )
     if missed:
+        settle(df, columns, missed)
         found |= pick(df, columns, missed)[0]
     return found, {r["source"]: r["mode"] for r in rows} if modes else {}
 
