@@ -131,8 +131,8 @@ def date_formats(df: DataFrame, fields: Sequence[T.StructField]) -> dict[str, st
     """First layout that fits every value, for string columns that have one.
 
     Values of one column must share a shape, such as digits between two
-    slashes.  A preview of the rows discards nearly all columns; only the rest
-    are scanned, for the few layouts of their shape.
+    slashes.  A preview of the rows discards nearly all columns, and most
+    layouts of the shape; only the rest are scanned.
     """
     columns = [f.name for f in fields if is_text(f.dataType)]
     if not columns:
@@ -143,7 +143,8 @@ def date_formats(df: DataFrame, fields: Sequence[T.StructField]) -> dict[str, st
     if unseen:
         shapes |= _common_shapes(df, unseen)
     candidates = [(n, fmt) for n, shape in shapes.items() for fmt in layouts_of(shape)]
-    return {n: fmt for n, fmt in reversed(_fitting(df, candidates))}
+    fitting = _fitting(df, _fitting(preview, candidates))
+    return {n: fmt for n, fmt in reversed(fitting)}
 
 
 def _common_shapes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
