@@ -13,6 +13,11 @@ from tabulens.functions.columns import col, field_type, is_text
 from tabulens.functions.scalars import label_text, nan_to_null
 
 
+#: Longest text that stands for itself, and the part of a longer one that is kept.
+SHORT = 100
+PREFIX = 64
+
+
 def countable(dtype: T.DataType) -> bool:
     """Types whose values can be grouped and printed; nested columns cannot."""
     return not isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType))
@@ -25,17 +30,30 @@ def _long_form(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return wide.unpivot([], names, "column", "value").where(F.col("value").isNotNull())
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, value, n`` over printed values, which are distinct when the values are.
+def printed(df: DataFrame, name: str) -> Column:
+    """Values as text; distinct texts where the values are distinct."""
+    dtype = field_type(df, name)
+    value = nan_to_null(col(name), dtype)
+    return value if is_text(dtype) else label_text(value, dtype)
+
+
+def token(value: Column) -> Column:
+    """A short stand-in for a text: itself, or the start of it and a SHA-256 digest.
+
+    Stand-ins are longer than ``SHORT`` only for longer texts, and sort like
+    the texts unless those share their first ``PREFIX`` characters.
+    """
+    digest = F.concat(F.substring(value, 1, PREFIX), F.sha2(value, 256))
+    return F.when(F.length(value) <= SHORT, value).otherwise(digest)
+
+
+def value_counts(df: DataFrame, columns: Sequence[str], shorten: bool = False) -> DataFrame:
+    """``column, value, n`` over printed values, or their stand-ins with ``shorten``.
 
     Map-side counting comes before the one shuffle, on column and value, so a
     value that fills most rows costs one row per task.
     """
-    values = {}
-    for name in columns:
-        dtype = field_type(df, name)
-        value = nan_to_null(col(name), dtype)
-        values[name] = value if is_text(dtype) else label_text(value, dtype)
+    values = {n: token(printed(df, n)) if shorten else printed(df, n) for n in columns}
     return _long_form(df, values).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -49,6 +67,28 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def texts_of(df: DataFrame, tokens: dict[str, Sequence[str]]) -> dict[tuple[str, str], str]:
+    """The texts behind a few stand-ins per column, by column and stand-in.
+
+    A set holds each text once, however many rows repeat it.
+    """
+    wanted = [
+        F.when(
+            F.substring(printed(df, n), 1, PREFIX).isin(*[t[:PREFIX] for t in found])
+            & token(printed(df, n)).isin(*found),
+            F.struct(F.lit(n).alias("column"), printed(df, n).alias("value")),
+        )
+        for n, found in tokens.items()
+    ]
+    rows = (
+        df.select(F.explode(F.array_compact(F.array(*wanted))).alias("hit"))
+        .groupBy("hit.column", token(F.col("hit.value")).alias("token"))
+        .agg(F.collect_set("hit.value").alias("texts"))
+        .collect()
+    )
+    return {(r["column"], r["token"]): r["texts"][0] for r in rows}
+
+
 def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int | None]:
     """Exact distinct counts where they do not exceed ``limit``, else None.
 

@@ -19,7 +19,14 @@ from tabulens.functions.scalars import (
     percent,
     total,
 )
-from tabulens.operators.frequency import countable, top_values, value_counts
+from tabulens.operators.frequency import (
+    PREFIX,
+    SHORT,
+    countable,
+    texts_of,
+    top_values,
+    value_counts,
+)
 from tabulens.operators.quantiles import ACCURACY, QUARTILES, first_brackets, pick, settle
 from tabulens.operators.types import ColumnType, by_kind
 
@@ -178,66 +185,88 @@ def round_stats(profile: DataFrame, digits: int = 4) -> DataFrame:
     )
 
 
-def text_values(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """``column, count, unique_count, mode_value, top_values`` of columns with values.
+def token_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, count, unique_count, longest, top`` over the stand-ins of values.
 
-    Values are ordered by count, then by value; the mode is the first of them.
-    Distinct count and top values both come from one shuffled frequency table.
-    ``approx=True`` estimates the distinct count and lists no values.
+    ``top`` holds one entry more than is reported.  Counts and top entries both
+    come from one shuffled frequency table.
     """
-    top_type = PROFILE_SCHEMA["top_values"].dataType
-    if approx:
-        rows = [
-            F.struct(
-                F.lit(n).alias("column"),
-                F.col(f"count{i}").alias("count"),
-                F.col(f"unique{i}").alias("unique_count"),
-                F.lit(None).cast("string").alias("mode_value"),
-                F.lit(None).cast(top_type).alias("top_values"),
-            )
-            for i, n in enumerate(columns)
-        ]
-        counts = [F.count(col(n)).alias(f"count{i}") for i, n in enumerate(columns)]
-        unique = [F.approx_count_distinct(col(n)).alias(f"unique{i}") for i, n in enumerate(columns)]
-        return df.agg(*counts, *unique).select(F.inline(F.array(*rows)))
-    frequencies = value_counts(df, columns)
+    frequencies = value_counts(df, columns, shorten=True)
     sizes = frequencies.groupBy("column").agg(
-        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique_count")
+        F.sum("n").alias("count"),
+        F.count(F.lit(1)).alias("unique_count"),
+        F.max(F.length("value")).alias("longest"),
     )
-    # At most TOP_VALUES rows per column reach this list.
+    # At most TOP_VALUES + 1 rows per column reach this list.
     top = (
-        top_values(frequencies, TOP_VALUES)
+        top_values(frequencies, TOP_VALUES + 1)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
     )
-    listed = F.transform(
-        "top",
-        lambda t: F.struct(
-            t["value"].alias("value"),
-            t["n"].alias("count"),
-            exact_round(percent(t["n"], F.col("count")), 1).alias("pct"),
-        ),
-    )
     # One row per column of the schema on both sides.
-    return sizes.join(F.broadcast(top), "column").select(
-        "column",
-        "count",
-        "unique_count",
-        F.col("top")[0]["value"].alias("mode_value"),
-        listed.alias("top_values"),
-    )
+    return sizes.join(F.broadcast(top), "column")
+
+
+def text_values(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, Any]]:
+    """``unique_count, mode_value, top_values`` by column, for columns with values.
+
+    Values are ordered by count, then by value; the mode is the first of them.
+    Long texts are shuffled as stand-ins.  The few that are reported are looked
+    up in a second scan; a column where stand-ins cannot tell which those are
+    is counted again with its whole texts.
+    """
+    summaries = {r["column"]: r for r in token_summary(df, columns).collect()}
+    tops = {n: [(t["value"], t["n"]) for t in r["top"]] for n, r in summaries.items()}
+    long = {n for n, r in summaries.items() if r["longest"] > SHORT}
+    unclear = [n for n in long if _cut_through_ties(tops[n])]
+    hidden = {n: [v for v, _ in tops[n][:TOP_VALUES] if len(v) > SHORT] for n in long}
+    hidden = {n: tokens for n, tokens in hidden.items() if tokens and n not in unclear}
+
+    texts = texts_of(df, hidden) if hidden else {}
+    for name in hidden:
+        tops[name] = [(texts.get((name, v), v), n) for v, n in tops[name][:TOP_VALUES]]
+    if unclear:
+        best = top_values(value_counts(df, unclear), TOP_VALUES).collect()
+        tops |= {n: [(r["value"], r["n"]) for r in best if r["column"] == n] for n in unclear}
+
+    found = {}
+    for name, row in summaries.items():
+        # Code point order of Python strings is the byte order of Spark's.
+        top = sorted(tops[name], key=lambda t: (-t[1], t[0]))[:TOP_VALUES]
+        found[name] = {
+            "unique_count": row["unique_count"],
+            "mode_value": top[0][0],
+            "top_values": [
+                {"value": v, "count": n, "pct": round(n / row["count"] * 100, 1)} for v, n in top
+            ],
+        }
+    return found
+
+
+def _cut_through_ties(top: list[tuple[str, int]]) -> bool:
+    """Whether the last reported entry and the next one only differ beyond the kept start."""
+    if len(top) <= TOP_VALUES:
+        return False
+    (last, n), (following, m) = top[TOP_VALUES - 1 :]
+    return n == m and last[:PREFIX] == following[:PREFIX]
 
 
 def add_values(
     df: DataFrame, columns: Sequence[str], scanned: Mapping[str, dict[str, Any]], approx: bool = False
 ) -> None:
-    """Complete the scanned statistics of non-numeric columns with their values."""
+    """Complete the scanned statistics of non-numeric columns with their values.
+
+    ``approx=True`` estimates the distinct count and lists no values.
+    """
     plain = [n for n in columns if countable(field_type(df, n))]
-    for name in plain:
-        scanned[name] |= {"unique_count": 0, "top_values": []}
-    if plain:
-        for row in text_values(df, plain, approx).collect():
-            scanned[row["column"]] |= row.asDict(recursive=True)
+    if plain and approx:
+        counts = [F.approx_count_distinct(col(n)).alias(f"c{i}") for i, n in enumerate(plain)]
+        for name, count in zip(plain, df.agg(*counts).first()):
+            scanned[name]["unique_count"] = count
+    elif plain:
+        found = text_values(df, plain)
+        for name in plain:
+            scanned[name] |= found.get(name, {"unique_count": 0, "top_values": []})
 
 
 def text_profile(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:

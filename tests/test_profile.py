@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -15,7 +16,7 @@ from tabulens.operators.profile import (
     sample_rows,
     sample_stats,
     text_profile,
-    text_values,
+    token_summary,
 )
 from tabulens.operators.quantiles import exact_quantiles
 from tabulens.operators.types import by_kind, detect_types
@@ -162,11 +163,41 @@ def test_top_values_are_limited_before_the_shuffle(spark):
 
 def test_frequency_table_is_shuffled_once(spark):
     df = spark.range(1000).selectExpr("cast(id % 7 as string) as v", "cast(id as string) as w")
-    done = text_values(df, ["v", "w"])
+    done = token_summary(df, ["v", "w"])
     done.collect()
     assert "ReusedExchange" in done._jdf.queryExecution().executedPlan().toString()
 
 
+def by_hand(values):
+    counts = Counter(v for v in values if v is not None)
+    return sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:10]
+
+
+STARTS = {
+    "all differ": [chr(97 + i % 26) * 3 + str(i) for i in range(40)],
+    "one start": ["same start " * 10] * 40,
+    "short and long": ["same start " * (i % 12) for i in range(40)],
+    "accents": ["éàü" * 30 + "😀" * (i % 3) for i in range(40)],
+}
+
+
+@pytest.mark.parametrize("starts", sorted(STARTS))
+@pytest.mark.parametrize("repeats", ["unique", "pairs", "hot"])
+def test_long_texts(spark, starts, repeats):
+    texts = [s + "-" + "xyz"[i % 3] * (i * 7 % 300) + str(i) for i, s in enumerate(STARTS[starts])]
+    copies = {"unique": 1, "pairs": 2, "hot": 1}[repeats]
+    values = texts * copies + (texts[5:6] * 50 + texts[7:8] * 20 if repeats == "hot" else []) + [None]
+    row = text_profile(numbers(spark, values, "string"), ["v"]).first()
+    expected = by_hand(values)
+    assert [(t["value"], t["count"]) for t in row["top_values"]] == expected
+    assert (row["unique_count"], row["mode_value"]) == (len(set(texts)), expected[0][0])
+
+
+def test_long_texts_are_not_shuffled(spark):
+    long = spark.range(300).select(F.concat(F.repeat(F.col("id").cast("string"), 400)).alias("v"))
+    assert value_counts(long, ["v"], shorten=True).agg(F.max(F.length("value"))).first()[0] == 128
+
+
 def test_boolean_values_print_capitalised(spark):
     row = text_profile(numbers(spark, [True, False, True], "boolean"), ["v"]).first()
     assert (row["mode_value"], [t["value"] for t in row["top_values"]]) == ("True", ["True", "False"])
