@@ -18,11 +18,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tabulens-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {_SETTING} to a folder that all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabulens-"))
+    return context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -39,8 +40,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: keeps the partitions and survives lost executors."""
-    context = df.sparkSession.sparkContext
     folder = shared_folder(df.sparkSession)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

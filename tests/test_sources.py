@@ -1,5 +1,6 @@
 import io
 import json
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -154,6 +155,28 @@ def test_shared_folder_is_the_configured_one(spark):
     assert configured is None or folder == configured.rstrip("/")
 
 
+def test_only_local_sessions_make_their_own_folder():
+    class Context:
+        folder = None
+
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=Context(master))
+
+    local = session("local[2]")
+    assert shared_folder(local) == shared_folder(local) and "tabulens-" in shared_folder(local)
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://host:7077"))
+
+
 def test_cut_lineage_keeps_rows_and_partitions(spark):
     df = spark.range(100).repartitionByRange(4, "id")
     cut = cut_lineage(df)
