@@ -104,9 +104,13 @@ def orphan_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str)
 
 
 def orphan_rows(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Whole child rows whose key has no parent row."""
-    known = parent.select(col(parent_key).alias("__key"))
-    return child.where(col(key).isNotNull()).join(known, col(key) == F.col("__key"), "left_anti")
+    """Whole child rows whose key has no parent row.
+
+    The distinct orphan keys are found first; they are usually few, so that
+    Spark can send them to the rows instead of gathering rows by key.
+    """
+    lost = orphan_keys(child, key, parent, parent_key).select(F.col("key").alias("__key"))
+    return child.join(lost, col(key) == F.col("__key"), "left_semi")
 
 
 def audit_references(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -22,7 +22,8 @@ from tabulens.registry.base import (
     f"SELECT o_orderkey, {sql_round('price', 2)} AS price, status, priority, o_orderdate FROM ({CLEAN_ORDERS})",
 )
 def clean_orders(spark, folder):
-    return rounded(clean_table(gappy_orders(spark, folder)).frame, price=2)
+    frame = clean_table(gappy_orders(spark, folder)).frame
+    return frame.withColumn("price", F.round("price", 2))
 
 
 @query(
