@@ -225,3 +225,46 @@ def test_files_that_cannot_be_validated(spark, tmp_path):
     assert validate_file(spark, str(tmp_path / "absent.csv")).errors == ["unreadable"]
     assert validate_file(spark, write(tmp_path, "", "blank.csv")).errors == ["unreadable"]
     assert validate_file(spark, "book.xlsx").errors == ["unsupported_format"]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_columnar_and_json_sources(spark, tmp_path, fmt):
+    gap = float("nan") if fmt == "parquet" else None  # JSON has no NaN
+    rows = [(1, 1.5, None, "a"), (None, None, None, None), (2, gap, None, "b"), (None, gap, None, None)]
+    path = f"{tmp_path}/t.{fmt}"
+    df = spark.createDataFrame(rows, "d bigint, i double, n string, s string")
+    df.coalesce(1).write.option("ignoreNullFields", "false").format(fmt).save(path)
+    frame = read_table(spark, path).orderBy(POSITION).drop(POSITION)
+    found = {n: [r[n] for r in frame.collect()] for n in frame.columns}
+    assert found == {"d": [1, 2], "i": [1.5, None], "s": ["a", "b"]}
+    done = ingest(spark, path, str(tmp_path / "store"))
+    assert done.described.row_count == 2
+    assert load_dataset(spark, str(tmp_path / "store"))[1]["row_count"] == 2
+
+
+def test_large_documents_are_refused(spark, tmp_path, monkeypatch):
+    path = write(tmp_path, json.dumps([{"a": 1}] * 50), "big.json")
+    monkeypatch.setattr("tabulens.sources.documents.MAX_DOCUMENT_BYTES", 100)
+    with pytest.raises(ValueError):
+        load_dataset(spark, path)
+
+
+def test_approximate_ingestion(spark, tmp_path):
+    text = "n,c,t\n" + "".join(f"{i},g{i % 3},x{i}\n" for i in range(200))
+    done = ingest(spark, write(tmp_path, text), approx=True)
+    rows = {r["column"]: r for r in done.described.rows}
+    assert rows["n"]["median"] == pytest.approx(99.5, abs=1) and rows["n"].get("mode") is None
+    assert rows["c"]["type"] == "categorical" and rows["c"]["unique_count"] == 3
+    assert rows["t"]["type"] == "text" and "top_values" not in rows["t"]
+    assert [c.type for c in analyze(done.frame, described=done.described).charts] == ["bar"]
+
+
+def test_undocumented_strings_stay_text(spark, tmp_path):
+    """The narrow typing: strings are text, so one scatter and three summaries come out."""
+    text = "day,city,a,b\n" + "".join(f"2024-01-{1 + i % 28:02d},c{i % 4},{i},{i % 7}\n" for i in range(300))
+    done = ingest(spark, write(tmp_path, text), infer_strings=False)
+    assert [t.semantic_type for t in done.described.types] == ["text", "text", "integer", "integer"]
+    report = analyze(done.frame, described=done.described)
+    assert [(c.type, c.x_label, c.y_label) for c in report.charts] == [("scatter", "a", "b")]
+    assert report.charts[0].data.count() == 200
+    assert [(i.type, i.column) for i in report.insights] == [("stats", "b"), ("top_values", "city"), ("stats", "a")]
