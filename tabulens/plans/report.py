@@ -167,14 +167,14 @@ def basic_insights(described: Described) -> list[Insight]:
 
     def summary(column: str, names: Sequence[str]) -> None:
         stats = described.stats(column)
-        found.append(Insight("stats", column, f"Summary of {column}", {n: stats[n] for n in names}))
+        found.append(Insight("stats", column, f"Summary of {column}", {n: stats.get(n) for n in names}))
 
     number = best_numeric(rows)
     if number:
         summary(number, ("mean", "median", "min", "max", "sum"))
     category = best_categorical(rows)
     if category:
-        top = described.stats(category)["top_values"]
+        top = described.stats(category).get("top_values")
         if top:
             shown = {t["value"]: t["count"] for t in top[:TOP_SHOWN]}
             found.append(Insight("top_values", category, f"Values of {category}", shown))
