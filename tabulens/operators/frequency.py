@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -89,24 +90,32 @@ def texts_of(df: DataFrame, tokens: dict[str, Sequence[str]]) -> dict[tuple[str,
     return {(r["column"], r["token"]): r["texts"][0] for r in rows}
 
 
+def _highest_estimate(limit: int) -> int:
+    """What HyperLogLog++ can report at most for ``limit`` values, up to 250 of them.
+
+    At 5 % it has 512 registers and counts the empty ones while the estimate is
+    below 400; ``limit`` values leave at least ``512 - limit`` of them empty.
+    """
+    if limit > 250:
+        raise ValueError("the sketch decides up to 250 values only")
+    return math.ceil(512 * math.log(512 / (512 - limit)))
+
+
 def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int | None]:
     """Exact distinct counts where they do not exceed ``limit``, else None.
 
-    A sketch settles the clear cases: while a column has at most ``limit``
-    (50) values, HyperLogLog++ counts empty registers and cannot report more
-    than 53, so an estimate above ``limit * 1.2`` proves there are more.  Only
-    the remaining narrow columns are counted exactly.
+    A sketch proves for most columns that there are more values; only the
+    remaining narrow columns are counted exactly.
     """
     names = [c for c in columns if countable(field_type(df, c))]
     found: dict[str, int | None] = {c: None for c in columns}
     if not names:
         return found
-    values = {n: nan_to_null(col(n), field_type(df, n)) for n in names}
-    sketch = df.agg(
-        *[F.approx_count_distinct(v, 0.05).alias(f"c{i}") for i, v in enumerate(values.values())]
-    ).first()
-    narrow = [n for i, n in enumerate(names) if sketch[f"c{i}"] <= limit * 1.2]
+    values = [nan_to_null(col(n), field_type(df, n)) for n in names]
+    sketches = [F.approx_count_distinct(v, 0.05).alias(f"c{i}") for i, v in enumerate(values)]
+    estimates = df.agg(*sketches).first()
+    narrow = [n for n, e in zip(names, estimates) if e <= _highest_estimate(limit)]
     if narrow:
-        exact = value_counts(df, narrow).groupBy("column").count().collect()
+        exact = value_counts(df, narrow, shorten=True).groupBy("column").count().collect()
         found |= {n: 0 for n in narrow} | {r["column"]: r["count"] for r in exact}
     return {n: c if c is not None and c <= limit else None for n, c in found.items()}

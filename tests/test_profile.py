@@ -304,6 +304,14 @@ def test_late_misfit_rules_a_format_out(spark):
 def test_distinct_counts_around_the_limit(spark):
     df = spark.range(5000).selectExpr("string(id % 50) a", "string(id % 51) b", "string(id) c", "string(null) d")
     assert distinct_up_to(df, ["a", "b", "c", "d"], 50) == {"a": 50, "b": None, "c": None, "d": 0}
+    assert distinct_up_to(df, ["a", "b"], 51) == {"a": 50, "b": 51}
+
+
+def test_sketch_never_overstates_few_values(spark):
+    """Fifty values of any kind are still counted, whatever their hashes."""
+    shifts = [F.concat(F.lit(f"{i}-"), F.col("id") % 50).alias(f"c{i}") for i in range(60)]
+    df = spark.range(500).select(*shifts)
+    assert set(distinct_up_to(df, df.columns, 50).values()) == {50}
 
 
 def test_describe_agrees_with_single_operators(spark):
