@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import exact, near, quality
+from tabulens.llm import exact, near, packing, quality, substrings
 from tabulens.llm.shared import run_stages, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,6 +16,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality.quality_stage),
     ("exact_dedup", exact.exact_stage),
     ("near_dedup", near.near_stage),
+    ("substring_dedup", substrings.substring_stage),
+    ("best_fit_packing", packing.packing_stage),
 ]
 
 #: Tokenizing and packing are beyond SQL; tests hold the stages against brute force.

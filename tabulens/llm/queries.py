@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import exact, near, quality
+from tabulens.llm import bpe, chat, exact, near, packing, pages, quality, substrings, token_files, warc
 from tabulens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,12 +18,24 @@ def over(name: str, function: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": over("documents", quality.quality_documents),
+    "op2_substring_dedup": over("documents", substrings.substring_documents),
+    "op3_warc_salvage": over("pages", warc.warc_pages),
+    "op4_bpe_codec": over("documents", bpe.bpe_documents),
+    "op5_token_orc": over("documents", token_files.token_file_documents),
     "op6_exact_dedup": over("documents", exact.exact_documents),
+    "op7_best_fit_packing": over("documents", packing.packed_documents),
     "op8_near_dedup": over("documents", near.near_documents),
+    "op9_chat_format": over("conversations", chat.chat_conversations),
+    "op10_html_text": over("pages", pages.page_texts),
 }
 
+#: Tokenizing and packing (4, 5, 7) are beyond SQL; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op2_substring_dedup": substrings.ORACLE,
+    "op3_warc_salvage": warc.ORACLE,
     "op6_exact_dedup": exact.ORACLE,
     "op8_near_dedup": near.ORACLE,
+    "op9_chat_format": chat.ORACLE,
+    "op10_html_text": pages.ORACLE,
 }
