@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulens.functions.storage import stage
 from tabulens.llm.shared import one_space, unused
 
 PROBES = 2
@@ -72,7 +73,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     text one stays. Null texts are equal to empty ones; an empty table stays
     empty. Other columns do not matter.
     """
-    keys = docs.select(F.col(id_column).alias("doc_id"), text_hash(F.col(text)).alias("text_sha256"))
+    keys = stage(docs.select(F.col(id_column).alias("doc_id"), text_hash(F.col(text)).alias("text_sha256")), "hashes")
     maybe, unique = possibly_repeated(keys, "text_sha256")
     # Both aggregations combine in each task first, so a hot group sends one row per task.
     copies = maybe.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
