@@ -39,8 +39,8 @@ def shingle_sets(texts: pa.Array, length: int) -> list[np.ndarray]:
 
     A text of fewer words is one shingle; a text without words has none.
     """
-    offsets, words = split_words(texts, lower=True)
-    hashes = word_hashes(words)[:, 0]
+    offsets, words = split_words(texts)
+    hashes = word_hashes(words, lower=True)[:, 0]
     rolled, valid = rolling(hashes, length), inside(offsets, length)
     sets = []
     for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -59,14 +59,12 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = SLICE_BYT
         start = end
 
 
-def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, pa.LargeStringArray]:
+def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.LargeStringArray]:
     """Offsets of the texts' words (one more than texts), and all words in one array.
 
-    Words are what lies between ASCII white space; `lower` lower-cases A-Z.
+    Words are what lies between ASCII white space.
     """
     texts = texts_of(texts)
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     words = lists.flatten()
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
@@ -79,11 +77,15 @@ def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple
     return offsets, words
 
 
-def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """Two 64-bit hashes of each word, as an array with two columns; each different word is hashed once."""
+def word_hashes(words: pa.Array, lower: bool = False) -> np.ndarray:
+    """Two 64-bit hashes of each word, as an array with two columns; each different word is hashed once.
+
+    `lower` lower-cases A-Z. It works on the words, which are an array of their
+    own: the kernel returns wrong texts for slices of a large string array.
+    """
     coded = words.dictionary_encode()
-    digest = xxhash.xxh3_128_digest
-    each = np.frombuffer(b"".join(digest(w, seed) for w in coded.dictionary.to_pylist()), dtype=np.uint64)
+    different = pc.ascii_lower(coded.dictionary) if lower else coded.dictionary
+    each = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, different.to_pylist())), dtype=np.uint64)
     return each.reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)]
 
 

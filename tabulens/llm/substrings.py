@@ -80,6 +80,15 @@ def _pieces(keys: np.ndarray, bits: int, width: int) -> list[tuple[int, int, int
     return [(int(parts[s]), int(s), int(e)) for s, e in zip(starts, ends) if e > s]
 
 
+def _by_hash(found: np.ndarray) -> np.ndarray:
+    """A stable order in which equal window hashes are neighbours."""
+    order = np.argsort(found[:, 0], kind="stable")
+    high, low = found[order, 0], found[order, 1]
+    if ((high[1:] == high[:-1]) & (low[1:] != low[:-1])).any():
+        return np.lexsort((found[:, 1], found[:, 0]))
+    return order
+
+
 def _rows(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({n: pa.array(v, types[n]) for n, v in columns.items()})
 
@@ -153,7 +162,7 @@ def remove_repeats(
         full = np.nonzero(inside(here.offsets, window))[0]
         full = full[upto[full + window - block + 1] > upto[full]]
         found = here.windows(full, window)
-        order = np.lexsort((found[:, 1], found[:, 0]))
+        order = _by_hash(found)
         found, full = found[order], full[order]
         new = np.append(True, (found[1:] != found[:-1]).any(axis=1))[: len(found)]
         found, full = found[new], full[new]
@@ -206,7 +215,7 @@ def remove_repeats(
             # What starts earlier elsewhere stands before all windows of this batch.
             found = np.concatenate([np.stack([high, low], axis=1), found])
             full = np.concatenate([np.full(len(high), -1), full])
-        order = np.lexsort((full, found[:, 1], found[:, 0]))
+        order = _by_hash(found)
         found, full = found[order], full[order]
         later_here = np.append(False, (found[1:] == found[:-1]).all(axis=1))[: len(found)]
         gone = full[later_here & (full >= 0)]
