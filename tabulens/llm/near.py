@@ -10,8 +10,12 @@
 4. What remains is compared on the full sets. Only such links count.
 
 Pairs are not listed within a bucket. First each node is compared with the least
-node of each of its buckets. Links make components; after that only nodes of one
-bucket that are still in different components are compared.
+node of each of its buckets, and links make components. Then only nodes of one
+bucket in different components matter, and of those only pairs that can be
+links: a pair either shares a shingle that few sets have, and is found through
+that shingle, or its common part lies within what is frequent in both, which
+bounds its similarity by counts. Copies of one text with many edits each fail
+both, so the outliers of a large group are not compared with all of it.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ BANDS = 44
 ROWS = 8
 SKETCH_LONGS = 8
 SLACK = 0.2
+#: A shingle in no more sets than this leads to all of them.
+RARE = 20
 
 
 def shingle_sets(texts: pa.Array, length: int) -> list[np.ndarray]:
@@ -135,24 +141,33 @@ def full_sets(docs: DataFrame, length: int) -> DataFrame:
 def _close(threshold: int) -> Column:
     """Whether two sketched sets may reach the similarity: by their sizes and differing bits."""
     limit = most_different_bits(threshold / 100 - SLACK, BANDS * ROWS, SKETCH_LONGS)
-    differing = sum((F.bit_count(F.expr(f"s[{i}] ^ t[{i}]")) for i in range(SKETCH_LONGS)), F.lit(0))
-    return (100 * F.least("m", "n") >= threshold * F.greatest("m", "n")) & (differing <= limit)
+    differing = sum((F.bit_count(F.expr(f"a.sketch[{i}] ^ b.sketch[{i}]")) for i in range(SKETCH_LONGS)), F.lit(0))
+    least, most = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
+    return (100 * least >= threshold * most) & (differing <= limit)
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, length: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity.
+def close_pairs(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that the sketches leave."""
+    sketched = nodes.select("node", "n_shingles", "sketch")
+    joined = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).join(sketched.alias("a"), F.expr("x = a.node"))
+    joined = joined.join(sketched.alias("b"), F.expr("y = b.node")).filter(_close(threshold))
+    return joined.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    Only texts of pairs that pass the sketches are read again. They are found by
-    id; which node a text is follows from the text, so shared ids do no harm.
+
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """The full sets (node, items) of the wanted nodes, from their texts read again.
+
+    Texts are found by id; which node a text is follows from the text, so shared
+    ids only add sets that nothing asks for.
     """
-    left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sketch").alias("s"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("sketch").alias("t"))
-    near = stage(pairs.join(left, "a").join(right, "b").filter(_close(threshold)).select("a", "b"), "pairs")
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted"]), "left_semi")
-    sets = stage(full_sets(texts, length), "sets")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(
+    return stage(full_sets(texts, length), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"
     )
     shared = F.size(F.array_intersect("x", "y"))
@@ -161,6 +176,38 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, length: int,
     return counts.filter(enough).select("a", "b").distinct()
 
 
+def pairs_across(apart: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of nodes in different components that may be links, of rows (band, node, root).
+
+    Let `frequent` be the shingles of a node that more than `RARE` sets have.
+    Nodes that share none of the others have at most min(frequent) in common.
+    """
+    items = sets.select("node", F.explode("items").alias("item"))
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("sets"))
+    counted = items.join(counts, "item")
+    frequent = counted.groupBy("node").agg(F.sum(F.when(F.col("sets") > RARE, 1).otherwise(0)).alias("frequent"))
+
+    roots = apart.select("node", "root").distinct()
+    # At most RARE nodes per shingle are brought together.
+    few = counted.filter(F.col("sets").between(2, RARE)).join(roots, "node")
+    lists = few.groupBy("item").agg(F.collect_set(F.struct("node", "root")).alias("l"))
+    found = F.expr(
+        "flatten(transform(l, x -> transform(filter(l, y -> x.root < y.root), y -> struct(x.node AS a, y.node AS b))))"
+    )
+    by_rare = lists.select(F.explode(found).alias("p")).select("p.*").distinct()
+
+    known = apart.join(nodes.select("node", "n_shingles", "sketch"), "node").join(frequent, "node")
+    # A node whose frequent part is too small even for the smallest set of its bucket is out.
+    most = f"frequent * {100 + threshold} >= {threshold} * (n_shingles + smallest)"
+    smallest = known.groupBy("band").agg(F.min("n_shingles").alias("smallest"))
+    left = known.join(smallest, "band").filter(most).drop("smallest")
+    common = "least(a.frequent, b.frequent)"
+    bound = f"100 * {common} >= {threshold} * (a.n_shingles + b.n_shingles - {common})"
+    can_be = F.expr(f"a.band = b.band AND a.root < b.root AND {bound}") & _close(threshold)
+    by_frequent = left.alias("a").join(left.alias("b"), can_be).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return by_rare.unionByName(by_frequent).distinct()
+
+
 def near_groups(
     docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = 5, threshold: int = 80
 ) -> DataFrame:
@@ -182,14 +229,17 @@ def near_groups(
     members = stage(bands.join(pivots.drop("n"), "band"), "members")
 
     star = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stage(confirmed(star, nodes, docs, length, threshold), "links")
+    near = stage(close_pairs(star, nodes, threshold), "pairs")
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    links = stage(confirmed(near, sets_of(wanted, nodes, docs, length), threshold), "links")
     roots = least_nodes(links)
+
     placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     apart = stage(placed.join(several, "band", "left_semi"), "apart")
-    one, other = (apart.select("band", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
-    across = one.join(other, "band").filter("root_a < root_b").select("a", "b").distinct()
-    more = stage(confirmed(across, nodes, docs, length, threshold), "links")
+    sets = sets_of(apart.select("node").distinct(), nodes, docs, length)
+    across = stage(close_pairs(pairs_across(apart, nodes, sets, threshold), nodes, threshold), "pairs")
+    more = stage(confirmed(across, sets, threshold), "links")
     if not more.isEmpty():
         roots = least_nodes(links.unionByName(more))
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left")
