@@ -196,14 +196,16 @@ def pairs_across(apart: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
     )
     by_rare = lists.select(F.explode(found).alias("p")).select("p.*").distinct()
 
-    known = apart.join(nodes.select("node", "n_shingles", "sketch"), "node").join(frequent, "node")
+    known = apart.join(nodes.select("node", "n_shingles", "sketch", "bands"), "node").join(frequent, "node")
     # A node whose frequent part is too small even for the smallest set of its bucket is out.
     most = f"frequent * {100 + threshold} >= {threshold} * (n_shingles + smallest)"
     smallest = known.groupBy("band").agg(F.min("n_shingles").alias("smallest"))
     left = known.join(smallest, "band").filter(most).drop("smallest")
     common = "least(a.frequent, b.frequent)"
     bound = f"100 * {common} >= {threshold} * (a.n_shingles + b.n_shingles - {common})"
-    can_be = F.expr(f"a.band = b.band AND a.root < b.root AND {bound}") & _close(threshold)
+    # A pair that shares several buckets counts in the first of them.
+    first = "array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true) = array_position(a.bands, a.band)"
+    can_be = F.expr(f"a.band = b.band AND a.root < b.root AND {bound}") & _close(threshold) & F.expr(first)
     by_frequent = left.alias("a").join(left.alias("b"), can_be).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     return by_rare.unionByName(by_frequent).distinct()
 
