@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.storage import stage
 from tabulens.llm.shared import slices
-from tabulens.llm.tokenizing import default_vocabulary, encode_texts
+from tabulens.llm.tokenizing import SLICE_BYTES, default_vocabulary, encode_texts
 
 CAPACITY = 2048
 END = 0
@@ -72,7 +72,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def pieces_of(docs: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[tuple[int, dict]]:
     """(length, piece) of all documents in order, each with its end id."""
     for batch in docs:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             ids, offsets = encode_texts(part.column("text"), vocabulary)
             for doc, s, e in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                 own = np.append(ids[s:e], END).astype("<u4")

@@ -18,16 +18,16 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.storage import new_folder
 from tabulens.llm.shared import slices
-from tabulens.llm.tokenizing import default_vocabulary, encode_texts
+from tabulens.llm.tokenizing import SLICE_BYTES, default_vocabulary, encode_texts
 
 END = 2
-STRIPE_BYTES = 64 << 20
+STRIPE_BYTES = 16 << 20
 #: Rows per index entry; documents have some hundred ids each.
 STRIDE = 1000
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END) -> None:
-    """Write (doc_id, part, before, ids): `before` counts the ids that precede in the same part.
+    """Write (doc_id, part, before, n, ids): `before` counts the ids that precede in the same part.
 
     Null texts are empty and have the end id only. Rows without an id come
     first. Repeated rows are all written. An empty table makes an empty folder
@@ -39,20 +39,21 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids, offsets = encode_texts(part.column("text"), vocabulary)
                 ids = np.insert(ids, offsets[1:], end)
                 offsets = offsets + np.arange(len(offsets))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                starts = pa.array(before + offsets[:-1], pa.int64())
+                starts, sizes = pa.array(before + offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64())
                 before += len(ids)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), starts, lists], ["doc_id", "before", "ids"])
+                columns = [part.column("doc_id"), starts, sizes, lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "before", "n", "ids"])
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     encoded = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(
-        encode, f"doc_id {kind}, before long, ids array<int>"
+        encode, f"doc_id {kind}, before long, n long, ids array<int>"
     )
-    numbered = encoded.select("doc_id", F.spark_partition_id().alias("part"), "before", "ids")
+    numbered = encoded.select("doc_id", F.spark_partition_id().alias("part"), "before", "n", "ids")
     options = {
         "compression": "zstd",
         "orc.bloom.filter.columns": "doc_id",
@@ -66,7 +67,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None) -> DataFrame:
     """All documents of the files, or those with the given ids; the ids reach the ORC reader."""
-    rows = spark.read.schema("doc_id long, part int, before long, ids array<int>").orc(path)
+    rows = spark.read.schema("doc_id long, part int, before long, n long, ids array<int>").orc(path)
     return rows if doc_ids is None else rows.filter(F.col("doc_id").isin(list(doc_ids)))
 
 
@@ -85,9 +86,9 @@ def positions(rows: DataFrame) -> DataFrame:
                 ["doc_id", "part", "before", "n_tokens", "ids_crc32"],
             )
 
-    counted = rows.mapInArrow(count, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
+    counted = rows.select("doc_id", "part", "before", "ids").mapInArrow(count, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
     # One row per written part, whatever the number of documents.
-    totals = rows.groupBy("part").agg(F.max(F.col("before") + F.size("ids")).alias("n"))
+    totals = rows.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n"))
     upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("long").alias("base"))
     return counted.join(F.broadcast(bases), "part").select(

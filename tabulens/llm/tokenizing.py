@@ -1,21 +1,32 @@
-"""Token ids of the installed tokenizer library, word by word.
+"""Token ids of the installed tokenizer library, each different piece of text once.
 
-The vocabulary drops white space, so a text's ids are those of its words one
-after another, and each different word has to be encoded only once per slice.
+The vocabulary drops white space, lower-cases, and splits letters from
+punctuation. So a text's ids are those of its words one after another, a word
+may be lower-cased beforehand (A-Z), and punctuation after a letter or digit is
+a piece of its own. What is left to encode are the different pieces that a
+Python worker has not met lately.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from tabulens.llm.shared import split_words
 
-#: Words whose ids a Python worker keeps between slices.
-KEPT_WORDS = 400_000
-
-_loaded: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+#: Words whose ids a Python worker keeps between slices, in each of two generations.
+KEPT_WORDS = 200_000
+#: Bytes of text that are encoded together: the more, the fewer words are met twice.
+SLICE_BYTES = 8 << 20
+#: Punctuation that is split off where it ends a word.
+TRAILING = ".,;:!?#$%&*|"
+#: Lower-case words of precomposed letters, which are one piece each, and how many are encoded as one text.
+_LETTERS = re.compile("[a-zà-öø-ÿ]{1,64}")
+_TOGETHER = 500
 
 
 def default_vocabulary() -> str:
@@ -24,54 +35,116 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _loaded_for(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
+class Encoder:
+    """The library's tokenizer with the ids of words met lately, as little-endian 32-bit bytes."""
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode_new(self, words: list[str]) -> dict[str, bytes]:
+        fits = _LETTERS.fullmatch
+        simple, other = [], []
+        for word in words:
+            (simple if fits(word) else other).append(word)
+        found: dict[str, bytes] = {}
+        texts = [simple[i : i + _TOGETHER] for i in range(0, len(simple), _TOGETHER)]
+        for part, encoded in zip(texts, self._encoded([" ".join(t) for t in texts])):
+            data, numbers = encoded
+            ends = np.searchsorted(numbers, np.arange(len(part)), side="right") * 4
+            if not len(numbers) or numbers[-1] != len(part) - 1 or len(set(ends.tolist())) < len(part):
+                other += part
+                continue
+            start = 0
+            for word, end in zip(part, ends.tolist()):
+                found[word] = data[start:end]
+                start = end
+        for word, encoded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            found[word] = np.asarray(encoded.ids, dtype="<u4").tobytes()
+        return found
+
+    def _encoded(self, texts: list[str]):
+        for start in range(0, len(texts), 20):
+            for encoded in self.tokenizer.encode_batch(texts[start : start + 20], add_special_tokens=False):
+                yield np.asarray(encoded.ids, dtype="<u4").tobytes(), np.asarray(encoded.word_ids, dtype=np.int64)
+
+    def encode_list(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; a word that was not met for a generation is forgotten."""
+        young, old = self.young, self.old
+        found = list(map(young.get, words))
+        unseen = [i for i, data in enumerate(found) if data is None]
+        new = self.encode_new([words[i] for i in unseen if words[i] not in old])
+        for i in unseen:
+            word = words[i]
+            data = found[i] = old[word] if word in old else new[word]
+            if len(word) <= 64:
+                young[word] = data
+        if len(young) > KEPT_WORDS:
+            self.old, self.young = young, {}
+        return found
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     if path not in _loaded:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _loaded[path] = tokenizer, {}
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> np.ndarray:
     """The pool's stretches `starts[i] : starts[i] + lengths[i]` one after another."""
-    total = int(lengths.sum())
     ends = np.cumsum(lengths)
-    places = np.arange(total, dtype=np.int64)
+    places = np.arange(int(ends[-1]) if len(ends) else 0)
     places += np.repeat(starts - (ends - lengths), lengths)
     return pool[places]
 
 
-def encode_words(words: pa.Array, offsets: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+def split_trailing(words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.LargeStringArray]:
+    """Each word as (stem, punctuation after it), the stem with A-Z lower-cased.
+
+    Words with `<` may hold special tokens and stay as they are. Punctuation is
+    only split from a letter or digit: after another sign it is the same piece.
+    """
+    plain = pc.invert(pc.match_substring(words, "<"))
+    stems = pc.ascii_rtrim(words, characters=TRAILING)
+    split = pc.and_(plain, pc.match_substring_regex(stems, r"[\pL\pN]$"))
+    stems = pc.if_else(split, stems, words)
+    stems = pc.if_else(plain, pc.ascii_lower(stems), stems)
+    whole, size = (pc.binary_length(a).to_numpy(zero_copy_only=False) for a in (words, stems))
+    begins = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    rest = gather(begins + size, whole - size, data)
+    ends = np.concatenate(([0], np.cumsum(whole - size)))
+    return stems, pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(rest))
+
+
+def encode_words(words: pa.LargeStringArray, offsets: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the offsets of the texts in them.
 
     `encode` gives the ids of each word of a list as little-endian 32-bit bytes.
     """
     coded = words.dictionary_encode()
-    parts = encode(coded.dictionary.to_pylist())
-    sizes = np.fromiter((len(p) // 4 for p in parts), dtype=np.int64, count=len(parts))
+    stems, rests = split_trailing(coded.dictionary)
+    pieces = pa.concat_arrays([stems, rests]).dictionary_encode()
+    parts = encode(pieces.dictionary.to_pylist())
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
     pool = np.frombuffer(b"".join(parts), dtype="<u4")
+    # The ids of each different word, made of its two pieces, then of all words.
+    both = pieces.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.reshape(-1)
+    pool = gather((np.cumsum(sizes) - sizes)[both], sizes[both], pool)
+    sizes = sizes[both].reshape(-1, 2).sum(axis=1)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     lengths = sizes[codes]
     ids = gather((np.cumsum(sizes) - sizes)[codes], lengths, pool)
-    ends = np.concatenate(([0], np.cumsum(lengths)))
-    return ids, ends[offsets]
+    return ids, np.concatenate(([0], np.cumsum(lengths)))[offsets]
 
 
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The library's ids of each text without special tokens added; null is empty."""
-    tokenizer, known = _loaded_for(path)
-
-    def encode(words: list[str]) -> list[bytes]:
-        if len(known) + len(words) > KEPT_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
-        found = tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        here = {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(new, found)}
-        if len(known) + len(here) <= KEPT_WORDS:
-            known.update(here)
-            return [known[w] for w in words]
-        return [here[w] if w in here else known[w] for w in words]
-
     offsets, words = split_words(texts)
-    return encode_words(words, offsets, encode)
+    return encode_words(words, offsets, encoder(path).encode_list)
