@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.llm.shared import slices, split_words
-from tabulens.llm.tokenizing import KEPT_WORDS, default_vocabulary, encode_words
+from tabulens.llm.tokenizing import KEPT_WORDS, byte_signs, default_vocabulary, encode_words
 
 #: Bytes up to which a word counts as short.
 SHORT = 128
@@ -31,14 +31,6 @@ _NONE = 1 << 30
 _loaded: dict[str, Vocabulary] = {}
 
 
-def byte_signs() -> list[str]:
-    """The printable sign for each byte: itself where printable, else from U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = (b for b in range(256) if b not in own)
-    signs = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return [signs[b] for b in range(256)]
-
-
 class Vocabulary:
     """What a tokenizer file says: tokens, ranks of merges, patterns, special tokens."""
 

@@ -10,6 +10,7 @@ Python worker has not met lately.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,13 @@ from tokenizers import Tokenizer
 from tabulens.llm.shared import split_words
 
 #: Words whose ids a Python worker keeps between slices, in each of two generations.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 #: Bytes of text that are encoded together: the more, the fewer words are met twice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Punctuation that is split off where it ends a word.
 TRAILING = ".,;:!?#$%&*|"
-#: Lower-case words of precomposed letters, which are one piece each, and how many are encoded as one text.
+#: Lower-case words of precomposed letters, which every step before the merges leaves as one piece.
 _LETTERS = re.compile("[a-zà-öø-ÿ]{1,64}")
-_TOGETHER = 500
 
 
 def default_vocabulary() -> str:
@@ -35,6 +35,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_signs() -> list[str]:
+    """The printable sign for each byte: itself where printable, else from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in own)
+    signs = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [signs[b] for b in range(256)]
+
+
 class Encoder:
     """The library's tokenizer with the ids of words met lately, as little-endian 32-bit bytes."""
 
@@ -42,35 +50,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.signs = dict(enumerate(byte_signs()))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode_new(self, words: list[str]) -> dict[str, bytes]:
-        fits = _LETTERS.fullmatch
-        simple, other = [], []
-        for word in words:
-            (simple if fits(word) else other).append(word)
+        """Words of plain letters go straight to the library's model, others through all its steps."""
+        fits, model = _LETTERS.fullmatch, self.tokenizer.model.tokenize
         found: dict[str, bytes] = {}
-        texts = [simple[i : i + _TOGETHER] for i in range(0, len(simple), _TOGETHER)]
-        for part, encoded in zip(texts, self._encoded([" ".join(t) for t in texts])):
-            data, numbers = encoded
-            ends = np.searchsorted(numbers, np.arange(len(part)), side="right") * 4
-            if not len(numbers) or numbers[-1] != len(part) - 1 or len(set(ends.tolist())) < len(part):
-                other += part
-                continue
-            start = 0
-            for word, end in zip(part, ends.tolist()):
-                found[word] = data[start:end]
-                start = end
+        other = []
+        for word in words:
+            if fits(word):
+                piece = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.signs)
+                found[word] = array("I", [t.id for t in model(piece)]).tobytes()
+            else:
+                other.append(word)
         for word, encoded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            found[word] = np.asarray(encoded.ids, dtype="<u4").tobytes()
+            found[word] = array("I", encoded.ids).tobytes()
         return found
 
-    def _encoded(self, texts: list[str]):
-        for start in range(0, len(texts), 20):
-            for encoded in self.tokenizer.encode_batch(texts[start : start + 20], add_special_tokens=False):
-                yield np.asarray(encoded.ids, dtype="<u4").tobytes(), np.asarray(encoded.word_ids, dtype=np.int64)
-
     def encode_list(self, words: list[str]) -> list[bytes]:
         """Ids of each word; a word that was not met for a generation is forgotten."""
         young, old = self.young, self.old
