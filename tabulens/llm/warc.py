@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulens.functions.storage import new_folder
+from tabulens.functions.storage import new_folder, stage
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -56,14 +56,16 @@ def with_types(pages: DataFrame) -> DataFrame:
         F.max(F.struct("page_id", "n")).alias("last"), F.sum("n").alias("size")
     )
     groups = groups.filter("size > 1").select("digest", "last.page_id", "last.n")
-    groups = groups.withColumnsRenamed({"page_id": "last_id", "n": "last_copies"})
+    # Written first: its size is known then, and pages of a few repeated digests need no shuffle.
+    groups = stage(groups.withColumnsRenamed({"page_id": "last_id", "n": "last_copies"}), "repeats")
     joined = rows.join(groups, F.col("payload_digest") == F.col("digest"), "left")
     revisit = F.col("digest").isNotNull() & F.col("page_id").isNotNull()
-    once = joined.filter(~revisit | (F.col("page_id") != F.col("last_id")) | (F.col("last_copies") == 1))
-    again = joined.filter(revisit & (F.col("page_id") == F.col("last_id")) & (F.col("last_copies") > 1))
-    nth = F.row_number().over(W.partitionBy("payload_digest").orderBy("url"))
+    typed = joined.withColumn("nth", F.lit(1))
+    if not groups.filter("last_copies > 1").isEmpty():
+        tied = F.coalesce(revisit & (F.col("page_id") == F.col("last_id")) & (F.col("last_copies") > 1), F.lit(False))
+        nth = F.row_number().over(W.partitionBy("payload_digest").orderBy("url"))
+        typed = typed.filter(~tied).unionByName(joined.filter(tied).withColumn("nth", nth))
     is_revisit = revisit & ((F.col("page_id") != F.col("last_id")) | (F.col("nth") > 1))
-    typed = once.withColumn("nth", F.lit(1)).unionByName(again.withColumn("nth", nth))
     return typed.select(
         "page_id",
         "url",
