@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.shared import slices, split_words
+from tabulens.llm.shared import bounded_batches, slices, split_words
 from tabulens.llm.tokenizing import KEPT_WORDS, byte_signs, default_vocabulary, encode_words
 
 #: Bytes up to which a word counts as short.
@@ -160,7 +160,7 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None)
     an empty table stays empty. Columns named `ids` or `decoded` are replaced.
     """
     path = path or default_vocabulary()
-    docs = docs.drop(*[c for c in ("ids", "decoded") if c != text])
+    docs = bounded_batches(docs).drop(*[c for c in ("ids", "decoded") if c != text])
     others = [c for c in docs.columns if c != text]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

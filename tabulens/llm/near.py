@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.storage import stage
 from tabulens.llm.components import least_nodes
-from tabulens.llm.shared import inside, mixed, rolling, slices, split_words, word_hashes
+from tabulens.llm.shared import bounded_batches, inside, mixed, rolling, slices, split_words, word_hashes
 
 BANDS = 44
 ROWS = 8
@@ -220,7 +220,7 @@ def near_groups(
     a component without ids, and it has no component_id there. Rows that share
     an id are judged by their own texts. An empty table gives no rows.
     """
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    docs = bounded_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     signed = stage(signatures(docs, length), "signatures")
     # One row per different set; copies combine in each task before the shuffle.
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")]

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulens.llm.shared import bounded_batches
+
 #: Labelled pages that the weights are fitted on, chosen by a hash of the page.
 SAMPLE_PAGES = 1000
 PRIOR = 20
@@ -235,6 +237,7 @@ def extract_text(pages: DataFrame, weights: dict[str, float] | None = None) -> D
     an empty text, plain words are content. Repeated rows give equal texts. An
     empty table stays empty. Other columns do not matter.
     """
+    bounded_batches(pages)
     weights = fit_weights(pages) if weights is None else weights
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.llm.shared import inside, rolling, slices, split_words, texts_of, unused, word_hashes
+from tabulens.llm.shared import bounded_batches, inside, rolling, slices, split_words, texts_of, unused, word_hashes
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -103,7 +103,7 @@ def measured(docs: DataFrame, text: str, name: str) -> DataFrame:
     c = lambda field: F.col(f"{name}.{field}")
     rate = lambda part, whole: F.when(c(whole) > 0, F.expr(f"1000 * {name}.{part} div {name}.{whole}")).otherwise(0)
     failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
-    counted = docs.withColumn(name, text_counts(F.col(text)))
+    counted = bounded_batches(docs).withColumn(name, text_counts(F.col(text)))
     return counted.withColumn(
         name,
         F.struct(

@@ -21,6 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same table; its session sends Python some MB of text at a time, unless the user set another bound.
+
+    Without a bound a batch is 10,000 rows, which may be gigabytes of long texts.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(setting, "-1")) <= 0:
+        df.sparkSession.conf.set(setting, str(SLICE_BYTES))
+    return df
+
+
 def run_stages(spark: SparkSession, docs: DataFrame, folder: str, stages) -> DataFrame:
     """Each stage over what the one before it wrote to the shared folder."""
     for name, function in stages:

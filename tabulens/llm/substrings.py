@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.shared import inside, power_of_two, rolling, split_words, unused, word_hashes
+from tabulens.llm.shared import bounded_batches, inside, power_of_two, rolling, split_words, unused, word_hashes
 
 #: Characters of text in a batch, and block hashes that one task of the index compares.
 BATCH_CHARS = 8 << 20
@@ -108,7 +108,7 @@ def remove_repeats(
     fixed order; of repeated rows the first keeps its words. An empty table
     stays empty. Ids are integers.
     """
-    docs = docs.drop(words, removed)
+    docs = bounded_batches(docs).drop(words, removed)
     block = window // 2
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     batches = max(1, -(-chars // BATCH_CHARS))

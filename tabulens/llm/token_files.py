@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulens.functions.storage import new_folder
-from tabulens.llm.shared import slices
+from tabulens.llm.shared import bounded_batches, slices
 from tabulens.llm.tokenizing import SLICE_BYTES, default_vocabulary, encode_texts
 
 END = 2
@@ -49,7 +49,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
                 columns = [part.column("doc_id"), starts, sizes, lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "before", "n", "ids"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
+    ordered = bounded_batches(docs).select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     encoded = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(
         encode, f"doc_id {kind}, before long, n long, ids array<int>"
     )
@@ -86,7 +86,7 @@ def positions(rows: DataFrame) -> DataFrame:
                 ["doc_id", "part", "before", "n_tokens", "ids_crc32"],
             )
 
-    counted = rows.select("doc_id", "part", "before", "ids").mapInArrow(count, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
+    counted = bounded_batches(rows).select("doc_id", "part", "before", "ids").mapInArrow(count, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
     # One row per written part, whatever the number of documents.
     totals = rows.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n"))
     upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulens.functions.storage import new_folder, stage
+from tabulens.llm.shared import bounded_batches
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -240,7 +241,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(read, schema)
+    return bounded_batches(files).select("path", "content").mapInArrow(read, schema)
 
 
 def warc_pages(pages: DataFrame) -> DataFrame:
