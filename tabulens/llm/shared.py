@@ -27,7 +27,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     Without a bound a batch is 10,000 rows, which may be gigabytes of long texts.
     """
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(setting, "-1")) <= 0:
+    if df.sparkSession.conf.get(setting, None) is None:
         df.sparkSession.conf.set(setting, str(SLICE_BYTES))
     return df
 
