@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.shared import bounded_batches, slices, split_words
+from tabulens.llm.shared import bounded_batches, give_back, slices, split_words
 from tabulens.llm.tokenizing import KEPT_WORDS, byte_signs, default_vocabulary, encode_words
 
 #: Bytes up to which a word counts as short.
@@ -177,6 +177,7 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None)
                     [*part.select(others).columns, pa.array(coded, pa.binary()), pa.array(decoded, pa.string())],
                     [*others, "ids", "decoded"],
                 )
+        give_back()
 
     schema = docs.select(*others).withColumns({"ids": F.lit(b""), "decoded": F.lit("")}).schema
     return docs.select(*others, text).mapInArrow(code, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.storage import stage
 from tabulens.llm.components import least_nodes
-from tabulens.llm.shared import bounded_batches, inside, mixed, rolling, slices, split_words, word_hashes
+from tabulens.llm.shared import bounded_batches, give_back, inside, mixed, rolling, slices, split_words, word_hashes
 
 BANDS = 44
 ROWS = 8
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame, length: int) -> DataFrame:
                     [part.column("doc_id"), pa.array(sizes), pa.array(nodes, pa.binary()), lists(keys), lists(sketch)],
                     ["doc_id", "n_shingles", "node", "bands", "sketch"],
                 )
+        give_back()
 
     schema = f"doc_id {kind}, n_shingles long, node binary, bands array<long>, sketch array<long>"
     return docs.mapInArrow(sign, schema)
@@ -134,6 +135,7 @@ def full_sets(docs: DataFrame, length: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], ["node", "items"])
+        give_back()
 
     return docs.select("text").mapInArrow(collect, "node binary, items array<long>")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.functions.storage import stage
-from tabulens.llm.shared import bounded_batches, slices
+from tabulens.llm.shared import bounded_batches, give_back, slices
 from tabulens.llm.tokenizing import SLICE_BYTES, default_vocabulary, encode_texts
 
 CAPACITY = 2048
@@ -132,6 +132,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             items.append(piece)
         bins = [(sum(sizes[i] for i in b), [items[i] for i in b]) for b in best_fit(sizes, capacity)]
         yield from _written(0, bins, False, MAX_OPEN, capacity)
+        give_back()
 
     dealt = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = dealt.mapInArrow(local, schema).withColumn("origin", F.spark_partition_id().cast("long"))

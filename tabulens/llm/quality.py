@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.llm.shared import bounded_batches, inside, rolling, slices, split_words, texts_of, unused, word_hashes
+from tabulens.llm.shared import bounded_batches, give_back, inside, rolling, slices, split_words, texts_of, unused, word_hashes
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -89,6 +89,7 @@ def text_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         frame = pa.table({"text": texts})
         done = [_counts(s.column("text")) for s in slices(frame, "text")]
         yield pa.concat_arrays(done) if done else _counts(texts)
+    give_back()
 
 
 def bucket(value: Column) -> Column:

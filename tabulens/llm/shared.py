@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks and wait next to the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def run_stages(spark: SparkSession, docs: DataFrame, folder: str, stages) -> DataFrame:
     """Each stage over what the one before it wrote to the shared folder."""
     for name, function in stages:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.shared import bounded_batches, inside, power_of_two, rolling, split_words, unused, word_hashes
+from tabulens.llm.shared import bounded_batches, give_back, inside, power_of_two, rolling, split_words, unused, word_hashes
 
 #: Characters of text in a batch, and block hashes that one task of the index compares.
 BATCH_CHARS = 8 << 20
@@ -125,6 +125,7 @@ def remove_repeats(
         counts = np.diff(np.append(first, len(keys)))
         marks = np.maximum.reduceat(reference.astype(np.uint64), first) if len(first) else reference[:0].astype(np.uint64)
         sent = keys[first] | marks | (np.uint64(2) * (counts > 1).astype(np.uint64))
+        give_back()
         runs = _pieces(sent, bits, HASH_BITS)
         number = rows.column(batch)[0].as_py()
         columns = {
@@ -166,6 +167,7 @@ def remove_repeats(
         found, full = found[order], full[order]
         new = np.append(True, (found[1:] != found[:-1]).any(axis=1))[: len(found)]
         found, full = found[new], full[new]
+        give_back()
         runs = _pieces(found[:, 0], bits, 64)
         number = rows.column(batch)[0].as_py()
         owner = here.owner[full]
@@ -195,6 +197,7 @@ def remove_repeats(
 
     def _answers(rows: pa.Table, source: np.ndarray, values: list[np.ndarray]) -> pa.Table:
         """For each sent row the values that concern it; one binary column per array of values."""
+        give_back()
         numbers = rows.column("batch").to_pylist()
         order = np.argsort(source, kind="stable")
         source = source[order]
@@ -230,6 +233,7 @@ def remove_repeats(
         for i in np.nonzero(n_removed)[0]:
             s, e = here.offsets[i], here.offsets[i + 1]
             texts[i] = " ".join(here.words.slice(s, e - s).filter(pa.array(kept[s:e])).to_pylist())
+        give_back()
         out = rows.set_column(rows.schema.get_field_index(text), text, pa.array(texts, pa.string()))
         out = out.drop_columns([batch]).append_column(words, pa.array(np.diff(here.offsets), pa.int64()))
         return out.append_column(removed, pa.array(n_removed, pa.int64()))

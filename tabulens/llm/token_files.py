@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulens.functions.storage import new_folder
-from tabulens.llm.shared import bounded_batches, slices
+from tabulens.llm.shared import bounded_batches, give_back, slices
 from tabulens.llm.tokenizing import SLICE_BYTES, default_vocabulary, encode_texts
 
 END = 2
@@ -48,6 +48,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
                 before += len(ids)
                 columns = [part.column("doc_id"), starts, sizes, lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "before", "n", "ids"])
+        give_back()
 
     ordered = bounded_batches(docs).select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     encoded = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(
