@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tabulens.llm.shared import bounded_batches, give_back, inside, power_of_two, rolling, split_words, unused, word_hashes
 
-#: Characters of text in a batch, and block hashes that one task of the index compares.
-BATCH_CHARS = 8 << 20
+#: Characters of text in a batch, and block hashes that one task of the index compares. A batch takes some 30 times
+#: its characters of memory for a moment; with more memory, larger batches send fewer and longer rows.
+BATCH_CHARS = 4 << 20
 INDEX_ENTRIES = 1 << 20
 #: Bits of a block hash. False hits only add candidates.
 HASH_BITS = 48
@@ -57,7 +58,7 @@ class Words:
         self.ids = self.ids[self.order]
         self.offsets, self.words = split_words(texts)
         self.hashes = word_hashes(self.words)
-        self.owner = np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
+        self.owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.offsets))
         self.place = np.arange(len(self.owner)) - self.offsets[self.owner]
 
     def blocks(self, length: int) -> tuple[np.ndarray, np.ndarray]:
