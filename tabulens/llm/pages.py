@@ -155,21 +155,21 @@ def features(html: str) -> list[tuple[str, str, int, str]]:
 
 def prior(key: str) -> float:
     """The weight of a context that no labelled page has."""
+    if key.endswith("!"):
+        return BRIDGE
     if key.startswith("tag:"):
         return TAG
-    return BRIDGE if key.endswith("!") else OUTSIDE if key.endswith("-") else WORD
+    return OUTSIDE if key.endswith("-") else WORD
 
 
 def weigh(key: str, inside: int, outside: int) -> float:
     """Log odds with the prior as some observations; words at most 1, tags and boilerplate never positive."""
-    if not inside + outside:
+    if not inside + outside or key.endswith("!"):
         return prior(key)
-    content = not key.endswith(("!", "-"))
+    content = not key.endswith("-")
     odds = math.log((inside + (PRIOR if content else 1)) / (outside + (1 if content else PRIOR)))
     if key.startswith("tag:"):
-        return min(TAG, max(odds, -1.0) if not content else TAG)
-    if key.endswith("!"):
-        return BRIDGE
+        return TAG if content else min(TAG, max(odds, -1.0))
     return min(WORD, max(odds, OUTSIDE))
 
 
