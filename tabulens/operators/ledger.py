@@ -1,12 +1,14 @@
 """Token balances: credits always apply, a debit only if the balance covers it.
 
 Because a refused debit leaves the balance as it was, a balance is not a
-running sum.  Yet the effect of a stretch of moves is a function of the
-balance before it, and such functions can be chained.  Rows are therefore
-range-partitioned by user and time, which spreads a user with very many moves
-over several partitions; each stretch of such a user is summarised as a function
-from opening to closing balance, the functions are chained, and every
-partition is replayed from its opening balance.
+running sum.  Rows are range-partitioned by user and time, which spreads a user
+with very many moves over several partitions.  Of each stretch of such a user two
+numbers are kept: the net of its moves, and the least opening balance at which
+nothing is refused.  From there upwards the closing balance is known.  Other
+stretches are replayed from an assumed opening, all at once; the closings are
+chained, and what turns out to have another opening is replayed again, until
+nothing changes.  Finally every partition is replayed from its opening balance.
+No pass keeps more than one balance, however large the amounts are.
 """
 
 from __future__ import annotations
@@ -32,9 +34,12 @@ def balance_ledger(
     order_by: Sequence[str],
     amount: str,
     start: int = START_BALANCE,
+    parts: int | None = None,
 ) -> DataFrame:
     """All moves with ``applied`` and ``balance_after``.
 
+    ``parts`` fixes the number of ranges; by default Spark chooses it.
+
     ``amount`` is a bigint, positive for credits and negative for debits;
     ``order_by`` must be unique per user.  Moves without a user or an amount
     touch no balance and are left out.
@@ -42,7 +47,8 @@ def balance_ledger(
     valid = moves.where(col(user).isNotNull() & col(amount).isNotNull())
     keys = [col(user), *[col(c) for c in order_by]]
     # All passes must see the same partitions, hence the checkpoint.
-    placed = cut_lineage(valid.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn(
+    ranged = valid.repartitionByRange(parts, *keys) if parts else valid.repartitionByRange(*keys)
+    placed = cut_lineage(ranged.sortWithinPartitions(*keys)).withColumn(
         _PART, F.spark_partition_id()
     )
     openings = _openings(placed, user, amount, start)
@@ -58,7 +64,14 @@ def balance_ledger(
 
 
 def _openings(placed: DataFrame, user: str, amount: str, start: int) -> DataFrame:
-    """``__part, user, __opening`` for users whose moves lie in several partitions."""
+    """``__part, user, __opening`` for users whose moves lie in several partitions.
+
+    The driver chains at most two rows per partition.  Each round settles at
+    least one more stretch of every user; once a balance has been refused near
+    zero, later closings hardly depend on it, so few rounds are usual.
+    """
+    spark = placed.sparkSession
+    kind = placed.schema[user].dataType
     edges = placed.groupBy(_PART).agg(F.min(col(user)).alias("lo"), F.max(col(user)).alias("hi"))
     # A user in several partitions is first or last in each, so there are fewer than partitions.
     spread = (
@@ -68,192 +81,175 @@ def _openings(placed: DataFrame, user: str, amount: str, start: int) -> DataFram
         .where(F.col("parts") > 1)
         .select(col(user))
     )
-    shared = placed.select(_PART, col(user), col(amount)).join(F.broadcast(spread), user)
-    # No balance of the user can exceed the start plus all credits.
-    highest = shared.groupBy(col(user)).agg(
-        (F.sum(F.greatest(col(amount), F.lit(0))) + start).cast("bigint").alias("highest")
-    )
-    stretches = shared.join(F.broadcast(highest), user).select(
-        F.col(_PART).alias("part"), col(user).alias("user"), col(amount).alias("amount"), "highest"
-    )
-    who = T.StructField("user", placed.schema[user].dataType)
-    runs = T.ArrayType(T.LongType())
-    summaries = stretches.mapInArrow(
-        _summarise(),
-        T.StructType(
-            [
-                T.StructField("part", T.IntegerType()),
-                who,
-                T.StructField("net", T.LongType()),
-                T.StructField("below", T.LongType()),
-                T.StructField("unit", T.LongType()),
-                *[T.StructField(n, runs) for n in ("starts", "values", "slopes")],
-            ]
-        ),
-    )
-    # A group has one row per partition of the user.
-    openings = summaries.groupBy("user").applyInArrow(
-        _chain(start),
-        T.StructType([T.StructField("part", T.IntegerType()), who, T.StructField("opening", T.LongType())]),
-    )
-    return openings.select(
-        F.col("part").alias(_PART), F.col("user").alias(user), F.col("opening").alias(_OPENING)
+    shared = placed.select(F.col(_PART).alias("part"), col(user).alias("user"), col(amount).alias("amount")).join(
+        F.broadcast(spread.select(col(user).alias("user"))), "user"
     )
+    who = T.StructField("user", kind)
+    long = lambda name: T.StructField(name, T.LongType())
+    part = T.StructField("part", T.IntegerType())
+    sums = shared.select("part", "user", "amount").mapInArrow(_sums(), T.StructType([part, who, long("net"), long("below")]))
+    stretches: dict = {}
+    for row in sorted(sums.collect(), key=lambda r: r["part"]):
+        stretches.setdefault(row["user"], []).append((row["part"], row["net"], row["below"]))
+
+    opened = T.StructType([part, who, long("opening")])
+    closings: dict = {}
+    while True:
+        found, missing = _chained(stretches, closings, start)
+        if not missing:
+            return spark.createDataFrame(found, opened).toDF(_PART, user, _OPENING)
+        asked = F.broadcast(spark.createDataFrame(missing, opened))
+        replayed = shared.join(asked, ["part", "user"]).select("part", "user", "opening", "amount")
+        closed = replayed.mapInArrow(_closings(), T.StructType([part, who, long("opening"), long("closing")]))
+        closings.update({(r["part"], r["user"], r["opening"]): r["closing"] for r in closed.collect()})
+
+
+def _chained(stretches: dict, closings: dict, start: int) -> tuple[list[tuple], list[tuple]]:
+    """Openings of all stretches, and those whose closing has to be replayed first.
+
+    Behind an unknown closing the chain goes on with a guess, so that the
+    stretches of a user are replayed in the same round.
+    """
+    found, missing = [], []
+    for user, rows in stretches.items():
+        balance = start
+        for part, net, below in rows:
+            found.append((part, user, balance))
+            key = (part, user, balance)
+            if balance >= below:
+                balance += net
+            elif key in closings:
+                balance = closings[key]
+            else:
+                missing.append(key)
+                balance = max(balance + net, 0)
+    return found, missing
+
+
+def _runs():
+    """Iterates over (key, rows) of neighbouring rows with the same leading columns."""
+
+    def runs(batch, width):
+        import numpy as np
 
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:width])))
+        amounts = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+        change = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+        for s, e in zip([0, *change], [*change, len(keys)]):
+            if e > s:
+                yield keys[s], np.asarray(amounts[s:e], dtype=np.int64)
 
-def _summarise():
-    """Closing balance as a function of the opening one, per run of one user's rows.
+    return runs
 
-    From ``below`` upwards every move applies, so the balance changes by
-    ``net``.  Lower openings that reach the same balance stay together from
-    then on, so only the distinct balances are moved, and openings point to
-    them.  If all amounts are multiples of ``unit``, so are the differences
-    that matter, and the function is kept per unit, as runs of slope 0 or 1.
-    """
 
-    def summarise(batches):
-        import math
+def _sums():
+    """Net and least sufficient opening of each stretch; one running sum is all it keeps."""
+    runs = _runs()
 
-        import numpy as np
+    def sums(batches):
         import pyarrow as pa
 
-        class Stretch:
-            def __init__(self, part, user, highest):
-                self.key, self.highest = (part, user), highest
-                self.net = self.below = self.unit = 0
-                self.parent = np.arange(1024)  # opening -> an opening it has met
-                self.members = np.empty(0, np.int64)  # openings that stand for the rest
-                self.balances = np.empty(0, np.int64)
-                self.merge_at = 128
-
-            def move(self, amount):
-                self.unit = math.gcd(self.unit, amount)
-                if amount >= 0:
-                    self.balances = self.balances + amount
-                    self.net += amount
-                    return
-                self.balances = np.where(self.balances + amount >= 0, self.balances + amount, self.balances)
-                below = min(-amount - self.net, self.highest + 1)
-                if below > self.below:  # openings that are refused for the first time
-                    refused = np.arange(self.below, below)
-                    self.members = np.concatenate([self.members, refused])
-                    self.balances = np.concatenate([self.balances, refused + self.net])
-                    self.below = below
-                    if below > len(self.parent):
-                        more = np.arange(len(self.parent), 2 * below)
-                        self.parent = np.concatenate([self.parent, more])
-                self.net += amount
-                if len(self.members) > self.merge_at:
-                    self.merge()
-
-            def merge(self):
-                self.balances, first, group = np.unique(
-                    self.balances, return_index=True, return_inverse=True
-                )
-                self.parent[self.members] = self.members[first][group]
-                self.members = self.members[first]
-                self.merge_at = 2 * len(self.members) + 128
-
-            def closings(self):
-                root = self.parent[: self.below]
-                while not np.array_equal(root, self.parent[root]):
-                    root = self.parent[root]
-                balance = np.zeros(self.below, np.int64)
-                balance[self.members] = self.balances
-                return balance[root]
-
-            def summary(self, user_type):
-                unit = self.unit or 1
-                values = self.closings()[::unit] // unit
-                steps = np.diff(values)
-                straight = (steps == 0) | (steps == 1)
-                breaks = ~straight
-                breaks[1:] |= steps[1:] != steps[:-1]
-                starts = np.concatenate([[0], np.flatnonzero(breaks) + 1])[: len(values)].astype(np.int64)
-                ends = np.append(starts[1:], len(values))
-                slopes = np.zeros(len(starts), np.int64)
-                longer = ends - starts > 1
-                slopes[longer] = steps[starts[longer]]
-                (part, user), lists = self.key, pa.list_(pa.int64())
-                return pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array([part], pa.int32()),
-                        "user": pa.array([user], user_type),
-                        "net": pa.array([self.net], pa.int64()),
-                        "below": pa.array([self.below], pa.int64()),
-                        "unit": pa.array([unit], pa.int64()),
-                        "starts": pa.array([starts.tolist()], lists),
-                        "values": pa.array([values[starts].tolist()], lists),
-                        "slopes": pa.array([slopes.tolist()], lists),
-                    }
-                )
-
-        stretch = None
+        current, net, lowest, kind = None, 0, 0, None
+
+        def row():
+            (part, user) = current
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([user], kind), pa.array([net], pa.int64()), pa.array([max(0, -lowest)], pa.int64())],
+                ["part", "user", "net", "below"],
+            )
+
         for batch in batches:
-            user_type = batch.column("user").type
-            for part, user, amount, highest in zip(*(c.to_pylist() for c in batch.columns)):
-                if stretch is None or stretch.key != (part, user):
-                    if stretch is not None:
-                        yield stretch.summary(user_type)
-                    stretch = Stretch(part, user, highest)
-                stretch.move(amount)
-        if stretch is not None:
-            yield stretch.summary(user_type)
+            kind = batch.column("user").type
+            for key, amounts in runs(batch, 2):
+                if key != current:
+                    if current is not None:
+                        yield row()
+                    current, net, lowest = key, 0, 0
+                total = amounts.cumsum()
+                lowest = min(lowest, net + int(total.min()))
+                net += int(total[-1])
+        if current is not None:
+            yield row()
 
-    return summarise
+    return sums
 
 
-def _chain(start: int):
-    """Opening balance of each stretch of one user, from the closing of the one before."""
+def _walk():
+    """Applies moves in order; blocks without a refusal are one cumulative sum."""
 
-    def chain(stretches):
-        from bisect import bisect_right
+    def walk(balance, amounts):
+        import numpy as np
+
+        applied, after = np.ones(len(amounts), dtype=bool), np.empty(len(amounts), dtype=np.int64)
+        for s in range(0, len(amounts), 256):
+            block = amounts[s : s + 256]
+            total = balance + block.cumsum()
+            if total.min() >= 0:
+                after[s : s + 256] = total
+                balance = int(total[-1])
+                continue
+            for i, change in enumerate(block.tolist(), s):
+                if balance + change >= 0:
+                    balance += change
+                else:
+                    applied[i] = False
+                after[i] = balance
+        return balance, applied, after
+
+    return walk
+
+
+def _closings():
+    """Closing balance of each stretch from the opening it was asked for."""
+    runs, walk = _runs(), _walk()
 
+    def closings(batches):
         import pyarrow as pa
 
-        ordered = stretches.sort_by("part")
-        balance, openings = start, []
-        for row in ordered.to_pylist():
-            openings.append(balance)
-            if balance >= row["below"]:
-                balance += row["net"]
-                continue
-            place, rest = divmod(balance, row["unit"])
-            run = bisect_right(row["starts"], place) - 1
-            value = row["values"][run] + row["slopes"][run] * (place - row["starts"][run])
-            balance = value * row["unit"] + rest
-        return pa.table(
-            {
-                "part": ordered.column("part"),
-                "user": ordered.column("user"),
-                "opening": pa.array(openings, pa.int64()),
-            }
-        )
+        current, balance, kind = None, 0, None
+
+        def row():
+            values = zip((*current, balance), (pa.int32(), kind, pa.int64(), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], ["part", "user", "opening", "closing"])
+
+        for batch in batches:
+            kind = batch.column("user").type
+            for key, amounts in runs(batch, 3):
+                if key != current:
+                    if current is not None:
+                        yield row()
+                    current, balance = key, key[2]
+                balance = walk(balance, amounts)[0]
+        if current is not None:
+            yield row()
 
-    return chain
+    return closings
 
 
 def _replay(user: str, amount: str, start: int):
     """Walk each partition in order; a new user starts at its opening balance."""
+    runs, walk = _runs(), _walk()
 
     def replay(batches):
+        import numpy as np
         import pyarrow as pa
 
         current, balance = None, start
         for batch in batches:
-            opening = batch.column(batch.num_columns - 1).to_pylist()
-            users, amounts = batch.column(user).to_pylist(), batch.column(amount).to_pylist()
+            columns = [batch.column(user), batch.column(batch.num_columns - 1), batch.column(amount)]
             applied, after = [], []
-            for who, change, opened in zip(users, amounts, opening):
+            for (who, opened), amounts in runs(pa.RecordBatch.from_arrays(columns, ["user", "opening", "amount"]), 2):
                 if who != current:
                     current, balance = who, start if opened is None else opened
-                covered = balance + change >= 0
-                if covered:
-                    balance += change
-                applied.append(covered)
-                after.append(balance)
+                balance, done, left = walk(balance, amounts)
+                applied.append(done)
+                after.append(left)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(applied, pa.bool_()), pa.array(after, pa.int64())],
+                [
+                    *batch.columns[:-1],
+                    pa.array(np.concatenate(applied) if applied else [], pa.bool_()),
+                    pa.array(np.concatenate(after) if after else [], pa.int64()),
+                ],
                 [*batch.schema.names[:-1], "applied", "balance_after"],
             )
 

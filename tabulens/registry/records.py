@@ -93,12 +93,11 @@ def moves(spark, folder):
     return table(spark, folder, "events").select("event_id", "user_id", "ts", amount.alias("amount"))
 
 
-@query(
-    "balance_ledger",
-    f"""WITH RECURSIVE m AS (
+def _ledger_sql(user: str, factor: int) -> str:
+    return f"""WITH RECURSIVE m AS (
             SELECT event_id, user_id, ts, amount,
                    ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r
-            FROM (SELECT event_id, user_id, ts, CASE WHEN event_type = 'purchase' THEN 20
+            FROM (SELECT event_id, {user} AS user_id, ts, {factor} * CASE WHEN event_type = 'purchase' THEN 20
                          ELSE -{_COST.format(size=_SIZE)} END AS amount FROM events)),
         l AS (
             SELECT event_id, user_id, amount, r, 5 + amount >= 0 AS applied,
@@ -107,12 +106,22 @@ def moves(spark, folder):
             SELECT m.event_id, m.user_id, m.amount, m.r, l.balance_after + m.amount >= 0,
                    CASE WHEN l.balance_after + m.amount >= 0 THEN l.balance_after + m.amount ELSE l.balance_after END
             FROM l JOIN m ON m.user_id = l.user_id AND m.r = l.r + 1)
-        SELECT event_id, user_id, amount, applied, balance_after FROM l""",
-)
+        SELECT event_id, user_id, amount, applied, balance_after FROM l"""
+
+
+@query("balance_ledger", _ledger_sql("user_id", 1))
 def ledger(spark, folder):
     return balance_ledger(moves(spark, folder), "user_id", ["ts", "event_id"], "amount").drop("ts")
 
 
+@query("balance_ledger_spread", _ledger_sql("CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END", 1_000_000_000))
+def ledger_of_a_hot_user(spark, folder):
+    """One user has a third of all moves, with large amounts, in 16 ranges."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
+    scaled = moves(spark, folder).withColumns({"user_id": user, "amount": F.col("amount") * 1_000_000_000})
+    return balance_ledger(scaled, "user_id", ["ts", "event_id"], "amount", parts=16).drop("ts")
+
+
 def history_tables(spark, folder):
     customers = table(spark, folder, "customer")
     documents = table(spark, folder, "documents")

@@ -226,3 +226,18 @@ def test_parsed_instructions_drive_an_analysis(spark):
     report = analyze(df, N.instructions_of(answers, "k", 1), order_by=["v"])
     assert [c.type for c in report.charts] == ["pie", "line"]
     assert report.insights[0].data == {"c1": 400.0, "c0": 380.0}
+
+
+def test_ledger_memory_does_not_follow_the_amounts(spark):
+    """Opening balances are never listed: large debits against large credits stay cheap."""
+    moves = [(1, i, 10**9 if i % 3 else -60_000_000 * (i % 7)) for i in range(400)]
+    moves += [(1, 400 + i, -(10**9) * (i % 5)) for i in range(800)]
+    assert run_ledger(spark, moves, 5) == simulate(moves, 5)
+
+
+def test_ledger_of_many_random_moves_of_one_user(spark):
+    import random
+
+    rng = random.Random(1)
+    moves = [(1, i, rng.randint(-200_000, 190_000)) for i in range(60_000)] + [(2, 1, 7)]
+    assert run_ledger(spark, moves, 5) == simulate(moves, 5)
