@@ -21,7 +21,7 @@ from tabulens.registry.base import (
 )
 from tabulens.sources.csv import read_csv
 from tabulens.sources.documents import load_dataset, load_results, save_dataset, save_results
-from tabulens.sources.files import audit_files
+from tabulens.sources.files import UPLOAD_EXTENSIONS, audit_files
 
 
 @query(
@@ -138,7 +138,23 @@ def result_store(spark, folder):
     return found.select("label", F.round("y", 4).alias("y"))
 
 
-@query("file_audit")
+@query(
+    "file_audit",
+    """WITH files AS (
+            SELECT CASE WHEN c_nationkey % 2 = 0 THEN '.txt' ELSE '.csv' END AS extension,
+                   SUM(strlen(c_name) + 1)::BIGINT AS size
+            FROM customer GROUP BY c_nationkey),
+        rules AS (SELECT SUM(size) // COUNT(*) AS most FROM files)
+        SELECT extension, size, extension = '.csv' AS known_extension, size <= most AS within_size,
+               extension = '.csv' AND size <= most AS admitted
+        FROM files, rules""",
+)
 def file_audit(spark, folder):
-    """Sizes of the input files themselves; SQL over the tables cannot see them."""
-    return audit_files(spark, folder)
+    """A file of customer names per nation, half of them text and half CSV; files of up to the mean size fit."""
+    names = table(spark, folder, "customer").select("c_name", "c_nationkey")
+    path = new_folder(spark, "uploads")
+    for kind, rest in (("text", 0), ("csv", 1)):
+        part = names.filter(F.col("c_nationkey") % 2 == rest).repartition("c_nationkey")
+        part.write.partitionBy("c_nationkey").format(kind).save(f"{path}/{kind}")
+    total, count = names.agg(F.sum(F.octet_length("c_name") + 1), F.count_distinct("c_nationkey")).first()
+    return audit_files(spark, path, UPLOAD_EXTENSIONS, total // count).drop("file_name")

@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from tabulens.functions.columns import col, data_columns, data_fields, is_temporal
+from tabulens.functions.columns import POSITION, col, data_columns, data_fields, is_temporal
 from tabulens.functions.scalars import iso_text, normalise_missing
 from tabulens.sources.csv import with_position
 
-#: A single JSON document is parsed by one task, so its size is checked first.
-MAX_DOCUMENT_BYTES = 256 * 1024 * 1024
-
 
 def save_dataset(
     df: DataFrame,
@@ -56,7 +53,8 @@ def load_dataset(
     ``position`` attaches the place of each row in the stored files.
     """
     if path.rstrip("/").endswith(".json"):
-        return load_document(spark, path)
+        rows, meta = load_document(spark, path)
+        return (rows.withColumn(POSITION, F.monotonically_increasing_id()) if position else rows), meta
     try:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         rows = spark.read.format(meta["format"]).load(f"{path}/data")
@@ -67,14 +65,15 @@ def load_dataset(
 
 
 def load_document(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any]]:
-    """Read one JSON document; a bare list of records has no metadata."""
+    """Read one JSON document; a bare list of records has no metadata.
+
+    One task reads a document, of any size: a bare list as a stream of records,
+    the form with metadata as one row.  The dataset store splits its rows.
+    """
     try:
-        size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+        document = spark.read.json(path, multiLine=True)
     except AnalysisException as error:
         raise FileNotFoundError(f"no dataset at {path}") from error
-    if size > MAX_DOCUMENT_BYTES:
-        raise ValueError(f"{path} holds a document of {size} bytes; store it with save_dataset")
-    document = spark.read.json(path, multiLine=True)
     if "_meta" not in document.columns and "data" not in document.columns:
         return document, {}
     meta: dict[str, Any] = {}

@@ -19,12 +19,13 @@ def audit_files(
     spark: SparkSession,
     path: str,
     extensions: Iterable[str] = SCAN_EXTENSIONS,
-    max_bytes: int | None = MAX_UPLOAD_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per file: ``file_name, extension, size, known_extension, within_size, admitted``.
 
     Only path and length are selected, so no file content is read.  A file of
-    exactly ``max_bytes`` is still admitted; ``max_bytes=None`` lifts the cap.
+    exactly ``max_bytes`` is still admitted.  There is no size rule by default;
+    ``MAX_UPLOAD_BYTES`` is the one for uploads.
     """
     files = (
         spark.read.format("binaryFile")

@@ -21,8 +21,7 @@ def test_query_agrees_with_sql(spark, connection, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"file_audit"}
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_comparison_notices_differences(spark, connection):
@@ -38,12 +37,6 @@ def test_comparison_notices_differences(spark, connection):
     assert found("SELECT 2.0::DOUBLE AS b, 1 AS a WHERE 1 = 0")
 
 
-def test_file_audit_lists_the_tables(spark):
-    rows = {r["file_name"]: r for r in QUERIES["file_audit"](spark, FOLDER).collect()}
-    assert rows["orders.parquet"]["size"] == os.path.getsize(f"{FOLDER}/orders.parquet")
-    assert rows["orders.parquet"]["admitted"]
-
-
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 

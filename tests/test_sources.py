@@ -242,11 +242,10 @@ def test_columnar_and_json_sources(spark, tmp_path, fmt):
     assert load_dataset(spark, str(tmp_path / "store"))[1]["row_count"] == 2
 
 
-def test_large_documents_are_refused(spark, tmp_path, monkeypatch):
-    path = write(tmp_path, json.dumps([{"a": 1}] * 50), "big.json")
-    monkeypatch.setattr("tabulens.sources.documents.MAX_DOCUMENT_BYTES", 100)
-    with pytest.raises(ValueError):
-        load_dataset(spark, path)
+def test_documents_have_positions_on_request(spark, tmp_path):
+    path = write(tmp_path, json.dumps([{"a": i} for i in range(50)]), "list.json")
+    rows, _ = load_dataset(spark, path, position=True)
+    assert [r["a"] for r in rows.orderBy(POSITION).collect()] == list(range(50))
 
 
 def test_approximate_ingestion(spark, tmp_path):
