@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection, Iterable, Mapping
 from typing import Any
 
@@ -24,7 +25,8 @@ def best_numeric(profile: Rows, exclude: Collection[str] = ()) -> str | None:
     """Number that varies most relative to its mean, the first one on ties.
 
     Columns named like identifiers do not take part.  The first column wins
-    unless another beats both it and -1.
+    unless another beats both it and -1.  A variation that is not a number, as
+    infinite values give, beats nothing.
     """
     numbers = [
         r for r in profile if r["type"] in ("integer", "float") and r["column"] not in exclude
@@ -34,7 +36,8 @@ def best_numeric(profile: Rows, exclude: Collection[str] = ()) -> str | None:
     open_to_choice = [
         r for r in numbers if not any(f in r["column"].lower() for f in ID_FRAGMENTS)
     ]
-    best = max(open_to_choice, key=variation_of, default=numbers[0])
+    comparable = [r for r in open_to_choice if not math.isnan(variation_of(r))]
+    best = max(comparable, key=variation_of, default=numbers[0])
     return best["column"] if variation_of(best) > -1 else numbers[0]["column"]
 
 

@@ -130,8 +130,13 @@ def position_of(df: DataFrame, order_by: Sequence[str] | None) -> Column:
     return F.monotonically_increasing_id()
 
 
-def auto_charts(df: DataFrame, described: Described, order: Column) -> list[C.Chart]:
-    """Up to four charts: over time, by category, distribution, relation."""
+def auto_charts(
+    df: DataFrame, described: Described, order: Column, skipped: list[tuple[str, str]] | None = None
+) -> list[C.Chart]:
+    """Up to four charts: over time, by category, distribution, relation.
+
+    What does not fit the table is added to ``skipped``.
+    """
     kinds, rows = described.kinds, described.rows
     numbers = kinds["numeric"]
     number = best_numeric(rows)
@@ -147,7 +152,12 @@ def auto_charts(df: DataFrame, described: Described, order: Column) -> list[C.Ch
     if category and numbers:
         add("bar", f"{number} by {category}", category, number, C.bar_chart(df, category, number))
     if numbers:
-        bins = C.histogram(df, number)
+        try:
+            bins = C.histogram(df, number)
+        except C.Skipped as reason:
+            bins = None
+            if skipped is not None:
+                skipped.append((f"auto_{len(found) + 1}", str(reason)))
         if bins is not None:
             add("bar", f"Distribution of {number}", number, "rows", bins.select("label", "y"))
     if len(numbers) >= 2:
@@ -237,8 +247,9 @@ def auto_report(
 ) -> Report:
     """Report chosen from the profile alone."""
     described = described or describe(df)
-    found = auto_charts(df, described, position_of(df, order_by))
-    return Report(dataset_id, described, found, basic_insights(described))
+    skipped: list[tuple[str, str]] = []
+    found = auto_charts(df, described, position_of(df, order_by), skipped)
+    return Report(dataset_id, described, found, basic_insights(described), skipped=skipped)
 
 
 def analyze(
@@ -259,7 +270,7 @@ def analyze(
     order = position_of(df, order_by)
     charts, skipped = C.build_charts(df, instructions.get("charts", []), order)
     if not charts:
-        charts = auto_charts(df, described, order)
+        charts = auto_charts(df, described, order, skipped)
     insights, failed = run_analyses(df, instructions.get("analyses", []))
     if len(insights) < 2:
         insights = top_up(insights, basic_insights(described))

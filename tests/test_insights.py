@@ -215,3 +215,23 @@ def test_analysis_follows_instructions(spark):
     assert document["dataset_id"] == "d"
     assert document["insights"][0]["data"] == {"m3": 1275.0, "m2": 1250.0, "m1": 1225.0, "m0": 1200.0}
     assert document["explanations"][0]["row_count"] == 100 and len(document["explanations"]) == 2
+
+
+def test_report_on_infinite_values_lists_the_skipped_histogram(spark):
+    from tabulens.plans.report import auto_report
+
+    rows = [(float(i), float("inf") if i == 3 else float("nan") if i == 4 else i % 7 + 0.5, "ab"[i % 2]) for i in range(40)]
+    report = auto_report(spark.createDataFrame(rows, "steady double, wild double, kind string"), order_by=["steady"])
+    assert report.charts and all("inf" not in str(c.title) for c in report.charts)
+    only = auto_report(spark.createDataFrame([(r[1],) for r in rows], "wild double"), order_by=["wild"])
+    assert [reason for _, reason in only.skipped] == ["wild has infinite values"]
+
+
+def test_variation_that_is_not_a_number_beats_nothing():
+    from tabulens.operators.choose import best_numeric
+
+    rows = [
+        {"column": c, "type": "float", "mean": m, "std": s}
+        for c, m, s in (("a", float("inf"), float("nan")), ("b", 2.0, 1.0), ("c", 1.0, 0.9))
+    ]
+    assert best_numeric(rows) == "c" and best_numeric(rows[:1]) == "a"
