@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,8 +219,15 @@ def looks_like_id(name: Column) -> Column:
 def parse_timestamp(value: Column, fmt: str) -> Column:
     """Timestamp for texts that follow ``fmt`` completely, NULL otherwise.
 
-    Texts with an offset are converted to the session time zone.
+    Texts with an offset are converted to the session time zone.  Others mean
+    what they say in any zone: they are read as UTC and counted from its epoch,
+    so an hour that the session's zone leaves out in spring stays as it is.
     """
-    moment = F.try_to_timestamp(value, F.lit(fmt)).cast("timestamp_ntz")
+    if re.search("[XxZzVO]", re.sub("'[^']*'", "", fmt)):
+        moment = F.try_to_timestamp(value, F.lit(fmt)).cast("timestamp_ntz")
+    else:
+        instant = F.try_to_timestamp(F.concat(value, F.lit(" +00:00")), F.lit(f"{fmt} XXX"))
+        seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+        moment = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
     bounds = [F.lit(edge).cast("timestamp_ntz") for edge in (EARLIEST, LATEST)]
     return F.when(moment.between(*bounds), moment)

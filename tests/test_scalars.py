@@ -88,3 +88,17 @@ def test_looks_like_id(spark):
     names = ["order_ID", "width", "paid", "Index", "line_number", "price", "Numero"]
     rows = column(spark, names, "string").select(S.looks_like_id(F.col("v"))).collect()
     assert [r[0] for r in rows] == [True, True, True, True, True, False, True]
+
+
+def test_text_timestamps_do_not_depend_on_the_zone(spark):
+    from datetime import datetime
+
+    from tabulens.functions.scalars import parse_timestamp
+
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        df = spark.createDataFrame([("2024-03-31 02:30:00",), ("2024-10-27 02:30:00",), ("1800-01-01 00:00:01",), ("no",)], "t string")
+        found = [r[0] for r in df.select(parse_timestamp(F.col("t"), "yyyy-MM-dd HH:mm:ss")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found == [datetime(2024, 3, 31, 2, 30), datetime(2024, 10, 27, 2, 30), datetime(1800, 1, 1, 0, 0, 1), None]
