@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tabulens.llm.shared import bounded_batches, give_back, slices, split_words
 from tabulens.llm.tokenizing import KEPT_WORDS, byte_signs, default_vocabulary, encode_words
@@ -50,6 +51,8 @@ class Vocabulary:
         self.pieces = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.signs = byte_signs()
+        #: Splits text with signs that Python's Unicode tables do not have yet.
+        self.newer = Tokenizer.from_file(path)
         self.piece_ids: dict[str, list[int]] = {}
         self.word_ids: dict[str, bytes] = {}
 
@@ -98,11 +101,13 @@ class Vocabulary:
                 heapq.heappush(heap, (r, before[i]))
         return [p for p in parts if p is not None]
 
+    def merge(self, parts: list[int]) -> list[int]:
+        return self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
+
     def encode_piece(self, piece: str) -> list[int]:
         found = self.piece_ids.get(piece)
         if found is None:
-            parts = self.parts(piece)
-            found = self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
+            found = self.merge(self.parts(piece))
             if len(self.piece_ids) >= KEPT_WORDS:
                 self.piece_ids.clear()
             if len(piece) <= SHORT:
@@ -117,6 +122,11 @@ class Vocabulary:
                 ids.append(self.special[part])
                 continue
             if not part.isascii():
+                if any(unicodedata.category(c) == "Cn" for c in part):
+                    part = self.newer.normalizer.normalize_str(part)
+                    for signs, _ in self.newer.pre_tokenizer.pre_tokenize_str(part):
+                        ids += self.merge([self.ids[s] for s in (*signs[:-1], signs[-1] + self.suffix)])
+                    continue
                 part = "".join(map(str.lower, unicodedata.normalize("NFC", part)))
             else:
                 part = part.lower()

@@ -16,6 +16,7 @@ ALPHABET = st.one_of(
 WORDS = [
     "<|ENDOFTEXT|>", "a<|endoftext|>b,.", "it's,", "It'S.", "é,", "́,", "),.", "x),.", "İstanbul.", "ß!", "...",
     "1,000.5%", "a b.", "Ünï…,", "don't!!", "''s,", ";,", "≠,", "á.", "x̸.", "≠", "aſ.", "Ⅷ,", "²,",
+    "a\U000323b0", "\u1c89x", "ꟋB.", "a\u0558,", "\U00010d50\U00010d70", "\u208f1",
 ]
 
 
