@@ -48,6 +48,36 @@ def csv_scan(spark, folder):
     return read_csv(spark, path, position=False)
 
 
+def _write_lines(lines, header: str, path: str) -> None:
+    """Write texts with a header before the first line of every file."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    headed = F.when(first, F.concat(F.lit(header + "\n"), "line")).otherwise(F.col("line"))
+    lines.select(headed.alias("value")).write.text(path)
+
+
+@query(
+    "csv_folder",
+    """SELECT p_partkey AS lower_id, CAST(p_size AS DOUBLE) AS upper_id,
+              CASE WHEN p_partkey % 3 = 2 THEN p_brand || chr(10) || 'or "' || p_type || '"' ELSE p_brand END AS note,
+              CAST(NULL AS DOUBLE) AS price FROM part
+       WHERE p_partkey % 3 <> 1
+       UNION ALL SELECT p_partkey, NULL, p_brand, p_retailprice FROM part WHERE p_partkey % 3 = 1""",
+)
+def csv_folder(spark, folder):
+    """Parts in files with other columns, orders and separators; names differ in case, some span lines."""
+    part = table(spark, folder, "part").withColumn("rest", F.col("p_partkey") % 3)
+    path = new_folder(spark, "parts")
+    plain, other, quoted = (part.where(F.col("rest") == i) for i in (0, 1, 2))
+    line = F.concat_ws(",", "p_partkey", "p_size", "p_brand")
+    _write_lines(plain.select(line.alias("line")), 'id,ID,"a\nnote"', f"{path}/1")
+    line = F.concat_ws(";", "p_retailprice", "p_brand", "p_partkey")
+    _write_lines(other.select(line.alias("line")), 'price;"a\nnote";id', f"{path}/2")
+    text = F.concat(F.lit('"'), "p_brand", F.lit('\nor ""'), "p_type", F.lit('"""'))
+    line = F.concat_ws(",", text, "p_partkey", "p_size")
+    _write_lines(quoted.select(line.alias("line")), '"a\nnote",id,ID', f"{path}/3")
+    return read_csv(spark, f"{path}/*", position=False).toDF("lower_id", "upper_id", "note", "price")
+
+
 _BLANKED = """SELECT ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) AS place,
     CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey END AS k,
     NULLIF(o_orderpriority, '5-LOW') AS priority FROM orders"""

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv as csvlib
+import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from tabulens.functions.scalars import NA_TOKENS, normalise_missing
 
 # Separators, and texts read as booleans and as numbers.
 USUAL_SEPARATORS = (",", ";", "\t", "|")
+BYTE_ORDER_MARK = "\ufeff"
 TRUE_TEXTS = ("True", "TRUE", "true")
 FALSE_TEXTS = ("False", "FALSE", "false")
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
@@ -28,53 +32,165 @@ _COLUMNS_PER_PASS = 64
 
 @dataclass(frozen=True)
 class Header:
-    """First line of a delimited file: separator, raw names and unique names."""
+    """First record of a delimited file: separator, raw names and unique names."""
 
     separator: str
     raw: tuple[str, ...]
     names: tuple[str, ...]
 
 
+@dataclass(frozen=True)
+class _Files:
+    """Files with the same first record, all or none of which have values that span lines."""
+
+    paths: tuple[str, ...]
+    separator: str
+    raw: tuple[str, ...]
+    multiline: bool
+
+
 def read_header(spark: SparkSession, path: str, separator: str | None = None) -> Header:
-    """Look at the first line only; sniff the separator unless it is given."""
-    first = spark.read.text(path).where(F.trim("value") != "").head()
+    """Look at the first record of the first file only; sniff the separator unless it is given."""
+    lines = _filled_lines(spark, path)
+    first = lines.agg(F.min("file")).first()[0]
     if first is None:
         raise ValueError(f"no data in {path}")
-    line = first["value"].lstrip("﻿")
-    separator = separator or _sniff(line)
-    raw = tuple(next(csvlib.reader([line], delimiter=separator)))
+    separator, raw = _read_first_record(spark, first, separator)
     return Header(separator, raw, _unique_names(raw))
 
 
-def _sniff(line: str) -> str:
-    """The usual separator that makes most fields, else any other the line suggests."""
-    fields = {c: len(next(csvlib.reader([line], delimiter=c))) for c in USUAL_SEPARATORS}
+def _filled_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Physical lines that are not blank, with their file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.where(F.trim("value") != "")
+
+
+def _exactly(file: str) -> str:
+    """The path behind a file's address, without signs that stand for others."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
+
+
+def _first_record(lines: list[str], separator: str) -> tuple[tuple[str, ...], bool]:
+    """Fields of the first record, and whether it ends within the lines."""
+    used_up = []
+
+    def feed():
+        for line in lines:
+            yield line + "\n"
+        used_up.append(True)
+
+    fields = tuple(next(csvlib.reader(feed(), delimiter=separator)))
+    return fields, not used_up
+
+
+def _split_header(lines: list[str], separator: str | None) -> tuple[str, tuple[str, ...], bool]:
+    lines = [lines[0].lstrip(BYTE_ORDER_MARK), *lines[1:]]
+    separator = separator or _sniff(lines)
+    return separator, *_first_record(lines, separator)
+
+
+def _read_first_record(spark: SparkSession, file: str, separator: str | None) -> tuple[str, tuple[str, ...]]:
+    """Read one file's lines, twice as many each time, until its first record is whole."""
+    wanted = 1
+    try:
+        while True:
+            lines = [row["value"] for row in _filled_lines(spark, _exactly(file)).head(wanted)]
+            separator_found, fields, whole = _split_header(lines, separator)
+            if whole or len(lines) < wanted:
+                return separator_found, fields
+            wanted *= 2
+    except csvlib.Error as error:
+        raise ValueError(f"no header in {file}: {error}") from error
+
+
+def _file_groups(
+    spark: SparkSession, path: str, separator: str | None, multiline: bool | None
+) -> list[_Files]:
+    """Files by first record and by whether a value spans lines, in the order of their paths.
+
+    One scan of the text finds the first line of every file and the files in
+    which some line leaves a quote open.  Only a first record that spans lines
+    needs another look, a small job per file.  Apart from headers, the driver
+    gets the paths, which Spark's own file listing holds there anyway.
+    """
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+        ).alias("place"),
+    )
+    per_file = (
+        lines.where(F.trim("value") != "")
+        .groupBy("file")
+        .agg(F.min_by("value", "place").alias("first"), F.bool_or(quotes % 2 == 1).alias("open"))
+    )
+    found: dict[tuple, list[str]] = {}
+    for row in per_file.groupBy("first", "open").agg(F.collect_list("file").alias("files")).collect():
+        spans = row["open"] if multiline is None else multiline
+        sep, raw, whole = _split_header([row["first"]], separator)
+        if whole:
+            found.setdefault((sep, raw, spans), []).extend(row["files"])
+            continue
+        for file in row["files"]:
+            found.setdefault((*_read_first_record(spark, file, separator), spans), []).append(file)
+    if not found:
+        raise ValueError(f"no data in {path}")
+    groups = [_Files(tuple(sorted(files)), *key) for key, files in found.items()]
+    return sorted(groups, key=lambda group: group.paths[0])
+
+
+def _numbered(raw: tuple[str, ...]) -> list[tuple[str, int]]:
+    """Each name with the number of times that it came before."""
+    seen: Counter[str] = Counter()
+    numbered = []
+    for name in raw:
+        numbered.append((name, seen[name]))
+        seen[name] += 1
+    return numbered
+
+
+def _common_names(groups: list[_Files]) -> dict[tuple[str, int], str]:
+    """Unique names for all columns of all files: the first file's, then those that others add."""
+    columns = list(dict.fromkeys(key for group in groups for key in _numbered(group.raw)))
+    return dict(zip(columns, _unique_names(tuple(name for name, _ in columns))))
+
+
+def _sniff(lines: list[str]) -> str:
+    """The usual separator that makes most fields, else any other the text suggests."""
+    fields = {c: len(_first_record(lines, c)[0]) for c in USUAL_SEPARATORS}
     best = max(USUAL_SEPARATORS, key=fields.get)
     if fields[best] > 1:
         return best
     try:
-        other = csvlib.Sniffer().sniff(line).delimiter
+        other = csvlib.Sniffer().sniff("\n".join(lines)).delimiter
     except csvlib.Error:
         return ","
-    return "," if other.isalnum() or other in "_\"'" else other
+    return "," if other.isalnum() or other in "_\"'\n" else other
 
 
 def _unique_names(raw: tuple[str, ...]) -> tuple[str, ...]:
-    """Blank names become ``Unnamed: i``; the n-th repeat of ``a`` becomes ``a.n``."""
-    taken: set[str] = set(raw)
+    """Blank names become ``Unnamed: i``; the n-th repeat of ``a`` becomes ``a.n``.
+
+    Names that differ only in case count as repeats, since Spark would not
+    tell them apart.
+    """
+    taken: set[str] = {name.lower() for name in raw}
     seen: dict[str, int] = {}
     names = []
     for i, name in enumerate(raw):
         name = name or f"Unnamed: {i}"
-        if name in seen:
-            repeat = seen[name] + 1
-            while f"{name}.{repeat}" in taken:
+        key = name.lower()
+        if key in seen:
+            repeat = seen[key] + 1
+            while f"{key}.{repeat}" in taken:
                 repeat += 1
-            seen[name] = repeat
+            seen[key] = repeat
             name = f"{name}.{repeat}"
-            taken.add(name)
+            taken.add(name.lower())
         else:
-            seen[name] = 0
+            seen[key] = 0
         names.append(name)
     return tuple(names)
 
@@ -104,12 +220,6 @@ def with_position(df: DataFrame) -> DataFrame:
         )
 
 
-def _has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """True when some physical line leaves a quote open; stops at the first one."""
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def read_text_columns(
     spark: SparkSession,
     path: str,
@@ -119,28 +229,48 @@ def read_text_columns(
 ) -> DataFrame:
     """Every column as a string, missing-value tokens as NULL.
 
-    ``multiline=None`` finds out whether a quoted value spans lines, because
-    only then may files not be split.
+    Files are matched by the names in their own headers, exactly as written; a
+    column that a file lacks is NULL there.  ``multiline=None`` finds out in
+    which files a quoted value spans lines, because only those may not be
+    split.
     """
-    header = read_header(spark, path, separator)
-    if multiline is None:
-        multiline = _has_quoted_newlines(spark, path)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in header.names])
+    groups = _file_groups(spark, path, separator, multiline)
+    names = _common_names(groups)
+    whole = len(groups) == 1
+    scans = [
+        _scan(spark, path if whole else [_exactly(p) for p in group.paths], group, names, position)
+        for group in groups
+    ]
+    return reduce(DataFrame.unionAll, scans)
+
+
+def _scan(
+    spark: SparkSession,
+    path: str | list[str],
+    group: _Files,
+    names: dict[tuple[str, int], str],
+    position: bool,
+) -> DataFrame:
+    own = [names[key] for key in _numbered(group.raw)]
     scan = spark.read.csv(
         path,
-        schema=schema,
-        sep=header.separator,
+        schema=T.StructType([T.StructField(n, T.StringType()) for n in own]),
+        sep=group.separator,
         header=True,
         enforceSchema=True,
-        multiLine=multiline,
+        multiLine=group.multiline,
         escape='"',
         nullValue="",
         emptyValue="",
     )
     if position:
         scan = with_position(scan)
+    present = set(own)
     return scan.select(
-        *[F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in header.names],
+        *[
+            (F.when(~col(n).isin(*NA_TOKENS), col(n)) if n in present else F.lit(None).cast("string")).alias(n)
+            for n in names.values()
+        ],
         *([POSITION] if position else []),
     )
 

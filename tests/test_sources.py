@@ -61,6 +61,56 @@ def test_header_is_not_renamed_in_raw(spark, tmp_path):
     assert header.names == ("x", "x.1", "Unnamed: 2")
 
 
+def test_header_with_a_line_break(spark, tmp_path):
+    path = write(tmp_path, '"a\n\nb, or ""c""",c\n1,"x\ny"\n2,z\n')
+    header = read_header(spark, path)
+    assert header.raw[1:] == ("c",) and header.raw[0].startswith("a\n")
+    frame = read_csv(spark, path).orderBy(POSITION).drop(POSITION)
+    assert len(frame.columns) == 2
+    assert [tuple(r) for r in frame.collect()] == [(1, "x\ny"), (2, "z")]
+
+
+def test_names_differ_without_case(spark, tmp_path):
+    frame = read_csv(spark, write(tmp_path, "id,ID,Id.1,id\n1,2,3,4\n"), position=False)
+    assert frame.columns == ["id", "ID.2", "Id.1", "id.3"]
+    assert frame.first() == (1, 2, 3, 4)
+
+
+def test_files_are_matched_by_name(spark, tmp_path):
+    folder = tmp_path / "in [1]"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,x\n2,y\n")
+    (folder / "2.csv").write_text("b;a;c\nz;3;True\n")
+    (folder / "3.csv").write_text('a,b\n4,"two\nlines"\n')
+    (folder / "4.csv").write_text("")
+    path = str(tmp_path / "in ?1?")
+    frame = read_csv(spark, path).orderBy(POSITION).drop(POSITION)
+    assert frame.columns == ["a", "b", "c"]
+    assert [tuple(r) for r in frame.collect()] == [
+        (1, "x", None), (2, "y", None), (3, "z", True), (4, "two\nlines", None)
+    ]
+
+
+def test_one_odd_quote_leaves_other_files_splittable(spark, tmp_path):
+    lines = "n,t\n" + "".join(f"{i},v{i}\n" for i in range(3000))
+    for name in ("1.csv", "2.csv", "3.csv"):
+        (tmp_path / name).write_text(lines + ('9,5" pipe\n' if name == "2.csv" else ""))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        frame = read_csv(spark, str(tmp_path))
+        assert frame.rdd.getNumPartitions() > 12
+        assert frame.count() == 9001
+        assert frame.where("t = '5\" pipe'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_folder_without_extension(spark, tmp_path):
+    write(tmp_path, "a,b\n1,2\n")
+    assert not validate_file(spark, str(tmp_path)).valid
+    assert validate_file(spark, str(tmp_path), "csv").valid
+
+
 @pytest.mark.parametrize(
     "line, separator",
     [("p_key|size|p_type|brand|price", "|"), ("a b c", " "), ("a:b:c", ":"), ("single", ","), ('"a;b",c', ","), ("a\tb", "\t")],
