@@ -5,11 +5,14 @@ brackets are then only counted, per zone between brackets; values inside are
 grouped, and there are few of them.  On very large tables the brackets first
 shrink.  All counts cover the whole table, so the ranks are exact and show
 whether a sample missed: it decides about speed, never about the result.
+Where samples do not help, counts alone halve the range of values, so that no
+column is ever ranked as a whole.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -31,8 +34,10 @@ MIN_SAMPLE, MAX_SAMPLE = 50_000, 10_000_000
 SMALL = 20_000
 #: Rows strictly inside a bracket that may be grouped by value.
 INSIDE_LIMIT = 1_000_000
-#: Misses after which a column is its own bracket again.
+#: Misses after which samples are given up for counts.
 MAX_MISSES = 6
+#: Parts of a range of values that are counted at a time; at most 16 scans narrow all doubles to one.
+_PIECES = 16
 _COLUMNS_PER_PASS = 32
 
 
@@ -59,6 +64,7 @@ class Bracket:
     high: float
     below: int = 0
     settled: bool = False
+    stuck: bool = False
     misses: int = 0
     total: int = field(init=False)
 
@@ -77,7 +83,7 @@ class Bracket:
         """Start again from the whole column, with more room."""
         self.misses += 1
         self.low, self.high, self.below, self.rows = -math.inf, math.inf, 0, self.total
-        self.settled = self.misses >= MAX_MISSES
+        self.settled, self.stuck = False, self.misses >= MAX_MISSES
 
 
 def first_brackets(
@@ -95,7 +101,7 @@ def first_brackets(
 def settle(df: DataFrame, columns: Sequence[str], brackets: Iterable[Bracket]) -> None:
     """Shrink the brackets of columns that are not small."""
     values = _numbers(df, columns)
-    while wide := [b for b in brackets if not b.settled]:
+    while wide := [b for b in brackets if not b.settled and not b.stuck]:
         expected = {id(b): b.rows * 2 * _margin(b.rows, b.misses) for b in wide}
         _tighten(values, wide)
         large = [b for b in wide if expected[id(b)] > INSIDE_LIMIT]
@@ -103,6 +109,8 @@ def settle(df: DataFrame, columns: Sequence[str], brackets: Iterable[Bracket]) -
             b.settled = b not in large
         if large:
             _count_inside(values, large)
+    if stuck := [b for b in brackets if b.stuck and not b.settled]:
+        _bisect(values, stuck)
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -140,7 +148,7 @@ def _tighten(values: DataFrame, brackets: list[Bracket]) -> None:
 
 
 def _count_inside(values: DataFrame, brackets: list[Bracket]) -> None:
-    """Accept brackets with few rows strictly inside; give up on those that do not shrink."""
+    """Accept brackets with few rows strictly inside; leave those that do not shrink to counts."""
     counts = []
     for k, b in enumerate(brackets):
         v = F.col(f"v{b.source}")
@@ -155,10 +163,57 @@ def _count_inside(values: DataFrame, brackets: list[Bracket]) -> None:
         if not below <= b.floor <= b.ceil < upto:
             b.miss()
             continue
-        b.settled = strictly <= INSIDE_LIMIT or upto - below >= b.rows
+        b.settled = strictly <= INSIDE_LIMIT
+        b.stuck = not b.settled and upto - below >= b.rows
         b.below, b.rows = below, upto - below
 
 
+def _place(number: float) -> int:
+    """Rank of a double among all doubles, zero at 0."""
+    bits = struct.unpack("<q", struct.pack("<d", number + 0.0))[0]
+    return bits if bits >= 0 else -(bits & (2**63 - 1))
+
+
+def _double(place: int) -> float:
+    """The double of a rank."""
+    size = struct.unpack("<d", struct.pack("<q", abs(place)))[0]
+    return -size if place < 0 else size
+
+
+def _bisect(values: DataFrame, brackets: list[Bracket]) -> None:
+    """Narrow the range around each lower rank by counting until it holds few rows or one value.
+
+    Where the upper rank lies beyond that range, it is the next larger value.
+    """
+    ranges = [(b, _place(b.low), _place(b.high)) for b in brackets]
+    while ranges:
+        edges, counts = [], []
+        for k, (b, start, end) in enumerate(ranges):
+            places = [start - 1 + (end - start + 1) * i // _PIECES for i in range(_PIECES + 1)]
+            v = F.col(f"v{b.source}")
+            for i, place in enumerate(places):
+                none = place < _place(-math.inf)
+                counts += [
+                    (F.lit(0) if none else F.count_if(v <= _double(place))).alias(f"upto{k}_{i}"),
+                    F.min(v if none else F.when(v > _double(place), v)).alias(f"next{k}_{i}"),
+                ]
+            edges.append(places)
+        row = values.agg(*counts).first()
+        left = []
+        for k, ((b, *_), places) in enumerate(zip(ranges, edges)):
+            i = next(i for i in range(1, _PIECES + 1) if row[f"upto{k}_{i}"] > b.floor)
+            below, upto = row[f"upto{k}_{i - 1}"], row[f"upto{k}_{i}"]
+            start, end = places[i - 1] + 1, places[i]
+            if upto - below > INSIDE_LIMIT and start < end:
+                left.append((b, start, end))
+                continue
+            b.low, b.high = _double(start), _double(end)
+            if b.ceil >= upto:
+                b.high, upto = row[f"next{k}_{i}"], upto + 1
+            b.below, b.rows, b.settled = below, upto - below, True
+        ranges = left
+
+
 def _intervals(brackets: Iterable[Bracket]) -> list[tuple[float, float]]:
     """Brackets of one column as disjoint intervals in order."""
     merged: list[tuple[float, float]] = []

@@ -118,6 +118,32 @@ def test_misleading_sample_does_not_change_the_result(spark, tight, monkeypatch,
     assert [row[f"q{j}"] for j in range(3)] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
 
 
+@pytest.mark.parametrize("kind", ["unique", "hot_median", "constant", "heavy_tail", "far_apart"])
+def test_counts_alone_find_the_ranks(spark, tight, monkeypatch, kind):
+    """No sample ever helps; no bracket that is ranked may keep many values inside."""
+    kept = []
+
+    def pick(df, columns, brackets, modes=False):
+        kept.extend(brackets)
+        return plain(df, columns, brackets, modes)
+
+    plain = quantiles.pick
+    monkeypatch.setattr(quantiles, "pick", pick)
+    monkeypatch.setattr(quantiles, "MAX_MISSES", 1)
+    monkeypatch.setattr(quantiles, "_tighten", lambda _, bs: [setattr(b, "high", b.low) for b in bs])
+    ends = np.concatenate([-1e300 - np.arange(500) * 1e290, 1e-300 + np.arange(500) * 1e-310, [-np.inf, np.inf]])
+    values = ends if kind == "far_apart" else skewed(kind, 1501)
+    probabilities = (0.0, 0.25, 0.4995, 0.5, 0.75, 1.0)
+    row = exact_quantiles(spark.createDataFrame(pd.DataFrame({"v": values})), ["v"], probabilities).first()
+    ordered = np.sort(values)
+    for j, p in enumerate(probabilities):
+        rank = p * (len(values) - 1)
+        low, high = ordered[math.floor(rank)], ordered[math.ceil(rank)]
+        wanted = low + (high - low) * (rank - math.floor(rank)) if np.isfinite(low) else low
+        assert row[f"q{j}"] == pytest.approx(wanted) or (math.isnan(row[f"q{j}"]) and not np.isfinite(low))
+    assert all(len(np.unique(values[(values > b.low) & (values < b.high)])) <= 21 for b in kept)
+
+
 def test_missed_brackets_are_found_again_without_counting(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "SMALL", 10)
     monkeypatch.setattr(quantiles, "_tighten", lambda _, bs: [setattr(b, "high", b.low) for b in bs])
