@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from tabulens.functions.scalars import label_text, nan_to_null
 #: Longest text that stands for itself, and the part of a longer one that is kept.
 SHORT = 100
 PREFIX = 64
+#: Values that a sketch of frequent values keeps.
+TRACKED = 10_000
 
 
 def countable(dtype: T.DataType) -> bool:
@@ -48,13 +50,28 @@ def token(value: Column) -> Column:
     return F.when(F.length(value) <= SHORT, value).otherwise(digest)
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], shorten: bool = False) -> DataFrame:
+def likely_top(value: Column, k: int) -> Column:
+    """A sketch's list of the ``k`` most frequent values; missing ones may be among them."""
+    items = F.call_function("approx_top_k", value, F.lit(k), F.lit(TRACKED))
+    return F.transform(items, lambda item: item["item"])
+
+
+def value_counts(
+    df: DataFrame,
+    columns: Sequence[str],
+    shorten: bool = False,
+    only: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
     """``column, value, n`` over printed values, or their stand-ins with ``shorten``.
 
+    ``only`` names the values to count, by column.
+
     Map-side counting comes before the one shuffle, on column and value, so a
     value that fills most rows costs one row per task.
     """
     values = {n: token(printed(df, n)) if shorten else printed(df, n) for n in columns}
+    if only is not None:
+        values = {n: F.when(v.isin(*only[n]), v) for n, v in values.items()}
     return _long_form(df, values).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -23,11 +23,14 @@ from tabulens.operators.frequency import (
     PREFIX,
     SHORT,
     countable,
+    likely_top,
+    printed,
     texts_of,
+    token,
     top_values,
     value_counts,
 )
-from tabulens.operators.quantiles import ACCURACY, QUARTILES, first_brackets, pick, settle
+from tabulens.operators.quantiles import ACCURACY, QUARTILES, first_brackets, likely_modes, pick, settle
 from tabulens.operators.types import ColumnType, by_kind
 
 TOP_VALUES = 10
@@ -128,12 +131,13 @@ def add_quantiles(
     """Complete the scanned statistics of numeric columns with quartiles, iqr and mode.
 
     Exact quartiles and modes take a scan that shuffles the distinct values,
-    after one that draws a sample.  ``approx=True`` takes the sketched quartiles and no mode.
+    after one that draws a sample.  ``approx=True`` takes quartiles from a sketch, and modes
+    from the values that a sketch takes for frequent.
     """
     columns = list(columns)
     if approx:
         quartiles = {n: scanned[n].pop("quartiles") or [None] * 3 for n in columns}
-        modes = {}
+        modes = likely_modes(df, columns)
     else:
         brackets = [
             b
@@ -231,15 +235,43 @@ def text_values(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, An
 
     found = {}
     for name, row in summaries.items():
-        # Code point order of Python strings is the byte order of Spark's.
-        top = sorted(tops[name], key=lambda t: (-t[1], t[0]))[:TOP_VALUES]
-        found[name] = {
-            "unique_count": row["unique_count"],
-            "mode_value": top[0][0],
-            "top_values": [
-                {"value": v, "count": n, "pct": round(n / row["count"] * 100, 1)} for v, n in top
-            ],
-        }
+        found[name] = _reported(tops[name], row["unique_count"], row["count"])
+    return found
+
+
+def _reported(top: list[tuple[str, int]], unique: int, rows: int) -> dict[str, Any]:
+    # Code point order of Python strings is the byte order of Spark's.
+    top = sorted(top, key=lambda t: (-t[1], t[0]))[:TOP_VALUES]
+    return {
+        "unique_count": unique,
+        "mode_value": top[0][0],
+        "top_values": [{"value": v, "count": n, "pct": round(n / rows * 100, 1)} for v, n in top],
+    }
+
+
+def likely_values(df: DataFrame, columns: Sequence[str], rows: Mapping[str, int]) -> dict[str, dict[str, Any]]:
+    """As ``text_values``, from sketches: distinct counts are estimates, and values are chosen among
+    those that a sketch takes for frequent.  These are counted exactly.  ``rows`` has the number of
+    values by column."""
+    values = {n: token(printed(df, n)) for n in columns}
+    sketches = []
+    for i, (name, value) in enumerate(values.items()):
+        sketches.append(F.approx_count_distinct(col(name)).alias(f"unique{i}"))
+        sketches.append(likely_top(value, 2 * TOP_VALUES).alias(f"likely{i}"))
+    sketched = df.agg(*sketches).first()
+    likely = {n: [v for v in sketched[f"likely{i}"] if v is not None] for i, n in enumerate(columns)}
+    likely = {n: found for n, found in likely.items() if found}
+    if not likely:
+        return {}
+    best = top_values(value_counts(df, list(likely), shorten=True, only=likely), TOP_VALUES).collect()
+    long = {n: [r["value"] for r in best if r["column"] == n and len(r["value"]) > SHORT] for n in likely}
+    long = {n: tokens for n, tokens in long.items() if tokens}
+    texts = texts_of(df, long) if long else {}
+    found = {}
+    for i, name in enumerate(columns):
+        if name in likely:
+            top = [(texts.get((name, r["value"]), r["value"]), r["n"]) for r in best if r["column"] == name]
+            found[name] = _reported(top, sketched[f"unique{i}"], rows[name])
     return found
 
 
@@ -256,15 +288,12 @@ def add_values(
 ) -> None:
     """Complete the scanned statistics of non-numeric columns with their values.
 
-    ``approx=True`` estimates the distinct count and lists no values.
+    ``approx=True`` takes them from sketches.
     """
     plain = [n for n in columns if countable(field_type(df, n))]
-    if plain and approx:
-        counts = [F.approx_count_distinct(col(n)).alias(f"c{i}") for i, n in enumerate(plain)]
-        for name, count in zip(plain, df.agg(*counts).first()):
-            scanned[name]["unique_count"] = count
-    elif plain:
-        found = text_values(df, plain)
+    if plain:
+        rows = {n: scanned[n]["count"] for n in plain}
+        found = likely_values(df, plain, rows) if approx else text_values(df, plain)
         for name in plain:
             scanned[name] |= found.get(name, {"unique_count": 0, "top_values": []})
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.columns import chunks, col, field_type, is_integral
 from tabulens.functions.scalars import nan_to_null
+from tabulens.operators.frequency import likely_top
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -38,6 +39,8 @@ INSIDE_LIMIT = 1_000_000
 MAX_MISSES = 6
 #: Parts of a range of values that are counted at a time; at most 16 scans narrow all doubles to one.
 _PIECES = 16
+#: Values among which a sketched mode is chosen.
+LIKELY = 20
 _COLUMNS_PER_PASS = 32
 
 
@@ -297,6 +300,30 @@ def pick(
     return found, {r["source"]: r["mode"] for r in rows} if modes else {}
 
 
+def likely_modes(df: DataFrame, columns: Sequence[str]) -> dict[int, float]:
+    """Modes by column index: the most frequent of the values that a sketch takes for frequent.
+
+    One scan sketches, another counts those values exactly.
+    """
+    modes: dict[int, float] = {}
+    for kind in ("bigint", "double"):
+        sources = [i for i, c in enumerate(columns) if is_integral(field_type(df, c)) == (kind == "bigint")]
+        for group in chunks(sources, _COLUMNS_PER_PASS):
+            values = {i: nan_to_null(col(columns[i]), field_type(df, columns[i])).cast(kind) for i in group}
+            sketched = df.agg(*[likely_top(v, LIKELY).alias(str(i)) for i, v in values.items()]).first()
+            likely = {i: [v for v in sketched[str(i)] if v is not None] for i in group}
+            chosen = [F.when(F.col("source") == i, F.col("value").isin(*found)) for i, found in likely.items()]
+            counts = (
+                _long_form(df, columns, group, kind)
+                .where(F.coalesce(*chosen))
+                .groupBy("source", "value")
+                .agg(F.count(F.lit(1)).alias("n"))
+            )
+            best = F.min_by("value", F.struct(-F.col("n"), "value")).cast("double")
+            modes |= {r["source"]: r["mode"] for r in counts.groupBy("source").agg(best.alias("mode")).collect()}
+    return modes
+
+
 def _zone_counts(
     long: DataFrame, brackets: list[Bracket], sources: Sequence[int], modes: bool
 ) -> DataFrame:

@@ -164,7 +164,20 @@ def test_several_columns_at_once(spark, tight):
 def test_approximate_profile(spark):
     values = [float(i % 1000) for i in range(10000)]
     found = numeric_profile(numbers(spark, values), ["v"], approx=True).first()
-    assert found["median"] == pytest.approx(499.5, abs=5) and found["mode"] is None
+    assert found["median"] == pytest.approx(499.5, abs=5) and found["mode"] in values
+    found = numeric_profile(numbers(spark, [*values, 7.0, None]), ["v"], approx=True).first()
+    assert found["mode"] == 7.0
+    empty = numeric_profile(numbers(spark, [None]), ["v"], approx=True).first()
+    assert empty["mode"] is None and empty["median"] is None
+
+
+def test_approximate_texts_are_complete(spark):
+    long = "x" * 300
+    values = [long + "a"] * 5 + [long + "b"] * 4 + [f"v{i % 3}" for i in range(9)] + [None]
+    exact = text_profile(numbers(spark, values, "string"), ["v"]).first()
+    assert text_profile(numbers(spark, values, "string"), ["v"], approx=True).first() == exact
+    empty = text_profile(numbers(spark, [None], "string"), ["v"], approx=True).first()
+    assert empty["unique_count"] == 0 and empty["top_values"] == []
 
 
 def test_text_statistics(spark):

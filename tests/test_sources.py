@@ -302,9 +302,9 @@ def test_approximate_ingestion(spark, tmp_path):
     text = "n,c,t\n" + "".join(f"{i},g{i % 3},x{i}\n" for i in range(200))
     done = ingest(spark, write(tmp_path, text), approx=True)
     rows = {r["column"]: r for r in done.described.rows}
-    assert rows["n"]["median"] == pytest.approx(99.5, abs=1) and rows["n"].get("mode") is None
+    assert rows["n"]["median"] == pytest.approx(99.5, abs=1) and 0 <= rows["n"]["mode"] < 200
     assert rows["c"]["type"] == "categorical" and rows["c"]["unique_count"] == 3
-    assert rows["t"]["type"] == "text" and "top_values" not in rows["t"]
+    assert rows["t"]["type"] == "text" and len(rows["t"]["top_values"]) == 10
     assert [c.type for c in analyze(done.frame, described=done.described).charts] == ["bar"]
 
 
