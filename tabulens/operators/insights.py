@@ -23,12 +23,16 @@ ENOUGH_INSIGHTS = 2
 
 @dataclass
 class Insight:
-    """A finding with its numbers; ``column`` is set for column summaries."""
+    """A finding with its numbers; ``column`` is set for column summaries.
+
+    ``facts`` describe the finding as a whole where ``data`` lists values.
+    """
 
     type: str
     column: str | None
     title: str
     data: dict[str, Any] = field(default_factory=dict)
+    facts: dict[str, Any] = field(default_factory=dict)
 
 
 def trend(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -125,13 +129,17 @@ def top_up(found: list[Insight], basics: list[Insight]) -> list[Insight]:
 
 
 def insights_frame(spark: SparkSession, insights: list[Insight]) -> DataFrame:
-    """``position, type, column, title, key, number, text``: one row per reported value."""
+    """``position, type, column, title, key, number, text``: one row per reported value.
+
+    Facts about the whole finding have ``_facts`` after its type.
+    """
     rows = []
     for position, insight in enumerate(insights, 1):
-        for key, value in insight.data.items():
-            figure = float(value) if isinstance(value, (int, float)) else None
-            text = value if isinstance(value, str) else None
-            rows.append((position, insight.type, insight.column, insight.title, key, figure, text))
+        for kind, values in ((insight.type, insight.data), (f"{insight.type}_facts", insight.facts)):
+            for key, value in values.items():
+                figure = float(value) if isinstance(value, (int, float)) else None
+                text = value if isinstance(value, str) else None
+                rows.append((position, kind, insight.column, insight.title, key, figure, text))
     return spark.createDataFrame(
         rows,
         "position int, type string, column string, title string, key string, number double, text string",

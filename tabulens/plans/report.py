@@ -187,7 +187,12 @@ def basic_insights(described: Described) -> list[Insight]:
         top = described.stats(category).get("top_values")
         if top:
             shown = {t["value"]: t["count"] for t in top[:TOP_SHOWN]}
-            found.append(Insight("top_values", category, f"Values of {category}", shown))
+            facts = {
+                "value": top[0]["value"],
+                "pct": top[0]["pct"],
+                "unique_count": described.stats(category)["unique_count"],
+            }
+            found.append(Insight("top_values", category, f"Values of {category}", shown, facts))
     if len(kinds["numeric"]) >= 2:
         summary(best_numeric(rows, exclude=[number]), ("mean", "min", "max"))
     return found
@@ -231,7 +236,7 @@ class Report:
             "metadata": self.described.metadata(),
             "charts": [c.payload() for c in self.charts],
             "insights": [
-                {"type": i.type, "column": i.column, "title": i.title, "data": i.data}
+                {"type": i.type, "column": i.column, "title": i.title, "data": i.data, "facts": i.facts}
                 for i in self.insights
             ],
             "explanations": [self.explanations().first().asDict(), *self.trends()],

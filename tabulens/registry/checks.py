@@ -65,6 +65,17 @@ def validate_summary(spark, folder):
     return found.summary_frame(spark).withColumn("column_count", F.col("column_count").cast("int"))
 
 
+@query(
+    "validate_empty",
+    """SELECT 'empty_table' AS "check", 'error' AS severity, CAST(0 AS DOUBLE) AS metric
+       WHERE (SELECT COUNT(*) FROM orders WHERE o_totalprice < 0) = 0""",
+)
+def validate_empty(spark, folder):
+    """No order has a negative price, so nothing is left to check."""
+    none = table(spark, folder, "orders").where("o_totalprice < 0")
+    return validate_table(none, order_by=["o_orderkey"]).checks_frame(spark).drop("detail")
+
+
 _STACKED = """SELECT ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) AS place, status, price FROM (
     SELECT o_orderdate, o_orderkey, NULLIF(o_orderstatus, 'P') AS status,
            CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders)"""

@@ -302,11 +302,26 @@ def _stat_sql(position: int, rank: int, names: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _top_facts_sql(position: int, column: str, source: str) -> str:
+    """Facts about the values of a category: the most frequent one, its share, how many there are."""
+    counts = f"SELECT {column} AS v, COUNT(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY 1"
+    first = f"FROM ({counts}) ORDER BY n DESC, v LIMIT 1"
+    parts = (
+        ("value", "CAST(NULL AS DOUBLE)", f"(SELECT v {first})"),
+        ("pct", sql_round(f"(SELECT n {first}) * 100.0 / (SELECT SUM(n) FROM ({counts}))", 1), "NULL"),
+        ("unique_count", f"CAST((SELECT COUNT(*) FROM ({counts})) AS DOUBLE)", "NULL"),
+    )
+    return " UNION ALL ".join(
+        f"SELECT {position}, 'top_values_facts', '{column}', '{key}', {number}, {text}" for key, number, text in parts
+    )
+
+
 _BASIC_INSIGHTS = f"""WITH ranked AS ({_RANKED})
     {_stat_sql(1, 0, ["mean", "median", "min", "max", "sum"])}
     UNION ALL SELECT * FROM (
         SELECT 2, 'top_values', 'l_returnflag', l_returnflag, CAST(COUNT(*) AS DOUBLE), NULL
         FROM lineitem GROUP BY l_returnflag ORDER BY 5 DESC, 4 LIMIT 6)
+    UNION ALL {_top_facts_sql(2, "l_returnflag", "lineitem")}
     UNION ALL {_stat_sql(3, 1, ["mean", "min", "max"])}"""
 
 
@@ -347,6 +362,66 @@ def auto_charts_rows(spark, folder):
     )
 
 
+UNFIT_REQUESTS = {
+    "charts": [
+        {"id": "gone", "type": "bar", "x": "nowhere", "y": "value"},
+        {"id": "unfit", "type": "line", "x": "ts", "y": "event_type", "aggregation": "mean"},
+    ],
+    "analyses": [{"id": "a", "type": "trend", "description": "trend", "columns": ["ts", "value"]}],
+}
+
+
+@query(
+    "topped_up_insights",
+    f"""WITH g AS (SELECT ts AS x, SUM(value) AS t FROM events GROUP BY 1),
+        e AS (SELECT arg_min(t, x) AS a, arg_max(t, x) AS b FROM g),
+        c AS (SELECT CASE WHEN a = 0 THEN 0.0 ELSE {sql_round('(b - a) / a * 100', 1)} END AS c FROM e),
+        s AS (SELECT AVG(value) AS mean, MEDIAN(value) AS median, MIN(value) AS min, MAX(value) AS max, SUM(value) AS sum
+              FROM events),
+        i AS (SELECT AVG(event_id) AS mean, CAST(MIN(event_id) AS DOUBLE) AS min, CAST(MAX(event_id) AS DOUBLE) AS max
+              FROM events)
+        SELECT 1 AS position, 'trend' AS type, CAST(NULL AS VARCHAR) AS "column", 'change_percent' AS key,
+               c AS number, CAST(NULL AS VARCHAR) AS text FROM c
+        UNION ALL SELECT 1, 'trend', NULL, 'direction', NULL,
+               CASE WHEN c > 0 THEN 'increased' ELSE 'decreased' END FROM c
+        UNION ALL SELECT 2, 'stats', 'value', name, {sql_round('number', 2)}, NULL
+               FROM (UNPIVOT s ON mean, median, min, max, sum INTO NAME name VALUE number)
+        UNION ALL SELECT * FROM (
+            SELECT 3, 'top_values', 'event_type', event_type, CAST(COUNT(*) AS DOUBLE), NULL
+            FROM events GROUP BY event_type ORDER BY 5 DESC, 4 LIMIT 6)
+        UNION ALL {_top_facts_sql(3, "event_type", "events")}
+        UNION ALL SELECT 4, 'stats', 'event_id', name, {sql_round('number', 2)}, NULL
+               FROM (UNPIVOT i ON mean, min, max INTO NAME name VALUE number)""",
+)
+def topped_up_insights(spark, folder):
+    """One finding is too few, so the column summaries follow."""
+    report = analyze(table(spark, folder, "events"), UNFIT_REQUESTS, order_by=["event_id"])
+    return _findings(report.tables()["insights"])
+
+
+@query(
+    "fallback_charts",
+    f"""WITH span AS (SELECT MIN(value) AS lo, MAX(value) AS hi FROM events),
+        bins AS (SELECT i, i * ((hi - lo) / 10) + lo AS low,
+                 CASE WHEN i = 9 THEN hi ELSE (i + 1) * ((hi - lo) / 10) + lo END AS high FROM span, range(10) AS r(i))
+        SELECT 'auto_1' AS chart_id, label, CAST(NULL AS DOUBLE) AS x, {sql_round('y', 6)} AS y FROM (
+            SELECT {sql_iso('ts')} AS label, AVG(value) AS y, ts FROM events GROUP BY ts ORDER BY ts LIMIT 50)
+        UNION ALL SELECT 'auto_2', label, NULL, {sql_round('y', 6)} FROM (
+            SELECT event_type AS label, AVG(value) AS y FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15)
+        UNION ALL SELECT 'auto_3', format('{{:.1f}}–{{:.1f}}', low, high), NULL, CAST((SELECT COUNT(*) FROM events
+            WHERE value >= low AND (value < high OR (i = 9 AND value <= high))) AS DOUBLE) FROM bins
+        UNION ALL SELECT 'auto_4', NULL, value, CAST(event_id AS DOUBLE) FROM (
+            SELECT value, event_id FROM events ORDER BY event_id LIMIT 200)""",
+)
+def fallback_charts(spark, folder):
+    """No requested chart fits, so the charts are chosen by rule."""
+    report = analyze(table(spark, folder, "events"), UNFIT_REQUESTS, order_by=["event_id"])
+    points = report.tables()["charts"].select("chart_id", "label", "x", "y")
+    return points.withColumn(
+        "y", F.when(F.col("chart_id").isin("auto_1", "auto_2"), exact_round(F.col("y"), 6)).otherwise(F.col("y"))
+    )
+
+
 @query(
     "suggested_instructions",
     """SELECT 'line' AS type, 'o_orderdate' AS x, 'o_orderkey' AS y, 'sum' AS aggregation

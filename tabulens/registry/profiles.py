@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulens.functions import scalars as S
 from tabulens.functions.columns import field_type
@@ -334,20 +335,21 @@ def ingested_profile(spark, folder):
         {sql_round('value / 8', 3)} AS r3, {sql_round('value / 8', 4)} AS r4,
         CASE WHEN value < 50 THEN 'True' ELSE 'False' END AS flag,
         CASE WHEN value = 0 THEN NULL ELSE 1 / value END AS inverse,
-        CASE WHEN event_type LIKE '%id%' OR event_type LIKE '%index%' OR event_type LIKE '%num%' THEN 'id'
-             ELSE 'plain' END AS named,
+        event_id % 4 < 3 AS named,
         strptime(strftime(ts, '%Y-%m-%d'), '%Y-%m-%d') AS day FROM events""",
 )
 def scalar_texts(spark, folder):
     events = table(spark, folder, "events")
     eighth = F.col("value") / 8
     flag = F.col("value") < 50
+    # Names that hit each fixed token, and some that hit none.
+    name = F.element_at(F.array(*map(F.lit, ("row_ID", "Index 2", "NUMBER", "total"))), (F.col("event_id") % 4 + 1).cast("int"))
     return events.select(
         "event_id",
         S.iso_text(F.col("ts"), field_type(events, "ts")).alias("iso"),
         *[S.exact_round(eighth, d).alias(f"r{d}") for d in (1, 2, 3, 4)],
-        F.when(flag, "True").otherwise("False").alias("flag"),
+        S.label_text(flag, T.BooleanType()).alias("flag"),
         S.ratio(F.lit(1), F.col("value")).alias("inverse"),
-        F.when(S.looks_like_id(F.col("event_type")), "id").otherwise("plain").alias("named"),
+        S.looks_like_id(name).alias("named"),
         S.parse_timestamp(F.date_format("ts", "yyyy-MM-dd"), "yyyy-MM-dd").alias("day"),
     )

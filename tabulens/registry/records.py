@@ -11,6 +11,7 @@ from tabulens.operators import instructions as N
 from tabulens.operators.audit import audit_references, audit_tables, orphan_rows
 from tabulens.operators.history import (
     dataset_id,
+    find_run,
     latest_completed,
     run_cost,
     runs_newest_first,
@@ -57,6 +58,31 @@ def runs_by_user(spark, folder):
     return runs_newest_first(runs(spark, folder))
 
 
+@query(
+    "runs_of_busiest_user",
+    f"""SELECT user_id, id, file_name, status, tokens_consumed, created_at FROM ({_RUNS})
+        WHERE user_id = (SELECT user_id FROM events GROUP BY user_id ORDER BY COUNT(*) DESC, user_id LIMIT 1)""",
+)
+def runs_of_busiest_user(spark, folder):
+    counts = runs(spark, folder).groupBy("user_id").count()
+    busiest = counts.orderBy(F.desc("count"), "user_id").first()["user_id"]
+    return runs_newest_first(runs(spark, folder), busiest)
+
+
+@query(
+    "run_with_owner",
+    f"""SELECT 'owner' AS asked_by, id, user_id, event_type || '_' || id AS dataset_id FROM ({_RUNS})
+        WHERE id = (SELECT MAX(event_id) FROM events)""",
+)
+def run_with_owner(spark, folder):
+    """The newest run, asked for by its owner and by another user, who gets nothing."""
+    all_runs = runs(spark, folder)
+    last = all_runs.agg(F.max_by(F.struct("id", "user_id"), "id")).first()[0]
+    asked = (("owner", last["user_id"]), ("other", last["user_id"] + 1))
+    found = [find_run(all_runs, last["id"], user).withColumn("asked_by", F.lit(who)) for who, user in asked]
+    return found[0].unionAll(found[1]).select("asked_by", "id", "user_id", "dataset_id")
+
+
 @query(
     "latest_run_per_user",
     f"""SELECT user_id, id, file_name, created_at, 'value,' || event_type AS columns,
@@ -228,6 +254,95 @@ def constraint_audit(spark, folder):
     return audit_tables(history_tables(spark, folder))
 
 
+# Where a row of the derived tables breaks each rule that they keep otherwise.
+_GAPS = {
+    "users": ("last_name", "email", "plan_type", "token_balance"),
+    "analyses": ("user_id", "file_name", "file_size", "status"),
+    "token_transactions": ("user_id", "transaction_type", "amount", "balance_after"),
+}
+
+
+def _broken_tables(spark, folder):
+    """The same tables with gaps, unknown states and negative costs, each in every seventh row."""
+    tables = history_tables(spark, folder)
+    tables["analyses"] = tables["analyses"].withColumns(
+        {
+            "status": F.when(F.col("id") % 7 == 5, F.lit("LOST")).otherwise(F.col("status")),
+            "tokens_consumed": F.when(F.col("id") % 7 == 6, -1).otherwise(F.col("tokens_consumed")),
+        }
+    )
+    return {
+        name: frame.withColumns(
+            {c: F.when(F.col("id") % 7 != i, F.col(c)) for i, c in enumerate(_GAPS[name])}
+        )
+        for name, frame in tables.items()
+    }
+
+
+def _kept(name: str, column: str) -> str:
+    """Condition under which a broken table keeps the value of a column."""
+    return f"id % 7 <> {_GAPS[name].index(column)}" if column in _GAPS[name] else "TRUE"
+
+
+def _gap_rules() -> list[str]:
+    sources = {"users": _USERS, "analyses": _ANALYSES, "token_transactions": _MOVES}
+    return [
+        _rule(name, f"{c}_not_null", f"COUNT(*) FILTER (WHERE NOT ({_kept(name, c)}))", sources[name])
+        for name, columns in _GAPS.items()
+        for c in columns
+    ]
+
+
+def _unique_rule(name: str, column: str, source: str) -> str:
+    keep = f"CASE WHEN {_kept(name, column)} THEN {column} END"
+    return _rule(name, f"{column}_unique", f"COUNT({keep}) - COUNT(DISTINCT {keep})", source)
+
+
+@query(
+    "constraint_audit_broken",
+    " UNION ALL ".join(
+        [
+            *_gap_rules(),
+            _rule("users", "first_name_not_null", "COUNT(*) - COUNT(first_name)", _USERS),
+            _rule(
+                "users",
+                "token_balance_positive",
+                f"COUNT(*) FILTER (WHERE token_balance < 0 AND {_kept('users', 'token_balance')})",
+                _USERS,
+            ),
+            _rule(
+                "users",
+                "valid_plan_type",
+                f"COUNT(*) FILTER (WHERE plan_type = 'TRIAL' AND {_kept('users', 'plan_type')})",
+                _USERS,
+            ),
+            _unique_rule("users", "id", _USERS),
+            _unique_rule("users", "email", _USERS),
+            _rule(
+                "analyses",
+                "file_size_positive",
+                f"COUNT(*) FILTER (WHERE file_size <= 0 AND {_kept('analyses', 'file_size')})",
+                _ANALYSES,
+            ),
+            _rule("analyses", "tokens_consumed_positive", "COUNT(*) FILTER (WHERE id % 7 = 6)", _ANALYSES),
+            _rule("analyses", "valid_status", "COUNT(*) FILTER (WHERE id % 7 = 5)", _ANALYSES),
+            _unique_rule("analyses", "id", _ANALYSES),
+            _rule(
+                "token_transactions",
+                "valid_transaction_type",
+                "COUNT(*) FILTER (WHERE transaction_type NOT IN ('purchase', 'consumption') "
+                f"AND {_kept('token_transactions', 'transaction_type')})",
+                _MOVES,
+            ),
+            _unique_rule("token_transactions", "id", _MOVES),
+        ]
+    ),
+)
+def constraint_audit_broken(spark, folder):
+    """Every rule but the unique numbers is broken by some row."""
+    return audit_tables(_broken_tables(spark, folder))
+
+
 def _orphan_sql(relation: str, key: str, child: str, parent: str) -> str:
     return f"""SELECT '{relation}' AS relation, CAST({key} AS VARCHAR) AS key, COUNT(*) AS n_rows
         FROM ({child}) AS c WHERE {key} IS NOT NULL

@@ -168,6 +168,29 @@ def result_store(spark, folder):
     return found.select("label", F.round("y", 4).alias("y"))
 
 
+@query(
+    "document_source",
+    """SELECT s_suppkey, s_name, s_acctbal, 'list' AS shape FROM supplier
+       UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'full' FROM supplier""",
+)
+def document_source(spark, folder):
+    """Suppliers as JSON documents of up to 100 rows each: bare lists, and with metadata."""
+    rows = table(spark, folder, "supplier").withColumn("page", F.floor(F.col("s_suppkey") / 100))
+    record = F.struct("s_name", "s_suppkey", "s_acctbal")
+    # At most 100 rows per group.
+    pages = rows.groupBy("page").agg(F.collect_list(record).alias("data"))
+    names = F.array(*map(F.lit, ("s_suppkey", "s_name", "s_acctbal")))
+    full = F.struct(F.struct(names.alias("columns")).alias("_meta"), "data")
+    path = new_folder(spark, "documents")
+    found = []
+    for shape, document in (("list", F.col("data")), ("full", full)):
+        written = pages.select(F.to_json(document).alias("value"), "page")
+        written.repartition("page").write.partitionBy("page").text(f"{path}/{shape}.json")
+        frame, _ = load_dataset(spark, f"{path}/{shape}.json")
+        found.append(frame.select("s_suppkey", "s_name", "s_acctbal", F.lit(shape).alias("shape")))
+    return found[0].unionAll(found[1])
+
+
 @query(
     "file_audit",
     """WITH files AS (
