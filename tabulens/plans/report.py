@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -33,17 +33,34 @@ from tabulens.plans.suggest import suggest_instructions
 
 @dataclass
 class Described:
-    """Types and profile of a table; ``rows`` has one dictionary per column."""
+    """Types and profile of a table, one dictionary per column.
+
+    ``basics`` lacks quartiles and modes of numbers; ``rows`` has them, too, and
+    computes them when it is first read.
+    """
 
     spark: SparkSession
     types: list[ColumnType]
-    rows: list[dict[str, Any]]
+    basics: list[dict[str, Any]]
     row_count: int
+    complete: Callable[[], None] | None = None
+
+    @property
+    def rows(self) -> list[dict[str, Any]]:
+        if self.complete:
+            self.complete()
+            self.complete = None
+        return self.basics
 
     @property
     def kinds(self) -> dict[str, list[str]]:
         return by_kind(self.types)
 
+    @property
+    def basic_profile(self) -> DataFrame:
+        """The profile without quartiles and modes of numbers."""
+        return profile_frame(self.spark, self.basics)
+
     @property
     def profile(self) -> DataFrame:
         return profile_frame(self.spark, self.rows)
@@ -54,7 +71,7 @@ class Described:
         return {k: round(v, 4) if isinstance(v, float) else v for k, v in row.items()}
 
     def summary(self) -> DataFrame:
-        return dataset_summary(self.types, self.profile, self.row_count)
+        return dataset_summary(self.types, self.basic_profile, self.row_count)
 
     def metadata(self) -> dict[str, Any]:
         """Plain dictionary of sizes, types, column groups and statistics."""
@@ -82,7 +99,7 @@ class Described:
                 }
                 for r in self.rows
             },
-            "missing_values": sum(r["null_count"] for r in self.rows),
+            "missing_values": sum(r["null_count"] for r in self.basics),
         }
 
 
@@ -94,11 +111,11 @@ def describe(
 ) -> Described:
     """Detect types and compute the profile in few scans.
 
-    One scan covers counts, moments and date ranges of every column.  The
-    numbers are scanned again for a sample and then, with a shuffle of distinct
-    values, for quartiles and modes; the texts once for their values, whose distinct counts
-    also decide which texts are categories.  String dates cost a scan of their
-    own columns only if a preview leaves candidates.
+    One scan covers counts, moments and date ranges of every column, another the
+    values of the texts, whose distinct counts also decide which texts are
+    categories.  String dates cost a scan of their own columns only if a preview
+    leaves candidates.  Only when quartiles or modes are read are the numbers scanned
+    again, for a sample and then with a shuffle of distinct values.
     """
     fields = data_fields(df)
     names = [f.name for f in fields]
@@ -113,12 +130,14 @@ def describe(
         for f in fields
         if is_temporal(f.dataType) or (f.name in formats and scanned[f.name]["count"])
     ]
-    add_quantiles(df, numeric, scanned, approx)
     add_values(df, [n for n in names if n not in numeric and n not in dates], scanned, approx)
     distinct = {n: s.get("unique_count") for n, s in scanned.items()}
     types = classify(fields, present, formats, distinct, infer_strings, had_gaps)
     rows = [{**scanned[t.column], "position": t.position, "type": t.semantic_type} for t in types]
-    return Described(df.sparkSession, types, rows, row_count)
+    by_name = {r["column"]: r for r in rows}
+    return Described(
+        df.sparkSession, types, rows, row_count, lambda: add_quantiles(df, numeric, by_name, approx)
+    )
 
 
 def position_of(df: DataFrame, order_by: Sequence[str] | None) -> Column:
@@ -137,7 +156,7 @@ def auto_charts(
 
     What does not fit the table is added to ``skipped``.
     """
-    kinds, rows = described.kinds, described.rows
+    kinds, rows = described.kinds, described.basics
     numbers = kinds["numeric"]
     number = best_numeric(rows)
     category = best_categorical(rows)
@@ -172,7 +191,7 @@ def auto_charts(
 
 def basic_insights(described: Described) -> list[Insight]:
     """Summary of the best number, the best category and the next best number."""
-    rows, kinds = described.rows, described.kinds
+    rows, kinds = described.basics, described.kinds
     found: list[Insight] = []
 
     def summary(column: str, names: Sequence[str]) -> None:

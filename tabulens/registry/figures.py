@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulens.functions.scalars import exact_round
 from tabulens.operators import charts as C
 from tabulens.operators import insights as I
-from tabulens.plans.report import analyze, auto_charts, auto_report, describe
+from tabulens.plans.report import analyze, auto_charts, basic_insights, describe
 from tabulens.plans.suggest import suggest_instructions
 from tabulens.operators.types import detect_types
 from tabulens.registry.base import query, rounded, sql_iso, sql_round, table
@@ -327,8 +327,8 @@ _BASIC_INSIGHTS = f"""WITH ranked AS ({_RANKED})
 
 @query("auto_insights", _BASIC_INSIGHTS)
 def auto_insights(spark, folder):
-    report = auto_report(_line_subset(spark, folder), order_by=LINE_ORDER)
-    return _findings(report.tables()["insights"])
+    found = basic_insights(describe(_line_subset(spark, folder)))
+    return _findings(I.insights_frame(spark, found))
 
 
 @query(

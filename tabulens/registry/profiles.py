@@ -283,20 +283,22 @@ def sample_statistics(spark, folder):
     return stats.withColumn("top_values", F.array_join("top_values", ","))
 
 
+# All numbers of the table but l_linenumber, which is named like an identifier.
+_VARIATIONS = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", STDDEV_SAMP({c}) / AVG({c}) AS score, {p} AS p FROM lineitem"
+    for p, c in enumerate(
+        ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    )
+)
+
+
 @query(
     "best_numeric",
-    f"""SELECT "column", {sql_round('score', 4)} AS score FROM (
-        SELECT 'l_quantity' AS "column", STDDEV_SAMP(l_quantity) / AVG(l_quantity) AS score, 1 AS p FROM lineitem
-        UNION ALL SELECT 'l_extendedprice', STDDEV_SAMP(l_extendedprice) / AVG(l_extendedprice), 2 FROM lineitem
-        UNION ALL SELECT 'l_orderkey', STDDEV_SAMP(l_orderkey) / AVG(l_orderkey), 0 FROM lineitem)
-        ORDER BY score DESC, p LIMIT 1""",
+    f"""SELECT "column", {sql_round('score', 4)} AS score FROM ({_VARIATIONS}) ORDER BY score DESC, p LIMIT 1""",
 )
 def best_numeric(spark, folder):
-    lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_linenumber", "l_extendedprice", "l_returnflag"
-    )
-    described = describe(lines)
-    chosen = described.profile.where(F.col("column") == choose_numeric(described.rows))
+    described = describe(table(spark, folder, "lineitem"))
+    chosen = described.basic_profile.where(F.col("column") == choose_numeric(described.basics))
     return rounded(chosen.select("column", S.variation(F.col("std"), F.col("mean")).alias("score")), score=4)
 
 
@@ -309,7 +311,7 @@ def best_numeric(spark, folder):
 )
 def best_categorical(spark, folder):
     described = describe(table(spark, folder, "orders"))
-    chosen = described.profile.where(F.col("column") == choose_categorical(described.rows))
+    chosen = described.basic_profile.where(F.col("column") == choose_categorical(described.basics))
     return chosen.select("column", "unique_count")
 
 
