@@ -98,8 +98,9 @@ def most_different_bits(similarity: float, samples: int, longs: int) -> int:
 
 
 def signatures(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_shingles, node (a 128-bit hash of the set), bands and sketch; both empty without shingles."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """All columns but the text, n_shingles, node (a 128-bit hash of the set), bands and sketch; both empty without shingles."""
+    others = [c for c in docs.columns if c != "text"]
+    names = [*others, "n_shingles", "node", "bands", "sketch"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,14 +115,12 @@ def signatures(docs: DataFrame, length: int) -> DataFrame:
                     pa.array(some * values.shape[1], pa.int32()), pa.array(values.reshape(-1), pa.int64())
                 )
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes), pa.array(nodes, pa.binary()), lists(keys), lists(sketch)],
-                    ["doc_id", "n_shingles", "node", "bands", "sketch"],
-                )
+                made = [pa.array(sizes), pa.array(nodes, pa.binary()), lists(keys), lists(sketch)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *made], names)
         give_back()
 
-    schema = f"doc_id {kind}, n_shingles long, node binary, bands array<long>, sketch array<long>"
-    return docs.mapInArrow(sign, schema)
+    kept = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in others)
+    return docs.mapInArrow(sign, f"{kept}n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, length: int) -> DataFrame:
@@ -212,22 +211,21 @@ def pairs_across(apart: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
     return by_rare.unionByName(by_frequent).distinct()
 
 
-def near_groups(
-    docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = 5, threshold: int = 80
-) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable) and kept per row.
+def near_rows(docs: DataFrame, length: int, threshold: int) -> DataFrame:
+    """The columns but the text, n_shingles, component_id, first and copies per row of (doc_id, text, others).
 
-    `threshold` is the similarity in per cent. Rows without a word are linked
-    with nothing and kept, null text as well. A row without an id stays only in
-    a component without ids, and it has no component_id there. Rows that share
-    an id are judged by their own texts. An empty table gives no rows.
+    `first` tells whether the row is the least of its component, by id (rows
+    without one last) and then by the other columns. `copies` counts the rows
+    with the same set.
     """
-    docs = bounded_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    others = [c for c in docs.columns if c != "text"]
     signed = stage(signatures(docs, length), "signatures")
     # One row per different set; copies combine in each task before the shuffle.
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")]
     some = signed.filter("n_shingles > 0")
-    nodes = stage(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), *others)
+    sets = some.groupBy("node").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("copies"), *firsts)
+    nodes = stage(sets.withColumn("doc_id", F.col("least.doc_id")), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     pivots = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stage(bands.join(pivots.drop("n"), "band"), "members")
@@ -246,13 +244,31 @@ def near_groups(
     more = stage(confirmed(across, sets, threshold), "links")
     if not more.isEmpty():
         roots = least_nodes(links.unionByName(more))
-    rooted = nodes.select("node", "doc_id").join(roots, "node", "left")
-    rooted = rooted.select("node", F.coalesce("root", "node").alias("root"), "doc_id")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = rooted.join(least, "root").select("node", "component_id")
-    linked = some.select("doc_id", "n_shingles", "node").join(found, "node").drop("node")
-    alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rooted = nodes.select("node", "least", "copies").join(roots, "node", "left")
+    rooted = rooted.select("node", F.coalesce("root", "node").alias("root"), "least", "copies")
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    found = rooted.drop("least").join(least, "root").select("node", "least", "copies")
+    linked = some.select(*others, "n_shingles", "node").join(found, "node")
+    first = rank.eqNullSafe(F.col("least")).alias("first")
+    linked = linked.select(*others, "n_shingles", F.col("least.doc_id").alias("component_id"), first, "copies")
+    alone = signed.filter("n_shingles = 0")
+    alone = alone.select(*others, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True), F.lit(1))
+    return linked.union(alone)
+
+
+def near_groups(
+    docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = 5, threshold: int = 80
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable) and kept per row.
+
+    `threshold` is the similarity in per cent. Rows without a word are linked
+    with nothing and kept, null text as well. A row without an id stays only in
+    a component without ids, and it has no component_id there. Rows that share
+    an id are judged by their own texts. An empty table gives no rows.
+    """
+    docs = bounded_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    rows = near_rows(docs, length, threshold).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
@@ -261,9 +277,27 @@ def near_documents(docs: DataFrame) -> DataFrame:
 
 
 def near_stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, 0.8)."""
-    gone = near_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    """One document of each group of near copies stays (five words, 0.8).
+
+    Rows are told apart by id and text, so a row without an id, or one that
+    shares its id with another text, goes or stays by its own judgement.
+    """
+    digest = F.unhex(F.sha2(F.encode("text", "utf-8"), 256))
+    rows = near_rows(bounded_batches(docs).select("doc_id", "text", digest.alias("digest")), 5, 80)
+    judged = stage(rows.filter("NOT first OR copies > 1").select("doc_id", "digest", "first"), "judged")
+    named = judged.select(F.col("doc_id").alias("gone"), "digest", "first")
+
+    def same(found: DataFrame):
+        return docs["doc_id"].eqNullSafe(found["gone"]) & (digest == found["digest"])
+
+    gone = named.filter("NOT first").drop("first").distinct()
+    left = docs.join(gone, same(gone), "left_anti")
+    # Equal rows are judged alike: of those that stay, one does.
+    twice = named.filter("first").groupBy("gone", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    if twice.isEmpty():
+        return left
+    once = docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same(twice), "left_anti").unionByName(once)
 
 
 ORACLE = r"""

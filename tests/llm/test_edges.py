@@ -116,6 +116,21 @@ def test_near_groups(docs):
     assert left.columns == docs.columns
 
 
+def test_near_stage_drops_exactly_the_rows_judged(spark):
+    def text(name, changed=0):
+        return " ".join([f"{name}{i}" for i in range(60)] + [f"{name}new{i}" for i in range(changed)])
+
+    rows = [
+        (1, text("a")), (None, text("a", 1)), (None, text("b")), (None, None),  # only the second is a near copy
+        (2, text("c")), (3, text("c", 1)), (3, text("d")),  # one of two texts that share an id is
+        (None, text("e")), (None, text("e", 1)), (None, text("E")),  # no ids: one of the group stays
+        (4, text("f")), (4, text("f", 1)), (5, text("g")), (5, text("g")),  # the same id twice
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted((r["doc_id"] or 0, (r["text"] or "none ").split()[0][0].lower()) for r in near.near_stage(None, frame, "").collect())
+    assert left == [(0, "b"), (0, "e"), (0, "n"), (1, "a"), (2, "c"), (3, "d"), (4, "f"), (5, "g")]
+
+
 @pytest.mark.parametrize("rare", [0, 2, 20])
 def test_near_groups_of_many_edited_copies(spark, monkeypatch, rare):
     import random
