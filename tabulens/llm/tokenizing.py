@@ -2,8 +2,8 @@
 
 The vocabulary drops white space, lower-cases, and splits letters from
 punctuation. So a text's ids are those of its words one after another, a word
-may be lower-cased beforehand (A-Z), and punctuation after a letter or digit is
-a piece of its own. What is left to encode are the different pieces that a
+of ASCII may be lower-cased beforehand, and punctuation after a letter or digit
+is a piece of its own. What is left to encode are the different pieces that a
 Python worker has not met lately.
 """
 
@@ -103,8 +103,10 @@ def gather(starts: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> np.ndar
 
 
 def split_trailing(words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.LargeStringArray]:
-    """Each word as (stem, punctuation after it), the stem with A-Z lower-cased.
+    """Each word as (stem, punctuation after it), a stem of ASCII in lower case.
 
+    The vocabulary composes letters before it lower-cases, and some have only a
+    small composed form (J with caron), so stems with other signs stay as they are.
     Words with `<` may hold special tokens and stay as they are. Punctuation is
     only split from a letter or digit: after another sign it is the same piece.
     """
@@ -112,7 +114,7 @@ def split_trailing(words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.
     stems = pc.ascii_rtrim(words, characters=TRAILING)
     split = pc.and_(plain, pc.match_substring_regex(stems, r"[\pL\pN]$"))
     stems = pc.if_else(split, stems, words)
-    stems = pc.if_else(plain, pc.ascii_lower(stems), stems)
+    stems = pc.if_else(pc.and_(plain, pc.string_is_ascii(stems)), pc.ascii_lower(stems), stems)
     whole, size = (pc.binary_length(a).to_numpy(zero_copy_only=False) for a in (words, stems))
     begins = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)]
     data = np.frombuffer(words.buffers()[2] or b"", np.uint8)

@@ -20,6 +20,10 @@ WORDS = [
 ]
 
 
+#: Capital letters with a mark that only the small letter composes with.
+SMALL_ONLY = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+
+
 def ids_of(texts):
     ids, offsets = tokenizing.encode_texts(pa.array(texts, pa.string()), PATH)
     return [ids[s:e].tolist() for s, e in zip(offsets[:-1], offsets[1:])]
@@ -68,3 +72,10 @@ def test_forgotten_words_are_encoded_again(monkeypatch):
     monkeypatch.setattr(tokenizing, "KEPT_WORDS", 2)
     for texts in (["a b c d e", "f g"], ["a h i", "b c"], ["d e f g h i", ""]):
         assert ids_of(texts) == expected(texts)
+
+
+@pytest.mark.parametrize("letter", SMALL_ONLY)
+def test_letters_are_composed_before_they_are_lower_cased(letter):
+    texts = [letter, f"{letter}he", f"a{letter},", f"X{letter}.", letter.lower()]
+    assert ids_of(texts) == expected(texts)
+    assert [bpe.vocabulary(PATH).encode(t) for t in texts] == expected(texts)
