@@ -1,24 +1,26 @@
-"""Best-fit packing: partitions pack locally, what stays underfull is merged up a tree.
+"""Best-fit packing: partitions pack locally, pieces of underfull bins are packed as a whole.
 
 Every task tokenizes its documents, cuts only those longer than a sequence, and
 packs its pieces best-fit, longest first. Bins that are nearly full are done.
-Underfull bins go up as single items, several tasks to a group, and are packed
-best-fit again, until one group is left. Each level is written to the shared
-folder, so a lost executor costs one level's task, not the tokenizing.
-
-A group carries at most `MAX_OPEN` bins up; the fullest of the rest are done
-early. That costs room in the sequences, never a piece.
+The pieces of all other bins stay in the written level, and only their counts
+per length are added up, which makes at most `CAPACITY` numbers. The driver
+packs these counts best-fit, so every open piece meets those of all partitions.
+A piece then finds its place by its number among the pieces of its length. The
+level is written to the shared folder, so a lost executor does not cost the
+tokenizing.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.storage import stage
@@ -29,13 +31,13 @@ CAPACITY = 2048
 END = 0
 #: A bin with no more free places than this is done.
 NEARLY = 4
-FAN_IN = 16
+#: Pieces that a task writes at a time, open ones or others.
 MAX_OPEN = 50_000
 
-PIECE = pa.struct(
-    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-)
-BIN = "origin long, number long, fill int, done boolean, pieces array<struct<{}>>"
+FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+#: `number` and `at` are a done bin and the offset in it, or null and the number among the task's open pieces of that length.
+LEVEL = "origin long, number long, at long, doc_id long, piece int, start long, length long, ids_crc32 long"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -69,8 +71,53 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pieces_of(docs: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[tuple[int, dict]]:
-    """(length, piece) of all documents in order, each with its end id."""
+def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """`best_fit` of so many items of each size, in steps (size, first item, first bin, items per bin, offset).
+
+    Items are numbered within their size; a step holds up to the next one. Bins
+    with the same room wait as ranges, so the work does not grow with the items.
+    """
+    steps: list[tuple[int, int, int, int, int]] = []
+    waiting: dict[int, list[tuple[int, int]]] = {}
+    free: list[int] = []
+    bins = 0
+
+    def wait(room: int, first: int, number: int) -> None:
+        if room and number:
+            if room not in waiting:
+                waiting[room] = []
+                insort(free, room)
+            waiting[room].append((first, number))
+
+    for size in sorted(counts, reverse=True):
+        item, total = 0, counts[size]
+        while item < total:
+            at = bisect_left(free, size)
+            if at < len(free):
+                room = free[at]
+                first, number = waiting[room].pop()
+                if not waiting[room]:
+                    del waiting[room]
+                    free.pop(at)
+            else:
+                room, first = capacity, bins
+                number = -(-(total - item) // (capacity // size))
+                bins += number
+            each = room // size
+            steps.append((size, item, first, each, capacity - room))
+            filled = min(number, (total - item) // each)
+            item += filled * each
+            wait(room - each * size, first, filled)
+            if filled < number:
+                rest = total - item
+                wait(room - rest * size, first + filled, min(rest, 1))
+                wait(room, first + filled + min(rest, 1), number - filled - min(rest, 1))
+                item = total
+    return steps
+
+
+def pieces_of(docs: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[tuple]:
+    """The `FIELDS` of the pieces of all documents in order, each document with its end id."""
     for batch in docs:
         for part in slices(batch, "text", SLICE_BYTES):
             ids, offsets = encode_texts(part.column("text"), vocabulary)
@@ -78,41 +125,43 @@ def pieces_of(docs: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) ->
                 own = np.append(ids[s:e], END).astype("<u4")
                 for number, start in enumerate(range(0, len(own), capacity)):
                     cut = own[start : start + capacity]
-                    yield len(cut), {
-                        "doc_id": doc, "piece": number, "start": start, "length": len(cut),
-                        "ids_crc32": zlib.crc32(cut.tobytes()),
-                    }
-
-
-def _written(origin: int, bins: list[tuple[int, list[dict]]], last: bool, limit: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    """Bins as rows; the emptiest `limit` of those not nearly full stay open."""
-    open_fills = sorted(fill for fill, _ in bins if fill < capacity - NEARLY)
-    most = -1 if last or not open_fills else open_fills[min(limit, len(open_fills)) - 1]
-    for start in range(0, len(bins), 2000):
-        part = bins[start : start + 2000]
-        fills = [fill for fill, _ in part]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([origin] * len(part), pa.int64()),
-                pa.array(range(start, start + len(part)), pa.int64()),
-                pa.array(fills, pa.int32()),
-                pa.array([fill > most or fill >= capacity - NEARLY for fill in fills], pa.bool_()),
-                pa.array([pieces for _, pieces in part], pa.list_(PIECE)),
-            ],
-            ["origin", "number", "fill", "done", "pieces"],
-        )
-
-
-def _merge(last: bool, capacity: int):
-    """Packs the open bins of a group as items; the last group closes all of them."""
-
-    def merge(rows: pa.Table) -> pa.Table:
-        fills, pieces = rows.column("fill").to_pylist(), rows.column("pieces").to_pylist()
-        bins = [(sum(fills[i] for i in b), [p for i in b for p in pieces[i]]) for b in best_fit(fills, capacity)]
-        origin = rows.column("group")[0].as_py()
-        return pa.Table.from_batches(_written(origin, bins, last, MAX_OPEN, capacity))
-
-    return merge
+                    yield doc, number, start, len(cut), zlib.crc32(cut.tobytes())
+
+
+def _local(items: list[tuple], capacity: int) -> Iterator[tuple]:
+    """The items as rows of `LEVEL` without the origin."""
+    sizes = [item[3] for item in items]
+    seen: Counter = Counter()
+    for number, members in enumerate(best_fit(sizes, capacity)):
+        done = sum(sizes[i] for i in members) >= capacity - NEARLY
+        at = 0
+        for i in members:
+            if done:
+                yield number, at, *items[i]
+                at += sizes[i]
+            else:
+                yield None, seen[sizes[i]], *items[i]
+                seen[sizes[i]] += 1
+
+
+def _placed(rows: DataFrame, steps: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The `FIELDS`, sequence_id and offset of open pieces, by `at`, their number among all of their length."""
+    table = np.array(sorted(steps), dtype=np.int64).reshape(-1, 5)
+    lengths, items, bins, each, offsets = table.T
+    keys = (lengths << 48) + items
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "at"))
+            step = np.searchsorted(keys, (length << 48) + at, side="right") - 1
+            past = at - items[step]
+            number = (np.int64(1) << 58) + bins[step] + past // each[step]
+            offset = offsets[step] + past % each[step] * length
+            made = [pa.array(number, pa.int64()), pa.array(offset, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in FIELDS), *made], [*FIELDS, "sequence_id", "offset"])
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return rows.mapInArrow(place, schema)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -123,47 +172,30 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     `doc_id` and a `text`; other columns do not matter.
     """
     vocabulary = vocabulary or default_vocabulary()
-    schema = BIN.format("doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint")
+    at_once = MAX_OPEN
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, items = [], []
-        for size, piece in pieces_of(batches, vocabulary, capacity):
-            sizes.append(size)
-            items.append(piece)
-        bins = [(sum(sizes[i] for i in b), [items[i] for i in b]) for b in best_fit(sizes, capacity)]
-        yield from _written(0, bins, False, MAX_OPEN, capacity)
+        rows = _local(list(pieces_of(batches, vocabulary, capacity)), capacity)
+        names = [part.split()[0] for part in LEVEL.split(", ")]
+        while part := list(islice(rows, at_once)):
+            columns = [[0] * len(part), *zip(*part)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, KINDS)], names)
         give_back()
 
     dealt = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = dealt.mapInArrow(local, schema).withColumn("origin", F.spark_partition_id().cast("long"))
+    packed = dealt.mapInArrow(local, LEVEL).withColumn("origin", F.spark_partition_id().cast("long"))
     level = stage(packed, "bins")
-    done = [level.filter("done")]
-    left = level.filter("NOT done")
-    while True:
-        last = left.agg(F.max("origin")).first()[0]
-        if last is None:
-            break
-        groups = last // FAN_IN + 1
-
-        grouped = left.withColumn("group", F.expr(f"origin div {FAN_IN}")).groupBy("group")
-        level = stage(grouped.applyInArrow(_merge(groups == 1, capacity), schema), "bins")
-        done.append(level.filter("done"))
-        if groups == 1:
-            break
-        left = level.filter("NOT done")
-    return _placed(done)
-
-
-def _placed(levels: list[DataFrame]) -> DataFrame:
-    """The pieces of finished bins with a number for each bin and their places in it."""
-    rows = None
-    for level, bins in enumerate(levels):
-        number = F.lit(level << 58) + F.shiftleft(F.col("origin"), 28) + F.col("number")
-        ends = F.expr("transform(pieces, (p, i) -> aggregate(slice(pieces, 1, i), 0L, (n, q) -> n + q.length))")
-        part = bins.select(number.alias("sequence_id"), F.explode(F.arrays_zip("pieces", ends.alias("offset"))).alias("p"))
-        rows = part if rows is None else rows.unionByName(part)
-    fields = "doc_id piece start length ids_crc32".split()
-    return rows.select(*[f"p.pieces.{f}" for f in fields], "sequence_id", "p.offset")
+    number = F.shiftleft(F.col("origin"), 28) + F.col("number")
+    done = level.filter("number IS NOT NULL").select(*FIELDS, number.alias("sequence_id"), F.col("at").alias("offset"))
+    left = level.filter("number IS NULL")
+
+    counts = left.groupBy("origin", "length").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()
+    earlier = Window.partitionBy("length").orderBy("origin").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("origin", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranked = left.join(before, ["origin", "length"]).select(*FIELDS, (F.col("before") + F.col("at")).alias("at"))
+    steps = best_fit_plan({r["length"]: r["n"] for r in totals}, capacity)
+    return done.unionByName(_placed(ranked, steps))
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

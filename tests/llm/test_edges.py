@@ -190,6 +190,35 @@ def test_packing_with_a_small_limit_of_open_bins(docs, monkeypatch):
     assert packing.pack(docs.repartition(40)).count() == packing.pack(docs).count()
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_best_fit_of_counts_is_that_of_items(seed):
+    import random
+
+    rng = random.Random(seed)
+    sizes = [rng.choice([rng.randint(1, 2048), rng.randint(900, 1200), 1, 7]) for _ in range(rng.randint(0, 400))]
+    counts = {n: sizes.count(n) for n in sizes}
+    steps = sorted(packing.best_fit_plan(counts, 2048))
+    bins = {}
+    for size, total in counts.items():
+        for item in range(total):
+            _, first, number, each, offset = max(s for s in steps if s[0] == size and s[1] <= item)
+            past = item - first
+            bins.setdefault(number + past // each, []).append((offset + past % each * size, size))
+    for spans in bins.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))]
+        assert sum(n for _, n in spans) <= 2048
+    assert len(bins) == len(packing.best_fit(sizes, 2048))
+
+
+def test_packing_pairs_pieces_of_far_partitions(spark):
+    rows = [(i, "the " * (1099 if i < 40 else 899)) for i in range(80)]
+    found = packing.pack(spark.createDataFrame(spark.sparkContext.parallelize(rows, 20), "doc_id long, text string")).collect()
+    assert {r["length"] for r in found} == {1100, 900}
+    assert len({r["sequence_id"] for r in found}) == 40
+    assert all({r["offset"] for r in found if r["length"] == n} == {o} for n, o in ((1100, 0), (900, 1100)))
+
+
 def test_archives_with_repeated_and_null_rows(spark):
     long = "é" * 600
     rows = [(1, "u1", long), (2, "u2", long), (2, "u2", long), (3, None, None), (None, "u", long), (4, "a\r\nb", "short"), (5, "b", "short")]
