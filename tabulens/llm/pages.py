@@ -37,6 +37,9 @@ WORD, BRIDGE, TAG, OUTSIDE = 1.0, -0.001, -0.02, -4.0
 RAW = frozenset("script style noscript template iframe svg math object canvas select textarea title xmp".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button head".split())
 CONTENT = frozenset("article main".split())
+#: Of these, elements that `/>` closes, and those that hold the rest of the page if nothing ends them: it is code.
+CLOSABLE = frozenset("svg math object".split())
+CODE = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that start and end a block of text.
 BLOCK = frozenset(
@@ -55,11 +58,11 @@ NAMES = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<more>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[a-zA-Z/!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z0-9]+")
@@ -90,21 +93,33 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
     stack: list[tuple[str, bool, bool]] = []
     open_tags: Counter = Counter()
     boiler = content = False
+    endless: set[str] = set()
     at = 0
-    for token in _TOKEN.finditer(html):
+    while token := _TOKEN.search(html, at):
         start = token.start()
         if start > at:
             yield "text", html[at:start], boiler, content
         at = token.end()
         tag, end, more = token["tag"], token["end"], token["more"] or ""
         if tag is None:
-            if token["raw"] or html.startswith(("<!", "<?"), start):
+            if html.startswith(("<!", "<?"), start):
                 continue
             loose = _LOOSE.match(html, start)
             if not loose:
                 continue
             tag, end = loose["tag"], loose["end"]
         tag = tag.lower()
+        if tag in RAW and not end:
+            if tag in CLOSABLE and html.startswith("/>", at - 2) or tag in endless:
+                continue
+            close = _RAW_END[tag].search(html, at)
+            if close:
+                at = close.end()
+            elif tag in CODE:
+                at = len(html)
+            else:
+                endless.add(tag)  # only the tag itself is skipped, here and from here on
+            continue
         if end:
             if open_tags[tag]:
                 while True:

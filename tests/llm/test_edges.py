@@ -300,6 +300,22 @@ def test_main_text(html, text):
     assert pages.main_text(html or "", {}) == text
 
 
+RAW_PAGES = [
+    ("<article><p>one</p><svg-icon name=x></svg-icon><p>two</p></article>", "one\ntwo"),
+    ("<p>one</p><svg/><p>two</p>", "one\ntwo"), ("<p>one</p><math display='a>b' /><p>two</p>", "one\ntwo"),
+    *[(f"<p>one</p><{name}>x</{name}><p>two</p>", "one\nx\ntwo") for name in ("select-menu", "title-bar", "template-x", "object-x")],
+    ("<p>one</p><object data=x><p>two</p><object data=y><p>three</p>", "one\ntwo\nthree"),
+    ("<p>one</p><SVG viewBox='0'><text>no</text></svg ><p>two</p>", "one\ntwo"),
+    ("<p>one</p><svg/><svg><text>no</text></svg><p>two</p>", "one\ntwo"),
+    ("<p>one</p><script>var a = '<p>no</p>'", "one"),
+]
+
+
+@pytest.mark.parametrize("html,text", RAW_PAGES)
+def test_raw_elements_end_where_they_end(html, text):
+    assert pages.main_text(html, {}) == text
+
+
 def test_page_texts_with_fitted_weights(spark):
     frame = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string")
     assert [r["text"] for r in pages.page_texts(frame).orderBy("page_id").collect()] == [t for _, t in PAGES]
