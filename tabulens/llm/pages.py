@@ -5,10 +5,14 @@ negative; one linear scan finds the stretch with the greatest sum. The weights
 are log odds from labelled pages: those that mark their content with `article`
 or `main`, where a word or tag inside is content and anything else is not. They
 are counted per context: the innermost block, whether an element around it is
-boilerplate by its name or by its class, id or role, and whether it is outside
+boilerplate by its tag or by its class, id or role, and whether it is outside
 the content that the page itself marks. Contexts that the sample does not have
 keep the prior weights: content, unless boilerplate or outside.
 
+A class, id or role tells only what a part of the page is. It is ignored on
+elements that hold most of the page's words, on those around the largest
+`article` and `main`, and on the whole page where nothing else would be left.
+
 Inside the region, blocks with a negative context (an advert in the middle of an
 article) are left out; boilerplate there costs almost nothing, so it never cuts
 a region in two.
@@ -35,7 +39,7 @@ WORD, BRIDGE, TAG, OUTSIDE = 1.0, -0.001, -0.02, -4.0
 
 #: Elements whose content is never text.
 RAW = frozenset("script style noscript template iframe svg math object canvas select textarea title xmp".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button head".split())
+BOILERPLATE = frozenset("nav header footer aside menu dialog button head".split())
 CONTENT = frozenset("article main".split())
 #: Of these, elements that `/>` closes, and those that hold the rest of the page if nothing ends them: it is code.
 CLOSABLE = frozenset("svg math object".split())
@@ -56,6 +60,9 @@ NAMES = frozenset(
     "comments commentlist respond replies disqus discussion hidden".split()
 )
 
+#: A class or id of exactly this is a discussion, however long.
+DISCUSSION = frozenset("comments comment-list commentlist respond replies disqus disqus_thread discussion".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<more>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -66,39 +73,46 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RA
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z0-9]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)")
+
 
+class Element:
+    """An element of the page: what it is in, and what it says it is."""
 
-def _is_boilerplate(tag: str, more: str) -> bool:
-    if tag in BOILERPLATE:
-        return True
-    if tag in ("html", "body") or "=" not in more:
-        return False
-    if tag not in CONTENT and re.search(r"\shidden\b", more):
-        return True
-    for found in _NAMED.finditer(more):
-        value = next(filter(None, found.groups()), "")
-        split = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
-        if not NAMES.isdisjoint(_PART.findall(split)):
-            return True
-    return False
+    __slots__ = ("parent", "tag", "fixed", "name", "long", "words", "listed", "content")
 
+    def __init__(self, parent: int, tag: str, more: str):
+        self.parent, self.tag, self.words = parent, tag, 0
+        self.fixed = tag in BOILERPLATE
+        self.name, self.long = ("form", False) if tag == "form" else ("", False)
+        if "=" in more and tag not in ("html", "body") and tag not in CONTENT:
+            for found in _NAMED.finditer(more):
+                value = next(filter(None, found.groups()), "")
+                split = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
+                self.name = self.name or next(filter(NAMES.__contains__, _PART.findall(split)), "")
+                self.long = self.long or not DISCUSSION.isdisjoint(value.lower().split())
+        if "hidden" in more and tag not in ("html", "body") and tag not in CONTENT:
+            self.fixed = self.fixed or bool(_HIDDEN.search(_QUOTED.sub("", more)))
 
-def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, boilerplate, content): texts with their words' block as `value` of a preceding mark.
 
-    Kinds: `text` (value is the decoded text), `block` (a block begins or ends),
-    `tag` (value is the tag's name, with a slash for ends). The flags are those
-    of the element that the token is in.
+def tokens(html: str) -> tuple[list[tuple[str, str, int]], list[Element]]:
+    """(kind, value, number of the element it is in) of all tokens, and the elements, each after its parent.
+
+    Kinds: `text` (value is the text as written) and `tag` (value is the tag's
+    name, with a slash for ends).
     """
-    stack: list[tuple[str, bool, bool]] = []
+    found: list[tuple[str, str, int]] = []
+    elements = [Element(0, "", "")]
+    stack: list[tuple[str, int]] = []
     open_tags: Counter = Counter()
-    boiler = content = False
+    here = 0
     endless: set[str] = set()
     at = 0
     while token := _TOKEN.search(html, at):
         start = token.start()
         if start > at:
-            yield "text", html[at:start], boiler, content
+            found.append(("text", html[at:start], here))
         at = token.end()
         tag, end, more = token["tag"], token["end"], token["more"] or ""
         if tag is None:
@@ -123,7 +137,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
         if end:
             if open_tags[tag]:
                 while True:
-                    last, boiler, content = stack.pop()
+                    last, here = stack.pop()
                     open_tags[last] -= 1
                     if last == tag:
                         break
@@ -131,33 +145,62 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
             if tag in BLOCK and tag != "br" and open_tags["p"] and stack[-1][0] in ("p", "b", "i", "em", "strong", "a", "span"):
                 # A block ends an open paragraph and what was left open in it.
                 while open_tags["p"]:
-                    last, boiler, content = stack.pop()
+                    last, here = stack.pop()
                     open_tags[last] -= 1
                     if last == "p":
                         break
             if tag == "li" and stack and stack[-1][0] == "li":
-                last, boiler, content = stack.pop()
+                last, here = stack.pop()
                 open_tags[last] -= 1
             if tag not in VOID and not more.endswith("/"):
-                stack.append((tag, boiler, content))
+                stack.append((tag, here))
                 open_tags[tag] += 1
-                boiler = boiler or _is_boilerplate(tag, more)
-                content = content or (tag in CONTENT and not boiler)
-        yield "tag", ("/" if end else "") + tag, boiler, content
+                elements.append(Element(here, tag, more))
+                here = len(elements) - 1
+        found.append(("tag", ("/" if end else "") + tag, here))
     if at < len(html):
-        yield "text", html[at:], boiler, content
+        found.append(("text", html[at:], here))
+    return found, elements
+
+
+def settle(elements: list[Element]) -> None:
+    """Sets `words` to those of the whole element, and `fixed`, `listed` and `content` by what is around it."""
+    for element in elements[1:]:
+        element.fixed = element.fixed or elements[element.parent].fixed
+    for element in reversed(elements[1:]):
+        if not element.fixed:
+            elements[element.parent].words += element.words
+    ignored = set()
+    for tag in CONTENT:
+        marks = (i for i, e in enumerate(elements) if e.tag == tag and not e.fixed)
+        i = max(marks, key=lambda m: elements[m].words, default=0)
+        while i:
+            i = elements[i].parent
+            ignored.add(i)
+    most = elements[0].words / 2
+    elements[0].listed, elements[0].content = "", False
+    for i, element in enumerate(elements[1:], 1):
+        outer = elements[element.parent]
+        own = "" if i in ignored or element.words > most and not element.long else element.name
+        element.listed = outer.listed or own
+        element.content = outer.content or (element.tag in CONTENT and not element.fixed and not element.listed)
 
 
 def features(html: str) -> list[tuple[str, str, int, str]]:
     """(kind, key, words, text) of the page's tokens; the key is the context to be weighed."""
-    found = list(tokens(html))
-    marked = any(content for kind, _, _, content in found if kind == "text")
+    found, elements = tokens(html)
+    texts = [unescape(value) if kind == "text" and "&" in value else value for kind, value, _ in found]
+    sizes = [len(text.split()) if kind == "text" else 0 for (kind, _, _), text in zip(found, texts)]
+    for (_, _, i), size in zip(found, sizes):
+        elements[i].words += size
+    settle(elements)
+    marked = any(kind == "text" and elements[i].content and not elements[i].fixed for kind, _, i in found)
     block, rows = "body", []
-    for kind, value, boiler, content in found:
-        where = "!" if boiler else "-" if marked and not content else ""
+    for (kind, value, i), text, size in zip(found, texts, sizes):
+        at = elements[i]
+        where = "!" if at.fixed else "~" if at.listed else "-" if marked and not at.content else ""
         if kind == "text":
-            text = unescape(value) if "&" in value else value
-            rows.append(("word", f"word:{block}{where}", len(text.split()), text))
+            rows.append(("word", f"word:{block}{where}", size, text))
         else:
             name = value.lstrip("/")
             if name in BLOCK:
@@ -170,7 +213,7 @@ def features(html: str) -> list[tuple[str, str, int, str]]:
 
 def prior(key: str) -> float:
     """The weight of a context that no labelled page has."""
-    if key.endswith("!"):
+    if key.endswith(("!", "~")):
         return BRIDGE
     if key.startswith("tag:"):
         return TAG
@@ -179,7 +222,7 @@ def prior(key: str) -> float:
 
 def weigh(key: str, inside: int, outside: int) -> float:
     """Log odds with the prior as some observations; words at most 1, tags and boilerplate never positive."""
-    if not inside + outside or key.endswith("!"):
+    if not inside + outside or key.endswith(("!", "~")):
         return prior(key)
     content = not key.endswith("-")
     odds = math.log((inside + (PRIOR if content else 1)) / (outside + (1 if content else PRIOR)))
@@ -200,11 +243,20 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def _score(row: tuple[str, str, int, str], weight: dict[str, float]) -> float:
+    kind, key, words, _ = row
+    return weight[key] * words if kind == "word" else weight[key]
+
+
 def main_text(html: str, weights: dict[str, float]) -> str:
     rows = features(html)
     weight = {key: weights.get(key, prior(key)) for key in {r[1] for r in rows}}
-    scores = [weight[key] * words if kind == "word" else weight[key] for kind, key, words, _ in rows]
-    start, end = best_region(scores)
+    region = best_region([_score(row, weight) for row in rows])
+    if region == (0, 0):
+        # A page that is all of one listed name is what the name says.
+        weight = {key: weights.get(key.rstrip("~"), prior(key.rstrip("~"))) for key in weight}
+        region = best_region([_score(row, weight) for row in rows])
+    start, end = region
     blocks: list[list[str]] = [[]]
     for kind, key, _, text in rows[start:end]:
         if kind == "block":
@@ -231,7 +283,7 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float
         for batch in batches:
             for html in batch.column("html").to_pylist():
                 for kind, key, words, _ in features(html):
-                    counts[key, not key.endswith(("!", "-"))] += words if kind == "word" else 1
+                    counts[key, not key.endswith(("!", "~", "-"))] += words if kind == "word" else 1
         keys, inside = zip(*counts) if counts else ((), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.string()), pa.array(inside, pa.bool_()), pa.array(list(counts.values()), pa.int64())],

@@ -316,6 +316,26 @@ def test_raw_elements_end_where_they_end(html, text):
     assert pages.main_text(html, {}) == text
 
 
+STORY = "<article><p>The whole story is told here.</p><p>And it ends.</p></article>"
+PLAIN = "<p>The whole story is told here.</p><p>And it ends.</p>"
+WRAPPED = [
+    *[f"<div class='{name}'>{STORY}</div>" for name in ("post has-sidebar", "no-sidebar")],
+    *[STORY.replace("<article>", f"<article class='{name}'>") for name in ("long-form", "comments-open")],
+    f"<main><div class='post has-sidebar'>{STORY}</div><div id='comments'><p>{'So many words of readers. ' * 9}</p></div></main>",
+    f"<main class='search-results'>{STORY}</main>", f"<form id='aspnetForm'><nav>some menu</nav>{STORY}</form>",
+    f"<div class='no-sidebar'>{PLAIN}<div class='sidebar'>read this too</div></div>",
+    f"<form id='aspnetForm'><nav>some menu</nav>{PLAIN}</form>", f"<div class='md hidden-xs'>{PLAIN}</div>",
+    f"<div id='discussion'>{PLAIN}</div>", f"<div class='related'><article>A teaser.</article></div>{STORY}",
+    f"<div>{PLAIN}</div><div id='comments'><p>{'So many words of readers follow. ' * 9}</p></div>",
+    f"<div class='post has-sidebar'>{STORY}<div id='comments'><p>{'So many words of readers follow. ' * 9}</p></div></div>",
+]
+
+
+@pytest.mark.parametrize("html", WRAPPED)
+def test_names_of_wrappers_do_not_empty_a_page(html):
+    assert pages.main_text(html, {}) == "The whole story is told here.\nAnd it ends."
+
+
 def test_page_texts_with_fitted_weights(spark):
     frame = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string")
     assert [r["text"] for r in pages.page_texts(frame).orderBy("page_id").collect()] == [t for _, t in PAGES]
