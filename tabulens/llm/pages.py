@@ -4,16 +4,18 @@ A page is read as a sequence of tags and words. Words score positive and tags
 negative; one linear scan finds the stretch with the greatest sum. The weights
 are log odds from labelled pages: those that mark their content with `article`
 or `main`, where a word or tag inside is content and anything else is not. They
-are counted per context: the innermost block, whether an element around it is
-boilerplate by its tag or by its class, id or role, and whether it is outside
-the content that the page itself marks. Contexts that the sample does not have
-keep the prior weights: content, unless boilerplate or outside.
+are counted per context, which every page has, marked or not: the innermost
+block, whether most of its words are links, and the first class or id around it.
+Names that few labelled pages have are left out of the context, and contexts
+that the sample does not have keep the prior weights. A page that marks its
+content needs no weights: what it marks is content, and anything else is not.
+Boilerplate by its tag is never content.
 
 A class, id or role tells only what a part of the page is. It is ignored on
 elements that hold most of the page's words, on those around the largest
 `article` and `main`, and on the whole page where nothing else would be left.
 
-Inside the region, blocks with a negative context (an advert in the middle of an
+Inside the region, blocks with a negative weight (an advert in the middle of an
 article) are left out; boilerplate there costs almost nothing, so it never cuts
 a region in two.
 """
@@ -73,6 +75,7 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RA
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z0-9]+")
+_CALLED = re.compile(r"[a-z][a-z_-]{0,31}")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)")
 
@@ -80,15 +83,17 @@ _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)")
 class Element:
     """An element of the page: what it is in, and what it says it is."""
 
-    __slots__ = ("parent", "tag", "fixed", "name", "long", "words", "listed", "content")
+    __slots__ = ("parent", "tag", "fixed", "name", "long", "called", "linked", "words", "listed", "content")
 
     def __init__(self, parent: int, tag: str, more: str):
         self.parent, self.tag, self.words = parent, tag, 0
         self.fixed = tag in BOILERPLATE
+        self.linked, self.called = tag == "a", ""
         self.name, self.long = ("form", False) if tag == "form" else ("", False)
         if "=" in more and tag not in ("html", "body") and tag not in CONTENT:
             for found in _NAMED.finditer(more):
                 value = next(filter(None, found.groups()), "")
+                self.called = self.called or "".join(_CALLED.findall(value.lower())[:1])
                 split = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
                 self.name = self.name or next(filter(NAMES.__contains__, _PART.findall(split)), "")
                 self.long = self.long or not DISCUSSION.isdisjoint(value.lower().split())
@@ -164,9 +169,12 @@ def tokens(html: str) -> tuple[list[tuple[str, str, int]], list[Element]]:
 
 
 def settle(elements: list[Element]) -> None:
-    """Sets `words` to those of the whole element, and `fixed`, `listed` and `content` by what is around it."""
+    """Sets `words` to those of the whole element, and the rest by what is around it."""
     for element in elements[1:]:
-        element.fixed = element.fixed or elements[element.parent].fixed
+        outer = elements[element.parent]
+        element.fixed = element.fixed or outer.fixed
+        element.linked = element.linked or outer.linked
+        element.called = element.called or outer.called
     for element in reversed(elements[1:]):
         if not element.fixed:
             elements[element.parent].words += element.words
@@ -186,8 +194,14 @@ def settle(elements: list[Element]) -> None:
         element.content = outer.content or (element.tag in CONTENT and not element.fixed and not element.listed)
 
 
-def features(html: str) -> list[tuple[str, str, int, str]]:
-    """(kind, key, words, text) of the page's tokens; the key is the context to be weighed."""
+def features(html: str) -> list[tuple[str, str, str, bool | None, int, str]]:
+    """(kind, context, name, inside, words, text) of the page's tokens.
+
+    The context is that of a page without marks, ending in `!` in boilerplate by
+    tag and in `~` and a name in what is listed. `name` is the first class or id
+    around the token, and `inside` tells whether the page marks it as content;
+    it is null if the page marks nothing.
+    """
     found, elements = tokens(html)
     texts = [unescape(value) if kind == "text" and "&" in value else value for kind, value, _ in found]
     sizes = [len(text.split()) if kind == "text" else 0 for (kind, _, _), text in zip(found, texts)]
@@ -195,40 +209,61 @@ def features(html: str) -> list[tuple[str, str, int, str]]:
         elements[i].words += size
     settle(elements)
     marked = any(kind == "text" and elements[i].content and not elements[i].fixed for kind, _, i in found)
+    # Words and linked words of each stretch between two ends of blocks.
+    stretches, number = [[0, 0]], []
+    for (kind, value, i), size in zip(found, sizes):
+        if kind == "tag" and value.lstrip("/") in BLOCK:
+            stretches.append([0, 0])
+        number.append(len(stretches) - 1)
+        stretches[-1][0] += size
+        stretches[-1][1] += size * elements[i].linked
     block, rows = "body", []
-    for (kind, value, i), text, size in zip(found, texts, sizes):
+    for (kind, value, i), text, size, part in zip(found, texts, sizes, number):
         at = elements[i]
-        where = "!" if at.fixed else "~" if at.listed else "-" if marked and not at.content else ""
+        where = "!" if at.fixed else f"~{at.listed}" if at.listed else ""
+        inside = at.content if marked else None
         if kind == "text":
-            rows.append(("word", f"word:{block}{where}", size, text))
+            words, linked = stretches[part]
+            links = "/links" if 2 * linked > words else ""
+            rows.append(("word", f"word:{block}{links}{where}", at.called, inside, size, text))
         else:
             name = value.lstrip("/")
             if name in BLOCK:
                 block = "body" if value.startswith("/") or name == "br" else name
-                rows.append(("block", f"tag:{name}{where}", 0, ""))
+                rows.append(("block", f"tag:{name}{where}", "", inside, 0, ""))
             else:
-                rows.append(("tag", f"tag:{name}{where}", 0, " " if name in ("td", "th") else ""))
+                rows.append(("tag", f"tag:{name}{where}", "", inside, 0, " " if name in ("td", "th") else ""))
     return rows
 
 
 def prior(key: str) -> float:
     """The weight of a context that no labelled page has."""
-    if key.endswith(("!", "~")):
+    if key.endswith("!") or "~" in key:
         return BRIDGE
-    if key.startswith("tag:"):
-        return TAG
-    return OUTSIDE if key.endswith("-") else WORD
+    return TAG if key.startswith("tag:") else WORD
 
 
 def weigh(key: str, inside: int, outside: int) -> float:
-    """Log odds with the prior as some observations; words at most 1, tags and boilerplate never positive."""
-    if not inside + outside or key.endswith(("!", "~")):
+    """Log odds with the prior as some observations; words between -1 and 1, tags and boilerplate by tag never positive."""
+    if not inside + outside or key.endswith("!"):
         return prior(key)
-    content = not key.endswith("-")
-    odds = math.log((inside + (PRIOR if content else 1)) / (outside + (1 if content else PRIOR)))
+    if "~" in key:
+        # Listed names start from even odds: as many observations either way.
+        odds = math.log((inside + PRIOR) / (outside + PRIOR))
+        return min(BRIDGE, max(odds, -WORD)) if key.startswith("tag:") else min(WORD, max(odds, -WORD))
+    odds = math.log((inside + PRIOR) / (outside + 1))
     if key.startswith("tag:"):
-        return TAG if content else min(TAG, max(odds, -1.0))
-    return min(WORD, max(odds, OUTSIDE))
+        return min(TAG, max(odds, -WORD))
+    return min(WORD, max(odds, -WORD))
+
+
+def weight_of(key: str, name: str, inside: bool | None, weights: dict[str, float]) -> float:
+    """The weight of a token: by the page's own marks if it has any, else as learned, with the name if that is known."""
+    if inside is None:
+        return weights.get(f"{key}.{name}", weights.get(key, prior(key)))
+    if inside or not key.startswith("word:") or prior(key) == BRIDGE:
+        return prior(key)
+    return OUTSIDE
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -243,25 +278,28 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-def _score(row: tuple[str, str, int, str], weight: dict[str, float]) -> float:
-    kind, key, words, _ = row
-    return weight[key] * words if kind == "word" else weight[key]
-
-
 def main_text(html: str, weights: dict[str, float]) -> str:
     rows = features(html)
-    weight = {key: weights.get(key, prior(key)) for key in {r[1] for r in rows}}
-    region = best_region([_score(row, weight) for row in rows])
+
+    def scored(listed: bool) -> tuple[tuple[int, int], list[float]]:
+        known: dict[tuple, float] = {}
+        each = []
+        for _, key, name, inside, _, _ in rows:
+            if (key, name, inside) not in known:
+                known[key, name, inside] = weight_of(key if listed else key.split("~")[0], name, inside, weights)
+            each.append(known[key, name, inside])
+        return best_region([w * row[4] if row[0] == "word" else w for w, row in zip(each, rows)]), each
+
+    region, weight = scored(True)
     if region == (0, 0):
         # A page that is all of one listed name is what the name says.
-        weight = {key: weights.get(key.rstrip("~"), prior(key.rstrip("~"))) for key in weight}
-        region = best_region([_score(row, weight) for row in rows])
+        region, weight = scored(False)
     start, end = region
     blocks: list[list[str]] = [[]]
-    for kind, key, _, text in rows[start:end]:
+    for (kind, _, _, _, _, text), own in zip(rows[start:end], weight[start:end]):
         if kind == "block":
             blocks.append([])
-        elif kind == "tag" or weight[key] > 0:
+        elif kind == "tag" or own > 0:
             blocks[-1].append(text)
     joined = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(b for b in joined if b)
@@ -282,8 +320,12 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float
         counts: Counter = Counter()
         for batch in batches:
             for html in batch.column("html").to_pylist():
-                for kind, key, words, _ in features(html):
-                    counts[key, not key.endswith(("!", "~", "-"))] += words if kind == "word" else 1
+                for kind, key, name, inside, words, _ in features(html):
+                    if inside is None or key.endswith("!"):
+                        continue
+                    counts[key, inside] += words if kind == "word" else 1
+                    if name:
+                        counts[f"{key}.{name}", inside] += words
         keys, inside = zip(*counts) if counts else ((), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.string()), pa.array(inside, pa.bool_()), pa.array(list(counts.values()), pa.int64())],
@@ -292,8 +334,9 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float
 
     counted = labelled.filter(chance <= bound).select("html").mapInArrow(count, "key string, inside boolean, n long")
     inside, outside = (F.sum(F.when(F.col("inside") == v, F.col("n")).otherwise(0)) for v in (True, False))
-    # Contexts are tag names; a bound keeps invented ones of the sample from filling the driver.
+    # Contexts are tags and names; a bound keeps invented ones of the sample from filling the driver.
     rows = counted.groupBy("key").agg(inside.alias("i"), outside.alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "key")
+    rows = rows.filter(~F.col("key").contains(".") | (F.col("i") + F.col("o") >= PRIOR))
     return {r["key"]: weigh(r["key"], r["i"], r["o"]) for r in rows.limit(2000).collect()}
 
 

@@ -336,6 +336,20 @@ def test_names_of_wrappers_do_not_empty_a_page(html):
     assert pages.main_text(html, {}) == "The whole story is told here.\nAnd it ends."
 
 
+def test_marked_pages_teach_what_unmarked_pages_hold(spark):
+    menu = "<ul>" + "<li><a href=x>go there</a></li>" * 8 + "</ul>"
+    talk = "<div class='reader-says'><p>I do not think so at all.</p></div>"
+    story = "".join(f"<p>Sentence {i} of the story is here.</p>" for i in range(6))
+    marked = [(i, "u", f"<body>{menu}<article><h1>T</h1>{story}</article>{talk * 5}</body>") for i in range(8)]
+    plain = f"<body>{menu}<div><h1>T</h1>{story}</div>{talk * 5}</body>"
+    weights = pages.fit_weights(spark.createDataFrame(marked, "page_id long, url string, html string"))
+    wanted = "\n".join(["T", *(f"Sentence {i} of the story is here." for i in range(6))])
+    assert pages.main_text(marked[0][2], weights) == wanted
+    assert pages.main_text(plain, weights) == wanted != pages.main_text(plain, {})
+    # More observations move a weight, and content may teach that a listed name is content.
+    assert pages.weigh("word:li/links", 1, 10) > pages.weigh("word:li/links", 1, 100) < 0 < pages.weigh("word:p~form", 99, 1)
+
+
 def test_page_texts_with_fitted_weights(spark):
     frame = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string")
     assert [r["text"] for r in pages.page_texts(frame).orderBy("page_id").collect()] == [t for _, t in PAGES]
