@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import bpe, chat, exact, near, packing, pages, quality, substrings, token_files, warc
+from tabulens.llm import bpe, chat, exact, language, lexical, near, packing, pages, quality, substrings, token_files, warc, whitening
 from tabulens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +27,12 @@ QUERIES: dict[str, Query] = {
     "op8_near_dedup": over("documents", near.near_documents),
     "op9_chat_format": over("conversations", chat.chat_conversations),
     "op10_html_text": over("pages", pages.page_texts),
+    "op11_language_id": over("documents", language.language_documents),
+    "op12_lexical_search": lexical.ranked_documents,
+    "op13_whitening": over("embeddings", whitening.whitened_embeddings),
 }
 
-#: Tokenizing and packing (4, 5, 7) are beyond SQL; tests hold them against brute force.
+#: Tokenizing, packing, learning and eigenvectors (4, 5, 7, 11, 13) are beyond SQL; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op2_substring_dedup": substrings.ORACLE,
@@ -38,4 +41,5 @@ ORACLES: dict[str, str] = {
     "op8_near_dedup": near.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op10_html_text": pages.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
 }
