@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Hashable, Iterator, Mapping, Sequence
+from typing import Any, TypeVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Aggregates per scan, to keep generated code small.
+_AGGREGATES_AT_ONCE = 256
+
+_Key = TypeVar("_Key", bound=Hashable)
+
 #: Name of the ingestion position column that scans may attach (see ``sources.csv``).
 POSITION = "__position"
 
@@ -66,3 +72,12 @@ def field_type(df: DataFrame, name: str) -> T.DataType:
 def chunks(items: Sequence, size: int) -> Iterator[Sequence]:
     for start in range(0, len(items), size):
         yield items[start : start + size]
+
+
+def aggregated(df: DataFrame, wanted: Mapping[_Key, Column]) -> dict[_Key, Any]:
+    """The value of every aggregate, all from one scan unless there are very many."""
+    found: dict[_Key, Any] = {}
+    for group in chunks(list(wanted.items()), _AGGREGATES_AT_ONCE):
+        row = df.agg(*[value.alias(f"a{i}") for i, (_, value) in enumerate(group)]).first()
+        found |= {key: row[i] for i, (key, _) in enumerate(group)}
+    return found

@@ -74,11 +74,10 @@ _LONGEST_DATE = 40
 
 
 def date_shape(value: Column) -> Column:
-    """Shape of a text, empty for one too long to be a date."""
+    """Shape of a text, empty for one too long to be a date or without a digit."""
     digits = F.regexp_replace(value, "[0-9]+", "9")
-    return F.when(F.length(value) <= _LONGEST_DATE, F.regexp_replace(digits, "[A-Za-z]+", "a")).when(
-        value.isNotNull(), ""
-    )
+    short = (F.length(value) <= _LONGEST_DATE) & value.rlike("[0-9]")
+    return F.when(short, F.regexp_replace(digits, "[A-Za-z]+", "a")).when(value.isNotNull(), "")
 
 
 def layouts_of(shape: str | None) -> tuple[str, ...]:

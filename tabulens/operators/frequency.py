@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tabulens.functions.columns import col, field_type, is_text
+from tabulens.functions.columns import aggregated, col, field_type, is_text
 from tabulens.functions.scalars import label_text, nan_to_null
 
 
@@ -118,21 +118,28 @@ def _highest_estimate(limit: int) -> int:
     return math.ceil(512 * math.log(512 / (512 - limit)))
 
 
+def distinct_sketches(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """A sketch per column whose values can be counted, to be read by ``narrow_columns``."""
+    names = [c for c in columns if countable(field_type(df, c))]
+    return {n: F.approx_count_distinct(nan_to_null(col(n), field_type(df, n)), 0.05) for n in names}
+
+
+def narrow_columns(estimates: Mapping[str, int], limit: int) -> list[str]:
+    """The columns that may have no more than ``limit`` values; the others certainly have more."""
+    return [n for n, e in estimates.items() if e <= _highest_estimate(limit)]
+
+
+def distinct_values(df: DataFrame, name: str) -> Column:
+    """The exact number of values of a narrow column: a set per task holds few and short stand-ins."""
+    return F.size(F.collect_set(token(printed(df, name))))
+
+
 def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int | None]:
     """Exact distinct counts where they do not exceed ``limit``, else None.
 
     A sketch proves for most columns that there are more values; only the
     remaining narrow columns are counted exactly.
     """
-    names = [c for c in columns if countable(field_type(df, c))]
-    found: dict[str, int | None] = {c: None for c in columns}
-    if not names:
-        return found
-    values = [nan_to_null(col(n), field_type(df, n)) for n in names]
-    sketches = [F.approx_count_distinct(v, 0.05).alias(f"c{i}") for i, v in enumerate(values)]
-    estimates = df.agg(*sketches).first()
-    narrow = [n for n, e in zip(names, estimates) if e <= _highest_estimate(limit)]
-    if narrow:
-        exact = value_counts(df, narrow, shorten=True).groupBy("column").count().collect()
-        found |= {n: 0 for n in narrow} | {r["column"]: r["count"] for r in exact}
-    return {n: c if c is not None and c <= limit else None for n, c in found.items()}
+    narrow = narrow_columns(aggregated(df, distinct_sketches(df, columns)), limit)
+    exact = aggregated(df, {n: distinct_values(df, n) for n in narrow})
+    return {n: exact[n] if n in exact and exact[n] <= limit else None for n in columns}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -76,8 +76,8 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def run_analysis(df: DataFrame, analysis: Mapping[str, Any]) -> Insight | None:
-    """Finding for one request; None if there is nothing to report, ``Skipped`` if it cannot run."""
+def plan_analysis(df: DataFrame, analysis: Mapping[str, Any]) -> Callable[[], Insight | None] | None:
+    """What finds the answer to one request; None if there is nothing to ask, ``Skipped`` if it cannot run."""
     names = data_columns(df)
     known = [c for c in analysis.get("columns", []) if c in names]
     if len(known) < 2:
@@ -86,35 +86,47 @@ def run_analysis(df: DataFrame, analysis: Mapping[str, Any]) -> Insight | None:
     kind, title = analysis.get("type"), analysis.get("description", "")
     if kind in ("trend", "groupby") and not is_summable(field_type(df, y)):
         raise Skipped(f"{y} is not numeric")
-    if kind == "trend":
+
+    def find_trend() -> Insight | None:
         row = trend(df, x, y).first()
         data = row and {"change_percent": row["change_percent"], "direction": row["direction"]}
         return Insight("trend", None, title, data) if row else None
-    if kind == "groupby":
+
+    def find_groups() -> Insight:
         rows = top_groups(df, x, y).collect()
         return Insight("groupby", None, title, {r["label"]: round(r["y"], 2) for r in rows})
-    if kind == "correlation":
-        if not (is_numeric(field_type(df, x)) and is_numeric(field_type(df, y))):
-            return None
+
+    def find_correlation() -> Insight:
         return Insight("correlation", None, title, correlation(df, x, y).first().asDict())
-    return None
 
+    if kind == "correlation" and not (is_numeric(field_type(df, x)) and is_numeric(field_type(df, y))):
+        return None
+    return {"trend": find_trend, "groupby": find_groups, "correlation": find_correlation}.get(kind)
 
-def run_analyses(
+
+def plan_analyses(
     df: DataFrame, analyses: Iterable[Mapping[str, Any]]
-) -> tuple[list[Insight], list[tuple[str, str]]]:
-    """Findings in request order, and ``(analysis id, reason)`` of those that cannot run."""
-    found: list[Insight] = []
+) -> tuple[list[Callable[[], Insight | None]], list[tuple[str, str]]]:
+    """What finds the answers in request order, and ``(analysis id, reason)`` of requests that cannot run; no job."""
+    plans: list[Callable[[], Insight | None]] = []
     skipped: list[tuple[str, str]] = []
     for number, analysis in enumerate(analyses, 1):
         try:
-            insight = run_analysis(df, analysis)
+            plan = plan_analysis(df, analysis)
         except Skipped as reason:
             skipped.append((analysis.get("id", f"analysis_{number}"), str(reason)))
             continue
-        if insight:
-            found.append(insight)
-    return found, skipped
+        if plan:
+            plans.append(plan)
+    return plans, skipped
+
+
+def run_analyses(
+    df: DataFrame, analyses: Iterable[Mapping[str, Any]]
+) -> tuple[list[Insight], list[tuple[str, str]]]:
+    """Findings in request order, and ``(analysis id, reason)`` of those that cannot run."""
+    plans, skipped = plan_analyses(df, analyses)
+    return [found for plan in plans if (found := plan())], skipped
 
 
 def top_up(found: list[Insight], basics: list[Insight]) -> list[Insight]:

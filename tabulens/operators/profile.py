@@ -31,7 +31,7 @@ from tabulens.operators.frequency import (
     value_counts,
 )
 from tabulens.operators.quantiles import ACCURACY, QUARTILES, first_brackets, likely_modes, pick, settle
-from tabulens.operators.types import ColumnType, by_kind
+from tabulens.operators.types import ColumnType, by_kind, text_dates
 
 TOP_VALUES = 10
 _COLUMNS_PER_PASS = 32
@@ -179,6 +179,16 @@ def date_profile(df: DataFrame, formats: Mapping[str, str | None]) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
+def text_date_profile(df: DataFrame) -> DataFrame:
+    """``date_profile`` of the string columns that hold dates, found and measured in two aggregates."""
+    found = text_dates(df, lambda name, fmt: _aggregates(df, name, fmt))
+    names = ("count", "null_count", "min_date", "max_date", "range_days")
+    return df.sparkSession.createDataFrame(
+        [(n, *(row[s] for s in names)) for n, row in found.items()],
+        "column string, count long, null_count long, min_date string, max_date string, range_days long",
+    )
+
+
 def round_stats(profile: DataFrame, digits: int = 4) -> DataFrame:
     """Display rounding of the numeric statistics."""
     return profile.select(

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import astuple, dataclass
+from functools import reduce
+from operator import add
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulens.functions.columns import (
-    chunks,
+    aggregated,
     col,
     data_fields,
     is_boolean,
@@ -20,15 +23,12 @@ from tabulens.functions.columns import (
     is_text,
 )
 from tabulens.functions.scalars import date_shape, layouts_of, parse_timestamp
-from tabulens.operators.frequency import distinct_up_to
+from tabulens.operators.frequency import distinct_sketches, distinct_values, narrow_columns
 
 # A string column is categorical below both limits.
 MAX_CATEGORY_SHARE = 0.2
 MAX_CATEGORIES = 50
 
-_PREVIEW_ROWS = 1000
-_COLUMNS_PER_PASS = 64
-
 SCHEMA = (
     "position int, column string, dtype string, semantic_type string, "
     "is_numeric boolean, is_date boolean, is_categorical boolean, date_format string"
@@ -56,14 +56,31 @@ def types_frame(spark: SparkSession, types: list[ColumnType]) -> DataFrame:
 def detect_types(
     df: DataFrame, infer_strings: bool = True, had_gaps: Collection[str] = ()
 ) -> list[ColumnType]:
-    """Semantic type of every column, in table order; see ``classify``."""
+    """Semantic type of every column, in table order; see ``classify``.
+
+    Two aggregates: filled cells, shapes of texts and sketches of their values,
+    then the layouts that fit and the values of the few columns with few.
+    """
     fields = data_fields(df)
-    present = _present(df, [f.name for f in fields])
-    dates = date_formats(df, fields) if infer_strings else {}
+    texts = [f.name for f in fields if is_text(f.dataType)] if infer_strings else []
+    others = [f.name for f in fields if is_boolean(f.dataType)] if infer_strings else []
+    first = aggregated(
+        df,
+        {("rows", ""): F.count(F.lit(1))}
+        | {("filled", f.name): F.count(col(f.name)) for f in fields}
+        | {("values", n): v for n, v in distinct_sketches(df, texts + others).items()}
+        | _shapes(texts),
+    )
+    present = {f.name: (first["filled", f.name], first["rows", ""]) for f in fields}
+    candidates = _candidates(first, texts)
     gaps = {n for n, (filled, rows) in present.items() if filled < rows} | set(had_gaps)
-    undecided = [f.name for f in fields if f.name not in dates and may_be_category(f, gaps)]
-    distinct = distinct_up_to(df, undecided, MAX_CATEGORIES) if undecided and infer_strings else {}
-    return classify(fields, present, dates, distinct, infer_strings, had_gaps)
+    undecided = [f.name for f in fields if infer_strings and may_be_category(f, gaps)]
+    narrow = narrow_columns({n: first["values", n] for n in undecided if ("values", n) in first}, MAX_CATEGORIES)
+    second = aggregated(
+        df, _masks(candidates) | {("distinct", n): distinct_values(df, n) for n in narrow}
+    )
+    distinct = {n: second["distinct", n] for n in narrow}
+    return classify(fields, present, _fitting(second, candidates), distinct, infer_strings, had_gaps)
 
 
 def may_be_category(field: T.StructField, gaps: Collection[str]) -> bool:
@@ -117,57 +134,57 @@ def classify(
     return types
 
 
-def _present(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
-    """Filled cells and rows per column."""
-    found: dict[str, tuple[int, int]] = {}
-    for group in chunks(names, _COLUMNS_PER_PASS):
-        counts = [F.count(col(n)).alias(f"c{i}") for i, n in enumerate(group)]
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *counts).first()
-        found |= {n: (row[f"c{i}"], row["rows"]) for i, n in enumerate(group)}
-    return found
-
-
 def date_formats(df: DataFrame, fields: Sequence[T.StructField]) -> dict[str, str]:
     """First layout that fits every value, for string columns that have one.
 
-    Values of one column must share a shape, such as digits between two
-    slashes.  A preview of the rows discards nearly all columns, and most
-    layouts of the shape; only the rest are scanned.
+    Values of one column must share a shape, such as digits between two slashes.
+    One aggregate finds the shapes, another the layouts of those that are a date's.
     """
-    columns = [f.name for f in fields if is_text(f.dataType)]
-    if not columns:
-        return {}
-    preview = df.select(*[col(n) for n in columns]).limit(_PREVIEW_ROWS)
-    shapes = _common_shapes(preview, columns)
-    unseen = [n for n, shape in shapes.items() if shape is None]
-    if unseen:
-        shapes |= _common_shapes(df, unseen)
-    candidates = [(n, fmt) for n, shape in shapes.items() for fmt in layouts_of(shape)]
-    fitting = _fitting(df, _fitting(preview, candidates))
-    return {n: fmt for n, fmt in reversed(fitting)}
-
-
-def _common_shapes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    """The one shape of all values; empty if there are several, None without values."""
-    found: dict[str, str | None] = {}
-    for group in chunks(columns, _COLUMNS_PER_PASS):
-        edges = [f(date_shape(col(n))) for n in group for f in (F.min, F.max)]
-        row = df.agg(*[e.alias(f"c{i}") for i, e in enumerate(edges)]).first()
-        for i, name in enumerate(group):
-            low, high = row[2 * i], row[2 * i + 1]
-            found[name] = low if low == high else ""
-    return found
-
-
-def _fitting(df: DataFrame, candidates: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    if not candidates:
-        return []
-    misfits = [
-        F.count_if(col(n).isNotNull() & parse_timestamp(col(n), fmt).isNull()).alias(f"c{i}")
-        for i, (n, fmt) in enumerate(candidates)
-    ]
-    row = df.agg(*misfits).first()
-    return [c for i, c in enumerate(candidates) if row[f"c{i}"] == 0]
+    texts = [f.name for f in fields if is_text(f.dataType)]
+    candidates = _candidates(aggregated(df, _shapes(texts)), texts)
+    return _fitting(aggregated(df, _masks(candidates)), candidates)
+
+
+def text_dates(df: DataFrame, moments: Callable[[str, str], Mapping[str, Column]]) -> dict[str, dict[str, Any]]:
+    """Per string column with a layout: the layout as ``format``, and what ``moments`` has for it, in two aggregates."""
+    texts = [f.name for f in data_fields(df) if is_text(f.dataType)]
+    candidates = _candidates(aggregated(df, _shapes(texts)), texts)
+    wanted = {(n, layout, s): v for n, ls in candidates.items() for layout in ls for s, v in moments(n, layout).items()}
+    found = aggregated(df, _masks(candidates) | wanted)
+    formats = _fitting(found, candidates)
+    return {
+        n: {"format": fmt} | {s: found[n, fmt, s] for s in moments(n, fmt)}
+        for n, fmt in formats.items()
+    }
+
+
+def _shapes(columns: Sequence[str]) -> dict[tuple[str, str], Column]:
+    """The least and the greatest shape of each column's values."""
+    return {(edge, n): f(date_shape(col(n))) for n in columns for edge, f in (("low", F.min), ("high", F.max))}
+
+
+def _candidates(shapes: Mapping[tuple[str, str], str | None], columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Layouts of the one shape that all values of a column have."""
+    found = {n: layouts_of(shapes["low", n]) for n in columns if shapes["low", n] == shapes["high", n]}
+    return {n: layouts for n, layouts in found.items() if layouts}
+
+
+def _masks(candidates: Mapping[str, Sequence[str]]) -> dict[tuple[str, str], Column]:
+    """A bit per layout of a column that is set if all values follow it.
+
+    Masks of parts of a table combine by AND, so tasks send one number each.
+    """
+    masks = {}
+    for name, layouts in candidates.items():
+        bits = [F.when(parse_timestamp(col(name), fmt).isNotNull(), 1 << i).otherwise(0) for i, fmt in enumerate(layouts)]
+        masks["layouts", name] = F.bit_and(F.when(col(name).isNotNull(), reduce(add, bits)))
+    return masks
+
+
+def _fitting(found: Mapping[tuple, int | None], candidates: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """The first layout of each column whose bit is set."""
+    fitting = {n: [fmt for i, fmt in enumerate(ls) if (found["layouts", n] or 0) >> i & 1] for n, ls in candidates.items()}
+    return {n: layouts[0] for n, layouts in fitting.items() if layouts}
 
 
 def by_kind(types: list[ColumnType]) -> dict[str, list[str]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,11 @@ from tabulens.functions.columns import POSITION, col, data_fields, is_numeric, i
 from tabulens.operators import charts as C
 from tabulens.operators.choose import best_categorical, best_numeric
 from tabulens.operators.insights import (
+    ENOUGH_INSIGHTS,
     TOP_SHOWN,
     Insight,
     insights_frame,
-    run_analyses,
+    plan_analyses,
     top_up,
 )
 from tabulens.operators.profile import (
@@ -160,35 +162,51 @@ def auto_charts(
     numbers = kinds["numeric"]
     number = best_numeric(rows)
     category = best_categorical(rows)
+    batch = C.Batch(df)
     found: list[C.Chart] = []
 
-    def add(kind: str, title: str, x: str, y: str | None, data: DataFrame) -> None:
-        found.append(C.Chart(f"auto_{len(found) + 1}", kind, title, x, y, data))
+    def add(kind: str, title: str, x: str, y: str | None, data: DataFrame, shared: int | None = None) -> C.Chart:
+        both = None if shared is None else (batch, shared)
+        found.append(C.Chart(f"auto_{len(found) + 1}", kind, title, x, y, data, shared=both))
+        return found[-1]
 
     if kinds["date"] and numbers:
         date = kinds["date"][0]
-        add("line", f"{number} over time", date, number, C.line_chart(df, date, number))
+        shared = batch.add(date, number, "mean", C.LINE_POINTS)
+        add("line", f"{number} over time", date, number, C.line_chart(df, date, number), shared)
     if category and numbers:
-        add("bar", f"{number} by {category}", category, number, C.bar_chart(df, category, number))
+        shared = batch.add(category, number, "mean", C.BAR_GROUPS, by_value=True)
+        add("bar", f"{number} by {category}", category, number, C.bar_chart(df, category, number), shared)
     if numbers:
+        facts = next(r for r in rows if r["column"] == number)
+        edges = None
         try:
-            bins = C.histogram(df, number)
+            # The profile knows the range.
+            edges = C.bin_edges(number, facts["count"], facts["min"], facts["max"])
         except C.Skipped as reason:
-            bins = None
             if skipped is not None:
                 skipped.append((f"auto_{len(found) + 1}", str(reason)))
-        if bins is not None:
-            add("bar", f"Distribution of {number}", number, "rows", bins.select("label", "y"))
+        if edges is not None:
+            bins = C.histogram_of(df, number, edges).select("label", "y")
+            add("bar", f"Distribution of {number}", number, "rows", bins, batch.add_histogram(number, edges))
     if len(numbers) >= 2:
         other = best_numeric(rows, exclude=[number])
         if other != number:
             points = C.scatter_points(df, number, other, order)
-            add("scatter", f"{number} vs {other}", number, other, points)
-            corr = C.points_correlation(points).first()[0]
-            found[-1].description = f"Correlation: {None if corr is None else round(corr, 2)}."
+            add("scatter", f"{number} vs {other}", number, other, points).told = _correlation_of(points)
     return found
 
 
+def _correlation_of(points: DataFrame) -> Callable[[], str]:
+    """The text about plotted points, computed when it is read."""
+
+    def told() -> str:
+        corr = C.points_correlation(points).first()[0]
+        return f"Correlation: {None if corr is None else round(corr, 2)}."
+
+    return told
+
+
 def basic_insights(described: Described) -> list[Insight]:
     """Summary of the best number, the best category and the next best number."""
     rows, kinds = described.basics, described.kinds
@@ -219,15 +237,20 @@ def basic_insights(described: Described) -> list[Insight]:
 
 @dataclass
 class Report:
-    """Result of an analysis; charts are lazy, everything else is small."""
+    """Result of an analysis; charts and insights are lazy, everything else is small."""
 
     dataset_id: str | None
     described: Described
     charts: list[C.Chart]
-    insights: list[Insight]
+    find: Callable[[], list[Insight]]
     instructions: Mapping[str, Any] = field(default_factory=dict)
     skipped: list[tuple[str, str]] = field(default_factory=list)
 
+    @cached_property
+    def insights(self) -> list[Insight]:
+        """The findings, computed when they are first read."""
+        return self.find()
+
     def explanations(self) -> DataFrame:
         """Numbers of the text description, one row."""
         return describe_dataset(self.described.summary())
@@ -235,21 +258,25 @@ class Report:
     def trends(self) -> list[float]:
         return [i.data["change_percent"] for i in self.insights if i.type == "trend"]
 
-    def tables(self) -> dict[str, DataFrame]:
-        """Result tables, ready for ``sources.documents.save_results``."""
+    def table(self, name: str) -> DataFrame:
+        """One result table: charts, profile, types, insights or explanations; nothing else is computed."""
         spark = self.described.spark
-        tables = {
-            "profile": self.described.profile,
-            "types": types_frame(spark, self.described.types),
-            "insights": insights_frame(spark, self.insights),
-            "explanations": self.explanations(),
+        made = {
+            "charts": lambda: C.charts_frame(self.charts),
+            "profile": lambda: self.described.profile,
+            "types": lambda: types_frame(spark, self.described.types),
+            "insights": lambda: insights_frame(spark, self.insights),
+            "explanations": self.explanations,
         }
-        if self.charts:
-            tables["charts"] = C.charts_frame(self.charts)
-        return tables
+        return made[name]()
+
+    def tables(self) -> dict[str, DataFrame]:
+        """All result tables, ready for ``sources.documents.save_results``."""
+        names = ["profile", "types", "insights", "explanations", *(["charts"] if self.charts else [])]
+        return {name: self.table(name) for name in names}
 
     def document(self) -> dict[str, Any]:
-        """Everything as one dictionary; collects the chart points."""
+        """Everything as one dictionary; collects the chart points, but for charts too large to list (see ``Chart.payload``)."""
         return {
             "dataset_id": self.dataset_id,
             "metadata": self.described.metadata(),
@@ -273,7 +300,7 @@ def auto_report(
     described = described or describe(df)
     skipped: list[tuple[str, str]] = []
     found = auto_charts(df, described, position_of(df, order_by), skipped)
-    return Report(dataset_id, described, found, basic_insights(described), skipped=skipped)
+    return Report(dataset_id, described, found, lambda: basic_insights(described), skipped=skipped)
 
 
 def analyze(
@@ -295,7 +322,10 @@ def analyze(
     charts, skipped = C.build_charts(df, instructions.get("charts", []), order)
     if not charts:
         charts = auto_charts(df, described, order, skipped)
-    insights, failed = run_analyses(df, instructions.get("analyses", []))
-    if len(insights) < 2:
-        insights = top_up(insights, basic_insights(described))
-    return Report(dataset_id, described, charts, insights, instructions, skipped + failed)
+    plans, failed = plan_analyses(df, instructions.get("analyses", []))
+
+    def find() -> list[Insight]:
+        insights = [insight for plan in plans if (insight := plan())]
+        return insights if len(insights) >= ENOUGH_INSIGHTS else top_up(insights, basic_insights(described))
+
+    return Report(dataset_id, described, charts, find, instructions, skipped + failed)

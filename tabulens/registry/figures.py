@@ -396,7 +396,7 @@ UNFIT_REQUESTS = {
 def topped_up_insights(spark, folder):
     """One finding is too few, so the column summaries follow."""
     report = analyze(table(spark, folder, "events"), UNFIT_REQUESTS, order_by=["event_id"])
-    return _findings(report.tables()["insights"])
+    return _findings(report.table("insights"))
 
 
 @query(
@@ -416,7 +416,7 @@ def topped_up_insights(spark, folder):
 def fallback_charts(spark, folder):
     """No requested chart fits, so the charts are chosen by rule."""
     report = analyze(table(spark, folder, "events"), UNFIT_REQUESTS, order_by=["event_id"])
-    points = report.tables()["charts"].select("chart_id", "label", "x", "y")
+    points = report.table("charts").select("chart_id", "label", "x", "y")
     return points.withColumn(
         "y", F.when(F.col("chart_id").isin("auto_1", "auto_2"), exact_round(F.col("y"), 6)).otherwise(F.col("y"))
     )
@@ -462,6 +462,6 @@ def suggested_report(spark, folder):
         )
         for c in report.charts
     ]
-    findings = report.tables()["insights"].where(F.col("number").isNotNull())
+    findings = report.table("insights").where(F.col("number").isNotNull())
     points.append(findings.select(F.col("type").alias("part"), F.col("key").alias("label"), F.col("number").alias("value")))
     return reduce(DataFrame.unionAll, points)

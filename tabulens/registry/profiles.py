@@ -17,6 +17,7 @@ from tabulens.operators.profile import (
     round_stats,
     sample_rows,
     sample_stats,
+    text_date_profile,
     text_profile,
 )
 from tabulens.operators.quantiles import exact_quantiles
@@ -219,9 +220,7 @@ def semantic_types(spark, folder):
     ),
 )
 def profile_text_dates(spark, folder):
-    df = _text_dates(spark, folder)
-    formats = {t.column: t.date_format for t in detect_types(df) if t.date_format}
-    return date_profile(df, formats)
+    return text_date_profile(_text_dates(spark, folder))
 
 
 @query(

@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tabulens.functions.columns import POSITION, chunks, col, data_columns, data_fields
 from tabulens.functions.scalars import NA_TOKENS, normalise_missing
+from tabulens.sources.splits import Quotes, cut, fragments, joined_pieces, summed_up
 
 # Separators, and texts read as booleans and as numbers.
 USUAL_SEPARATORS = (",", ";", "\t", "|")
@@ -231,8 +232,8 @@ def read_text_columns(
 
     Files are matched by the names in their own headers, exactly as written; a
     column that a file lacks is NULL there.  ``multiline=None`` finds out in
-    which files a quoted value spans lines, because only those may not be
-    split.
+    which files a quoted value may span lines; their records are cut first (see
+    ``splits``), since a split of such a file may start inside a value.
     """
     groups = _file_groups(spark, path, separator, multiline)
     names = _common_names(groups)
@@ -252,19 +253,14 @@ def _scan(
     position: bool,
 ) -> DataFrame:
     own = [names[key] for key in _numbered(group.raw)]
-    scan = spark.read.csv(
-        path,
-        schema=T.StructType([T.StructField(n, T.StringType()) for n in own]),
-        sep=group.separator,
-        header=True,
-        enforceSchema=True,
-        multiLine=group.multiline,
-        escape='"',
-        nullValue="",
-        emptyValue="",
-    )
-    if position:
-        scan = with_position(scan)
+    options = {"sep": group.separator, "escape": '"', "nullValue": "", "emptyValue": ""}
+    if group.multiline:
+        scan = _spanning_records(spark, path, own, options, position)
+    else:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in own])
+        scan = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **options)
+        if position:
+            scan = with_position(scan)
     present = set(own)
     return scan.select(
         *[
@@ -275,6 +271,25 @@ def _scan(
     )
 
 
+def _spanning_records(
+    spark: SparkSession, path: str | list[str], names: list[str], options: dict[str, str], position: bool
+) -> DataFrame:
+    """Records of files whose quoted values may span lines, without headers; every split is read by a task of its own."""
+    lines, quotes = fragments(spark, path, "\n"), Quotes(options["sep"])
+    found = cut(lines, quotes.states(summed_up(lines, quotes.summarise)), quotes.cut)
+    place = ["file", "block", "row"]
+    records = found.filter("part IS NULL").select(*place, "value")
+    records = records.unionByName(joined_pieces(found.filter("part IS NOT NULL")).select(*place, "value"))
+    # Names may have any sign, so the parser gets plain ones.
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = F.from_csv("value", schema, {**options, "multiLine": "true"})
+    # The first record of a file is its header.
+    records = records.filter("block > 0 OR row > 0").select(parsed.alias("record"), F.struct(*place).alias(POSITION))
+    return records.select(
+        *[F.col(f"record.c{i}").alias(n) for i, n in enumerate(names)], *([POSITION] if position else [])
+    )
+
+
 def _text_counts(names: list[str]) -> list[Column]:
     counts = []
     for i, name in enumerate(names):

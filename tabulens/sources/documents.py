@@ -6,14 +6,18 @@ import json
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tabulens.functions.columns import POSITION, col, data_columns, data_fields, is_temporal
 from tabulens.functions.scalars import iso_text, normalise_missing
+from tabulens.functions.storage import new_folder
 from tabulens.sources.csv import with_position
+from tabulens.sources.splits import Documents, cut, fragments, joined_pieces, summed_up
+
+_PIECE = "file string, block long, row long, part long, kind string, value string"
 
 
 def save_dataset(
@@ -53,8 +57,7 @@ def load_dataset(
     ``position`` attaches the place of each row in the stored files.
     """
     if path.rstrip("/").endswith(".json"):
-        rows, meta = load_document(spark, path)
-        return (rows.withColumn(POSITION, F.monotonically_increasing_id()) if position else rows), meta
+        return load_document(spark, path, position)
     try:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         rows = spark.read.format(meta["format"]).load(f"{path}/data")
@@ -64,23 +67,57 @@ def load_dataset(
     return _in_order(rows, meta), meta
 
 
-def load_document(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any]]:
-    """Read one JSON document; a bare list of records has no metadata.
+def load_document(spark: SparkSession, path: str, position: bool = False) -> tuple[DataFrame, dict[str, Any]]:
+    """Read JSON documents ``{_meta, data[]}`` or ``[...]``; a bare list of records has no metadata.
 
-    One task reads a document, of any size: a bare list as a stream of records,
-    the form with metadata as one row.  The dataset store splits its rows.
+    A document of any size is cut into records by as many tasks as its file has
+    splits (see ``splits``), whatever its line breaks, and rewritten as JSON
+    lines in the shared folder, which Spark splits by itself from then on.
+    ``position`` attaches the place of each record in its document. A document
+    that is neither form is one row.
     """
     try:
-        document = spark.read.json(path, multiLine=True)
+        texts = fragments(spark, path, Documents.separator)
+        files = summed_up(texts, Documents.summarise)
     except AnalysisException as error:
         raise FileNotFoundError(f"no dataset at {path}") from error
-    if "_meta" not in document.columns and "data" not in document.columns:
-        return document, {}
-    meta: dict[str, Any] = {}
-    if "_meta" in document.columns:
-        meta = json.loads(document.select(F.to_json("_meta")).first()[0])
-    rows = document.select(F.inline("data"))
-    return _in_order(rows, meta), meta
+    if not Documents.hold_records(files):
+        rows = spark.read.json(path, multiLine=True)
+        return (rows.withColumn(POSITION, F.monotonically_increasing_id()) if position else rows), {}
+    states = Documents.states(files)
+    folder = new_folder(spark, "records")
+    found = cut(texts, states, Documents.cut)
+    other = F.col("part").isNotNull() | (F.col("kind") != "row")
+    aside = F.concat(F.lit('{"aside":'), F.to_json(F.struct(*found.columns)), F.lit("}"))
+    found.select(F.when(other, aside).otherwise(_record_line()).alias("value")).write.text(f"{folder}/whole")
+    folders = [f"{folder}/whole"]
+
+    # Pieces of records that span splits, and the metadata: a few rows per split.
+    apart = spark.read.text(folders).filter(F.col("value").startswith('{"aside":'))
+    apart = apart.select(F.from_json("value", f"aside struct<{_PIECE}>").alias("line"))
+    apart = apart.select("line.aside.*").filter("kind IS NOT NULL")
+    joined = joined_pieces(apart.filter("part IS NOT NULL"))
+    if any(place.target and place.depth > place.target[1] for place, _ in states.values()):
+        joined.filter("kind = 'row'").select(_record_line().alias("value")).write.text(f"{folder}/joined")
+        folders.append(f"{folder}/joined")
+    metas = apart.filter("part IS NULL").select("file", "value").unionByName(joined.filter("kind = 'meta'").select("file", "value"))
+    first = metas.orderBy("file").first()
+    meta = json.loads(first["value"]) if first else {}
+
+    lines = spark.read.json(folders)
+    if "_corrupt_record" in lines.columns:
+        raise ValueError(f"{path} has records that are no JSON")
+    if "value" not in lines.columns:
+        fields = [T.StructField(n, T.StringType()) for n in meta.get("columns", [])]
+        return spark.createDataFrame([], T.StructType(fields)), meta
+    place = [F.struct("at.file", "at.block", "at.row").alias(POSITION)] if position else []
+    return _in_order(lines.filter("value IS NOT NULL").select("value.*", *place), meta), meta
+
+
+def _record_line() -> Column:
+    """A record and its place as one line; a line break in JSON text is white space."""
+    place = F.to_json(F.struct("file", "block", "row"))
+    return F.concat(F.lit('{"at":'), place, F.lit(',"value":'), F.translate("value", "\n\r", "  "), F.lit("}"))
 
 
 def _in_order(rows: DataFrame, meta: dict[str, Any]) -> DataFrame:

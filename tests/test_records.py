@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulens.operators import instructions as N
+from tabulens.operators import ledger
 from tabulens.operators.audit import audit_rows, audit_unique, checks_of, orphan_keys, orphan_rows
 from tabulens.operators.history import dataset_id, find_run, latest_completed, run_cost, runs_newest_first
 from tabulens.operators.ledger import balance_ledger
@@ -241,3 +242,63 @@ def test_ledger_of_many_random_moves_of_one_user(spark):
     rng = random.Random(1)
     moves = [(1, i, rng.randint(-200_000, 190_000)) for i in range(60_000)] + [(2, 1, 7)]
     assert run_ledger(spark, moves, 5) == simulate(moves, 5)
+
+
+def stretches_of(moves, count):
+    """A user's moves as so many stretches: their sums, and a replay that counts its rounds."""
+    parts = [moves[i * len(moves) // count : (i + 1) * len(moves) // count] for i in range(count)]
+    rows = []
+    for i, part in enumerate(parts, 1):
+        total, lowest = 0, 0
+        for amount in part:
+            total += amount
+            lowest = min(lowest, total)
+        rows.append((i, total, -lowest))
+    rounds = []
+
+    def replayed(missing):
+        import pyarrow as pa
+
+        rounds.append(len(missing))
+        found = []
+        for part, user, opening in missing:
+            columns = [[part], [user], [opening]]
+            n = len(parts[part - 1])
+            batch = pa.RecordBatch.from_arrays(
+                [*(pa.array(c * n, pa.int64()) for c in columns), pa.array(parts[part - 1], pa.int64())],
+                ["part", "user", "opening", "amount"],
+            )
+            made = next(iter(ledger._closings()(iter([batch]))))
+            found.append(tuple(c[0].as_py() for c in made.columns))
+        return found
+
+    return {1: rows}, parts, rounds, replayed
+
+
+@pytest.mark.parametrize("credit, every, debits", [(20, 5, (1, 12)), (900, 50, (1, 50)), (20, 5, (4, 4)), (7, 2, (1, 12)), (3, 2, (1, 9))])
+@pytest.mark.parametrize("unit", [1, 1_000_000_000])
+def test_few_rounds_settle_many_stretches(credit, every, debits, unit):
+    rng = random.Random(credit)
+    moves = [unit * (credit if rng.random() < 1 / every else -rng.randint(*debits)) for _ in range(64 * 300)]
+    stretches, parts, rounds, replayed = stretches_of(moves, 64)
+    openings = {part: opening for part, _, opening in ledger.settled(stretches, 5, replayed)}
+    balance = 5
+    for i, part in enumerate(parts, 1):
+        assert openings[i] == balance
+        for amount in part:
+            balance = balance + amount if balance + amount >= 0 else balance
+    assert len(rounds) <= 5
+
+
+def test_a_replay_holds_for_an_interval_of_openings():
+    rng = random.Random(3)
+    moves = [rng.choice([9, -2, -5, -11]) for _ in range(40)]
+    _, _, _, replayed = stretches_of(moves, 1)
+    nets = {}
+    for opening in range(60):
+        _, _, _, net, least, most = replayed([(1, 1, opening)])[0]
+        assert least <= opening <= most
+        nets[opening] = (net, least, most)
+    for net, least, most in nets.values():
+        for opening in range(least, min(most, 59) + 1):
+            assert nets[opening][0] == net

@@ -1,0 +1,173 @@
+"""Large text files are cut into records by many tasks."""
+
+import csv
+import json
+import random
+from contextlib import contextmanager
+
+import pytest
+
+from tabulens.functions.columns import POSITION
+from tabulens.sources.csv import read_csv
+from tabulens.sources.documents import load_dataset
+from tabulens.sources.splits import REST, WHOLE, Documents, Quotes
+
+TEXTS = ["plain", 'a "quote"', "}{][", '"}', "back\\slash", "two\nlines", '\\"', "é日本", "", "x" * 90, '{"a": [1]}', ",;'"]
+
+
+@contextmanager
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def records(seed, count):
+    rng = random.Random(seed)
+    return [
+        {
+            "n": i,
+            "t": "".join(rng.choices(TEXTS, k=rng.randint(0, 3))),
+            "inner": {"k": rng.choice(TEXTS), "l": [{"z": rng.choice(TEXTS)} for _ in range(rng.randint(1, 3))]},
+        }
+        for i in range(count)
+    ]
+
+
+def written(shape, rows, indent):
+    meta = {"columns": ["t", "n", "inner"], "data": [{"no": "record"}], "note": "}]\"", "row_count": len(rows)}
+    documents = {"list": rows, "full": {"_meta": meta, "data": rows}, "last": {"other": [{"n": -1}], "data": rows, "_meta": meta}}
+    return json.dumps(documents[shape], indent=indent, ensure_ascii=False)
+
+
+def plain(row):
+    return {"n": row["n"], "t": row["t"], "inner": row["inner"].asDict(recursive=True)}
+
+
+@pytest.mark.parametrize("size", [300, 4096])
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("shape", ["list", "full", "last"])
+def test_documents_are_read_by_many_tasks(spark, tmp_path, shape, indent, size):
+    rows = records(size, 150)
+    path = tmp_path / "document.json"
+    path.write_text(written(shape, rows, indent), encoding="utf-8")
+    with small_splits(spark, size):
+        assert spark.read.text(str(path), lineSep="}").rdd.getNumPartitions() > 5
+        frame, meta = load_dataset(spark, str(path), position=True)
+        found = [plain(r) for r in frame.orderBy(POSITION).collect()]
+    assert found == rows
+    assert meta.get("row_count") == (None if shape == "list" else 150)
+    assert frame.columns == (["inner", "n", "t"] if shape == "list" else ["t", "n", "inner"]) + [POSITION]
+
+
+def test_a_record_longer_than_many_splits(spark, tmp_path):
+    rows = [{"n": i, "t": "}\" {[" * (2000 if i == 2 else 1), "inner": {"k": "", "l": [{"z": "a"}]}} for i in range(4)]
+    path = tmp_path / "long.json"
+    path.write_text(written("full", rows, None))
+    with small_splits(spark, 500):
+        frame, _ = load_dataset(spark, str(path), position=True)
+        assert [plain(r) for r in frame.orderBy(POSITION).collect()] == rows
+
+
+def cut_texts(text, splits):
+    """Cut a document by its summaries, in splits of so many texts between closing braces."""
+    texts = text.split("}")
+    parts = [texts[i : i + splits] for i in range(0, len(texts), splits)]
+    files = {"f": [(i, Documents.summarise(iter(part), i == 0)) for i, part in enumerate(parts)]}
+    states = Documents.states(files)
+    found, open_piece = [], {}
+    for i, part in enumerate(parts):
+        place, owner = states["f", i]
+        for kind, whole, value in Documents.cut(place, iter(part)):
+            if whole == WHOLE:
+                found.append((kind, value))
+            else:
+                open_piece.setdefault((owner if whole == REST else i, kind), []).append(value)
+    joined = [(kind, "".join(values)) for (_, kind), values in open_piece.items()]
+    return found + joined
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_every_way_to_split_a_document_gives_its_records(seed):
+    rows = records(seed, 8)
+    shape, indent = ("list", "full", "last")[seed % 3], (None, 1)[seed // 3 % 2]
+    text = written(shape, rows, indent)
+    for splits in range(1, 12):
+        found = cut_texts(text, splits)
+        made = sorted((json.loads(v) for k, v in found if k == "row"), key=lambda r: r["n"])
+        assert made == rows
+        metas = [json.loads(v) for k, v in found if k == "meta"]
+        assert metas == ([] if shape == "list" else [json.loads(text)["_meta"]])
+
+
+@pytest.mark.parametrize("text", ["[]", "{}", '{"data": []}', '{"_meta": {"columns": ["a"]}, "data": []}'])
+def test_documents_without_records(spark, tmp_path, text):
+    path = tmp_path / "none.json"
+    path.write_text(text)
+    frame, meta = load_dataset(spark, str(path))
+    assert frame.count() == (1 if text == "{}" else 0)
+    assert frame.columns == meta.get("columns", [])
+
+
+def test_a_broken_record_is_refused(spark, tmp_path):
+    path = tmp_path / "broken.json"
+    path.write_text('[{"a": 1}, {"a": oops}]')
+    with pytest.raises(ValueError):
+        load_dataset(spark, str(path))
+
+
+def test_documents_of_a_folder_keep_their_records(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps([{"n": i * 10 + j, "t": "}" * j} for j in range(5)]))
+    frame, _ = load_dataset(spark, str(tmp_path / "*.json"), position=True)
+    assert [(r["n"], r["t"]) for r in frame.orderBy(POSITION).collect()] == [(i * 10 + j, "}" * j) for i in range(3) for j in range(5)]
+
+
+@pytest.mark.parametrize("separator", [",", ";", "|"])
+@pytest.mark.parametrize("size", [200, 5000])
+def test_values_over_several_lines_are_read_by_many_tasks(spark, tmp_path, separator, size):
+    rng = random.Random(size)
+    rows = [(str(i), "".join(rng.choices([*TEXTS, "\n", "\n\n", '5" pipe', '""'], k=rng.randint(1, 4))).strip() or "-", str(i % 7)) for i in range(300)]
+    path = tmp_path / "rows.csv"
+    with path.open("w", newline="", encoding="utf-8") as file:
+        writer = csv.writer(file, delimiter=separator, lineterminator="\n")
+        writer.writerow(["n", 'two\n"lines"', "m"])
+        writer.writerows(rows)
+    with small_splits(spark, size):
+        frame = read_csv(spark, str(path))
+        assert frame.rdd.getNumPartitions() > 3
+        found = [tuple(r)[:3] for r in frame.orderBy(POSITION).collect()]
+    assert found == [(int(a), b, int(c)) for a, b, c in rows]
+
+
+def test_one_two_line_value_leaves_the_file_splittable(spark, tmp_path):
+    lines = [f"{i},v{i}" for i in range(5000)]
+    lines[2500] = '2500,"two\nlines"'
+    path = tmp_path / "rows.csv"
+    path.write_text("n,t\n" + "\n".join(lines) + "\n")
+    with small_splits(spark, 4096):
+        frame = read_csv(spark, str(path))
+        assert frame.rdd.getNumPartitions() > 10
+        assert [r["n"] for r in frame.orderBy(POSITION).collect()] == list(range(5000))
+        assert frame.where("t = 'two\nlines'").count() == 1
+
+
+def test_quotes_within_values_open_nothing(spark, tmp_path):
+    path = tmp_path / "rows.csv"
+    path.write_text('n,t,u\n1,5" pipe,a\n2,b,"x\ny"\n3,"c"d,e\n\n4,"q"" ""r",f\r\n5,"a\r\nb",g\r\n')
+    frame = read_csv(spark, str(path)).orderBy(POSITION).drop(POSITION)
+    assert [tuple(r) for r in frame.collect()][:2] == [(1, '5" pipe', "a"), (2, "b", "x\ny")]
+    assert [tuple(r) for r in frame.collect()][3:] == [(4, 'q" "r', "f"), (5, "a\r\nb", "g")]
+
+
+@pytest.mark.parametrize(
+    "line, outside, inside",
+    [("a,b", False, True), ('"a', True, False), ('a"', False, False), ('a,"b""', True, False), ('"a","b', True, True),
+     ('x",y', False, False), ('x"",y', False, True), ('"a"b,"', True, True), ('5" pipe', False, False), ("", False, True)],
+)
+def test_ends_of_lines(line, outside, inside):
+    assert (Quotes(",").ends_inside(line, False), Quotes(",").ends_inside(line, True)) == (outside, inside)
