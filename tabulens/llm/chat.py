@@ -1,9 +1,11 @@
 """Chat logs: events are folded into messages, messages rendered with a loss mask.
 
-A log has one row per event. Events of a conversation are in the order of
-(turn, message, seq). `open` names the role, `delta` appends to the text,
-`edit` replaces what there was, `regenerate` discards it. Folding needs no loop:
-what stands after the last edit or regeneration counts, joined in order.
+A log has one row per event. It is partitioned by conversation and sorted by
+`seq`. `open` names the role, `delta` appends to the text, `edit` replaces what
+there was, `regenerate` discards it. An event names the message it belongs to, so
+earlier messages can be edited or regenerated later on; one that names none
+belongs to the latest message named before it. Folding needs no loop: what stands
+after a message's last edit or regeneration counts, joined in order.
 
 Rendered text marks each turn as
 
@@ -46,20 +48,38 @@ def unescape(text: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, message, role, text) of the messages of a log.
 
-    The log has conv_id, turn, message, seq, kind, role, text. Messages are
-    grouped, not conversations, so a long conversation is dealt over tasks. The
-    role is that of the last `open` event. Null texts append nothing; unknown
-    kinds are ignored; a message without deltas is empty; no events, no rows.
+    The log has conv_id, turn, message, seq, kind, role, text; rows may come in
+    any order, and `seq` may have any type that sorts. A conversation's events
+    are dealt to one task, which sorts and streams them. Equal events that were
+    delivered more than once count once; different events of one `seq` are in the
+    order of kind, role and text. Without a `seq` an event comes first. Events
+    before any named message belong to a message without a name.
+
+    The role is that of the last `open` event, null without one (a log may be cut
+    at a boundary of time). The turn is the least that its events have. Null
+    texts append nothing; unknown kinds are ignored, but make a message; a message
+    without deltas is empty; no events, no rows. Other columns do not matter.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text")))
-    folded = events.groupBy("conv_id", "turn", "message").agg(ordered.alias("e"))
-    resets = F.expr("transform(e, (x, i) -> if(x.kind IN ('edit', 'regenerate'), i, -1))")
-    text = F.expr(
-        "array_join(transform(filter(slice(e, greatest(last, 0) + 1, size(e)), x -> x.kind IN ('delta', 'edit')), "
-        "x -> coalesce(x.text, '')), '')"
+    order = ["seq", "kind", "role", "text"]
+    log = events.select("conv_id", "turn", "message", *order).repartition("conv_id")
+    named = F.last("message", ignorenulls=True).over(
+        W.partitionBy("conv_id").orderBy(*order, "message").rowsBetween(W.unboundedPreceding, 0)
     )
-    role = F.expr("element_at(filter(e, x -> x.kind = 'open'), -1).role")
-    return folded.withColumn("last", F.array_max(resets)).select("conv_id", "turn", "message", role.alias("role"), text.alias("text"))
+    log = log.withColumn("message", F.coalesce("message", named))
+    # From the last event to the first one: what has a reset after it does not count.
+    back = W.partitionBy("conv_id", "message").orderBy(*[F.desc(c) for c in order])
+    reset = F.col("kind").isin("edit", "regenerate").cast("int")
+    later = F.coalesce(F.sum(reset).over(back.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    again = F.coalesce(F.struct(*order).eqNullSafe(F.lag(F.struct(*order)).over(back)), F.lit(False))
+    log = log.select("conv_id", "turn", "message", *order, later.alias("later"), again.alias("again"))
+    # An equal event just after a reset is the reset itself, delivered again.
+    said = F.when(F.col("kind").isin("delta", "edit") & (F.col("later") == 0) & ~F.col("again"), F.struct(*order))
+    opened = F.when(F.col("kind") == "open", F.struct("seq", F.lit("").alias("kind"), "role"))
+    folded = log.groupBy("conv_id", "message").agg(
+        F.min("turn").alias("turn"), F.max(opened).alias("opened"), F.sort_array(F.collect_list(said)).alias("said")
+    )
+    text = F.expr("array_join(transform(said, x -> coalesce(x.text, '')), '')")
+    return folded.select("conv_id", "turn", "message", F.col("opened.role").alias("role"), text.alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -119,8 +139,10 @@ def events_of(conversations: DataFrame) -> DataFrame:
     """A log whose messages are the rows of the table (conv_id, turn, role, text).
 
     Every text is streamed in parts. User turns first say something else and are
-    edited; assistant turns are broken off and regenerated. Equal rows are
-    separate messages: they are counted first and get a number each.
+    edited once the whole conversation is there; assistant turns are broken off
+    and regenerated. Only the first event of a message names it, and the late
+    edits. Equal rows are separate messages: they are counted first and get a
+    number each.
     """
     rows = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
     texts = F.coalesce("text", F.lit(""))
@@ -130,11 +152,16 @@ def events_of(conversations: DataFrame) -> DataFrame:
         "role",
         texts.alias("text"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"),
-    ).withColumn("message", F.struct("role", F.sha2(F.encode("text", "utf-8"), 256).alias("digest"), "copy"))
+    ).withColumn("message", F.struct("turn", "role", F.sha2(F.encode("text", "utf-8"), 256).alias("digest"), "copy"))
     size = F.expr(f"cast(length(text) div {DELTAS} + 1 as int)")
-    event = lambda seq, kind, text: F.struct(
-        F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text")
-    )
+    unnamed = F.lit(None).cast(numbered.schema["message"].dataType)
+
+    def event(step: int, kind: str, text: Column) -> Column:
+        late = kind == "edit"
+        seq = F.struct(F.lit(late).alias("late"), F.col("message").alias("of"), F.lit(step).alias("step"))
+        name = F.col("message") if late or kind == "open" else unnamed
+        return F.struct(seq.alias("seq"), name.alias("message"), F.lit(kind).alias("kind"), text.alias("text"))
+
     first = [event(0, "open", F.lit("")), event(1, "delta", F.substr("text", F.lit(1), size))]
     deltas = [event(3 + i, "delta", F.substr("text", size * i + 1, size)) for i in range(DELTAS)]
     log = (
@@ -142,9 +169,7 @@ def events_of(conversations: DataFrame) -> DataFrame:
         .when(F.col("role") == "assistant", F.array(*first, event(2, "regenerate", F.lit("")), *deltas))
         .otherwise(F.array(first[0], *deltas))
     )
-    return numbered.select("conv_id", "turn", "message", "role", F.explode(log).alias("e")).select(
-        "conv_id", "turn", "message", "role", "e.*"
-    )
+    return numbered.select("conv_id", "turn", "role", F.explode(log).alias("e")).select("conv_id", "turn", "role", "e.*")
 
 
 def chat_conversations(conversations: DataFrame) -> DataFrame:

@@ -1,26 +1,32 @@
-"""Best-fit packing: partitions pack locally, pieces of underfull bins are packed as a whole.
+"""Hierarchical residual packing: tasks pack best-fit, underfull bins go up a tree as items.
 
 Every task tokenizes its documents, cuts only those longer than a sequence, and
-packs its pieces best-fit, longest first. Bins that are nearly full are done.
-The pieces of all other bins stay in the written level, and only their counts
-per length are added up, which makes at most `CAPACITY` numbers. The driver
-packs these counts best-fit, so every open piece meets those of all partitions.
-A piece then finds its place by its number among the pieces of its length. The
-level is written to the shared folder, so a lost executor does not cost the
-tokenizing.
+packs its pieces best-fit, longest first, in runs of a bounded number. Nearly
+full bins are done and leave. Every other bin is an item of the next level, where
+a task gets the bins of sixteen tasks and packs them best-fit again, and so on up
+to the root, whose bins are all done. Only (bin, fill) goes up; a bin that is put
+into another one is noted as a move, and pieces follow the moves of their bin in
+the end by joins.
+
+Two large bins that leave much room should not be married for good: below the
+root, a bin that is over half full but not nearly full goes up as parts, none of
+which is over half full unless it is a single item.
+
+A group of more bins than a task should hold is split by hash, and every level is
+written to the shared folder, so neither size nor a lost executor matters.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.functions.storage import stage
@@ -31,13 +37,21 @@ CAPACITY = 2048
 END = 0
 #: A bin with no more free places than this is done.
 NEARLY = 4
-#: Pieces that a task writes at a time, open ones or others.
-MAX_OPEN = 50_000
+#: Bins are numbered by task and, in so many bits, within it.
+TASK_BITS = 40
+#: Tasks whose bins one task of the next level gets.
+FAN = 16
+#: Pieces that a task packs, and writes, together.
+RUN_PIECES = 100_000
+#: Bins that a task of the tree packs together.
+RUN_BINS = 200_000
 
 FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32"]
-#: `number` and `at` are a done bin and the offset in it, or null and the number among the task's open pieces of that length.
-LEVEL = "origin long, number long, at long, doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A piece with its bin, the offset in it, and the fill of the bin.
+LEVEL = "bin long, at long, fill long, doc_id long, piece int, start long, length long, ids_crc32 long"
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+#: A bin in the tree: the bin that holds it now, its offset there, and the fill of that bin.
+MERGED = "bin long, holder long, at long, fill long, node long, done boolean"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -63,7 +77,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
             room, number = capacity, len(bins)
             bins.append([item])
         left = room - size
-        if left:
+        if left > 0:
             if left not in waiting:
                 waiting[left] = []
                 insort(free, left)
@@ -71,49 +85,23 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """`best_fit` of so many items of each size, in steps (size, first item, first bin, items per bin, offset).
+def bins_of(sizes: list[int], capacity: int, last: bool) -> Iterator[tuple[list[int], int, bool]]:
+    """(items, fill, done) of the best-fit bins; those that are not done go up.
 
-    Items are numbered within their size; a step holds up to the next one. Bins
-    with the same room wait as ranges, so the work does not grow with the items.
+    `last` makes all bins done. Otherwise one that is neither nearly full nor at
+    most half full is taken apart, into items over half of the capacity and
+    best-fit bins of up to half.
     """
-    steps: list[tuple[int, int, int, int, int]] = []
-    waiting: dict[int, list[tuple[int, int]]] = {}
-    free: list[int] = []
-    bins = 0
-
-    def wait(room: int, first: int, number: int) -> None:
-        if room and number:
-            if room not in waiting:
-                waiting[room] = []
-                insort(free, room)
-            waiting[room].append((first, number))
-
-    for size in sorted(counts, reverse=True):
-        item, total = 0, counts[size]
-        while item < total:
-            at = bisect_left(free, size)
-            if at < len(free):
-                room = free[at]
-                first, number = waiting[room].pop()
-                if not waiting[room]:
-                    del waiting[room]
-                    free.pop(at)
-            else:
-                room, first = capacity, bins
-                number = -(-(total - item) // (capacity // size))
-                bins += number
-            each = room // size
-            steps.append((size, item, first, each, capacity - room))
-            filled = min(number, (total - item) // each)
-            item += filled * each
-            wait(room - each * size, first, filled)
-            if filled < number:
-                rest = total - item
-                wait(room - rest * size, first + filled, min(rest, 1))
-                wait(room, first + filled + min(rest, 1), number - filled - min(rest, 1))
-                item = total
-    return steps
+    for members in best_fit(sizes, capacity):
+        fill = sum(sizes[i] for i in members)
+        if last or fill >= capacity - NEARLY:
+            yield members, fill, True
+        elif 2 * fill <= capacity:
+            yield members, fill, False
+        else:
+            for part in best_fit([sizes[i] for i in members], capacity // 2):
+                chosen = [members[i] for i in part]
+                yield chosen, sum(sizes[i] for i in chosen), False
 
 
 def pieces_of(docs: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[tuple]:
@@ -128,74 +116,113 @@ def pieces_of(docs: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) ->
                     yield doc, number, start, len(cut), zlib.crc32(cut.tobytes())
 
 
-def _local(items: list[tuple], capacity: int) -> Iterator[tuple]:
-    """The items as rows of `LEVEL` without the origin."""
-    sizes = [item[3] for item in items]
-    seen: Counter = Counter()
-    for number, members in enumerate(best_fit(sizes, capacity)):
-        done = sum(sizes[i] for i in members) >= capacity - NEARLY
+def _local(items: list[tuple], capacity: int, first: int) -> Iterator[tuple]:
+    """The items as rows of `LEVEL`, with bins numbered from `first`."""
+    for number, (members, fill, done) in enumerate(bins_of([item[3] for item in items], capacity, False), first):
         at = 0
         for i in members:
-            if done:
-                yield number, at, *items[i]
-                at += sizes[i]
-            else:
-                yield None, seen[sizes[i]], *items[i]
-                seen[sizes[i]] += 1
+            yield number, at, fill, *items[i]
+            at += items[i][3]
+
+
+def merged_level(bins: DataFrame, nodes: int, count: int, capacity: int) -> DataFrame:
+    """The bins (bin, fill, node) packed per `FAN` nodes into rows of `MERGED`; the first of a holder's bins names it."""
+    parents = -(-nodes // FAN)
+    parts = max(1, -(-count // (parents * RUN_BINS)))
+    last, at_once = parents == 1, RUN_BINS
+
+    def packed(group: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for members, fill, done in bins_of([g[1] for g in group], capacity, last):
+            at = 0
+            for i in members:
+                rows.append((group[i][0], group[members[0]][0], at, fill, group[i][2], done))
+                at += group[i][1]
+        kinds = [*[pa.int64()] * 5, pa.bool_()]
+        names = [part.split()[0] for part in MERGED.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple[int, int, int]] = []
+        key = None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bin", "fill", "parent", "part")]
+            for number, fill, parent, part in zip(*columns):
+                if group and (key != (parent, part) or len(group) >= at_once):
+                    yield from packed(group)
+                    group = []
+                key = parent, part
+                group.append((number, fill, parent))
+        if group:
+            yield from packed(group)
+        give_back()
 
+    spread = F.xxhash64("bin", F.lit(nodes))
+    keyed = bins.select("bin", "fill", F.expr(f"node div {FAN}").alias("parent"), F.pmod(spread, F.lit(parts)).alias("part"))
+    dealt = keyed.repartition("parent", "part").sortWithinPartitions("parent", "part", spread, "bin")
+    return dealt.mapInArrow(merge, MERGED)
 
-def _placed(rows: DataFrame, steps: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """The `FIELDS`, sequence_id and offset of open pieces, by `at`, their number among all of their length."""
-    table = np.array(sorted(steps), dtype=np.int64).reshape(-1, 5)
-    lengths, items, bins, each, offsets = table.T
-    keys = (lengths << 48) + items
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "at"))
-            step = np.searchsorted(keys, (length << 48) + at, side="right") - 1
-            past = at - items[step]
-            number = (np.int64(1) << 58) + bins[step] + past // each[step]
-            offset = offsets[step] + past % each[step] * length
-            made = [pa.array(number, pa.int64()), pa.array(offset, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in FIELDS), *made], [*FIELDS, "sequence_id", "offset"])
+def merge_bins(bins: DataFrame, capacity: int = CAPACITY) -> DataFrame | None:
+    """(bin, holder, shift) of every bin (bin, fill, node) that ends in another one; None where there are no bins.
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return rows.mapInArrow(place, schema)
+    `node` numbers the tasks that the bins come from.
+    """
+    moves: DataFrame | None = None
+    while True:
+        count, top = bins.agg(F.count(F.lit(1)), F.max("node")).first()
+        if not count:
+            return moves
+        level = stage(merged_level(bins, top + 1, count, capacity), "bins")
+        new = level.filter("bin <> holder").select("bin", "holder", F.col("at").alias("shift"))
+        if moves is not None:
+            later = new.select(F.col("bin").alias("moved"), F.col("holder").alias("into"), F.col("shift").alias("more"))
+            followed = moves.join(later, F.col("holder") == F.col("moved"), "left").select(
+                "bin", F.coalesce("into", "holder").alias("holder"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")
+            )
+            new = followed.unionByName(new)
+        moves = new
+        if top < FAN:
+            return moves
+        bins = level.filter("bin = holder AND NOT done").select("bin", "fill", "node")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
-    Null and empty texts are a single end id. Null ids and repeated rows are
-    packed like others. An empty table gives no rows. `docs` has an integer
-    `doc_id` and a `text`; other columns do not matter.
+    Null and empty texts are a single end id, very long ones are cut into many
+    pieces. Null ids and repeated rows are packed like others. An empty table
+    gives no rows. `docs` has an integer `doc_id` and a `text`; other columns do
+    not matter.
     """
     vocabulary = vocabulary or default_vocabulary()
-    at_once = MAX_OPEN
+    at_once = RUN_PIECES
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _local(list(pieces_of(batches, vocabulary, capacity)), capacity)
         names = [part.split()[0] for part in LEVEL.split(", ")]
-        while part := list(islice(rows, at_once)):
-            columns = [[0] * len(part), *zip(*part)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, KINDS)], names)
+        found, first = pieces_of(batches, vocabulary, capacity), TaskContext.get().partitionId() << TASK_BITS
+        while run := list(islice(found, at_once)):
+            rows = list(_local(run, capacity, first))
+            first = rows[-1][0] + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), KINDS)], names)
         give_back()
 
     dealt = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = dealt.mapInArrow(local, LEVEL).withColumn("origin", F.spark_partition_id().cast("long"))
-    level = stage(packed, "bins")
-    number = F.shiftleft(F.col("origin"), 28) + F.col("number")
-    done = level.filter("number IS NOT NULL").select(*FIELDS, number.alias("sequence_id"), F.col("at").alias("offset"))
-    left = level.filter("number IS NULL")
-
-    counts = left.groupBy("origin", "length").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()
-    earlier = Window.partitionBy("length").orderBy("origin").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("origin", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = left.join(before, ["origin", "length"]).select(*FIELDS, (F.col("before") + F.col("at")).alias("at"))
-    steps = best_fit_plan({r["length"]: r["n"] for r in totals}, capacity)
-    return done.unionByName(_placed(ranked, steps))
+    level = stage(dealt.mapInArrow(local, LEVEL), "pieces")
+    full = F.col("fill") >= capacity - NEARLY
+    placed = level.filter(full).select(*FIELDS, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
+    left = level.filter(~full)
+    moves = merge_bins(left.filter("at = 0").select("bin", "fill", F.shiftright("bin", TASK_BITS).alias("node")), capacity)
+    if moves is None:
+        return placed
+    followed = left.join(moves.withColumnRenamed("bin", "moved"), F.col("bin") == F.col("moved"), "left")
+    return placed.unionByName(
+        followed.select(
+            *FIELDS,
+            F.coalesce("holder", "bin").alias("sequence_id"),
+            (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"),
+        )
+    )
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

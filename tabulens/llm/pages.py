@@ -7,9 +7,11 @@ or `main`, where a word or tag inside is content and anything else is not. They
 are counted per context, which every page has, marked or not: the innermost
 block, whether most of its words are links, and the first class or id around it.
 Names that few labelled pages have are left out of the context, and contexts
-that the sample does not have keep the prior weights. A page that marks its
-content needs no weights: what it marks is content, and anything else is not.
-Boilerplate by its tag is never content.
+that the sample does not have keep the prior weights, by which blocks of links
+are not content. A page that marks its content needs no weights: what it marks is
+content, and anything else is not. Boilerplate by its tag is never content. Of
+several marks the largest one counts, and those beside it that neither have a
+listed name (a reader's comment) nor consist of links (a teaser).
 
 A class, id or role tells only what a part of the page is. It is ignored on
 elements that hold most of the page's words, on those around the largest
@@ -37,7 +39,7 @@ from tabulens.llm.shared import bounded_batches
 #: Labelled pages that the weights are fitted on, chosen by a hash of the page.
 SAMPLE_PAGES = 1000
 PRIOR = 20
-WORD, BRIDGE, TAG, OUTSIDE = 1.0, -0.001, -0.02, -4.0
+WORD, BRIDGE, TAG, OUTSIDE, LINKS = 1.0, -0.001, -0.02, -4.0, -0.5
 
 #: Elements whose content is never text.
 RAW = frozenset("script style noscript template iframe svg math object canvas select textarea title xmp".split())
@@ -83,17 +85,18 @@ _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)")
 class Element:
     """An element of the page: what it is in, and what it says it is."""
 
-    __slots__ = ("parent", "tag", "fixed", "name", "long", "called", "linked", "words", "listed", "content")
+    __slots__ = ("parent", "tag", "fixed", "name", "long", "called", "linked", "words", "links", "listed", "content")
 
     def __init__(self, parent: int, tag: str, more: str):
-        self.parent, self.tag, self.words = parent, tag, 0
+        self.parent, self.tag, self.words, self.links = parent, tag, 0, 0
         self.fixed = tag in BOILERPLATE
         self.linked, self.called = tag == "a", ""
         self.name, self.long = ("form", False) if tag == "form" else ("", False)
-        if "=" in more and tag not in ("html", "body") and tag not in CONTENT:
+        if "=" in more and tag not in ("html", "body"):
             for found in _NAMED.finditer(more):
                 value = next(filter(None, found.groups()), "")
-                self.called = self.called or "".join(_CALLED.findall(value.lower())[:1])
+                if tag not in CONTENT:
+                    self.called = self.called or "".join(_CALLED.findall(value.lower())[:1])
                 split = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
                 self.name = self.name or next(filter(NAMES.__contains__, _PART.findall(split)), "")
                 self.long = self.long or not DISCUSSION.isdisjoint(value.lower().split())
@@ -175,21 +178,25 @@ def settle(elements: list[Element]) -> None:
         element.fixed = element.fixed or outer.fixed
         element.linked = element.linked or outer.linked
         element.called = element.called or outer.called
+        element.links = element.words * element.linked
     for element in reversed(elements[1:]):
         if not element.fixed:
             elements[element.parent].words += element.words
+            elements[element.parent].links += element.links
     ignored = set()
     for tag in CONTENT:
         marks = (i for i, e in enumerate(elements) if e.tag == tag and not e.fixed)
         i = max(marks, key=lambda m: elements[m].words, default=0)
         while i:
-            i = elements[i].parent
             ignored.add(i)
+            i = elements[i].parent
     most = elements[0].words / 2
     elements[0].listed, elements[0].content = "", False
     for i, element in enumerate(elements[1:], 1):
         outer = elements[element.parent]
         own = "" if i in ignored or element.words > most and not element.long else element.name
+        if not own and element.tag in CONTENT and i not in ignored and 2 * element.links > element.words:
+            own = "related"
         element.listed = outer.listed or own
         element.content = outer.content or (element.tag in CONTENT and not element.fixed and not element.listed)
 
@@ -208,7 +215,7 @@ def features(html: str) -> list[tuple[str, str, str, bool | None, int, str]]:
     for (_, _, i), size in zip(found, sizes):
         elements[i].words += size
     settle(elements)
-    marked = any(kind == "text" and elements[i].content and not elements[i].fixed for kind, _, i in found)
+    has_marks = any(kind == "text" and elements[i].content and not elements[i].fixed for kind, _, i in found)
     # Words and linked words of each stretch between two ends of blocks.
     stretches, number = [[0, 0]], []
     for (kind, value, i), size in zip(found, sizes):
@@ -221,7 +228,7 @@ def features(html: str) -> list[tuple[str, str, str, bool | None, int, str]]:
     for (kind, value, i), text, size, part in zip(found, texts, sizes, number):
         at = elements[i]
         where = "!" if at.fixed else f"~{at.listed}" if at.listed else ""
-        inside = at.content if marked else None
+        inside = at.content if has_marks else None
         if kind == "text":
             words, linked = stretches[part]
             links = "/links" if 2 * linked > words else ""
@@ -238,6 +245,11 @@ def features(html: str) -> list[tuple[str, str, str, bool | None, int, str]]:
 
 def prior(key: str) -> float:
     """The weight of a context that no labelled page has."""
+    return LINKS if "/links" in key and not key.startswith("word:h1/") and marked(key) == WORD else marked(key)
+
+
+def marked(key: str) -> float:
+    """The weight of a context in what a page marks as content."""
     if key.endswith("!") or "~" in key:
         return BRIDGE
     return TAG if key.startswith("tag:") else WORD
@@ -261,9 +273,7 @@ def weight_of(key: str, name: str, inside: bool | None, weights: dict[str, float
     """The weight of a token: by the page's own marks if it has any, else as learned, with the name if that is known."""
     if inside is None:
         return weights.get(f"{key}.{name}", weights.get(key, prior(key)))
-    if inside or not key.startswith("word:") or prior(key) == BRIDGE:
-        return prior(key)
-    return OUTSIDE
+    return marked(key) if inside or not key.startswith("word:") or marked(key) == BRIDGE else OUTSIDE
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -308,7 +318,8 @@ def main_text(html: str, weights: dict[str, float]) -> str:
 def fit_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from at most `sample` labelled pages, those with the smallest hash of id and address.
 
-    Only that many hashes and one row per context come to the driver.
+    Repeated rows of a page are fitted once. Only that many hashes and one row
+    per context come to the driver, of contexts with `PRIOR` words or tags at least.
     """
     labelled = pages.filter(F.lower(F.col("html")).rlike("<(article|main)[ >]"))
     chance = F.xxhash64("page_id", "url")
@@ -332,20 +343,20 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float
             ["key", "inside", "n"],
         )
 
-    counted = labelled.filter(chance <= bound).select("html").mapInArrow(count, "key string, inside boolean, n long")
+    chosen = labelled.filter(chance <= bound).select("page_id", "url", "html").dropDuplicates(["page_id", "url"])
+    counted = chosen.select("html").mapInArrow(count, "key string, inside boolean, n long")
     inside, outside = (F.sum(F.when(F.col("inside") == v, F.col("n")).otherwise(0)) for v in (True, False))
-    # Contexts are tags and names; a bound keeps invented ones of the sample from filling the driver.
-    rows = counted.groupBy("key").agg(inside.alias("i"), outside.alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "key")
-    rows = rows.filter(~F.col("key").contains(".") | (F.col("i") + F.col("o") >= PRIOR))
-    return {r["key"]: weigh(r["key"], r["i"], r["o"]) for r in rows.limit(2000).collect()}
+    rows = counted.groupBy("key").agg(inside.alias("i"), outside.alias("o")).filter(F.col("i") + F.col("o") >= PRIOR)
+    return {r["key"]: weigh(r["key"], r["i"], r["o"]) for r in rows.collect()}
 
 
 def extract_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """page_id, url and the main text of every page.
 
     Null, empty and tag-free pages are handled like any other: null html gives
-    an empty text, plain words are content. Repeated rows give equal texts. An
-    empty table stays empty. Other columns do not matter.
+    an empty text, plain words are content. Repeated rows give equal texts. Very
+    long pages are read whole, as one string in one task. An empty table stays
+    empty. Other columns do not matter.
     """
     bounded_batches(pages)
     weights = fit_weights(pages) if weights is None else weights

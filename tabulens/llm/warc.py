@@ -8,7 +8,9 @@ are revisits that refer to it.
 The reader checks every record: version line, header block, Content-Length, the
 end of record, payload digest. After a failed check it searches for the next
 version line (or the next valid gzip member in compressed archives), goes on
-from there, and reports the bytes between as a quarantined gap.
+from there, and reports the bytes between as a quarantined gap. It feeds a
+decompressor blocks and counts what it took, and checks headers line by line, so
+its time grows in proportion to an archive's size.
 """
 
 from __future__ import annotations
@@ -29,7 +31,13 @@ from tabulens.llm.shared import bounded_batches
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 LEAST_REVISIT = 1000
+#: An archive has at most so many records, and fewer if they are long: about so many bytes.
 RECORDS_PER_FILE = 2000
+FILE_BYTES = 128 << 20
+#: Records up to so many bytes are written together; beyond, lengths within a factor of `CLASS` are.
+SHORT = FILE_BYTES // RECORDS_PER_FILE
+CLASS = 4
+INFLATE_BYTES = 64 << 10
 
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 _MEMBER = b"\x1f\x8b\x08"
@@ -98,38 +106,58 @@ def _record(typed: DataFrame) -> Column:
     return F.concat(F.encode(head, "utf-8"), block).cast("string")
 
 
-def write_archives(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write a record per row of (page_id, url, html) below `path`, `per_file` to an archive.
+def write_archives(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Write a record per row of (page_id, url, html) below `path`, up to `per_file` and about `file_bytes` to an archive.
 
-    Null html is an empty payload. An empty table makes a folder without archives.
+    Null html is an empty payload. Very long pages get archives with fewer
+    records, at the least one. An empty table makes a folder without archives.
+    Other columns do not matter.
     """
     typed = with_types(pages)
-    records = typed.select(_record(typed).alias("value"))
-    records.write.options(lineSep=END, maxRecordsPerFile=per_file).text(path)
+    short = max(1, file_bytes // per_file)
+    # Classes of lengths: 0 up to `short` bytes, then one for each factor of CLASS.
+    longer = F.ceil(F.log(float(CLASS), F.greatest(F.col("payload_bytes"), F.lit(1)) / F.lit(float(short))))
+    kind = F.greatest(F.lit(0), longer).cast("int")
+    lengths = pages.select(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("payload_bytes"))
+    kinds = sorted(r["kind"] for r in lengths.select(kind.alias("kind")).distinct().collect())
+    for number in kinds or [0]:
+        records = typed.filter(kind == number).select(_record(typed).alias("value"))
+        limit = max(1, per_file // CLASS**number)
+        records.write.mode("append").options(lineSep=END, maxRecordsPerFile=limit).text(path)
+
+
+def _inflate(data: memoryview, start: int) -> tuple[bytes, int] | None:
+    """Content and end of the gzip member at a place; None if it is damaged, cut off, or none."""
+    reader, parts, at = zlib.decompressobj(31), [], start
+    try:
+        while not reader.eof:
+            block = data[at : at + INFLATE_BYTES]
+            if not len(block):
+                return None
+            parts.append(reader.decompress(block))
+            at += len(block)
+    except zlib.error:
+        return None
+    return b"".join(parts), at - len(reader.unused_data)
 
 
 def _members(data: bytes) -> Iterator[tuple[int, int, bytes | None]]:
     """(start, end, content) of the gzip members; content is None for bytes that are none."""
-    at = 0
+    view, at = memoryview(data), 0
     while at < len(data):
-        found = data.find(_MEMBER, at)
+        found, member = data.find(_MEMBER, at), None
         while found >= 0:
-            reader = zlib.decompressobj(31)
-            try:
-                content = reader.decompress(data[found:])
-                if reader.eof:
-                    break
-            except zlib.error:
-                pass
+            member = _inflate(view, found)
+            if member:
+                break
             found = data.find(_MEMBER, found + 1)
-        if found < 0:
+        if member is None:
             yield at, len(data), None
             return
         if found > at:
             yield at, found, None
-        end = len(data) - len(reader.unused_data)
-        yield found, end, content
-        at = end
+        yield found, member[1], member[0]
+        at = member[1]
 
 
 def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
@@ -137,19 +165,18 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     version = _VERSION_LINE.match(data, at)
     if not version:
         raise ValueError("no version line")
-    head_end = data.find(b"\r\n\r\n", version.end() - 2)
-    if head_end < 0:
-        raise ValueError("header without end")
     headers = {}
-    for line in data[version.end() : head_end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise ValueError("header line without colon")
+    at = version.end()
+    while (line_end := data.find(b"\r\n", at)) != at:
+        name, colon, value = data[at : line_end if line_end >= 0 else len(data)].partition(b":")
+        if not colon or line_end < 0:
+            raise ValueError("header without end" if line_end < 0 else "header line without colon")
         headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        at = line_end + 2
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise ValueError("no content length")
-    start = head_end + 4
+    start = at + 2
     end = start + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("no end of record")
@@ -163,8 +190,9 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
     """(position, length, headers, block, reason) of what an archive holds, in order.
 
-    Headers are None for a quarantined gap. Positions are those of the file; in
-    a compressed archive a record has the place of its member.
+    Headers are None for a quarantined gap. Positions and lengths count bytes of
+    the file. In a compressed archive a record, and a gap within a member, has the
+    place and length of its member; the gap's reason names its own place in there.
     """
     if not data.startswith(_MEMBER) and (_VERSION_LINE.search(data) or _MEMBER not in data):
         yield from _salvage_plain(data, 0)
@@ -173,8 +201,10 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         if content is None:
             yield start, end - start, None, b"", "no gzip member"
             continue
-        for _, length, headers, block, reason in _salvage_plain(content, 0):
-            yield start, end - start if headers is not None else length, headers, block, reason
+        for inner, length, headers, block, reason in _salvage_plain(content, 0):
+            if headers is None:
+                reason = f"{reason} (member's bytes {inner} to {inner + length})"
+            yield start, end - start, headers, block, reason
 
 
 def _salvage_plain(data: bytes, at: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
@@ -207,8 +237,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """The records of all archives below `path`, and (with a reason) their gaps: see RECORD and GAP.
 
     One table: `reason` is null for records, and gaps have only archive,
-    position, length and reason. An archive is read by one task as a whole, so
-    it should not be larger than some hundred MB; the writer's archives are.
+    position, length and reason, in bytes of the file (see `salvage`). An archive
+    is read by one task as a whole, so it should not be larger than some hundred
+    MB (Spark refuses files above 2 GB); the writer's archives are not, unless a
+    single page is.
     """
     schema = f"{RECORD}, length long, reason string"
     names = [f.split()[0] for f in schema.split(", ")]

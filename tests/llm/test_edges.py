@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
+import zlib
+
 import brute
 import pytest
 
@@ -23,7 +25,9 @@ TEXTS = [
     (10, "Some plain words that are repeated nowhere else in this small table of text"),
     (11, "<|endoftext|> <b>é</b> #### \x00 'll"),
 ]
-CLASHES = "n_words quality salt limit again word0 bits0 text_sha256 keep_id batch n_removed ids decoded wanted node".split()
+CLASHES = "n_words quality salt limit again word0 bits0 text_sha256 keep_id batch n_removed ids decoded wanted node "
+CLASHES += "text_sha256_of gone_id gone_sha stays own_id own_sha again_ by hot_key hot_value cold_key cold_value"
+CLASHES = CLASHES.split()
 
 
 @pytest.fixture(scope="module")
@@ -67,11 +71,34 @@ def test_exact_groups(docs):
     assert sorted(brute.sha(brute.SPACES.sub(" ", r["text"] or "")) for r in left.collect()) == sorted(groups)
 
 
-def test_exact_groups_without_a_filter(docs, monkeypatch):
+def test_exact_groups_with_a_filter_too_large_to_send(docs, monkeypatch):
     expected = sorted(map(str, exact.exact_documents(docs).collect()))
     monkeypatch.setattr(exact, "BROADCAST_WORDS", 0)
     assert sorted(map(str, exact.exact_documents(docs).collect())) == expected
     assert exact.drop_repeats(docs).count() == sum("kept=True" in e for e in expected)
+    # Unique rows still pass outside of the grouping.
+    keys = exact.hashes(docs, "text", "doc_id")
+    maybe, unique, rows = exact.possibly_repeated(keys, "text_sha256")
+    assert rows == len(TEXTS) and maybe.count() + unique.count() == rows
+    repeated = sum("group_size=1" not in e for e in expected)
+    assert repeated <= maybe.count() <= repeated + 1 and unique.count() > 5
+
+
+def test_exact_groups_with_hot_texts(spark, monkeypatch):
+    """A third of the rows have one text, some of them one id, too; every key counts as hot or none does."""
+    rows = [(i if i % 2 else 1, "the same  text" if i % 3 == 0 else f"text {i % 70}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = brute.exact(rows)
+    for words, hot in ((0, 2), (0, 10**9), (10**6, 2), (0, 20)):
+        monkeypatch.setattr(exact, "BROADCAST_WORDS", words)
+        monkeypatch.setattr(exact, "HOT", hot)
+        found = exact.exact_documents(frame).collect()
+        assert len(found) == 600
+        assert {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"]) for r in found} == expected
+        assert sorted(r["text_sha256"] for r in found if r["kept"]) == sorted({h for _, h in expected})
+        left = exact.drop_repeats(frame).collect()
+        assert sorted(brute.sha(brute.SPACES.sub(" ", r["text"])) for r in left) == sorted({h for _, h in expected})
+        assert {(r["doc_id"], brute.sha(brute.SPACES.sub(" ", r["text"]))) for r in left} <= {(k, h) for (_, h), (k, _) in expected.items()}
 
 
 def test_substrings(docs):
@@ -185,30 +212,50 @@ def test_best_fit_is_whole(sizes):
     assert len(bins) <= -(-sum(sizes) // 2048) * 11 / 9 + 1
 
 
-def test_packing_with_a_small_limit_of_open_bins(docs, monkeypatch):
-    monkeypatch.setattr(packing, "MAX_OPEN", 1)
-    assert packing.pack(docs.repartition(40)).count() == packing.pack(docs).count()
+def test_packing_in_small_runs(docs, monkeypatch):
+    monkeypatch.setattr(packing, "RUN_PIECES", 2)
+    monkeypatch.setattr(packing, "RUN_BINS", 2)
+    rows = packing.pack(docs.repartition(40)).collect()
+    assert len(rows) == packing.pack(docs).count()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in bins.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))]
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_best_fit_of_counts_is_that_of_items(seed):
+def test_bins_that_go_up_keep_all_items(seed):
     import random
 
     rng = random.Random(seed)
     sizes = [rng.choice([rng.randint(1, 2048), rng.randint(900, 1200), 1, 7]) for _ in range(rng.randint(0, 400))]
-    counts = {n: sizes.count(n) for n in sizes}
-    steps = sorted(packing.best_fit_plan(counts, 2048))
-    bins = {}
-    for size, total in counts.items():
-        for item in range(total):
-            _, first, number, each, offset = max(s for s in steps if s[0] == size and s[1] <= item)
-            past = item - first
-            bins.setdefault(number + past // each, []).append((offset + past % each * size, size))
-    for spans in bins.values():
-        spans.sort()
-        assert [o for o, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))]
-        assert sum(n for _, n in spans) <= 2048
-    assert len(bins) == len(packing.best_fit(sizes, 2048))
+    for last in (False, True):
+        bins = list(packing.bins_of(sizes, 2048, last))
+        assert sorted(i for members, _, _ in bins for i in members) == list(range(len(sizes)))
+        for members, fill, done in bins:
+            assert fill == sum(sizes[i] for i in members) <= 2048
+            assert done == (last or fill >= 2044)
+            assert done or 2 * fill <= 2048 or len(members) == 1
+
+
+def test_bins_move_up_a_tree(spark, monkeypatch):
+    """Bins of 12 tasks, two to a task of the next level: four levels, bins within bins within bins."""
+    monkeypatch.setattr(packing, "FAN", 2)
+    levels = []
+    staged = packing.stage
+    monkeypatch.setattr(packing, "stage", lambda df, name: levels.append(staged(df, name)) or levels[-1])
+    fills = {node << packing.TASK_BITS: 85 for node in range(12)}
+    bins = spark.createDataFrame([(b, f, b >> packing.TASK_BITS) for b, f in fills.items()], "bin long, fill long, node long")
+    moves = {r["bin"]: (r["holder"], r["shift"]) for r in packing.merge_bins(bins).collect()}
+    assert len(levels) == 4
+    holder = (set(fills) - set(moves)).pop()  # one bin holds the eleven others
+    assert {h for h, _ in moves.values()} == {holder}
+    assert sorted(s for _, s in moves.values()) == [85 * i for i in range(1, 12)]
+    held = [{r["bin"]: r["holder"] for r in level.filter("bin <> holder").collect()} for level in levels]
+    assert sum(map(len, held)) == 11 and all(held)
+    assert any(into in held[1] for into in held[0].values())  # a bin that holds another one is moved itself
 
 
 def test_packing_pairs_pieces_of_far_partitions(spark):
@@ -248,6 +295,65 @@ def test_salvage_goes_on_after_damage():
     assert list(warc.salvage(b"")) == []
 
 
+def gzip_members(count, size):
+    import gzip
+    import random
+
+    rng = random.Random(count)
+    blocks = [rng.randbytes(size) for _ in range(count)]
+    return [gzip.compress(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(b), b)) for b in blocks], blocks
+
+
+def test_bytes_fed_grow_with_the_archive(monkeypatch):
+    """Twice the members, twice the bytes that are decompressed; false starts of members cost little."""
+    fed = {}
+    for count in (40, 80, 160):
+        members, blocks = gzip_members(count, 10_000)
+        members[count // 2] = members[count // 2][:5000] + b"\x1f\x8b\x08" * 50 + members[count // 2][5150:]
+        data = b"".join(members)
+        with monkeypatch.context() as patched:
+            real = zlib.decompressobj
+            patched.setattr(zlib, "decompressobj", lambda *a, n=count: Counting(real(*a), fed, n))
+            found = list(warc.salvage(data))
+        assert [f[3] for f in found if f[2] is not None] == [b for i, b in enumerate(blocks) if i != count // 2]
+        gaps = [f for f in found if f[2] is None]
+        assert [(g[0], g[1]) for g in gaps] == [(len(b"".join(members[: count // 2])), len(members[count // 2]))]
+    assert fed[80] < 2.2 * fed[40] and fed[160] < 2.2 * fed[80]
+
+
+class Counting:
+    """A decompressor that counts the bytes it gets."""
+
+    def __init__(self, inner, fed, key):
+        self.inner, self.fed, self.key = inner, fed, key
+
+    def decompress(self, data):
+        self.fed[self.key] = self.fed.get(self.key, 0) + len(data)
+        return self.inner.decompress(data)
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+
+def test_headers_without_end_are_read_once():
+    data = b"WARC/1.1\r\nA: b\r\n" * 20_000
+    assert [(f[0], f[1]) for f in warc.salvage(data)] == [(0, len(data))]
+
+
+def test_archives_of_long_pages_are_bounded(spark, tmp_path):
+    rows = [(i, f"u{i}", ("x" * (200_000 if i % 10 == 0 else 3_000_000 if i == 5 else 50)) + str(i), "clash") for i in range(60)]
+    schema = "page_id long, url string, html string, payload string"
+    pages_ = spark.createDataFrame(rows, schema).coalesce(1)
+    path = str(tmp_path / "archives")
+    warc.write_archives(pages_, path, per_file=20, file_bytes=1_000_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "archives").glob("*.txt")]
+    assert max(sizes) < 3_100_000 and sum(s > 1_300_000 for s in sizes) == 1
+    found = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    assert {i: r["payload"].decode() for i, r in found.items()} == {r[0]: r[2] for r in rows}
+    clash = pages_.toDF("page_id", "url", "html", "record_type")
+    assert warc.warc_pages(clash).count() == 60
+
+
 def test_salvage_of_gzip_members():
     import gzip
 
@@ -350,6 +456,84 @@ def test_marked_pages_teach_what_unmarked_pages_hold(spark):
     assert pages.weigh("word:li/links", 1, 10) > pages.weigh("word:li/links", 1, 100) < 0 < pages.weigh("word:p~form", 99, 1)
 
 
+def folded(spark, events):
+    schema = "conv_id long, turn long, message string, seq long, kind string, role string, text string, said string"
+    frame = spark.createDataFrame([(*e, "clash") for e in events], schema).repartition(3)
+    return sorted((tuple(r) for r in chat.fold_events(frame).collect()), key=str)
+
+
+def test_logs_as_they_come(spark):
+    log = [
+        (1, 0, "q", 1, "open", "user", None),
+        (1, 0, None, 2, "delta", None, "first "),
+        (1, 0, None, 3, "delta", None, "words"),
+        (1, 1, "a", 4, "open", "assistant", None),
+        (1, 1, None, 5, "delta", None, "answ"),
+        (1, 1, None, 6, "delta", None, "er"),
+        (1, 0, "q", 7, "edit", None, "other words"),
+        (1, 1, "a", 8, "regenerate", None, None),
+        (1, 1, None, 9, "delta", None, "new "),
+        (1, 1, "a", 10, "unknown", None, "nothing"),
+        (1, 1, None, 11, "delta", None, "answer"),
+    ]
+    expected = [(1, 0, "q", "user", "other words"), (1, 1, "a", "assistant", "new answer")]
+    assert folded(spark, log) == expected
+    # Order of rows and repeated deliveries change nothing.
+    assert folded(spark, log[::-1] + log[3:9] * 2) == expected
+    # A log that starts in the middle has no role, and its first parts have no message.
+    assert folded(spark, log[4:]) == [(1, 0, "q", None, "other words"), (1, 1, "a", None, "new answer"), (1, 1, None, None, "answer")]
+    assert folded(spark, [(2, None, "m", None, "delta", None, "a"), (None, 1, "m", 1, "delta", None, None)]) == [
+        (2, None, "m", None, "a"), (None, 1, "m", None, ""),
+    ]
+    rendered = chat.render(spark.createDataFrame(expected, "conv_id long, turn long, message string, role string, text string"))
+    assert rendered.first()["formatted"] == "<|user|>other words<|end|><|assistant|>new answer<|end|>"
+
+
+def test_conversations_with_clashing_columns(spark):
+    rows = [(1, 0, "user", "a", "x", "x", "x"), (1, 0, "user", "a", "x", "x", "x"), (1, 1, "assistant", "b", "x", "x", "x")]
+    said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string, message string, e string")
+    found = {r["conv_id"]: r for r in chat.chat_conversations(said).collect()}
+    assert found[1]["n_turns"] == 3 and found[1]["turns_sha256"] == brute.sha("user\na\nuser\na\nassistant\nb\n")
+    assert found[1]["loss_sha256"] == brute.sha("b")
+
+
+STORY_ONLY = "The whole story is told here.\nAnd it ends."
+SEVERAL = [
+    f"<main>{STORY}</main><section>" + "".join(f"<article><a href=x>Other story {i} of today</a></article>" for i in range(4)) + "</section>",
+    f"<main>{STORY}<section>" + "".join(f"<article><a href=x>Other story {i} of today</a></article>" for i in range(4)) + "</section></main>",
+    f"<div>{STORY}</div><div id='reactions'><article class='comment'><p>I do not think so at all.</p></article></div>",
+    STORY.replace("</article>", "<article class='comment'><p>I do not think so.</p></article></article>"),
+]
+
+
+@pytest.mark.parametrize("html", SEVERAL)
+def test_teasers_and_comments_marked_as_articles(html):
+    assert pages.main_text(html, {}) == STORY_ONLY
+
+
+def test_several_posts_are_all_content():
+    posts = "".join(f"<article class='post'><h2>Day {i}</h2><p>Some words of that day, {i}.</p></article>" for i in range(3))
+    wanted = "\n".join(f"Day {i}\nSome words of that day, {i}." for i in range(3))
+    assert pages.main_text(f"<nav>menu</nav>{posts}", {}) == wanted
+
+
+def test_link_lists_without_any_labelled_page():
+    menu = "<ul>" + "".join(f"<li><a href={i}>{t}</a></li>" for i, t in enumerate(("Home", "About us", "Contact"))) + "</ul>"
+    html = f"<body>{menu}<h1><a href=x>The title</a></h1><p>The story with <a href=y>a link</a> in it is told here.</p>{menu}</body>"
+    assert pages.main_text(html, {}) == "The title\nThe story with a link in it is told here."
+
+
+def test_pages_long_repeated_and_with_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>Sentence {i} of it.</p>" for i in range(60_000)) + "</article>"
+    rows = [(1, "u", long, "x", "x"), (2, "v", STORY, "x", "x"), (2, "v", STORY, "x", "x"), (2, "v", STORY, "x", "x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, h string")
+    found = pages.page_texts(frame).collect()
+    assert sorted(r["n_chars"] for r in found)[:3] == [len(STORY_ONLY)] * 3
+    assert max(r["n_chars"] for r in found) == sum(len(f"Sentence {i} of it.") + 1 for i in range(60_000)) - 1
+    # Repeated rows of a page teach no more than one of them.
+    assert pages.fit_weights(frame.filter("page_id = 2")) == pages.fit_weights(frame.filter("page_id = 2").limit(1))
+
+
 def test_page_texts_with_fitted_weights(spark):
     frame = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string")
     assert [r["text"] for r in pages.page_texts(frame).orderBy("page_id").collect()] == [t for _, t in PAGES]
