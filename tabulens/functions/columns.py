@@ -78,6 +78,6 @@ def aggregated(df: DataFrame, wanted: Mapping[_Key, Column]) -> dict[_Key, Any]:
     """The value of every aggregate, all from one scan unless there are very many."""
     found: dict[_Key, Any] = {}
     for group in chunks(list(wanted.items()), _AGGREGATES_AT_ONCE):
-        row = df.agg(*[value.alias(f"a{i}") for i, (_, value) in enumerate(group)]).first()
+        row = df.agg(*[value.alias(f"a{i}") for i, (_, value) in enumerate(group)]).collect()[0]
         found |= {key: row[i] for i, (key, _) in enumerate(group)}
     return found

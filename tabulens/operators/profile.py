@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Hashable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.columns import chunks, col, data_fields, field_type, is_numeric, is_temporal
+from tabulens.functions.columns import aggregated, col, data_fields, field_type, is_numeric, is_temporal
 from tabulens.functions.scalars import (
     exact_round,
     iso_text,
@@ -34,7 +34,6 @@ from tabulens.operators.quantiles import ACCURACY, QUARTILES, first_brackets, li
 from tabulens.operators.types import ColumnType, by_kind, text_dates
 
 TOP_VALUES = 10
-_COLUMNS_PER_PASS = 32
 
 NUMERIC_STATS = ("mean", "median", "mode", "std", "min", "max", "sum", "q25", "q75", "iqr")
 
@@ -106,25 +105,37 @@ def _aggregates(df: DataFrame, name: str, fmt: str | None = None, approx: bool =
 
 
 def scan_columns(
-    df: DataFrame, columns: Sequence[str], formats: Mapping[str, str], approx: bool = False
+    df: DataFrame,
+    columns: Sequence[str],
+    formats: Mapping[str, str],
+    approx: bool = False,
+    also: Mapping[Hashable, Column] | None = None,
 ) -> dict[str, dict[str, Any]]:
     """Counts, moments and date ranges of all columns from one scan.
 
-    ``formats`` has the layouts of string dates.  Very wide tables are scanned
-    once per group of columns, each time reading that group only.
+    ``formats`` has the layouts of string dates.  The values of the aggregates in
+    ``also`` are found under None.
     """
-    found: dict[str, dict[str, Any]] = {}
-    for group in chunks(columns, _COLUMNS_PER_PASS):
-        named = []
-        for name in group:
-            stats = _aggregates(df, name, formats.get(name), approx)
-            named += [(name, s, a) for s, a in stats.items()]
-        row = df.agg(*[a.alias(f"a{i}") for i, (_, _, a) in enumerate(named)]).first()
-        for (name, stat, _), value in zip(named, row):
-            found.setdefault(name, {"column": name})[stat] = value
+    wanted = {
+        (name, stat): value
+        for name in columns
+        for stat, value in _aggregates(df, name, formats.get(name), approx).items()
+    }
+    values = aggregated(df, wanted | {(None, key): value for key, value in (also or {}).items()})
+    found: dict = {name: {"column": name} for name in columns}
+    for (name, stat), value in values.items():
+        found.setdefault(name, {})[stat] = value
     return found
 
 
+def date_aggregates(df: DataFrame, candidates: Mapping[str, Sequence[str]]) -> dict[tuple[str, str, str], Column]:
+    """By column, layout and statistic: date ranges of texts under every layout that they may follow."""
+    stats = ("min_date", "max_date", "range_days")
+    return {
+        (name, fmt, stat): _aggregates(df, name, fmt)[stat] for name, layouts in candidates.items() for fmt in layouts for stat in stats
+    }
+
+
 def add_quantiles(
     df: DataFrame, columns: Sequence[str], scanned: Mapping[str, dict[str, Any]], approx: bool = False
 ) -> None:

@@ -69,18 +69,18 @@ def detect_types(
         {("rows", ""): F.count(F.lit(1))}
         | {("filled", f.name): F.count(col(f.name)) for f in fields}
         | {("values", n): v for n, v in distinct_sketches(df, texts + others).items()}
-        | _shapes(texts),
+        | shapes_of(texts),
     )
     present = {f.name: (first["filled", f.name], first["rows", ""]) for f in fields}
-    candidates = _candidates(first, texts)
+    candidates = candidate_layouts(first, texts)
     gaps = {n for n, (filled, rows) in present.items() if filled < rows} | set(had_gaps)
     undecided = [f.name for f in fields if infer_strings and may_be_category(f, gaps)]
     narrow = narrow_columns({n: first["values", n] for n in undecided if ("values", n) in first}, MAX_CATEGORIES)
     second = aggregated(
-        df, _masks(candidates) | {("distinct", n): distinct_values(df, n) for n in narrow}
+        df, layout_masks(candidates) | {("distinct", n): distinct_values(df, n) for n in narrow}
     )
     distinct = {n: second["distinct", n] for n in narrow}
-    return classify(fields, present, _fitting(second, candidates), distinct, infer_strings, had_gaps)
+    return classify(fields, present, fitting_layouts(second, candidates), distinct, infer_strings, had_gaps)
 
 
 def may_be_category(field: T.StructField, gaps: Collection[str]) -> bool:
@@ -141,35 +141,35 @@ def date_formats(df: DataFrame, fields: Sequence[T.StructField]) -> dict[str, st
     One aggregate finds the shapes, another the layouts of those that are a date's.
     """
     texts = [f.name for f in fields if is_text(f.dataType)]
-    candidates = _candidates(aggregated(df, _shapes(texts)), texts)
-    return _fitting(aggregated(df, _masks(candidates)), candidates)
+    candidates = candidate_layouts(aggregated(df, shapes_of(texts)), texts)
+    return fitting_layouts(aggregated(df, layout_masks(candidates)), candidates)
 
 
 def text_dates(df: DataFrame, moments: Callable[[str, str], Mapping[str, Column]]) -> dict[str, dict[str, Any]]:
     """Per string column with a layout: the layout as ``format``, and what ``moments`` has for it, in two aggregates."""
     texts = [f.name for f in data_fields(df) if is_text(f.dataType)]
-    candidates = _candidates(aggregated(df, _shapes(texts)), texts)
+    candidates = candidate_layouts(aggregated(df, shapes_of(texts)), texts)
     wanted = {(n, layout, s): v for n, ls in candidates.items() for layout in ls for s, v in moments(n, layout).items()}
-    found = aggregated(df, _masks(candidates) | wanted)
-    formats = _fitting(found, candidates)
+    found = aggregated(df, layout_masks(candidates) | wanted)
+    formats = fitting_layouts(found, candidates)
     return {
         n: {"format": fmt} | {s: found[n, fmt, s] for s in moments(n, fmt)}
         for n, fmt in formats.items()
     }
 
 
-def _shapes(columns: Sequence[str]) -> dict[tuple[str, str], Column]:
+def shapes_of(columns: Sequence[str]) -> dict[tuple[str, str], Column]:
     """The least and the greatest shape of each column's values."""
     return {(edge, n): f(date_shape(col(n))) for n in columns for edge, f in (("low", F.min), ("high", F.max))}
 
 
-def _candidates(shapes: Mapping[tuple[str, str], str | None], columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
+def candidate_layouts(shapes: Mapping[tuple[str, str], str | None], columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
     """Layouts of the one shape that all values of a column have."""
     found = {n: layouts_of(shapes["low", n]) for n in columns if shapes["low", n] == shapes["high", n]}
     return {n: layouts for n, layouts in found.items() if layouts}
 
 
-def _masks(candidates: Mapping[str, Sequence[str]]) -> dict[tuple[str, str], Column]:
+def layout_masks(candidates: Mapping[str, Sequence[str]]) -> dict[tuple[str, str], Column]:
     """A bit per layout of a column that is set if all values follow it.
 
     Masks of parts of a table combine by AND, so tasks send one number each.
@@ -181,7 +181,7 @@ def _masks(candidates: Mapping[str, Sequence[str]]) -> dict[tuple[str, str], Col
     return masks
 
 
-def _fitting(found: Mapping[tuple, int | None], candidates: Mapping[str, Sequence[str]]) -> dict[str, str]:
+def fitting_layouts(found: Mapping[tuple, int | None], candidates: Mapping[str, Sequence[str]]) -> dict[str, str]:
     """The first layout of each column whose bit is set."""
     fitting = {n: [fmt for i, fmt in enumerate(ls) if (found["layouts", n] or 0) >> i & 1] for n, ls in candidates.items()}
     return {n: layouts[0] for n, layouts in fitting.items() if layouts}

@@ -10,9 +10,18 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.functions.columns import POSITION, col, data_fields, is_numeric, is_temporal
+from tabulens.functions.columns import (
+    POSITION,
+    aggregated,
+    col,
+    data_fields,
+    is_numeric,
+    is_temporal,
+    is_text,
+)
 from tabulens.operators import charts as C
 from tabulens.operators.choose import best_categorical, best_numeric
+from tabulens.operators.frequency import distinct_sketches, distinct_values, narrow_columns
 from tabulens.operators.insights import (
     ENOUGH_INSIGHTS,
     TOP_SHOWN,
@@ -25,11 +34,22 @@ from tabulens.operators.profile import (
     add_quantiles,
     add_values,
     dataset_summary,
+    date_aggregates,
     describe_dataset,
     profile_frame,
     scan_columns,
 )
-from tabulens.operators.types import ColumnType, by_kind, classify, date_formats, types_frame
+from tabulens.operators.types import (
+    MAX_CATEGORIES,
+    ColumnType,
+    by_kind,
+    candidate_layouts,
+    classify,
+    fitting_layouts,
+    layout_masks,
+    shapes_of,
+    types_frame,
+)
 from tabulens.plans.suggest import suggest_instructions
 
 
@@ -37,8 +57,9 @@ from tabulens.plans.suggest import suggest_instructions
 class Described:
     """Types and profile of a table, one dictionary per column.
 
-    ``basics`` lacks quartiles and modes of numbers; ``rows`` has them, too, and
-    computes them when it is first read.
+    ``basics`` lacks quartiles and modes of numbers, and the values of other
+    columns (but has the number of values where there are few); ``rows`` has them,
+    too, and computes them when it is first read.
     """
 
     spark: SparkSession
@@ -60,7 +81,7 @@ class Described:
 
     @property
     def basic_profile(self) -> DataFrame:
-        """The profile without quartiles and modes of numbers."""
+        """The profile without quartiles, modes and values."""
         return profile_frame(self.spark, self.basics)
 
     @property
@@ -113,33 +134,47 @@ def describe(
 ) -> Described:
     """Detect types and compute the profile in few scans.
 
-    One scan covers counts, moments and date ranges of every column, another the
-    values of the texts, whose distinct counts also decide which texts are
-    categories.  String dates cost a scan of their own columns only if a preview
-    leaves candidates.  Only when quartiles or modes are read are the numbers scanned
-    again, for a sample and then with a shuffle of distinct values.
+    One aggregate covers counts, moments and date ranges of every column, shapes of
+    texts and sketches of their values; another the layouts of string dates with
+    their ranges, and the values of columns with few.  Only when the rest is read
+    are the texts' values counted, and the numbers scanned again, for a sample and
+    then with a shuffle of distinct values.
     """
     fields = data_fields(df)
     names = [f.name for f in fields]
-    formats = date_formats(df, fields) if infer_strings else {}
-    scanned = scan_columns(df, names, formats, approx)
+    texts = [f.name for f in fields if is_text(f.dataType)] if infer_strings else []
+    numeric = [f.name for f in fields if is_numeric(f.dataType)]
+    others = [f.name for f in fields if not (is_numeric(f.dataType) or is_temporal(f.dataType))]
+    sketches = {("values", n): v for n, v in distinct_sketches(df, others).items()}
+    scanned = scan_columns(df, names, {}, approx, shapes_of(texts) | sketches)
+    first = scanned.pop(None, {})
     present = {n: (s["count"], s["count"] + s["null_count"]) for n, s in scanned.items()}
     row_count = max((rows for _, rows in present.values()), default=0)
 
-    numeric = [f.name for f in fields if is_numeric(f.dataType)]
-    dates = [
-        f.name
-        for f in fields
-        if is_temporal(f.dataType) or (f.name in formats and scanned[f.name]["count"])
-    ]
-    add_values(df, [n for n in names if n not in numeric and n not in dates], scanned, approx)
-    distinct = {n: s.get("unique_count") for n, s in scanned.items()}
+    candidates = candidate_layouts(first, texts)
+    narrow = narrow_columns({n: first["values", n] for n in others if ("values", n) in first}, MAX_CATEGORIES)
+    second = aggregated(
+        df,
+        layout_masks(candidates)
+        | date_aggregates(df, candidates)
+        | {("distinct", n): distinct_values(df, n) for n in narrow},
+    )
+    formats = {n: fmt for n, fmt in fitting_layouts(second, candidates).items() if scanned[n]["count"]}
+    for name, fmt in formats.items():
+        scanned[name] |= {s: second[name, fmt, s] for s in ("min_date", "max_date", "range_days")}
+    distinct = {n: second["distinct", n] for n in narrow}
+    for name, count in distinct.items():
+        if name not in formats:
+            scanned[name]["unique_count"] = count
     types = classify(fields, present, formats, distinct, infer_strings, had_gaps)
     rows = [{**scanned[t.column], "position": t.position, "type": t.semantic_type} for t in types]
     by_name = {r["column"]: r for r in rows}
-    return Described(
-        df.sparkSession, types, rows, row_count, lambda: add_quantiles(df, numeric, by_name, approx)
-    )
+
+    def complete() -> None:
+        add_values(df, [n for n in others if n not in formats], by_name, approx)
+        add_quantiles(df, numeric, by_name, approx)
+
+    return Described(df.sparkSession, types, rows, row_count, complete)
 
 
 def position_of(df: DataFrame, order_by: Sequence[str] | None) -> Column:
