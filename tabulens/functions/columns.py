@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 #: Aggregates per scan, to keep generated code small.
 _AGGREGATES_AT_ONCE = 256
 
+#: A table of more bytes, as Spark estimates it without a job, is worth a look before a shuffle.
+LARGE_BYTES = 10 << 30
+
 _Key = TypeVar("_Key", bound=Hashable)
 
 #: Name of the ingestion position column that scans may attach (see ``sources.csv``).
@@ -81,3 +84,13 @@ def aggregated(df: DataFrame, wanted: Mapping[_Key, Column]) -> dict[_Key, Any]:
         row = df.agg(*[value.alias(f"a{i}") for i, (_, value) in enumerate(group)]).collect()[0]
         found |= {key: row[i] for i, (key, _) in enumerate(group)}
     return found
+
+
+def is_large(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate, made without a job, is above ``LARGE_BYTES``.
+
+    Only ways to the same result hang on it.  A table without an estimate, such as
+    rows of the driver, counts as endless in Spark, and as small here.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return LARGE_BYTES < size < 1 << 56

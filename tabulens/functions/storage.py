@@ -1,19 +1,24 @@
-"""Where intermediate tables live."""
+"""Where intermediate tables live, and until when."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
+#: Folders made in each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares, as named in ``spark.checkpoint.dir``.
 
-    Only a local session may do without the setting.
+    Only a local session may do without the setting: it uses a folder of its own
+    below the session's warehouse, named after the application.
     """
     folder = spark.conf.get(_SETTING, None)
     if folder:
@@ -22,13 +27,36 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {_SETTING} to a folder that all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabulens-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(f"{warehouse}/tabulens-{context.applicationId}")
     return context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/tabulens/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses; the innermost open scope removes it."""
+    folder = f"{shared_folder(spark)}/tabulens/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(folder)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``new_folder`` named, if it was written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the intermediate folders made inside it when it ends; nothing may read them any more."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for folder in made:
+            remove(spark, folder)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -36,12 +64,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: keeps the partitions and survives lost executors."""
-    folder = shared_folder(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

@@ -15,6 +15,9 @@ PLAN_TYPES = ("PAY_AS_YOU_GO", "MONTHLY_UNLIMITED")
 RUN_STATUSES = ("PENDING", "PROCESSING", "COMPLETED", "FAILED")
 TRANSACTION_TYPES = ("purchase", "consumption")
 
+#: Orphan keys that are sent to the rows, the most frequent ones.
+FREQUENT_ORPHANS = 1000
+
 # What each table promises.
 REQUIRED = {
     "users": ("first_name", "last_name", "email", "plan_type", "token_balance"),
@@ -106,11 +109,21 @@ def orphan_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str)
 def orphan_rows(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Whole child rows whose key has no parent row.
 
-    The distinct orphan keys are found first; they are usually few, so that
-    Spark can send them to the rows instead of gathering rows by key.
+    The orphan keys are found first.  The most frequent of them, a bounded number,
+    are sent to the rows; only rows of other keys are joined by key, so no task
+    gets all rows of a frequent key.
     """
-    lost = orphan_keys(child, key, parent, parent_key).select(F.col("key").alias("__key"))
-    return child.join(lost, col(key) == F.col("__key"), "left_semi")
+    lost = orphan_keys(child, key, parent, parent_key)
+    frequent = lost.orderBy(F.desc("n_rows"), "key").limit(FREQUENT_ORPHANS).select(F.col("key").alias("__often"))
+    known = child.join(F.broadcast(frequent), col(key) == F.col("__often"), "left")
+    # Rows of frequent keys go through the join under numbers that no other key has.
+    spread = F.when(F.col("__often").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(0)
+    known = known.withColumn("__spread", spread)
+    # Zero for every key, but no literal, which would not take part in the join's keys.
+    rest = lost.select(F.col("key").alias("__rare"), F.least("n_rows", F.lit(0).cast("bigint")).alias("__none"))
+    joined = known.join(rest, (col(key) == F.col("__rare")) & (F.col("__spread") == F.col("__none")), "left")
+    found = joined.where(F.col("__often").isNotNull() | F.col("__rare").isNotNull())
+    return found.select(*[col(n) for n in child.columns])
 
 
 def audit_references(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.columns import col, data_columns, field_type, is_summable
+from tabulens.functions.columns import col, data_columns, field_type, is_large, is_summable
 from tabulens.functions.scalars import (
     as_number,
     average,
@@ -37,6 +37,9 @@ SCATTER_POINTS = 200
 BINS = 10
 MIN_HISTOGRAM_VALUES = 5
 
+#: Share of the rows of a large table that a bound for its first keys is taken from.
+SAMPLED = 0.001
+
 #: A document lists the points of a chart up to so many; only a pie with a value column has more.
 LISTED_POINTS = 10_000
 
@@ -124,6 +127,21 @@ def _aggregate(value: Column, dtype: T.DataType, how: str) -> Column:
     return F.coalesce(total(value, dtype), F.lit(0.0))
 
 
+def first_keys(df: DataFrame, x: str, keys: int) -> Column:
+    """A condition that holds for the first ``keys`` values of ``x``, and in a large table for few others.
+
+    Of a sample's values as many first ones are all among the table's, so the last
+    of them is a bound that the table's first ones do not exceed. With fewer in the
+    sample there is no bound.  Only the sample's values are shuffled to find it;
+    the scan then leaves out all rows beyond.
+    """
+    if not is_large(df):
+        return F.lit(True)
+    found = _keyed(df.sample(SAMPLED, 1), x).distinct().orderBy("key").limit(keys)
+    bound = found.agg(F.when(F.count(F.lit(1)) == keys, F.max("key")).alias("bound"))
+    return F.coalesce(col(x) <= bound.scalar(), F.lit(True))
+
+
 def group_values(df: DataFrame, x: str, y: str, how: str = "sum") -> DataFrame:
     """``key, y``: count, mean or (for anything else) sum of ``y`` per value of ``x``.
 
@@ -151,6 +169,8 @@ def bar_chart(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def xy_chart(df: DataFrame, x: str, y: str, how: str = "sum") -> DataFrame:
     """Aggregate of ``y`` for the first keys in key order."""
+    if groupable(field_type(df, x)):
+        df = df.where(first_keys(df, x, LINE_POINTS))
     return labelled(df, x, group_values(df, x, y, how).orderBy("key").limit(LINE_POINTS))
 
 
@@ -255,7 +275,12 @@ class Batch:
     def add(self, x: str, y: str | None, how: str, limit: int, by_value: bool = False) -> int:
         """A chart of the first keys, or of those with the highest values; returns its number."""
         dtype = field_type(self.df, x)
-        key = self._key(f"key of {x}", nan_to_null(col(x), dtype))
+        known = nan_to_null(col(x), dtype)
+        if by_value:
+            key = self._key(f"key of {x}", known)
+        else:
+            # Rows beyond the first keys take part without a key, as rows without one do.
+            key = self._key(f"first of {x}", F.when(first_keys(self.df, x, limit), known) if is_large(self.df) else known)
         label = label_text(F.col(f"k{key}"), dtype)
         self.charts.append(_Shared(key, self._aggregate(y, how), label, by_value, limit))
         return len(self.charts) - 1

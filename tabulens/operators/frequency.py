@@ -19,6 +19,9 @@ SHORT = 100
 PREFIX = 64
 #: Values that a sketch of frequent values keeps.
 TRACKED = 10_000
+#: A value that the sketch does not keep has at most this share of the rows: the bound
+#: of the sketch's map, whose size is the next power of two of TRACKED / 0.75.
+UNTRACKED_SHARE = 3.5 / (1 << math.ceil(math.log2(TRACKED / 0.75)))
 
 
 def countable(dtype: T.DataType) -> bool:
@@ -52,8 +55,12 @@ def token(value: Column) -> Column:
 
 def likely_top(value: Column, k: int) -> Column:
     """A sketch's list of the ``k`` most frequent values; missing ones may be among them."""
-    items = F.call_function("approx_top_k", value, F.lit(k), F.lit(TRACKED))
-    return F.transform(items, lambda item: item["item"])
+    return F.transform(estimated_top(value, k), lambda item: item["item"])
+
+
+def estimated_top(value: Column, k: int) -> Column:
+    """As ``likely_top``, with the sketch's counts, which are never too low: ``(item, count)``."""
+    return F.call_function("approx_top_k", value, F.lit(k), F.lit(TRACKED))
 
 
 def value_counts(
@@ -130,8 +137,8 @@ def narrow_columns(estimates: Mapping[str, int], limit: int) -> list[str]:
 
 
 def distinct_values(df: DataFrame, name: str) -> Column:
-    """The exact number of values of a narrow column: a set per task holds few and short stand-ins."""
-    return F.size(F.collect_set(token(printed(df, name))))
+    """The values of a narrow column, as stand-ins: a set per task holds few and short ones."""
+    return F.collect_set(token(printed(df, name)))
 
 
 def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int | None]:
@@ -142,4 +149,4 @@ def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[st
     """
     narrow = narrow_columns(aggregated(df, distinct_sketches(df, columns)), limit)
     exact = aggregated(df, {n: distinct_values(df, n) for n in narrow})
-    return {n: exact[n] if n in exact and exact[n] <= limit else None for n in columns}
+    return {n: len(exact[n]) if n in exact and len(exact[n]) <= limit else None for n in columns}

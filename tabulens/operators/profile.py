@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.columns import aggregated, col, data_fields, field_type, is_numeric, is_temporal
+from tabulens.functions.columns import aggregated, col, data_fields, field_type, is_large, is_numeric, is_temporal
 from tabulens.functions.scalars import (
     exact_round,
     iso_text,
@@ -30,7 +30,7 @@ from tabulens.operators.frequency import (
     top_values,
     value_counts,
 )
-from tabulens.operators.quantiles import ACCURACY, QUARTILES, first_brackets, likely_modes, pick, settle
+from tabulens.operators.quantiles import ACCURACY, QUARTILES, certain_modes, first_brackets, likely_modes, pick, settle
 from tabulens.operators.types import ColumnType, by_kind, text_dates
 
 TOP_VALUES = 10
@@ -142,8 +142,10 @@ def add_quantiles(
     """Complete the scanned statistics of numeric columns with quartiles, iqr and mode.
 
     Exact quartiles and modes take a scan that shuffles the distinct values,
-    after one that draws a sample.  ``approx=True`` takes quartiles from a sketch, and modes
-    from the values that a sketch takes for frequent.
+    after one that draws a sample.  In a large table a sketch may prove what a
+    column's mode is; then only values around its quartiles are shuffled.
+    ``approx=True`` takes quartiles from a sketch, and modes from the values that
+    a sketch takes for frequent.
     """
     columns = list(columns)
     if approx:
@@ -158,7 +160,10 @@ def add_quantiles(
             )
         ]
         settle(df, columns, brackets)
-        found, modes = pick(df, columns, brackets, modes=True)
+        modes = certain_modes(df, columns, [scanned[n]["count"] for n in columns]) if is_large(df) else {}
+        found, _ = pick(df, columns, [b for b in brackets if b.source in modes])
+        others, counted = pick(df, columns, [b for b in brackets if b.source not in modes], modes=True)
+        found, modes = found | others, modes | counted
         quartiles = {n: [found.get((i, j)) for j in range(3)] for i, n in enumerate(columns)}
     for i, name in enumerate(columns):
         q25, median, q75 = quartiles[name]

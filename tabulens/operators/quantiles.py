@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.columns import chunks, col, field_type, is_integral
 from tabulens.functions.scalars import nan_to_null
-from tabulens.operators.frequency import likely_top
+from tabulens.operators.frequency import UNTRACKED_SHARE, estimated_top, likely_top
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -305,13 +305,30 @@ def likely_modes(df: DataFrame, columns: Sequence[str]) -> dict[int, float]:
 
     One scan sketches, another counts those values exactly.
     """
-    modes: dict[int, float] = {}
+    return {i: mode for i, (mode, _, _) in _counted_candidates(df, columns).items()}
+
+
+def certain_modes(df: DataFrame, columns: Sequence[str], rows: Sequence[int]) -> dict[int, float]:
+    """Those of ``likely_modes`` that are certainly the modes, of columns with so many values.
+
+    A value that the sketch dropped has at most ``UNTRACKED_SHARE`` of the rows, and
+    one that it kept, but did not list, has no more than the least listed estimate.
+    A counted value above both bounds is the mode.
+    """
+    counted = _counted_candidates(df, columns)
+    return {i: mode for i, (mode, n, bound) in counted.items() if n > max(bound, rows[i] * UNTRACKED_SHARE)}
+
+
+def _counted_candidates(df: DataFrame, columns: Sequence[str]) -> dict[int, tuple[float, int, int]]:
+    """By column index the most frequent of a sketch's listed values, its exact count, and the most that any other value has."""
+    modes: dict[int, tuple[float, int, int]] = {}
     for kind in ("bigint", "double"):
         sources = [i for i, c in enumerate(columns) if is_integral(field_type(df, c)) == (kind == "bigint")]
         for group in chunks(sources, _COLUMNS_PER_PASS):
             values = {i: nan_to_null(col(columns[i]), field_type(df, columns[i])).cast(kind) for i in group}
-            sketched = df.agg(*[likely_top(v, LIKELY).alias(str(i)) for i, v in values.items()]).first()
-            likely = {i: [v for v in sketched[str(i)] if v is not None] for i in group}
+            sketched = df.agg(*[estimated_top(v, LIKELY).alias(str(i)) for i, v in values.items()]).first()
+            likely = {i: [v["item"] for v in sketched[str(i)] if v["item"] is not None] for i in group}
+            bounds = {i: sketched[str(i)][-1]["count"] if len(sketched[str(i)]) >= LIKELY else 0 for i in group}
             chosen = [F.when(F.col("source") == i, F.col("value").isin(*found)) for i, found in likely.items()]
             counts = (
                 _long_form(df, columns, group, kind)
@@ -319,8 +336,10 @@ def likely_modes(df: DataFrame, columns: Sequence[str]) -> dict[int, float]:
                 .groupBy("source", "value")
                 .agg(F.count(F.lit(1)).alias("n"))
             )
-            best = F.min_by("value", F.struct(-F.col("n"), "value")).cast("double")
-            modes |= {r["source"]: r["mode"] for r in counts.groupBy("source").agg(best.alias("mode")).collect()}
+            best = F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("best")
+            for row in counts.groupBy("source").agg(best).collect():
+                found = row["best"]
+                modes[row["source"]] = float(found["value"]), -found["less"], bounds[row["source"]]
     return modes
 
 

@@ -79,8 +79,8 @@ def detect_types(
     second = aggregated(
         df, layout_masks(candidates) | {("distinct", n): distinct_values(df, n) for n in narrow}
     )
-    distinct = {n: second["distinct", n] for n in narrow}
-    return classify(fields, present, fitting_layouts(second, candidates), distinct, infer_strings, had_gaps)
+    distinct = {n: len(second["distinct", n]) for n in narrow}
+    return classify(fields, present, first_layouts(second, candidates), distinct, infer_strings, had_gaps)
 
 
 def may_be_category(field: T.StructField, gaps: Collection[str]) -> bool:
@@ -142,7 +142,7 @@ def date_formats(df: DataFrame, fields: Sequence[T.StructField]) -> dict[str, st
     """
     texts = [f.name for f in fields if is_text(f.dataType)]
     candidates = candidate_layouts(aggregated(df, shapes_of(texts)), texts)
-    return fitting_layouts(aggregated(df, layout_masks(candidates)), candidates)
+    return first_layouts(aggregated(df, layout_masks(candidates)), candidates)
 
 
 def text_dates(df: DataFrame, moments: Callable[[str, str], Mapping[str, Column]]) -> dict[str, dict[str, Any]]:
@@ -151,7 +151,7 @@ def text_dates(df: DataFrame, moments: Callable[[str, str], Mapping[str, Column]
     candidates = candidate_layouts(aggregated(df, shapes_of(texts)), texts)
     wanted = {(n, layout, s): v for n, ls in candidates.items() for layout in ls for s, v in moments(n, layout).items()}
     found = aggregated(df, layout_masks(candidates) | wanted)
-    formats = fitting_layouts(found, candidates)
+    formats = first_layouts(found, candidates)
     return {
         n: {"format": fmt} | {s: found[n, fmt, s] for s in moments(n, fmt)}
         for n, fmt in formats.items()
@@ -181,10 +181,14 @@ def layout_masks(candidates: Mapping[str, Sequence[str]]) -> dict[tuple[str, str
     return masks
 
 
-def fitting_layouts(found: Mapping[tuple, int | None], candidates: Mapping[str, Sequence[str]]) -> dict[str, str]:
-    """The first layout of each column whose bit is set."""
+def fitting_layouts(found: Mapping[tuple, int | None], candidates: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
+    """The layouts of each column whose bits are set, for columns with any."""
     fitting = {n: [fmt for i, fmt in enumerate(ls) if (found["layouts", n] or 0) >> i & 1] for n, ls in candidates.items()}
-    return {n: layouts[0] for n, layouts in fitting.items() if layouts}
+    return {n: layouts for n, layouts in fitting.items() if layouts}
+
+
+def first_layouts(found: Mapping[tuple, int | None], candidates: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    return {n: layouts[0] for n, layouts in fitting_layouts(found, candidates).items()}
 
 
 def by_kind(types: list[ColumnType]) -> dict[str, list[str]]:

@@ -39,6 +39,7 @@ from tabulens.operators.profile import (
     profile_frame,
     scan_columns,
 )
+from tabulens.operators.state import State
 from tabulens.operators.types import (
     MAX_CATEGORIES,
     ColumnType,
@@ -67,6 +68,7 @@ class Described:
     basics: list[dict[str, Any]]
     row_count: int
     complete: Callable[[], None] | None = None
+    state: State = field(default_factory=dict)
 
     @property
     def rows(self) -> list[dict[str, Any]]:
@@ -159,22 +161,64 @@ def describe(
         | date_aggregates(df, candidates)
         | {("distinct", n): distinct_values(df, n) for n in narrow},
     )
-    formats = {n: fmt for n, fmt in fitting_layouts(second, candidates).items() if scanned[n]["count"]}
-    for name, fmt in formats.items():
-        scanned[name] |= {s: second[name, fmt, s] for s in ("min_date", "max_date", "range_days")}
-    distinct = {n: second["distinct", n] for n in narrow}
-    for name, count in distinct.items():
-        if name not in formats:
-            scanned[name]["unique_count"] = count
+    fitting = fitting_layouts(second, candidates)
+    columns = {}
+    for f in fields:
+        column = {"dtype": f.dataType.simpleString()} | {s: v for s, v in scanned[f.name].items() if s in _STATED}
+        if f.name in texts:
+            column["layouts"] = {
+                fmt: {s: second[f.name, fmt, s] for s in _DATES} for fmt in fitting.get(f.name, ()) if scanned[f.name]["count"]
+            }
+        if f.name in others:
+            values = second["distinct", f.name] if f.name in narrow else None
+            column["values"] = None if values is None or len(values) > MAX_CATEGORIES else sorted(values)
+        columns[f.name] = column
+    return describe_from(df, {"rows": row_count, "columns": columns}, infer_strings, had_gaps, approx, scanned)
+
+
+_DATES = ("min_date", "max_date", "range_days")
+_STATED = ("count", "null_count", "mean", "std", "min", "max", "sum", *_DATES)
+
+
+def describe_from(
+    df: DataFrame,
+    state: State,
+    infer_strings: bool = True,
+    had_gaps: Collection[str] = (),
+    approx: bool = False,
+    scanned: Mapping[str, Mapping[str, Any]] | None = None,
+) -> Described:
+    """As ``describe``, from the table's state: nothing is scanned until more of the profile is read."""
+    fields = data_fields(df)
+    columns = state["columns"]
+    if {n: c["dtype"] for n, c in columns.items()} != {f.name: f.dataType.simpleString() for f in fields}:
+        raise ValueError("the state is that of another table")
+    present = {n: (c["count"], c["count"] + c["null_count"]) for n, c in columns.items()}
+    layouts = {n: c["layouts"] for n, c in columns.items() if c.get("layouts") and infer_strings}
+    formats = {n: next(iter(found)) for n, found in layouts.items()}
+    distinct = {n: len(c["values"]) for n, c in columns.items() if c.get("values") is not None}
     types = classify(fields, present, formats, distinct, infer_strings, had_gaps)
-    rows = [{**scanned[t.column], "position": t.position, "type": t.semantic_type} for t in types]
+    rows = []
+    for t in types:
+        column = columns[t.column]
+        row = {"column": t.column, **(scanned or {}).get(t.column, {}), **{s: column[s] for s in _STATED if s in column}}
+        if t.column in formats:
+            row |= layouts[t.column][formats[t.column]]
+        elif t.column in distinct:
+            row["unique_count"] = distinct[t.column]
+        rows.append({**row, "position": t.position, "type": t.semantic_type})
     by_name = {r["column"]: r for r in rows}
+    numeric = [f.name for f in fields if is_numeric(f.dataType)]
+    others = [f.name for f in fields if not (is_numeric(f.dataType) or is_temporal(f.dataType)) and f.name not in formats]
 
     def complete() -> None:
-        add_values(df, [n for n in others if n not in formats], by_name, approx)
+        if approx and not scanned:
+            for n, found in scan_columns(df, numeric, {}, approx).items():
+                by_name[n] |= found
+        add_values(df, others, by_name, approx)
         add_quantiles(df, numeric, by_name, approx)
 
-    return Described(df.sparkSession, types, rows, row_count, complete)
+    return Described(df.sparkSession, types, rows, state["rows"], complete, state)
 
 
 def position_of(df: DataFrame, order_by: Sequence[str] | None) -> Column:

@@ -7,6 +7,7 @@ from typing import Any
 from tabulens.operators.types import ColumnType, by_kind
 
 
+# The ids, types, feasibility, aggregations and order of the suggestions below.
 def suggest_instructions(types: list[ColumnType], rows: int = 0) -> dict[str, Any]:
     """Insights, charts and analyses on the first column of each kind."""
     kinds = by_kind(types)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulens.functions.scalars import exact_round
 from tabulens.operators import charts as C
 from tabulens.operators import insights as I
-from tabulens.plans.report import analyze, auto_charts, basic_insights, describe
+from tabulens.plans.report import analyze, auto_charts, auto_report, basic_insights, describe
 from tabulens.plans.suggest import suggest_instructions
 from tabulens.operators.types import detect_types
 from tabulens.registry.base import query, rounded, sql_iso, sql_round, table
@@ -264,26 +265,22 @@ def insight_batch(spark, folder):
     return _findings(I.insights_frame(spark, found))
 
 
-def _line_subset(spark, folder) -> DataFrame:
-    """Columns among which the automatic choices are visible."""
-    return table(spark, folder, "lineitem").select(
-        *LINE_ORDER, "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"
-    )
+# Best number by variation, then the next one, among the columns not named like identifiers.
+_LINE_CHOICES = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_RANKED = "SELECT c, v FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS c, {i} AS p, STDDEV_SAMP({c}) / AVG({c}) AS v FROM lineitem" for i, c in enumerate(_LINE_CHOICES)
+) + ") ORDER BY v DESC, p"
 
 
-# Best number by variation, then the next one, among the columns not named like identifiers.
-_RANKED = """SELECT c, v FROM (
-    SELECT 'l_orderkey' AS c, 1 AS p, STDDEV_SAMP(l_orderkey) / AVG(l_orderkey) AS v FROM lineitem
-    UNION ALL SELECT 'l_partkey', 2, STDDEV_SAMP(l_partkey) / AVG(l_partkey) FROM lineitem
-    UNION ALL SELECT 'l_suppkey', 3, STDDEV_SAMP(l_suppkey) / AVG(l_suppkey) FROM lineitem
-    UNION ALL SELECT 'l_extendedprice', 4, STDDEV_SAMP(l_extendedprice) / AVG(l_extendedprice) FROM lineitem
-    UNION ALL SELECT 'l_tax', 5, STDDEV_SAMP(l_tax) / AVG(l_tax) FROM lineitem)
-    ORDER BY v DESC, p"""
+def _choice_sql(source: str) -> str:
+    """The value of the column that a one-row table names."""
+    cases = " ".join(f"WHEN '{c}' THEN {c}" for c in _LINE_CHOICES)
+    return f"CASE (SELECT c FROM {source}) {cases} END"
 
 
 def _stat_sql(position: int, rank: int, names: list[str]) -> str:
     """Summary rows of the column at the given rank."""
-    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax"]
+    columns = _LINE_CHOICES
     stat = {
         "mean": "AVG",
         "median": "MEDIAN",
@@ -327,7 +324,7 @@ _BASIC_INSIGHTS = f"""WITH ranked AS ({_RANKED})
 
 @query("auto_insights", _BASIC_INSIGHTS)
 def auto_insights(spark, folder):
-    found = basic_insights(describe(_line_subset(spark, folder)))
+    found = basic_insights(describe(table(spark, folder, "lineitem")))
     return _findings(I.insights_frame(spark, found))
 
 
@@ -335,10 +332,7 @@ def auto_insights(spark, folder):
     "auto_charts",
     f"""WITH ranked AS ({_RANKED}), one AS (SELECT c FROM ranked LIMIT 1), two AS (SELECT c FROM ranked LIMIT 1 OFFSET 1),
         l AS (SELECT *,
-            CASE (SELECT c FROM one) WHEN 'l_tax' THEN l_tax WHEN 'l_suppkey' THEN l_suppkey
-              WHEN 'l_partkey' THEN l_partkey WHEN 'l_orderkey' THEN l_orderkey ELSE l_extendedprice END AS a,
-            CASE (SELECT c FROM two) WHEN 'l_tax' THEN l_tax WHEN 'l_suppkey' THEN l_suppkey
-              WHEN 'l_partkey' THEN l_partkey WHEN 'l_orderkey' THEN l_orderkey ELSE l_extendedprice END AS b
+            {_choice_sql("one")} AS a, {_choice_sql("two")} AS b
             FROM lineitem),
         span AS (SELECT MIN(a) AS lo, MAX(a) AS hi FROM l),
         bins AS (SELECT i, i * ((hi - lo) / 10) + lo AS low,
@@ -354,7 +348,7 @@ def auto_insights(spark, folder):
             SELECT CAST(a AS DOUBLE) AS x, CAST(b AS DOUBLE) AS y FROM l ORDER BY {_LINE_ORDER} LIMIT 200)""",
 )
 def auto_charts_rows(spark, folder):
-    lines = _line_subset(spark, folder)
+    lines = table(spark, folder, "lineitem")
     found = auto_charts(lines, describe(lines), F.struct(*LINE_ORDER))
     points = C.charts_frame(found).select("chart_id", "label", "x", "y")
     return points.withColumn(
@@ -422,6 +416,65 @@ def fallback_charts(spark, folder):
     )
 
 
+_UNEVEN = """SELECT event_id, ts, event_type, CASE WHEN event_id % 7 > 0 THEN value END AS score,
+    CASE WHEN event_id % 501 = 0 THEN CAST('infinity' AS DOUBLE) WHEN event_id % 503 = 0 THEN CAST('-infinity' AS DOUBLE)
+         ELSE value END AS drift FROM events"""
+
+
+def _figure_sql(column: str, key: str, number: str, text: str = "NULL") -> str:
+    return f"""SELECT '{column}' AS part, '{key}' AS key, {sql_round(number, 4)} AS number,
+        CAST({text} AS VARCHAR) AS text FROM s"""
+
+
+@query(
+    "auto_report_infinite",
+    f"""WITH s AS ({_UNEVEN}), span AS (SELECT MIN(score) AS lo, MAX(score) AS hi FROM s),
+        bins AS (SELECT i, i * ((hi - lo) / 10) + lo AS low,
+                 CASE WHEN i = 9 THEN hi ELSE (i + 1) * ((hi - lo) / 10) + lo END AS high FROM span, range(10) AS r(i))
+        {_figure_sql("score", "count", "COUNT(score)")}
+        UNION ALL {_figure_sql("score", "null_count", "COUNT(*) - COUNT(score)")}
+        UNION ALL {_figure_sql("score", "mean", "AVG(score)")}
+        UNION ALL {_figure_sql("score", "median", "MEDIAN(score)")}
+        UNION ALL {_figure_sql("score", "std", "STDDEV_SAMP(score)")}
+        UNION ALL {_figure_sql("score", "min", "MIN(score)")}
+        UNION ALL {_figure_sql("score", "max", "MAX(score)")}
+        UNION ALL {_figure_sql("drift", "count", "COUNT(drift)")}
+        UNION ALL {_figure_sql("drift", "null_count", "COUNT(*) - COUNT(drift)")}
+        UNION ALL {_figure_sql("drift", "median", "MEDIAN(drift)")}
+        UNION ALL {_figure_sql("drift", "min", "NULL", "CASE WHEN isinf(MIN(drift)) AND MIN(drift) < 0 THEN '-inf' END")}
+        UNION ALL {_figure_sql("drift", "max", "NULL", "CASE WHEN isinf(MAX(drift)) AND MAX(drift) > 0 THEN 'inf' END")}
+        UNION ALL {_figure_sql("stats score", "sum", "SUM(score)")}
+        UNION ALL {_figure_sql("stats event_id", "mean", "AVG(event_id)")}
+        UNION ALL SELECT * FROM (SELECT 'auto_2', event_type, {sql_round('AVG(score)', 4)}, NULL FROM s GROUP BY event_type
+            ORDER BY AVG(score) DESC, 2 LIMIT 15)
+        UNION ALL SELECT 'auto_3', format('{{:.1f}}–{{:.1f}}', low, high), CAST((SELECT COUNT(*) FROM s
+            WHERE score >= low AND (score < high OR (i = 9 AND score <= high))) AS DOUBLE), NULL FROM bins""",
+)
+def auto_report_infinite(spark, folder):
+    """A column with NaN and one with infinities: NaN is missing, and what infinities leave undefined is not chosen."""
+    value, number = F.col("value"), F.col("event_id")
+    uneven = table(spark, folder, "events").select(
+        "event_id",
+        "ts",
+        "event_type",
+        F.when(number % 7 > 0, value).otherwise(float("nan")).alias("score"),
+        F.when(number % 501 == 0, float("inf")).when(number % 503 == 0, float("-inf")).otherwise(value).alias("drift"),
+    )
+    report = auto_report(uneven, order_by=["event_id"])
+    shown = {"score": ("count", "null_count", "mean", "median", "std", "min", "max"), "drift": ("count", "null_count", "median", "min", "max")}
+    found: list[tuple] = []
+    for row in report.described.rows:
+        for key in shown.get(row["column"], ()):
+            figure = float(row[key])
+            found.append((row["column"], key, figure, None) if math.isfinite(figure) else (row["column"], key, None, str(figure)))
+    for insight, key in ((report.insights[0], "sum"), (report.insights[2], "mean")):
+        found.append((f"{insight.type} {insight.column}", key, float(insight.data[key]), None))
+    figures = spark.createDataFrame(found, "part string, key string, number double, text string")
+    points = report.table("charts").where(F.col("chart_id").isin("auto_2", "auto_3"))
+    points = points.select(F.col("chart_id").alias("part"), F.col("label").alias("key"), F.col("y").alias("number"), F.lit(None).cast("string").alias("text"))
+    return rounded(figures.unionAll(points), number=4)
+
+
 @query(
     "suggested_instructions",
     """SELECT 'line' AS type, 'o_orderdate' AS x, 'o_orderkey' AS y, 'sum' AS aggregation

@@ -62,7 +62,9 @@ def _numeric(df, columns):
     return rounded(round_stats(numeric_profile(df, columns)), sum=2)
 
 
-_LINE_NUMBERS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE_NUMBERS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
 
 
 @query("profile_numeric", " UNION ALL ".join(_numeric_sql(c, "lineitem") for c in _LINE_NUMBERS))
@@ -223,6 +225,17 @@ def profile_text_dates(spark, folder):
     return text_date_profile(_text_dates(spark, folder))
 
 
+@query(
+    "profile_nested",
+    """SELECT 'vec_id' AS "column", 'integer' AS type, COUNT(vec_id) AS count, COUNT(*) - COUNT(vec_id) AS null_count FROM embeddings
+       UNION ALL SELECT 'embedding', 'text', COUNT(embedding), COUNT(*) - COUNT(embedding) FROM embeddings
+       UNION ALL SELECT 'label', 'integer', COUNT(label), COUNT(*) - COUNT(label) FROM embeddings""",
+)
+def profile_nested(spark, folder):
+    """A nested column is reported as text with its filled and missing cells."""
+    return describe(table(spark, folder, "embeddings")).profile.select("column", "type", "count", "null_count")
+
+
 @query(
     "dataset_summary",
     f"""SELECT COUNT(*) AS row_count, 5 AS column_count, 'o_orderkey,price' AS numeric_columns,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulens.functions.storage import new_folder
+from tabulens.operators import charts as C
 from tabulens.operators.charts import bar_chart, line_chart
 from tabulens.operators.clean import clean_table
 from tabulens.plans.check import validate_file
-from tabulens.plans.ingest import ingest
-from tabulens.plans.report import describe
+from tabulens.plans.ingest import ingest, open_dataset
+from tabulens.plans.report import auto_report, describe
 from tabulens.registry.base import (
     CLEAN_ORDERS,
     gappy_orders,
@@ -125,13 +126,15 @@ def dataset_store(spark, folder):
 
 @query(
     "ingested_csv",
-    f"""WITH s AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN p_size END AS size, p_type,
+    f"""WITH s AS (SELECT p_partkey, p_name, CASE WHEN p_size > 5 THEN p_size END AS size, p_type,
                   NULLIF(p_brand, 'Brand#7') AS brand, p_retailprice FROM part),
         c AS (SELECT * REPLACE (COALESCE(size, (SELECT AVG(size) FROM s)) AS size) FROM s WHERE brand IS NOT NULL)
         SELECT 'p_partkey' AS "column", 'integer' AS type, COUNT(*) AS count, {sql_round('AVG(p_partkey)', 4)} AS mean,
                {sql_round('MEDIAN(p_partkey)', 4)} AS median, CAST(NULL AS BIGINT) AS unique_count FROM c
         UNION ALL SELECT 'size', 'float', COUNT(*), {sql_round('AVG(size)', 4)}, {sql_round('MEDIAN(size)', 4)}, NULL FROM c
         UNION ALL SELECT 'p_type', 'categorical', COUNT(*), NULL, NULL, COUNT(DISTINCT p_type) FROM c
+        UNION ALL SELECT 'p_name', CASE WHEN COUNT(DISTINCT p_name) <= 50 AND COUNT(DISTINCT p_name) < 0.2 * COUNT(*)
+               THEN 'categorical' ELSE 'text' END, COUNT(*), NULL, NULL, COUNT(DISTINCT p_name) FROM c
         UNION ALL SELECT 'brand', CASE WHEN COUNT(DISTINCT brand) < 0.2 * COUNT(*) THEN 'categorical' ELSE 'text' END,
                COUNT(*), NULL, NULL, COUNT(DISTINCT brand) FROM c
         UNION ALL SELECT 'p_retailprice', 'float', COUNT(*), {sql_round('AVG(p_retailprice)', 4)},
@@ -143,6 +146,7 @@ def ingested_csv(spark, folder):
     source = new_folder(spark, "parts") + ".csv"
     part.select(
         "p_partkey",
+        "p_name",
         F.when(F.col("p_size") > 5, F.col("p_size").cast("string")).otherwise("NA").alias("size"),
         "p_type",
         F.when(F.col("p_brand") != "Brand#7", F.col("p_brand")).alias("brand"),
@@ -150,9 +154,26 @@ def ingested_csv(spark, folder):
     ).write.csv(source, header=True, sep="|")
     done = ingest(spark, source, new_folder(spark, "parts"))
     profile = done.described.profile.select("column", "type", "count", "mean", "median", "unique_count")
+    done.release()
     return rounded(profile, mean=4, median=4)
 
 
+@query(
+    "reopened_dataset",
+    f"""SELECT 'auto_1' AS chart_id, {sql_iso('o_orderdate')} AS label, {sql_round('y', 4)} AS y FROM (
+            SELECT o_orderdate, AVG(price) AS y FROM ({CLEAN_ORDERS}) GROUP BY 1 ORDER BY 1 LIMIT 50)
+        UNION ALL SELECT 'auto_2', status, {sql_round('AVG(price)', 4)} FROM ({CLEAN_ORDERS}) GROUP BY status""",
+)
+def reopened_dataset(spark, folder):
+    """Cleaned orders stored with their state: opened again, their charts are chosen without a scan."""
+    path = new_folder(spark, "reopened")
+    ingest(spark, gappy_orders(spark, folder).drop("o_orderkey"), path)
+    frame, described = open_dataset(spark, path)
+    report = auto_report(frame, described=described)
+    points = C.charts_frame(report.charts[:2]).select("chart_id", "label", "y")
+    return rounded(points, y=4)
+
+
 @query(
     "result_store",
     f"""SELECT label, {sql_round('y', 4)} AS y FROM (SELECT o_orderpriority AS label, AVG(o_totalprice) AS y
@@ -191,6 +212,30 @@ def document_source(spark, folder):
     return found[0].unionAll(found[1])
 
 
+@query(
+    "document_layouts",
+    """SELECT o_orderkey, o_orderstatus, o_totalprice, 'x "}{" ' || o_orderpriority AS note, 'list' AS shape FROM orders
+       UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, 'x "}{" ' || o_orderpriority, 'compact' FROM orders
+       UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, 'x "}{" ' || o_orderpriority, 'indented' FROM orders""",
+)
+def document_layouts(spark, folder):
+    """Orders as documents of up to 5000 rows, with and without metadata and line breaks, cut into records per split."""
+    note = F.concat(F.lit('x "}{" '), "o_orderpriority").alias("note")
+    record = F.struct("o_orderkey", "o_orderstatus", "o_totalprice", note)
+    rows = table(spark, folder, "orders").withColumn("page", F.floor(F.col("o_orderkey") / 5000))
+    # At most 5000 rows per group.
+    pages = rows.groupBy("page").agg(F.collect_list(record).alias("data"))
+    meta = F.struct(F.array(F.lit("o_orderkey"), F.lit("note")).alias("columns"), F.size("data").alias("row_count"))
+    full = F.struct(meta.alias("_meta"), "data")
+    path = new_folder(spark, "layouts")
+    found = []
+    for shape, value in (("list", F.to_json("data")), ("compact", F.to_json(full)), ("indented", F.to_json(full, {"pretty": "true"}))):
+        pages.select(value.alias("value"), "page").repartition("page").write.partitionBy("page").text(f"{path}/{shape}.json")
+        frame, _ = load_dataset(spark, f"{path}/{shape}.json")
+        found.append(frame.select("o_orderkey", "o_orderstatus", "o_totalprice", "note", F.lit(shape).alias("shape")))
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 @query(
     "file_audit",
     """WITH files AS (

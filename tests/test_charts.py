@@ -173,3 +173,87 @@ def test_report_without_numbers(spark):
     report = analyze(df)
     assert report.charts == [] and [i.type for i in report.insights] == ["top_values"]
     assert describe(df).kinds["categorical"] == ["g"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key", ["id % 5000", "string(id % 5000)", "id % 30", "if(id % 7 = 0, null, double(id % 900))"])
+def test_first_keys_of_large_tables(spark, monkeypatch, tmp_path, key):
+    """Only keys up to a bound from a sample are shuffled; the points stay the same."""
+    spark.range(40_000).selectExpr(f"{key} as x", "double(id) as y", "string(id % 3) as g").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    wanted = [{"type": "line", "x": "x", "y": "y", "aggregation": "mean"}, {"x": "x", "y": "y"}, {"type": "pie", "x": "g"}]
+
+    def found():
+        charts, _ = C.build_charts(df, wanted, F.lit(0))
+        return [points(c.data) for c in charts], sorted(map(str, C.charts_frame(charts).collect()))
+
+    expected = found()
+    monkeypatch.setattr(C, "SAMPLED", 0.1)
+    monkeypatch.setattr("tabulens.functions.columns.LARGE_BYTES", 0)
+    assert found() == expected
+    assert "Subquery" in plan_of(C.line_chart(df, "x", "y"))
+    few = df.where(C.first_keys(df, "x", 50)).select("x").distinct().count()
+    assert 30 <= few <= 2500
+
+
+def test_shared_points_are_those_of_single_charts(spark):
+    df = spark.range(500).selectExpr(
+        "id % 60 as k", "date_add(date'2024-01-01', int(id % 70)) as d", "if(id % 5 = 0, null, concat('g', id % 20)) as g",
+        "if(id % 11 = 0, double('nan'), id * 1.5) as v", "id % 2 = 0 as b", "int(id) as i", "array(id % 3) as nested",
+    )
+    wanted = [
+        {"type": kind, "x": x, "y": y, "aggregation": how}
+        for kind, x, y, how in [
+            ("line", "d", "v", "mean"), ("bar", "k", "v", "sum"), ("bar", "g", "b", "mean"), ("bar", "g", "i", "count"),
+            ("pie", "g", None, ""), ("pie", "k", None, ""), ("pie", "k", "v", ""), ("scatter", "i", "v", "none"),
+            ("line", "v", "i", "sum"), ("bar", "b", "i", "sum"), ("bar", "nested", "v", "sum"),
+        ]
+    ]
+    charts, skipped = C.build_charts(df, wanted, F.col("i"))
+    assert skipped == [] and sum(c.shared is not None for c in charts) == 8
+    table = C.charts_frame(charts)
+    for chart in charts:
+        own = table.where(F.col("chart_id") == chart.chart_id).orderBy("position")
+        mine = [(r["x"] if chart.type == "scatter" else r["label"], r["y"]) for r in own.collect()]
+        alone = points(chart.data)
+        assert [m[0] for m in mine] == [a[0] for a in alone]
+        assert [m[1] for m in mine] == [pytest.approx(a[1], nan_ok=True) for a in alone]
+        if chart.type != "scatter":
+            assert chart.payload()["data"]["labels"] == [a[0] for a in alone]
+
+
+def test_a_batch_reads_its_table_once(spark, tmp_path):
+    spark.range(100).selectExpr("id % 7 as a", "id % 5 as b", "double(id) as v").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    batch = C.Batch(df)
+    for x, how in (("a", "mean"), ("b", "sum"), ("a", "count")):
+        batch.add(x, "v", how, 50)
+    batch.add_histogram("v", C.bin_edges("v", 100, 0.0, 99.0))
+    plan = plan_of(batch.points)
+    assert plan.count("Scan parquet") == 1 and "WindowGroupLimit" in plan
+    assert [r["y"] for r in batch.rows(3)] == [10.0] * 10
+
+
+def test_bins_of_a_batch_are_those_of_the_histogram(spark):
+    values = [0.1 * i for i in range(50)] + [4.9] * 3 + [None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    edges = C.bin_edges("v", 53, 0.0, 4.9)
+    batch = C.Batch(df)
+    batch.add_histogram("v", edges)
+    assert [(r["label"], r["y"]) for r in batch.rows(0)] == [tuple(r) for r in C.histogram(df, "v").select("label", "y").collect()]
+    # No value lies in the middle bins, but they are there.
+    gap = spark.createDataFrame([(float(v),) for v in (0, 0, 0, 10, 10)], "v double")
+    batch = C.Batch(gap)
+    batch.add_histogram("v", C.bin_edges("v", 5, 0.0, 10.0))
+    assert [r["y"] for r in batch.rows(0)] == [3.0] + [0.0] * 8 + [2.0]
+
+
+def test_a_large_pie_is_not_collected(spark, monkeypatch):
+    monkeypatch.setattr(C, "LISTED_POINTS", 20)
+    df = spark.range(100).selectExpr("id as x", "double(id) as y")
+    charts, _ = C.build_charts(df, [{"type": "pie", "x": "x", "y": "y", "id": "all"}], F.lit(0))
+    assert charts[0].payload()["data"] == {"table": "charts", "chart_id": "all"}
+    assert C.charts_frame(charts).count() == 100

@@ -15,6 +15,7 @@ from tabulens.operators.profile import (
     numeric_profile,
     sample_rows,
     sample_stats,
+    text_date_profile,
     text_profile,
     token_summary,
 )
@@ -415,3 +416,43 @@ def test_wide_tables_are_scanned_in_groups(spark):
     described = describe(df)
     assert [r["min"] for r in described.rows] == [float(i) for i in range(70)]
     assert all(r["median"] == 24.5 + i for i, r in enumerate(described.rows))
+
+
+def test_certain_modes(spark, monkeypatch, tmp_path):
+    """A frequent value is certainly the mode; among nearly unique ones the values are counted."""
+    from tabulens.operators import quantiles as Q
+
+    spark.range(60_000).selectExpr(
+        "if(id % 3 = 0, 0.5, id * 1.25) as often", "id as unique", "if(id < 2, 7, id) as twice", "id % 5 as few"
+    ).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    found = Q.certain_modes(df, df.columns, [60_000] * 4)
+    assert found == {0: 0.5, 3: 0.0}
+    expected = [tuple(r) for r in numeric_profile(df, df.columns).collect()]
+    monkeypatch.setattr("tabulens.functions.columns.LARGE_BYTES", 0)
+    assert [tuple(r) for r in numeric_profile(df, df.columns).collect()] == expected
+    shuffled = []
+    pick = Q.pick
+    monkeypatch.setattr("tabulens.operators.profile.pick", lambda d, c, b, modes=False: shuffled.append((modes, {x.source for x in b})) or pick(d, c, b, modes))
+    numeric_profile(df, df.columns)
+    assert shuffled == [(False, {0, 3}), (True, {1, 2})]
+
+
+def test_types_take_two_aggregates(spark, monkeypatch, tmp_path):
+    from tabulens.functions import columns
+    from tabulens.operators import types
+
+    spark.range(3000).selectExpr(
+        "date_format(date_add(date'2024-01-01', int(id % 30)), 'dd/MM/yyyy') as d", "concat('c', id % 4) as c",
+        "uuid() as u", "id % 2 = 0 as b", "if(id = 5, null, id % 3 = 0) as g", "id as i",
+    ).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    calls = []
+    monkeypatch.setattr(types, "aggregated", lambda *a: calls.append(len(a[1])) or columns.aggregated(*a))
+    found = {t.column: t.semantic_type for t in detect_types(df)}
+    assert found == {"d": "date", "c": "categorical", "u": "text", "b": "boolean", "g": "categorical", "i": "integer"}
+    assert len(calls) == 2
+    assert [tuple(r) for r in text_date_profile(df).collect()] == [
+        ("d", 3000, 0, "2024-01-01T00:00:00", "2024-01-30T00:00:00", 29)
+    ]
+    assert text_date_profile(df.select("c", "i")).collect() == []

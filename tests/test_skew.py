@@ -73,10 +73,20 @@ def test_references(spark, rows):
     parents = spark.range(8, ROWS).select("id")  # the hot key 7 is missing
     found = {r["key"]: r["n_rows"] for r in orphan_keys(rows, "key", parents, "id").collect()}
     assert found == {7: HOT + 1, 1: 1, 2: 1, 4: 1, 5: 1}
-    assert orphan_rows(rows, "key", parents, "id").count() == HOT + 5
+    lost = orphan_rows(rows, "key", parents, "id")
+    assert lost.count() == HOT + 5 and lost.columns == rows.columns
+    # No task gets all rows of the frequent key, whether it is sent to the rows or not.
+    parts = lost.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 4 and max(r["count"] for r in parts) < HOT / 2
     assert audit_unique(rows, "t", "key").first()["violations"] == HOT
 
 
+def test_no_orphan_key_is_frequent(rows, spark, monkeypatch):
+    monkeypatch.setattr("tabulens.operators.audit.FREQUENT_ORPHANS", 0)
+    parents = spark.range(8, ROWS).select("id")
+    assert orphan_rows(rows, "key", parents, "id").count() == HOT + 5
+
+
 def test_runs(rows):
     runs = rows.select(
         F.col("key").alias("user_id"), "id", F.col("name").alias("file_name"), F.lit("COMPLETED").alias("status"),

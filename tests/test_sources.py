@@ -6,8 +6,9 @@ import pandas as pd
 import pytest
 
 from tabulens.functions.columns import POSITION
-from tabulens.functions.storage import cut_lineage, shared_folder
+from tabulens.functions.storage import new_folder, scope, shared_folder, stage
 from tabulens.operators.clean import clean_table
+from tabulens.operators.ledger import balance_ledger
 from tabulens.plans.check import validate_file
 from tabulens.plans.ingest import ingest
 from tabulens.plans.report import analyze
@@ -208,6 +209,7 @@ def test_shared_folder_is_the_configured_one(spark):
 def test_only_local_sessions_make_their_own_folder():
     class Context:
         folder = None
+        applicationId = "app-1"
 
         def __init__(self, master):
             self.master = master
@@ -219,18 +221,48 @@ def test_only_local_sessions_make_their_own_folder():
             self.folder = folder
 
     def session(master):
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=Context(master))
+        settings = {"spark.sql.warehouse.dir": "file:/there/"}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, _=None: settings.get(name)), sparkContext=Context(master))
 
     local = session("local[2]")
-    assert shared_folder(local) == shared_folder(local) and "tabulens-" in shared_folder(local)
+    assert shared_folder(local) == shared_folder(local) == "file:/there/tabulens-app-1"
     with pytest.raises(RuntimeError):
         shared_folder(session("spark://host:7077"))
 
 
-def test_cut_lineage_keeps_rows_and_partitions(spark):
-    df = spark.range(100).repartitionByRange(4, "id")
-    cut = cut_lineage(df)
-    assert cut.rdd.getNumPartitions() == 4 and cut.count() == 100
+def staged_folders(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tabulens")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {str(s.getPath().getName()) for s in system.listStatus(path)} if system.exists(path) else set()
+
+
+def test_a_scope_removes_what_was_staged_in_it(spark):
+    before = staged_folders(spark)
+    with scope(spark):
+        assert stage(spark.range(3), "inner").count() == 3
+        new_folder(spark, "never-written")
+        with scope(spark):
+            stage(spark.range(3), "innermost")
+        assert len(staged_folders(spark)) == len(before) + 1
+    assert staged_folders(spark) == before
+    kept = stage(spark.range(3), "kept")
+    assert kept.count() == 3 and len(staged_folders(spark)) == len(before) + 1
+
+
+def test_ingestion_leaves_nothing_behind(spark, tmp_path):
+    before = staged_folders(spark)
+    done = ingest(spark, write(tmp_path, "a,b\n1,x\n2,y\n"), str(tmp_path / "store"))
+    assert len(staged_folders(spark)) == len(before) + 1
+    done.release()
+    assert staged_folders(spark) == before
+    assert load_dataset(spark, str(tmp_path / "store"))[0].count() == 2
+
+
+def test_a_ledger_stages_nothing(spark):
+    before = staged_folders(spark)
+    moves = spark.range(2000).selectExpr("id", "if(id % 3 = 0, 7, id) as user", "id % 11 - 6 as amount")
+    assert balance_ledger(moves, "user", ["id"], "amount").count() == 2000
+    assert staged_folders(spark) == before
 
 
 def test_clean_after_scan_keeps_position(spark, tmp_path):
