@@ -38,6 +38,8 @@ SKETCH_LONGS = 8
 SLACK = 0.2
 #: A shingle in no more sets than this leads to all of them.
 RARE = 20
+#: Nodes of a bucket that share a salt, and the most salts of one.
+SALTED, SALTS = 1000, 64
 
 
 def shingle_sets(texts: pa.Array, length: int) -> list[np.ndarray]:
@@ -206,11 +208,35 @@ def pairs_across(apart: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
     bound = f"100 * {common} >= {threshold} * (a.n_shingles + b.n_shingles - {common})"
     # A pair that shares several buckets counts in the first of them.
     first = "array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true) = array_position(a.bands, a.band)"
-    can_be = F.expr(f"a.band = b.band AND a.root < b.root AND {bound}") & _close(threshold) & F.expr(first)
-    by_frequent = left.alias("a").join(left.alias("b"), can_be).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    by_frequent = across_roots(left, F.expr(bound) & _close(threshold) & F.expr(first))
     return by_rare.unionByName(by_frequent).distinct()
 
 
+def across_roots(members: DataFrame, may_link: Column) -> DataFrame:
+    """The pairs (a, b) of nodes of one band and different roots that meet a condition on `a` and `b`.
+
+    Of each band only nodes outside of its largest root are joined with all its
+    nodes, so pairs of that root are never formed. Large bands are dealt over
+    salts; `members` has band, node, root and what the condition needs.
+    """
+    roots = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    bands = roots.groupBy("band").agg(
+        F.max(F.struct("n", "root"))["root"].alias("largest"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")
+    )
+    salts = F.least(F.lit(SALTS), F.ceil(F.col("size") / SALTED)).cast("int").alias("salts")
+    known = members.join(bands.filter("roots > 1").select("band", "largest", salts), "band")
+    few = known.filter("root <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    whole = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    # Two nodes outside of the largest root meet in both orders: one counts.
+    apart = F.expr("a.band = b.band AND a.salt = b.salt AND (b.root = b.largest OR a.root < b.root)")
+    pairs = few.alias("a").join(whole.alias("b"), apart & may_link)
+    in_order = F.expr("a.root < b.root")
+    return pairs.select(
+        F.when(in_order, F.col("a.node")).otherwise(F.col("b.node")).alias("a"),
+        F.when(in_order, F.col("b.node")).otherwise(F.col("a.node")).alias("b"),
+    )
+
+
 def near_rows(docs: DataFrame, length: int, threshold: int) -> DataFrame:
     """The columns but the text, n_shingles, component_id, first and copies per row of (doc_id, text, others).
 
@@ -264,7 +290,8 @@ def near_groups(
     `threshold` is the similarity in per cent. Rows without a word are linked
     with nothing and kept, null text as well. A row without an id stays only in
     a component without ids, and it has no component_id there. Rows that share
-    an id are judged by their own texts. An empty table gives no rows.
+    an id are judged by their own texts. Texts of any length are compared by all
+    their shingles. An empty table gives no rows.
     """
     docs = bounded_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     rows = near_rows(docs, length, threshold).select("doc_id", "n_shingles", "component_id")

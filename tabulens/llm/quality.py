@@ -177,7 +177,8 @@ def judge(
     with a third of all rows is dealt over 16 keys; nothing has to be broadcast.
 
     Null text has no words and fails the fixed rules; null languages and sources
-    are groups of their own; repeated rows are judged alike; an empty table stays empty.
+    are groups of their own; repeated rows are judged alike; texts of any length
+    are measured whole; an empty table stays empty.
     """
     name = unused("quality", docs.columns)
     salt = unused("salt", docs.columns)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.functions.storage import stage
+from tabulens.functions.storage import new_folder, remove, scope
 
 SPACES = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
@@ -42,9 +42,20 @@ def give_back() -> None:
 
 
 def run_stages(spark: SparkSession, docs: DataFrame, folder: str, stages) -> DataFrame:
-    """Each stage over what the one before it wrote to the shared folder."""
+    """Each stage over what the one before it wrote to the shared folder.
+
+    What a stage stages for itself is removed once its result is written, and a
+    result once the next one is: only the last one stays.
+    """
+    before = None
     for name, function in stages:
-        docs = stage(function(spark, docs, folder), name)
+        target = new_folder(spark, name)
+        with scope(spark):
+            function(spark, docs, folder).write.parquet(target)
+        docs = spark.read.parquet(target)
+        if before:
+            remove(spark, before)
+        before = target
     return docs
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabulens.llm import bpe, chat, exact, near, packing, pages, quality, substrings, token_files, warc
@@ -143,6 +144,31 @@ def test_near_groups(docs):
     assert left.columns == docs.columns
 
 
+def test_nodes_of_one_component_never_meet(spark, monkeypatch):
+    """A band of 3000 nodes of one root and a few others makes pairs in proportion, over several salts."""
+    rows = [("hot", f"n{i:04}", "r1") for i in range(3000)] + [("hot", f"m{i}", f"r{2 + i % 2}") for i in range(4)]
+    rows += [("alone", f"n{i:04}", "r1") for i in range(3000)] + [("small", "x", "r8"), ("small", "y", "r9")]
+    members = spark.createDataFrame(rows, "band string, node string, root string").repartition(7)
+    found = [tuple(r) for r in near.across_roots(members, F.lit(True)).collect()]
+    outer = [(f"m{i}", f"r{2 + i % 2}") for i in range(4)]
+    expected = {(f"n{i:04}", m) for i in range(3000) for m, _ in outer} | {("x", "y")}
+    expected |= {(a, b) for a, r in outer for b, q in outer if r < q}
+    assert len(found) == len(expected) and set(found) == expected
+    monkeypatch.setattr(near, "SALTED", 1)
+    assert set(map(tuple, near.across_roots(members, F.lit(True)).collect())) == expected
+
+
+def test_a_third_of_the_rows_are_edits_of_one_text(spark):
+    """Different one-word edits of one text, and other texts that share many of its words."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:30] + [f"edit{i}"] + base[31:])) for i in range(300)]
+    rows += [(1000 + i, " ".join(base[:36] + [f"own{i}x{j}" for j in range(24)])) for i in range(5)]
+    rows += [(2000 + i, " ".join(f"v{i}x{j}" for j in range(20))) for i in range(600)]
+    found = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    expected = brute.components(dict(rows), 5, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected
+
+
 def test_near_stage_drops_exactly_the_rows_judged(spark):
     def text(name, changed=0):
         return " ".join([f"{name}{i}" for i in range(60)] + [f"{name}new{i}" for i in range(changed)])

@@ -9,6 +9,7 @@ import pytest
 from compare import connect, differences
 
 import corpus_pipeline
+from tabulens.functions.storage import shared_folder
 from tabulens.llm.queries import ORACLES, QUERIES
 from tabulens.llm.shared import table
 
@@ -66,8 +67,17 @@ def test_packing_is_whole_and_tight(spark, documents):
     assert bins <= least * 1.03 + 1
 
 
+def staged_folders(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tabulens")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {str(s.getPath().getName()) for s in system.listStatus(path)} if system.exists(path) else set()
+
+
 def test_pipeline_agrees_with_its_stages_by_definition(spark, documents):
+    before = staged_folders(spark)
     rows = corpus_pipeline.run(spark, FOLDER).collect()
+    # Nothing that the stages wrote for each other or themselves is left.
+    assert [n.split("-")[0] for n in staged_folders(spark) - before] == ["best_fit_packing"]
     docs = [tuple(r) for r in table(spark, FOLDER, "documents").select("doc_id", "text", "lang", "source").collect()]
     good = brute.quality([d[1:] for d in docs])
     left = {d[0]: d[1] for d, q in zip(docs, good) if q[-1]}
