@@ -54,7 +54,7 @@ def scope(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.pop()
         for folder in made:
             remove(spark, folder)
 
