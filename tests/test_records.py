@@ -157,6 +157,48 @@ def test_audit_rules(spark):
     assert audit_unique(users.limit(0), "users", "id").first()["violations"] == 0
 
 
+def _shuffled(df):
+    """Rows that each exchange of a query writes, in the order of the plan from its end."""
+    df.collect()
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop(0)
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                found.append(node.metrics().apply("shuffleRecordsWritten").value())
+            children = node.children()
+            left += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_unique_ids_that_lie_together_hardly_shuffle(spark):
+    ids = spark.range(-3200, 60_800, 1, 4).selectExpr("id", "cast(id AS string) AS name")
+    found = audit_unique(ids, "t", "id")
+    assert found.first()["violations"] == 0
+    assert _shuffled(found)[-1] == 1000
+    assert _shuffled(audit_unique(ids, "t", "name"))[-1] == 64_000
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "string", "decimal(20, 0)"])
+def test_repeated_keys_of_every_kind(spark, kind):
+    # Ends of the range, both sides of zero and of a word, and gaps.
+    numbers = [-128, -128, -65, -64, -64, -64, -1, -1, 0, 0, 0, 63, 64, 64, 127, None, None]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n int").selectExpr(f"cast(n AS {kind}) AS `a.b`")
+    assert audit_unique(rows.repartition(5), "t", "a.b").first()["violations"] == 7
+    assert audit_unique(rows.where("`a.b` IS NULL"), "t", "a.b").first()["violations"] == 0
+
+
+def test_least_and_greatest_long(spark):
+    ends = [-(2**63), 2**63 - 1, 2**63 - 1, -(2**63), 0]
+    rows = spark.createDataFrame([(n,) for n in ends], "n long")
+    assert audit_unique(rows, "t", "n").first()["violations"] == 2
+
+
 def test_orphans(spark):
     parents = spark.range(5)
     children = spark.createDataFrame([(9,)] * 40 + [(1,), (None,), (8,)], "parent bigint")
