@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import astuple, dataclass
 from functools import reduce
@@ -169,6 +170,23 @@ def candidate_layouts(shapes: Mapping[tuple[str, str], str | None], columns: Seq
     return {n: layouts for n, layouts in found.items() if layouts}
 
 
+_PARTS = {
+    "yyyy": "[0-9]{3,}",
+    "yyyyMMdd": "[0-9]{8,}",
+    "M": "0*(?:1[0-2]|[1-9])",
+    "d": "0*(?:3[01]|[12][0-9]|[1-9])",
+}
+
+
+def may_follow(value: Column, layout: str) -> Column:
+    """False where a date's numbers cannot be those of a layout; parsing such a text takes far longer."""
+    date = re.match("[A-Za-z]+(?:[-/.][A-Za-z]+)*", layout)
+    parts = re.split("([-/.])", date[0]) if date else []
+    if not parts or not all(p in _PARTS for p in parts[::2]):
+        return F.lit(True)
+    return value.rlike("^" + "".join(_PARTS.get(p, f"[{p}]") for p in parts))
+
+
 def layout_masks(candidates: Mapping[str, Sequence[str]]) -> dict[tuple[str, str], Column]:
     """A bit per layout of a column that is set if all values follow it.
 
@@ -176,7 +194,8 @@ def layout_masks(candidates: Mapping[str, Sequence[str]]) -> dict[tuple[str, str
     """
     masks = {}
     for name, layouts in candidates.items():
-        bits = [F.when(parse_timestamp(col(name), fmt).isNotNull(), 1 << i).otherwise(0) for i, fmt in enumerate(layouts)]
+        fits = [may_follow(col(name), fmt) & parse_timestamp(col(name), fmt).isNotNull() for fmt in layouts]
+        bits = [F.when(fit, 1 << i).otherwise(0) for i, fit in enumerate(fits)]
         masks["layouts", name] = F.bit_and(F.when(col(name).isNotNull(), reduce(add, bits)))
     return masks
 
