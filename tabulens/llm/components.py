@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulens.functions.storage import stage
@@ -11,22 +12,18 @@ from tabulens.functions.storage import stage
 def _towards_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """Point neighbours at the least node around: the large star, or the small one.
 
-    Grouping is a minimum per node, so a node with very many neighbours is
-    combined in each task before the shuffle.
+    Each star moves the edges once, by node. Only the small star's are made
+    distinct: it ends a round.
     """
     if larger_only:
         around = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    met = around.join(least, "a")
+    met = around.withColumn("m", F.least("a", F.min("b").over(W.partitionBy("a"))))
     if larger_only:
-        met = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        met = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b"))
-        )
-    return met.filter(F.col("a") != F.col("b")).distinct()
+        return met.filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    both = F.array(*(F.struct(F.col(end).alias("a"), F.col("m").alias("b")) for end in ("a", "b")))
+    return met.select(F.explode(both).alias("e")).select("e.*").filter("a <> b").distinct()
 
 
 def least_nodes(edges: DataFrame) -> DataFrame:

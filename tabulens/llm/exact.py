@@ -27,6 +27,8 @@ from tabulens.llm.shared import one_space, unused
 
 PROBES = 2
 SLOTS_PER_ROW = 32
+#: Of a filter of ids; one in 64 other ids passes it.
+SLOTS_PER_ID = 8
 WORD = 64
 #: A filter of more words of 64 slots is not broadcast (about 50 bytes each on an executor).
 BROADCAST_WORDS = 1_000_000
@@ -89,6 +91,18 @@ def in_filter(rows: DataFrame, key: list[Column], words: DataFrame, count: int,
     return tested.select(*rows.columns, flag.alias(unused("again", rows.columns)))
 
 
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame, of: str) -> DataFrame:
+    """`rows` with a last column that is true where `ids` may have the key (null as well), and false only where it has not.
+
+    The filter has at most a million words and is sent to the tasks that read `rows`.
+    """
+    count = max(WORD, min(BROADCAST_WORDS * WORD // PROBES, ids.count() * SLOTS_PER_ID))
+    hit = ids.select(F.posexplode(F.array(*_slots([F.col(of)], count))).alias("probe", "slot"))
+    bit = F.expr(f"shiftleft(1L, cast(slot % {WORD} as int))")
+    words = hit.groupBy("probe", F.expr(f"slot div {WORD}").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return in_filter(rows, [F.col(key)], words, count)
+
+
 def possibly_repeated(keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int]:
     """The rows whose key may repeat, those whose key certainly does not, and the number of both."""
     rows = keys.count()

@@ -576,3 +576,36 @@ def test_empty_tables(spark, docs, tmp_path):
     assert warc.warc_pages(html).count() == 0 and pages.page_texts(html).count() == 0
     said = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [r["conv_id"] for r in chat.chat_conversations(said).collect()] == [-7]
+
+
+def test_a_round_of_stars_moves_each_edge_three_times(spark):
+    from tabulens.llm import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    stars = components._towards_least(components._towards_least(edges, True), False)
+    plan = stars._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3, plan
+    assert {tuple(r) for r in components.least_nodes(edges).collect()} == {(i, 0) for i in range(1, 51)}
+
+
+def test_near_nodes_are_longs_and_other_texts_stay_out_of_the_join(spark, monkeypatch):
+    made = {}
+
+    def kept(frame, name):
+        made.setdefault(name, []).append(stage(frame, name))
+        return made[name][-1]
+
+    stage = near.stage
+    monkeypatch.setattr(near, "stage", kept)
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(30))) for i in range(2000)]
+    rows += [(None, "a b c d e f"), (None, None), (7, "a b c d e f"), (3000, rows[5][1] + " more"), (3000, "g h i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near.near_documents(docs).collect()}
+    assert found[3000, 29] == 5 and found[3000, 1] == 3000 and found[None, 4] == 7 and found[None, 0] is None
+    assert all(c == d for (d, _), c in found.items() if d is not None and d < 2000)
+    assert dict(made["nodes"][0].dtypes)["node"] == dict(made["links"][0].dtypes)["a"] == "bigint"
+    ids = made["wanted"][0]
+    assert {r["wanted"] for r in ids.collect()} == {5, 3000}
+    flagged = exact.maybe_among(docs, "doc_id", ids.union(spark.sql("SELECT null")), "wanted")
+    passed = {r["doc_id"] for r in flagged.filter(flagged.columns[-1]).collect()}
+    assert passed >= {5, 3000, None} and len(passed) < 300
