@@ -92,6 +92,11 @@ def text_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     give_back()
 
 
+#: As it is not called deterministic, no filter on the counts is pushed below them: that
+#: would count every text twice, with two workers to a task.
+text_counts = text_counts.asNondeterministic()
+
+
 def bucket(value: Column) -> Column:
     """The smallest value of the sketch bucket: exact below 64, then 32 to 64 steps per doubling."""
     shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))

@@ -55,6 +55,13 @@ def test_quality_thresholds_follow_the_group(spark):
     assert gone == {1000}
 
 
+def test_quality_counts_no_text_twice_in_a_task(docs):
+    for frame in (quality.quality_documents(docs), quality.quality_stage(None, docs, "")):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("ArrowEvalPython [") == 2  # for the sketches, which are counted once, and for the verdicts
+
+
 def test_exact_groups(docs):
     rows = exact.exact_documents(docs).collect()
     groups = {}
