@@ -13,7 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tabulens.functions.columns import POSITION, col, data_columns, data_fields, is_temporal
 from tabulens.functions.scalars import iso_text, normalise_missing
-from tabulens.functions.storage import new_folder
+from tabulens.functions.storage import new_folder, stage
 from tabulens.sources.csv import with_position
 from tabulens.sources.splits import Documents, cut, fragments, joined_pieces, summed_up
 
@@ -89,16 +89,16 @@ def load_document(spark: SparkSession, path: str, position: bool = False) -> tup
     found = cut(texts, states, Documents.cut)
     other = F.col("part").isNotNull() | (F.col("kind") != "row")
     aside = F.concat(F.lit('{"aside":'), F.to_json(F.struct(*found.columns)), F.lit("}"))
-    found.select(F.when(other, aside).otherwise(_record_line()).alias("value")).write.text(f"{folder}/whole")
+    found.select(F.when(other, aside).otherwise(_record_line(position)).alias("value")).write.text(f"{folder}/whole")
     folders = [f"{folder}/whole"]
 
-    # Pieces of records that span splits, and the metadata: a few rows per split.
+    # Pieces of records that span splits, and the metadata: a few rows per split, found in one scan.
     apart = spark.read.text(folders).filter(F.col("value").startswith('{"aside":'))
     apart = apart.select(F.from_json("value", f"aside struct<{_PIECE}>").alias("line"))
-    apart = apart.select("line.aside.*").filter("kind IS NOT NULL")
+    apart = stage(apart.select("line.aside.*").filter("kind IS NOT NULL"), "apart")
     joined = joined_pieces(apart.filter("part IS NOT NULL"))
     if any(place.target and place.depth > place.target[1] for place, _ in states.values()):
-        joined.filter("kind = 'row'").select(_record_line().alias("value")).write.text(f"{folder}/joined")
+        joined.filter("kind = 'row'").select(_record_line(position).alias("value")).write.text(f"{folder}/joined")
         folders.append(f"{folder}/joined")
     metas = apart.filter("part IS NULL").select("file", "value").unionByName(joined.filter("kind = 'meta'").select("file", "value"))
     first = metas.orderBy("file").first()
@@ -114,10 +114,10 @@ def load_document(spark: SparkSession, path: str, position: bool = False) -> tup
     return _in_order(lines.filter("value IS NOT NULL").select("value.*", *place), meta), meta
 
 
-def _record_line() -> Column:
-    """A record and its place as one line; a line break in JSON text is white space."""
-    place = F.to_json(F.struct("file", "block", "row"))
-    return F.concat(F.lit('{"at":'), place, F.lit(',"value":'), F.translate("value", "\n\r", "  "), F.lit("}"))
+def _record_line(position: bool) -> Column:
+    """A record, and its place if that is wanted, as one line; a line break in JSON text is white space."""
+    place = [F.lit('"at":'), F.to_json(F.struct("file", "block", "row")), F.lit(",")] if position else []
+    return F.concat(F.lit("{"), *place, F.lit('"value":'), F.translate("value", "\n\r", "  "), F.lit("}"))
 
 
 def _in_order(rows: DataFrame, meta: dict[str, Any]) -> DataFrame:

@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,18 +49,14 @@ def fragments(spark: SparkSession, path: str | list[str], separator: str) -> Dat
 
 def by_split(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Key, Iterator[str]]]:
     """The texts of each split; a split's texts must be used up before the next one is asked for."""
-    rows = (
-        ((file, block), value)
-        for batch in batches
-        for value, file, block in zip(*(batch.column(n).to_pylist() for n in ("value", "file", "block")))
-    )
-    waiting = next(rows, None)
+    runs = (run for batch in batches for run in _runs(batch))
+    waiting = next(runs, None)
 
     def own(key: Key) -> Iterator[str]:
         nonlocal waiting
         while waiting and waiting[0] == key:
-            yield waiting[1]
-            waiting = next(rows, None)
+            yield from waiting[1].to_pylist()
+            waiting = next(runs, None)
 
     while waiting:
         key = waiting[0]
@@ -69,6 +66,17 @@ def by_split(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Key, Iterator[
             pass
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[Key, pa.Array]]:
+    """The texts of neighbours that belong to one split."""
+    value, file, block = (batch.column(n) for n in ("value", "file", "block"))
+    files, blocks = file.dictionary_encode().indices.to_numpy(), block.to_numpy()
+    changes = np.nonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1]))[0] + 1
+    bounds = [0, *changes.tolist(), batch.num_rows]
+    for start, end in zip(bounds, bounds[1:]):
+        if start < end:
+            yield (file[start].as_py(), block[start].as_py()), value.slice(start, end - start)
+
+
 def summed_up(texts: DataFrame, summarise: Callable[[Iterator[str], bool], Any]) -> dict[str, list[tuple[int, Any]]]:
     """Per file the (block, summary) of its splits in order; one row per split comes to the driver.
 
@@ -205,6 +213,11 @@ class Quotes:
 
 _TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|["{}\[\]]', re.S)
 _STRING_END = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
+#: What comes before a bracket, and the bracket, or the quote of a string that does not end.
+_NEXT = re.compile(r'[^"{}\[\]]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"{}\[\]]*+)*+(["{}\[\]])', re.S)
+_OPENS = re.compile(r"\s*[{\[]")
+#: Characters of texts that are searched together.
+_CHUNK_CHARS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -241,19 +254,46 @@ def _signs(text: str, inside: bool) -> tuple[list[tuple[str, int, str]], bool]:
             return [], True
         at = end.end()
     found: list[tuple[str, int, str]] = []
-    key, key_end = "", -1
-    for token in _TOKEN.finditer(text, at):
-        sign = token[0]
+    for token in _NEXT.finditer(text, at):
+        sign, place = token[1], token.start(1)
         if sign == '"':
             return found, True
-        if len(sign) > 1:
-            key, key_end = sign[1:-1], token.end()
-        else:
-            named = key_end >= 0 and text[key_end : token.start()].strip() == ":"
-            found.append((sign, token.start(), key if named else ""))
+        found.append((sign, place, _key(text, token.start(), place) if sign in "{[" else ""))
     return found, False
 
 
+def _key(text: str, start: int, end: int) -> str:
+    """The last string of a stretch between two brackets, if only a colon follows it."""
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    if end == start or text[end - 1] != ":":
+        return ""
+    key, key_end = "", -1
+    for token in _TOKEN.finditer(text, start, end):
+        key, key_end = token[0][1:-1], token.end()
+    return key if key_end >= 0 and text[key_end:end].strip() == ":" else ""
+
+
+def _chunks(texts: Iterator[str], place: Place) -> Iterator[str]:
+    """Texts with the braces that ended them, many at a time.
+
+    Where no document is open and none opens, each text comes alone: what
+    follows a bracket that closes nothing is ignored up to the next brace.
+    """
+    held: list[str] = []
+    size, most = 0, _CHUNK_CHARS
+    for number, text in enumerate(texts):
+        if not number and not place.root and (place.inside or place.depth or not _OPENS.match(text)):
+            most = 0
+        held.append(text)
+        size += len(text) + 1
+        if size >= most:
+            yield "}".join(held) + "}"
+            held, size = [], 0
+    if held:
+        yield "}".join(held) + "}"
+
+
 class Documents:
     """Documents ``{_meta, data[]}`` and ``[...]``, in texts between closing braces.
 
@@ -272,12 +312,12 @@ class Documents:
         """
         starts = (False,) if first else (False, True)
         runs = [{"inside": i, "delta": 0, "low": 0, "last": None, "root": "", "known": False} for i in starts]
-        for text in texts:
+        for text in _chunks(texts, Place() if first else Place(root="[")):
             for run in runs:
                 if first and run["root"] and not run["delta"]:
                     continue  # the document is closed
-                signs, run["inside"] = _signs(text + "}", run["inside"])
-                for sign, _, key in signs:
+                signs, run["inside"] = _signs(text, run["inside"])
+                for sign, at, key in signs:
                     members = 1 if first else run["low"]
                     if sign in "{[":
                         run["root"] = run["root"] or sign if first else ""
@@ -291,6 +331,8 @@ class Documents:
                         run["last"] = None
                     run["low"] = min(run["low"], run["delta"])
                     if first and not run["delta"]:
+                        # What follows is ignored, from the next brace on.
+                        run["inside"] = _signs(text[at + 1 : text.index("}", at) + 1], False)[1]
                         break
         return runs
 
@@ -326,10 +368,9 @@ class Documents:
         target = place.target
         taking = target is not None and depth > target[1]
         rest, held = taking, []
-        for text in texts:
+        for text in _chunks(texts, place):
             if depth <= 0 and place.root:
                 break
-            text += "}"
             begin = 0
             signs, inside = _signs(text, inside)
             for sign, at, key in signs:

@@ -8,9 +8,11 @@ from contextlib import contextmanager
 import pytest
 
 from tabulens.functions.columns import POSITION
+from tabulens.functions.storage import scope
+from tabulens.sources import splits
 from tabulens.sources.csv import read_csv
 from tabulens.sources.documents import load_dataset
-from tabulens.sources.splits import REST, WHOLE, Documents, Quotes
+from tabulens.sources.splits import REST, WHOLE, Documents, Place, Quotes
 
 TEXTS = ["plain", 'a "quote"', "}{][", '"}', "back\\slash", "two\nlines", '\\"', "é日本", "", "x" * 90, '{"a": [1]}', ",;'"]
 
@@ -171,3 +173,41 @@ def test_quotes_within_values_open_nothing(spark, tmp_path):
 )
 def test_ends_of_lines(line, outside, inside):
     assert (Quotes(",").ends_inside(line, False), Quotes(",").ends_inside(line, True)) == (outside, inside)
+
+
+def test_texts_of_a_document_are_searched_many_at_a_time(monkeypatch):
+    texts = json.dumps({"_meta": {}, "data": records(5, 500)}).split("}")[:-1]
+    searches = []
+    search = splits._signs
+    monkeypatch.setattr(splits, "_signs", lambda text, inside: searches.append(len(text)) or search(text, inside))
+    Documents.summarise(iter(texts), True)
+    found = [json.loads(value) for kind, _, value in Documents.cut(Place(), iter(texts)) if kind == "row"]
+    assert found == records(5, 500)
+    assert len(searches) < 10 < len(texts)
+
+
+@pytest.mark.parametrize("chars", [1, 50, 1 << 18])
+def test_records_do_not_depend_on_how_many_texts_are_searched(monkeypatch, chars):
+    monkeypatch.setattr(splits, "_CHUNK_CHARS", chars)
+    rows = records(6, 40)
+    for text in (json.dumps(rows, indent=1), json.dumps({"_meta": {"k": "}]"}, "data": rows}), json.dumps(rows) + " } x } [{}"):
+        texts = text.split("}")
+        for cut in (3, len(texts) // 2):
+            parts = [texts[:cut], texts[cut:]]
+            places = Documents.states({"f": [(i, Documents.summarise(iter(p), i == 0)) for i, p in enumerate(parts)]})
+            pieces = [x for i, p in enumerate(parts) for x in Documents.cut(places["f", i][0], iter(p)) if x[0] == "row"]
+            whole = "".join(value + ("\n" if how != "head" else "") for _, how, value in pieces)
+            decoder, found = json.JSONDecoder(), []
+            while whole.strip():
+                value, end = decoder.raw_decode(whole.lstrip())
+                found, whole = [*found, value], whole.lstrip()[end:]
+            assert found == rows
+
+
+def test_records_carry_their_place_only_where_it_is_asked_for(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps({"_meta": {"columns": ["n"]}, "data": records(7, 20)}))
+    for position in (False, True):
+        with scope(spark) as made:
+            load_dataset(spark, str(tmp_path / "one.json"), position)
+            lines = [r["value"] for r in spark.read.text(f"{made[0]}/whole").collect()]
+        assert [line.startswith('{"at":') for line in lines if not line.startswith('{"aside":')] == [position] * 20
