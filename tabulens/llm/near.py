@@ -185,33 +185,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return counts.filter(enough).select("a", "b").distinct()
 
 
-def pairs_across(apart: DataFrame, placed: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of nodes in different components that may be links, of rows (band, node).
+def pairs_across(placed: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of nodes in different components that may be links.
 
-    `placed` has the nodes with their root and those of their bands that are in `apart`. Let `frequent` be the shingles of a
-    node that more than `RARE` sets have. Nodes that share none of the others
+    `placed` has the nodes with their root and those of their bands that hold several roots. Let `frequent` be the shingles
+    of a node that more than `RARE` sets have. Nodes that share none of the others
     have at most min(frequent) in common.
+
+    It is written in parts: as one plan, the driver would have to follow some
+    thirty shuffles at a time.
     """
     items = sets.join(placed.select("key", "node", "root"), "key").select("node", "root", F.explode("items").alias("item"))
-    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("sets"))
-    counted = items.join(counts, "item")
-    # With the root, as the lists below need it too: one shuffle of the items serves both.
-    frequent = counted.groupBy("node", "root").agg(F.sum(F.when(F.col("sets") > RARE, 1).otherwise(0)).alias("frequent"))
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    counted = stage(items.join(counts, "item"), "counted")
+    frequent = counted.filter(F.col("sets") > RARE).groupBy("node").agg(F.count(F.lit(1)).alias("frequent"))
 
     # At most RARE nodes per shingle are brought together.
-    few = counted.filter(F.col("sets").between(2, RARE))
+    few = counted.filter(F.col("sets") <= RARE)
     lists = few.groupBy("item").agg(F.collect_set(F.struct("node", "root")).alias("l"))
     found = F.expr(
         "flatten(transform(l, x -> transform(filter(l, y -> x.root < y.root), y -> struct(x.node AS a, y.node AS b))))"
     )
-    by_rare = lists.select(F.explode(found).alias("p")).select("p.*").distinct()
+    by_rare = lists.select(F.explode(found).alias("p")).select("p.*")
 
-    known = placed.select("node", "root", "n_shingles", "sketch", "bands").join(frequent.drop("root"), "node").join(apart, "node")
+    sizes = placed.select("n_shingles", F.explode("bands").alias("band"))
+    smallest = sizes.groupBy("band").agg(F.min("n_shingles").alias("smallest"))
     # A node whose frequent part is too small even for the smallest set of its bucket is out.
     most = f"frequent * {100 + threshold} >= {threshold} * (n_shingles + smallest)"
-    sizes = apart.join(placed.select("node", "n_shingles"), "node")
-    smallest = sizes.groupBy("band").agg(F.min("n_shingles").alias("smallest"))
-    left = known.join(smallest, "band").filter(most).drop("smallest")
+    known = placed.select("node", "root", "n_shingles", "sketch", "bands").join(frequent, "node")
+    known = known.withColumn("band", F.explode("bands"))
+    left = stage(known.join(smallest, "band").filter(most).drop("smallest"), "left")
     common = "least(a.frequent, b.frequent)"
     bound = f"100 * {common} >= {threshold} * (a.n_shingles + b.n_shingles - {common})"
     # A pair that shares several buckets counts in the least of them.
@@ -266,7 +269,8 @@ def near_rows(docs: DataFrame, length: int, threshold: int) -> DataFrame:
     pivots = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stage(bands.join(pivots.drop("n"), "band"), "members")
 
-    star = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    # By the node, so that neither making them distinct nor the join moves them again.
+    star = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).repartition("a").distinct()
     near = stage(close_pairs(star, nodes, threshold), "pairs")
     wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = sets_of(nodes.join(wanted, "node", "left_semi"), docs, length)
@@ -279,7 +283,8 @@ def near_rows(docs: DataFrame, length: int, threshold: int) -> DataFrame:
     own = apart.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("band").alias("bands"))
     placed = stage(nodes.select("node", "key", "doc_id", "n_shingles", "sketch").join(own, "node"), "placed")
     sets = sets_of(placed, docs, length)
-    across = stage(close_pairs(pairs_across(apart.select("band", "node"), placed, sets, threshold), placed, threshold), "pairs")
+    across = stage(pairs_across(placed, sets, threshold), "across")
+    across = stage(close_pairs(across, placed, threshold), "pairs")
     more = stage(confirmed(across, sets, threshold), "links")
     if not more.isEmpty():
         # The stars found so far stand for their links.

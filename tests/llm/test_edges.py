@@ -616,3 +616,20 @@ def test_near_nodes_are_longs_and_other_texts_stay_out_of_the_join(spark, monkey
     flagged = exact.maybe_among(docs, "doc_id", ids.union(spark.sql("SELECT null")), "wanted")
     passed = {r["doc_id"] for r in flagged.filter(flagged.columns[-1]).collect()}
     assert passed >= {5, 3000, None} and len(passed) < 300
+
+
+def test_no_plan_of_near_duplicates_has_many_shuffles(spark, monkeypatch):
+    """The driver follows the shuffles of a plan at once, whatever the size of the table."""
+    base = [f"w{i}" for i in range(60)]
+    edited = [" ".join(["x"] * (i % 3) + [w if j % 20 != i % 20 else f"e{i}" for j, w in enumerate(base)]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(edited)), "doc_id long, text string")
+    shuffles, stage = {}, near.stage
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles[name] = max(shuffles.get(name, 0), plan.count("Exchange hashpartitioning"))
+        return stage(df, name)
+
+    monkeypatch.setattr(near, "stage", counted)
+    near.near_documents(docs).collect()
+    assert {"pairs", "links"} <= set(shuffles) and max(shuffles.values()) <= 12, shuffles
